@@ -6,19 +6,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.llm import simhash
+from marquee.llm import bitplane, quality, simhash
+from marquee.llm.shared import shared_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_bitplane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = shared_path(spark, "ids")
+    bitplane.write_ids(table(spark, sf_dir, "documents"), store, tokenizer_path())
+    return bitplane.digest_store(spark, store)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bitplane": op1_bitplane,
     "op3_simhash": op3_simhash,
+    "op8_quality": op8_quality,
 }
 
 ORACLES: dict[str, str] = {}

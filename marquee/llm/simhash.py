@@ -153,7 +153,9 @@ def near_duplicates(docs: DataFrame, bucket_cap: int = BUCKET_CAP) -> DataFrame:
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     labels = connected_components(links(distinct, bucket_cap)).withColumnRenamed("u", "fp")
     labelled = materialize(distinct.join(labels, "fp", "left"), "labelled")
-    least = labelled.where("component is not null").groupBy("component").agg(F.min("first_id").alias("least_id"))
+    least = materialize(
+        labelled.where("component is not null").groupBy("component").agg(F.min("first_id").alias("least_id")), "least"
+    )
     members = materialize(
         labelled.join(least, "component", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id")),
         "components",
