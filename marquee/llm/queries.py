@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.llm import bitplane, quality, simhash
+from marquee.llm import bitplane, langid, quality, simhash, toxicity
 from marquee.llm.shared import shared_path
 
 
@@ -26,17 +26,27 @@ def op1_bitplane(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplane.digest_store(spark, store)
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_languages(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predict_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bitplane": op1_bitplane,
+    "op2_langid": op2_langid,
     "op3_simhash": op3_simhash,
+    "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
 }
 
