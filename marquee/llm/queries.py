@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.llm import bitplane, langid, quality, simhash, toxicity
+from marquee.llm import bitplane, langid, quality, simhash, suffix_dedup, toxicity
 from marquee.llm.shared import shared_path
 
 
@@ -42,12 +42,17 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bitplane": op1_bitplane,
     "op2_langid": op2_langid,
     "op3_simhash": op3_simhash,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
+    "op10_suffix": op10_suffix,
 }
 
 ORACLES: dict[str, str] = {}
