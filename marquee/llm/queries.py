@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.llm import bitplane, langid, quality, simhash, suffix_dedup, toxicity
+from marquee.llm import bitplane, decontaminate, langid, licenses, packing, quality, simhash, suffix_dedup, toxicity
 from marquee.llm.shared import shared_path
 
 
@@ -34,6 +34,18 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_matches(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,9 +62,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bitplane": op1_bitplane,
     "op2_langid": op2_langid,
     "op3_simhash": op3_simhash,
+    "op4_packing": op4_packing,
+    "op5_decontaminate": op5_decontaminate,
+    "op6_licenses": op6_licenses,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
     "op10_suffix": op10_suffix,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_decontaminate": decontaminate.ORACLE_SQL,
+    "op6_licenses": licenses.oracle_sql(),
+}
