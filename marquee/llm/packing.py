@@ -17,8 +17,6 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections import Counter
-from collections.abc import Iterator
-from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -64,12 +62,16 @@ def pack(sizes: list[int], sources: list, clusters: list, capacity: int, max_per
     return out
 
 
-def _pack_shard(frame: pd.DataFrame, capacity: int, max_per_source: int) -> pd.DataFrame:
-    frame = frame.sort_values(["n_tokens", "doc_id", "piece", "cluster"], ascending=[False, True, True, True], kind="stable")
-    placed = pack(frame.n_tokens.tolist(), frame.source.tolist(), frame.cluster.tolist(), capacity, max_per_source)
-    frame["bin"] = [b for b, _ in placed]
-    frame["start"] = [s for _, s in placed]
-    return frame[["doc_id", "piece", "shard", "bin", "start", "n_tokens"]]
+def _pack_shard(capacity: int, max_per_source: int):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        order = ["n_tokens", "doc_id", "piece", "cluster"]
+        frame = frame.sort_values(order, ascending=[False, True, True, True], kind="stable")
+        placed = pack(frame.n_tokens.tolist(), frame.source.tolist(), frame.cluster.tolist(), capacity, max_per_source)
+        frame["bin"] = [b for b, _ in placed]
+        frame["start"] = [s for _, s in placed]
+        return frame[["doc_id", "piece", "shard", "bin", "start", "n_tokens"]]
+
+    return run
 
 
 def word_tokens(text: Column) -> Column:
@@ -113,6 +115,6 @@ def pack_documents(
     shards = max(1, -(-n // shard_items))
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(shards)))
     return dealt.groupBy("shard").applyInPandas(
-        partial(_pack_shard, capacity=capacity, max_per_source=max_per_source),
+        _pack_shard(capacity, max_per_source),
         "doc_id long, piece int, shard long, bin long, start long, n_tokens long",
     )

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.llm import bitplane, decontaminate, langid, licenses, packing, quality, simhash, suffix_dedup, toxicity
+from marquee.llm import bitplane, decontaminate, langid, licenses, packing, quality, simhash, suffix_dedup, toxicity, wrappers
 from marquee.llm.shared import shared_path
 
 
@@ -54,6 +54,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op9_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeat_report(table(spark, sf_dir, "documents"))
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_licenses": op6_licenses,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
+    "op9_wrappers": op9_wrappers,
     "op10_suffix": op10_suffix,
 }
 
