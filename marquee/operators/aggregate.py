@@ -27,7 +27,7 @@ def facets(rows: DataFrame, columns: dict[str, Column], most: dict[str, int]) ->
     limit = F.create_map(*[F.lit(x) for pair in most.items() for x in pair]) if most else F.create_map()
     ranked = counted.withColumn("__r", F.row_number().over(window))
     if most:
-        ranked = ranked.where(F.coalesce(F.col("__r") <= F.try_element_at(limit, "facet"), F.lit(True)))
+        ranked = ranked.where(F.coalesce(F.col("__r") <= F.try_element_at(limit, F.col("facet")), F.lit(True)))
     return ranked.drop("__r")
 
 

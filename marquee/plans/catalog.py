@@ -1,6 +1,6 @@
 """All queries over the driver's tables."""
 
-from marquee.plans import history_queries  # noqa: F401
+from marquee.plans import corpus_queries, history_queries  # noqa: F401
 from marquee.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

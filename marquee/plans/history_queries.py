@@ -469,11 +469,11 @@ def agg_batch_progress(t: Tables) -> DataFrame:
     "lk_scrape_status",
     """with kinds as (select unnest(['click', 'view', 'error', 'missing']) as city)
     select city, coalesce(n, 0) as n_events, first_day, last_day from kinds left join
-    (select event_type, count(*) as n, min(ts)::date as first_day, max(ts)::date as last_day from events group by 1) on event_type = city""",
+    (select event_type, count(*) as n, strftime(min(ts), '%Y-%m-%d') as first_day, strftime(max(ts), '%Y-%m-%d') as last_day from events group by 1) on event_type = city""",
 )
 def lk_scrape_status(t: Tables) -> DataFrame:
     seen = t.events.groupBy(F.col("event_type").alias("city")).agg(
-        F.count("*").alias("n"), F.min("ts").cast("date").alias("first_day"), F.max("ts").cast("date").alias("last_day")
+        F.count("*").alias("n"), F.date_format(F.min("ts"), "yyyy-MM-dd").alias("first_day"), F.date_format(F.max("ts"), "yyyy-MM-dd").alias("last_day")
     )
     cities = t.events.sparkSession.createDataFrame([(c,) for c in ("click", "view", "error", "missing")], "city string")
     return cities.join(seen, "city", "left").select("city", F.coalesce("n", F.lit(0).cast("long")).alias("n_events"), "first_day", "last_day")
