@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What separates several artists in one string. Fixed value.
 SEPARATORS = r"(?i)\s+b2b\s+|\s+vs\.?\s+|\s+&\s+|\s+feat\.?\s+|\s+ft\.?\s+|\s+featuring\s+|,\s*"
@@ -23,7 +24,7 @@ def normalize_name(name: Column) -> Column:
 
 def split_artists(raw: Column) -> Column:
     """The artists of a line-up string, trimmed, empty ones dropped."""
-    return F.filter(F.transform(F.split(raw, SEPARATORS), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(raw, SEPARATORS), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def lcs_ratio(a: str, b: str) -> float:
@@ -51,7 +52,7 @@ def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     )
 
 
-token_sort_ratio_udf = F.pandas_udf(token_sort_ratio, "double")
+token_sort_ratio_udf = F.pandas_udf(token_sort_ratio, T.DoubleType())
 
 
 def edit_ratio(a: Column, b: Column) -> Column:

@@ -75,7 +75,7 @@ def split_paragraphs(text: Column) -> Column:
 
 def truncate_chars(text: Column, most: int) -> Column:
     """At most `most` characters, cut back to the last white space."""
-    return F.when(F.length(text) <= most, text).otherwise(F.regexp_replace(F.substring(text, 1, most), r"\s\S*$", ""))
+    return F.when(F.length(text) <= most, text).otherwise(F.regexp_replace(F.substring(text, 1, most), r"\s\S*\z", ""))
 
 
 def format_citation(title: Column, author: Column, page: Column, year: Column, tier: Column) -> Column:

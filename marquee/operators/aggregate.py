@@ -16,7 +16,8 @@ def facets(rows: DataFrame, columns: dict[str, Column], most: dict[str, int]) ->
     for name, column in columns.items():
         kind = rows.select(column.alias("c")).schema["c"].dataType.typeName()
         values = F.transform(column, lambda x: x.cast("string")) if kind == "array" else F.array(column.cast("string"))
-        parts.append(F.transform(values, lambda v, n=name: F.struct(F.lit(n).alias("facet"), v.alias("value"))))
+        named = F.lit(name).alias("facet")
+        parts.append(F.transform(values, lambda v: F.struct(named, v.alias("value"))))  # noqa: B023
     counted = (
         rows.select(F.explode(F.concat(*parts)).alias("f"))
         .where("f.value is not null")
