@@ -117,15 +117,17 @@ def license_matches(docs: DataFrame, notices=NOTICES) -> DataFrame:
     split = (
         lowered.where(F.col("text").rlike(every))
         .select("doc_id", words(F.col("text")).alias("w"), likely.alias("likely"))
-        .where((F.size("w") > 0) & (F.size("likely") > 0))
-        .select("doc_id", "w", F.explode("likely").alias("notice"))
+        .select("doc_id", "w", F.explode_outer("likely").alias("notice"))
         .join(known, "notice")
     )
-    starts = F.sequence(F.lit(0), F.size("w") - 1, F.lit(STRIDE))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(STRIDE))
+    # outer: an inner one would have the optimizer compute the arrays' sizes first
     windows = split.select(
         "doc_id", "notice", "license", "tset", "tbands",
-        F.explode(F.transform(starts, lambda i: F.slice("w", i + 1, F.col("n") + STRIDE - 1))).alias("v"),
-    ).select("doc_id", "notice", "license", "tset", "tbands", shingles(F.col("v")).alias("wset"))
+        F.explode_outer(F.transform(starts, lambda i: F.slice("w", i + 1, F.col("n") + STRIDE - 1))).alias("v"),
+    )
+    # exploding one element keeps the optimizer from moving the shingles into the bands' lambdas
+    windows = windows.select("doc_id", "notice", "license", "tset", "tbands", F.explode_outer(F.array(shingles(F.col("v")))).alias("wset"))
     collided = windows.where(F.arrays_overlap(bands(F.col("wset")), F.col("tbands")))
     shared = F.size(F.array_intersect("wset", "tset")) / F.size("tset")
     return (
