@@ -31,9 +31,9 @@ UNITS = (
 )
 NAME_MARK, UNIT_MARK = "\x01", "\x02"
 NAME = r"\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*"
-MARK_NAMES = rf"([\p{{Ll}}\p{{Nd}},;] )({NAME})"
-MARK_UNITS = rf"(\p{{Nd}} ?)({UNITS})\b"
-TOKEN = rf"{NAME_MARK}{NAME}|{UNIT_MARK}\p{{L}}+|\p{{L}}+|\p{{Nd}}+(?:[.,:/]\p{{Nd}}+)*"
+MARK_NAMES = rf"([\p{{Ll}}0-9,;] )({NAME})"
+MARK_UNITS = rf"([0-9] ?)({UNITS})\b"
+TOKEN = rf"{NAME_MARK}{NAME}|{UNIT_MARK}\p{{L}}+|\p{{L}}+|[0-9]+(?:[.,:/][0-9]+)*"
 
 
 def tokens(text: Column) -> Column:
@@ -44,41 +44,44 @@ def tokens(text: Column) -> Column:
 
 
 def _is_slot(token: Column) -> Column:
-    return token.rlike(rf"^[{NAME_MARK}{UNIT_MARK}\p{{Nd}}]")
+    """Names and units carry their mark, numbers a digit in front; both sort before letters."""
+    return token <= ":"
 
 
 def _canonical(token: Column) -> Column:
     first = F.substring(token, 1, 1)
     return (
-        F.when(first == NAME_MARK, F.lit("<name>"))
+        F.when(first > "9", F.lower(token))
+        .when(first == NAME_MARK, F.lit("<name>"))
         .when(first == UNIT_MARK, F.lit("<unit>"))
-        .when(first.rlike(r"\p{Nd}"), F.lit("<number>"))
-        .otherwise(F.lower(token))
+        .otherwise(F.lit("<number>"))
     )
 
 
 def windows(table: DataFrame, key: str) -> DataFrame:
-    """(key, h, slots, plain) of every window; slots is null where there are none."""
+    """(key, t, at, h) of every window: t are the text's tokens, `at` the first of the
+    window's, h the hash of its canonical tokens. Tokens are hashed once, windows are
+    hashes of five of these; t is only read again where a window is matched."""
     base = table.select(F.col(key).cast("long").alias(key), tokens(F.col("text")).alias("t"))
-    base = base.where(F.size("t") >= WINDOW).select(key, "t", F.transform("t", _canonical).alias("c"))
-    at = F.sequence(F.lit(0), F.size("t") - WINDOW)
+    base = base.select(key, "t", F.transform("t", lambda x: F.xxhash64(_canonical(x))).alias("c"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("c") - WINDOW, F.lit(0)))
+    hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get("c", i + k) for k in range(WINDOW)]))
+    hashed = base.select(key, "t", F.when(F.size("c") >= WINDOW, hashes).alias("hs"))
+    # outer: an inner one would have the optimizer filter by the arrays' size first,
+    # which computes tokens and hashes once more, and in lambdas over and over
+    return hashed.select(key, "t", F.posexplode_outer("hs").alias("at", "h")).where("h is not null")
 
-    def window(i: Column) -> Column:
-        slots = F.filter(F.slice("t", i + 1, WINDOW), _is_slot)
-        return F.struct(
-            F.xxhash64(*[F.get("c", i + k) for k in range(WINDOW)]).alias("h"),
-            F.when(F.size(slots) > 0, slots).alias("slots"),
-        )
 
-    return base.select(key, F.explode(F.transform(at, window)).alias("w")).select(key, "w.h", "w.slots")
+def slots(tokens_column: str = "t", at: str = "at") -> Column:
+    """The slot values of a window, in order."""
+    return F.filter(F.slice(tokens_column, F.col(at) + 1, WINDOW), _is_slot)
 
 
 def index(benchmark: DataFrame) -> DataFrame:
     """(item_id, h, item_slots, n_windows): the windows of each item with enough plain
     words, once, with the slot values of the window's first place by value."""
-    found = windows(benchmark, "item_id").where(
-        WINDOW - F.coalesce(F.size("slots"), F.lit(0)) >= PLAIN_WORDS
-    )
+    found = windows(benchmark, "item_id").select("item_id", "h", slots().alias("slots"))
+    found = found.where(WINDOW - F.size("slots") >= PLAIN_WORDS)
     once = found.groupBy("item_id", "h").agg(F.min("slots").alias("item_slots"))
     counts = once.groupBy("item_id").agg(F.count("*").alias("n_windows"))
     return once.join(counts, "item_id")
@@ -99,12 +102,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if known.count() <= BROADCAST_WINDOWS:
         known = F.broadcast(known)
     hits = windows(docs.where("doc_id is not null"), "doc_id").join(known, "h")
-    # one row for each bound pair, and one without a pair for each window
-    pairs = F.when(
-        F.col("slots").isNull() | F.col("item_slots").isNull(), F.array(F.struct(F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b")))
-    ).otherwise(F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+    # a row for each bound pair, and one without a pair for a window without slots
+    pairs = F.zip_with("item_slots", slots(), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     bound = (
-        hits.select("doc_id", "item_id", "n_windows", "h", F.explode(pairs).alias("p"))
+        hits.select("doc_id", "item_id", "n_windows", "h", F.explode_outer(pairs).alias("p"))
         .groupBy("doc_id", "item_id", "n_windows", "h", "p.a", "p.b")
         .agg(F.lit(1).alias("one"))
     )
@@ -131,13 +132,13 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 _SQL_TOKENS = f"""regexp_extract_all(regexp_replace(regexp_replace(
     translate(coalesce(text, ''), chr(1) || chr(2), ''), '{MARK_NAMES}', '\\1' || chr(1) || '\\2', 'g'),
     '{MARK_UNITS}', '\\1' || chr(2) || '\\2', 'g'), '{TOKEN.replace(NAME_MARK, "\\x01").replace(UNIT_MARK, "\\x02")}')"""
-_SQL_SLOT = "regexp_matches(x, '^[\\x01\\x02\\p{Nd}]')"
+_SQL_SLOT = "regexp_matches(x, '^[\\x01\\x020-9]')"
 
 
 def _sql_windows(table: str, key: str) -> str:
     return f"""
     select {key}, array_to_string(list_transform(w, lambda x: case when x[1] = chr(1) then '<name>' when x[1] = chr(2)
-        then '<unit>' when regexp_matches(x[1], '\\p{{Nd}}') then '<number>' else lower(x) end), ' ') as h,
+        then '<unit>' when regexp_matches(x[1], '[0-9]') then '<number>' else lower(x) end), ' ') as h,
         list_filter(w, lambda x: {_SQL_SLOT}) as slots
     from (select {key}, unnest(list_transform(range(len(t) - {WINDOW - 1}), lambda i: t[i + 1 : i + {WINDOW}])) as w
         from (select {key}, {_SQL_TOKENS} as t from {table}) where len(t) >= {WINDOW})"""
