@@ -107,24 +107,24 @@ class Model:
         return self.bias + float(self.weights[chosen].sum())
 
 
-def choose(examples: list[list[int]], labels: np.ndarray, weights: np.ndarray, training: Training) -> np.ndarray:
+def choose(examples: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, training: Training) -> np.ndarray:
     """The features that tell the labels apart best, by weighted chi-square."""
-    lengths = [len(x) for x in examples]
-    flat = np.fromiter((f for x in examples for f in x), np.int64, sum(lengths))
-    buckets, at, texts = np.unique(flat, return_inverse=True, return_counts=True)
-    own = np.repeat(weights, lengths)
-    is_toxic = np.repeat(labels, lengths) == 1
-    toxic, clean = (np.bincount(at[m], own[m], len(buckets)) for m in (is_toxic, ~is_toxic))
+    sums = np.zeros((2, BUCKETS), np.float64)  # by label; as large as the hash, whatever the texts
+    texts = np.zeros(BUCKETS, np.int32)
+    for x, y, w in zip(examples, labels, weights):
+        sums[y, x] += w
+        texts[x] += 1
+    buckets = np.flatnonzero(texts >= training.least_texts)
+    clean, toxic = sums[:, buckets]
     n_toxic, n_clean = weights[labels == 1].sum(), weights[labels == 0].sum()
     total, seen = n_toxic + n_clean, toxic + clean
     spread = seen * (total - seen) * n_toxic * n_clean
     chi = np.where(spread > 0, total * (toxic * n_clean - clean * n_toxic) ** 2 / np.maximum(spread, 1e-9), 0)
-    chi[texts < training.least_texts] = 0
     best = np.lexsort((buckets, -chi))[: training.most_features]
     return np.sort(buckets[best[chi[best] > 0]])
 
 
-def fit(examples: list[list[int]], swapped: list[list[int] | None], labels: np.ndarray, weights: np.ndarray, training: Training) -> Model:
+def fit(examples: list[np.ndarray], swapped: list[np.ndarray | None], labels: np.ndarray, weights: np.ndarray, training: Training) -> Model:
     """Adagrad on the penalised loss; `weights` are the texts' weights in the log loss."""
     empty = Model(np.zeros(0, np.int64), np.zeros(0), -4.0)
     if not len(labels) or not (0 < labels.sum() < len(labels)):
@@ -159,6 +159,13 @@ def fit(examples: list[list[int]], swapped: list[list[int] | None], labels: np.n
     return Model(chosen, w, bias)
 
 
+def _arrays(column: pa.ListArray) -> list[np.ndarray | None]:
+    """Views of a list column's rows."""
+    flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
+    null = column.is_null().to_numpy(zero_copy_only=False)
+    return [None if n else flat[a:b] for n, a, b in zip(null, ends[:-1], ends[1:])]
+
+
 def train(docs: DataFrame, labels: DataFrame, training: Training = Training()) -> Model:
     """Fit on rows of `labels` (doc_id, toxic) joined with `docs` (doc_id, text).
 
@@ -178,9 +185,9 @@ def train(docs: DataFrame, labels: DataFrame, training: Training = Training()) -
         .mapInArrow(_examples, "toxic int, own array<int>, swapped array<int>")
         .toArrow()
     )
-    own, swapped = ([None if x is None else x for x in rows.column(c).to_pylist()] for c in ("own", "swapped"))
-    y = np.array(rows.column("toxic").to_pylist(), int)
-    order = sorted(range(len(own)), key=lambda i: (int(y[i]), own[i]))  # whatever order tasks end in
+    own, swapped = (_arrays(rows.column(c).combine_chunks()) for c in ("own", "swapped"))
+    y = rows.column("toxic").to_numpy()
+    order = sorted(range(len(own)), key=lambda i: (int(y[i]), crc32(own[i].tobytes())))  # whatever order tasks end in
     weights = np.array([1 / rate[int(v)] for v in y])
     weights = weights / weights.mean() if len(weights) else weights
     return fit([own[i] for i in order], [swapped[i] for i in order], y[order], weights[order], training)
