@@ -109,7 +109,8 @@ def strip_tags(text: Column) -> Column:
 def outer_json(text: Column) -> Column:
     """The JSON of a reply: what a fence holds, else from the first brace to the last."""
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    return F.trim(F.when(fenced != "", fenced).otherwise(F.regexp_extract(text, r"(?s)(\{.*\})", 1)))
+    found = F.when(fenced != "", fenced).otherwise(F.regexp_extract(text, r"(?s)(\{.*\})", 1))
+    return F.regexp_replace(found, r"^\s+|\s+$", "")
 
 
 def city_hint(line: Column) -> Column:

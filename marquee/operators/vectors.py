@@ -69,7 +69,7 @@ def hash_neighbours(rows: DataFrame, key: str, h: str, most_bits: int) -> DataFr
         F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.col(h), lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("bits"))
         for i, (lo, hi) in enumerate(zip(edges, edges[1:]))
     ]
-    banded = rows.select(key, h, F.explode(F.array(*keys)).alias("k")).select(key, h, "k.band", "k.bits")
+    banded = rows.select(key, h, F.explode(F.array(*keys)).alias("__b")).select(key, h, "__b.band", "__b.bits")
     a, b = banded.alias("a"), banded.alias("b")
     near = hamming(F.col(f"a.{h}"), F.col(f"b.{h}"))
     met = (F.col("a.band") == F.col("b.band")) & (F.col("a.bits") == F.col("b.bits")) & (F.col(f"a.{key}") < F.col(f"b.{key}"))

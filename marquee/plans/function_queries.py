@@ -338,3 +338,36 @@ def agg_research_confidence(t: Tables) -> DataFrame:
     n = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
     rows = t.customer.select("c_custkey").join(n, "c_custkey", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return rows.select("c_custkey", F.round(sc.research_confidence([(F.col("n"), 0.1, 3.0), (F.col("n"), 0.2, 2.0)]), 6).alias("confidence"))
+
+
+@query("fn_embed")
+def fn_embed(t: Tables) -> DataFrame:
+    from marquee.sources.providers import embed
+
+    return embed(t.benchmark, "item_id", "text", 64)
+
+
+@query("fn_split_sentences")
+def fn_split_sentences(t: Tables) -> DataFrame:
+    split = F.udf(tx.sentences, "array<string>", useArrow=True)
+    return t.benchmark.select("item_id", F.posexplode(split("text")).alias("n", "sentence"))
+
+
+@query("fn_merge_filters", "select doc_id, lang from documents where lang in ('fr') and doc_id % 6 <= 3")
+def fn_merge_filters(t: Tables) -> DataFrame:
+    from marquee.sources.providers import Filters
+
+    user, tier = Filters(frozenset({"en", "fr"}), most_tier=4), Filters(frozenset({"fr", "en"}), frozenset({"en"}), 3)
+    rows = t.documents.select("doc_id", "lang", (F.col("doc_id") % 6).alias("tier"))
+    return user.merge(tier).apply(rows, "lang", "tier").select("doc_id", "lang")
+
+
+@query(
+    "agg_ocr_merge",
+    "select l_orderkey, avg(q) as confidence, count(*) as n from (select l_orderkey, l_partkey, max(l_quantity / 64) as q from lineitem where l_quantity / 64 >= 0.15 group by 1, 2) group by 1",
+)
+def agg_ocr_merge(t: Tables) -> DataFrame:
+    """Passes of one flier: weak regions go, of equal ones the most confident stays."""
+    q = F.col("l_quantity") / 64
+    regions = t.lineitem.where(q >= 0.15).groupBy("l_orderkey", "l_partkey").agg(F.max(q).alias("q"))
+    return regions.groupBy("l_orderkey").agg(F.avg("q").alias("confidence"), F.count("*").alias("n"))

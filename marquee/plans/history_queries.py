@@ -486,3 +486,56 @@ def lk_scrape_status(t: Tables) -> DataFrame:
 def lk_area_discovery(t: Tables) -> DataFrame:
     counts = t.customer.groupBy("c_nationkey").agg(F.count("*").alias("total"))
     return t.nation.join(counts, F.col("n_nationkey") == F.col("c_nationkey")).where("total > 0").select(F.col("n_nationkey").alias("area"), "total")
+
+
+@query("sink_annotation", "select o_orderkey, o_custkey, 'note ' || o_orderpriority as note from orders where o_custkey < 50 union all select l_orderkey, 0, 'line ' || l_linenumber from lineitem where l_suppkey = 3")
+def sink_annotation(t: Tables) -> DataFrame:
+    kept = t.orders.where("o_custkey < 50").select("o_orderkey", "o_custkey", F.concat(F.lit("note "), "o_orderpriority").alias("note"))
+    added = t.lineitem.where("l_suppkey = 3").select(
+        F.col("l_orderkey").alias("o_orderkey"), F.lit(0).cast("long").alias("o_custkey"), F.concat(F.lit("line "), "l_linenumber").alias("note")
+    )
+    return kept.unionByName(added)
+
+
+@query("sink_jsonl_checkpoint", "select p_partkey, p_name, p_size from part where p_size > 10")
+def sink_jsonl_checkpoint(t: Tables) -> DataFrame:
+    """Rows as JSON lines and back, the schema given."""
+    kept = t.part.where("p_size > 10").select("p_partkey", "p_name", "p_size")
+    schema = "p_partkey long, p_name string, p_size int"
+    return kept.select(F.from_json(F.to_json(F.struct("*")), schema).alias("r")).select("r.*")
+
+
+@query("lk_dump_status", "select p_type as dump, count(*) as n, round(sum(length(p_name)) / 1024.0, 3)::double as kb from part group by 1")
+def lk_dump_status(t: Tables) -> DataFrame:
+    return t.part.groupBy(F.col("p_type").alias("dump")).agg(F.count("*").alias("n"), F.round(F.sum(F.length("p_name")) / 1024.0, 3).alias("kb"))
+
+
+@query(
+    "cmp_recommend_quick",
+    f"""with l as (select distinct l_orderkey f, l_partkey a from lineitem)
+    select a as artist, count(*) as n, 'Played with your artists ' || count(*) || ' times' as reason from l
+    where a not in ({IN_SEEDS}) and f in (select f from l where a in ({IN_SEEDS})) group by a order by n desc, a limit 10""",
+)
+def cmp_recommend_quick(t: Tables) -> DataFrame:
+    rows = lineup(t).distinct()
+    seeded = rows.where(F.col("artist").isin(SEEDS)).select("flier_id").distinct()
+    seen = rows.where(~F.col("artist").isin(SEEDS)).join(seeded, "flier_id", "left_semi").groupBy("artist").agg(F.count("*").alias("n"))
+    best = seen.orderBy(F.desc("n"), "artist").limit(10)
+    return best.withColumn("reason", F.concat(F.lit("Played with your artists "), "n", F.lit(" times")))
+
+
+@query(
+    "cmp_shared_lineup",
+    """with texts as (select l_orderkey, string_agg(p_name, ', ' order by l_linenumber, l_partkey) as line from lineitem join part on p_partkey = l_partkey group by 1),
+    names as (select l_orderkey, unnest(string_split(line, ', ')) as name from texts where contains(line, 'red'))
+    select name, count(distinct l_orderkey) as times, 0.4::double as strength from names where not contains(name, 'red') group by 1""",
+)
+def cmp_shared_lineup(t: Tables) -> DataFrame:
+    """Names on the `Artists:` lines of texts that mention a seed; fixed strength."""
+    named = t.lineitem.join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    lines = named.groupBy("l_orderkey").agg(
+        F.concat(F.lit("Artists: "), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "p_name"))), lambda x: x["p_name"]), ", ")).alias("text")
+    )
+    hits = lines.where(F.contains("text", F.lit("red")))
+    parsed = hits.select("l_orderkey", F.explode(F.split(F.regexp_extract("text", r"(?m)^Artists: (.*)$", 1), ", ")).alias("name"))
+    return parsed.where(~F.contains("name", F.lit("red"))).groupBy("name").agg(F.count_distinct("l_orderkey").alias("times"), F.lit(0.4).alias("strength"))

@@ -49,3 +49,30 @@ def run_available(rows: DataFrame, mode: str, checkpoint: str, write: Callable[[
     )
     query.awaitTermination()
     return query
+
+
+def feedback_sink(path: str, key: str) -> Callable[[DataFrame, int], None]:
+    """Finished rows re-enter a corpus: each batch goes to a folder of its number, once
+    by key, so a batch that comes again replaces itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.dropDuplicates([key]).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
+class VersionedCache:
+    """Results by the version of their input: kept while it is the same, dropped after."""
+
+    def __init__(self, most: int = 16):
+        self.most, self._kept = most, {}
+
+    def get(self, name: str, version: str, build: Callable[[], DataFrame]) -> DataFrame:
+        known = self._kept.get(name)
+        if known is None or known[0] != version:
+            if known:
+                known[1].unpersist()
+            elif len(self._kept) >= self.most:
+                self._kept.pop(next(iter(self._kept)))[1].unpersist()
+            self._kept[name] = (version, build().persist())
+        return self._kept[name][1]

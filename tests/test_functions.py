@@ -48,9 +48,9 @@ def test_periods(spark):
 
 
 def test_text(spark):
-    assert column(spark, ["Arrning 0PEN CARL0 1ive |ate VVarp"], text.correct_ocr) == ["Aming OPEN CARLO live late Warp"]
+    assert column(spark, ["Arrning 0PEN CARL0 1ive |ate VVarp"], text.correct_ocr) == ["Arming OPEN CARLO live late Warp"]
     assert column(spark, ["[a=Name] on [l=Label] [a12] [r=3] [url=u]site[/url] [b]x[/b]", None], text.clean_markup) == ["Name on Label site x", ""]
-    assert column(spark, ["[00:15:22] Hello  there\nInterviewer: what?"], text.clean_transcript) == ["Hello there\n\nwhat?"]
+    assert column(spark, ["[00:15:22] hello  there.\nInterviewer: what?"], text.clean_transcript) == ["hello there.\n\nwhat?"]
     assert column(spark, ["abc"], text.rolling_hash) == [f"{96354:08x}"]
     assert column(spark, ['Sure ```json\n{"a": 1}\n``` ok', 'x {"b": {}} y', "none"], text.outer_json) == ['{"a": 1}', '{"b": {}}', ""]
     assert column(spark, ["Fabric, London", "Berghain - Berlin", "X, UK", "Plain"], text.city_hint) == ["London", "Berlin", None, None]
