@@ -395,9 +395,8 @@ def set_dedup_first(t: Tables) -> DataFrame:
 
 @query("set_difference", "select c_nationkey from customer except select s_nationkey from supplier where s_suppkey < 50")
 def set_difference(t: Tables) -> DataFrame:
-    return t.customer.select("c_nationkey").exceptAll(t.customer.select("c_nationkey").limit(0)).distinct().subtract(
-        t.supplier.where("s_suppkey < 50").select(F.col("s_nationkey").alias("c_nationkey"))
-    )
+    gone = t.supplier.where("s_suppkey < 50").select(F.col("s_nationkey").alias("c_nationkey"))
+    return t.customer.select("c_nationkey").subtract(gone)
 
 
 @query("set_intersection", "select c_nationkey from customer intersect select s_nationkey from supplier where s_suppkey < 50")
