@@ -101,3 +101,32 @@ def jaccard_pairs(docs: DataFrame, key: str, tokens: Column, threshold: float) -
     shared = F.size(F.array_intersect("ta", "tb"))
     similarity = shared / (F.size("ta") + F.size("tb") - shared)
     return pairs.join(left, "a").join(right, "b").select("a", "b", similarity.alias("jaccard")).where(F.col("jaccard") > threshold)
+
+
+def linked_classes(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """`members` (key, class_id) with n_links, the number of other classes that theirs
+    is paired with. Equal rows are one class, so copies are never expanded to pairs."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("class_id"))
+    counts = ends.groupBy("class_id").agg(F.count("*").alias("n_links"))
+    return members.join(counts, "class_id", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+
+
+def near_hashes(rows: DataFrame, key: str, h: str, most_bits: int) -> DataFrame:
+    """(key, class_id, n_links): rows of one hash are a class named by its least key; a
+    class links to those whose hashes differ in at most `most_bits`."""
+    classes = rows.groupBy(h).agg(F.min(key).alias("class_id"))
+    members = rows.join(classes, h).select(key, "class_id")
+    return linked_classes(members, hash_neighbours(classes, "class_id", h, most_bits))
+
+
+def near_token_sets(docs: DataFrame, key: str, tokens: Column, threshold: float) -> DataFrame:
+    """(key, class_id, n_links): rows of one token set are a class; a class links to
+    those with a Jaccard similarity above the threshold. Rows without tokens are
+    classes of their own."""
+    sets = docs.select(key, F.sort_array(F.array_distinct(tokens)).alias("t"))
+    digest = F.when(F.size("t") > 0, F.sha2(F.array_join("t", "\x00"), 256)).otherwise(F.concat(F.lit("empty "), key))
+    named = sets.withColumn("d", digest)
+    classes = named.groupBy("d").agg(F.min(key).alias("class_id"))
+    members = named.select(key, "d").join(classes, "d").select(key, "class_id")
+    heads = sets.join(classes.select(F.col("class_id").alias(key)), key, "left_semi")
+    return linked_classes(members, jaccard_pairs(heads, key, F.col("t"), threshold))

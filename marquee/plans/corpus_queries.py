@@ -14,10 +14,9 @@ from marquee.plans.registry import Tables, query
 from marquee.sources import files as sf
 
 
-@query("scan_text_dir", "select doc_id, lang, sha256(text) as source_id, length(text)::bigint as n from documents where doc_id % 5 <> 0 order by n, doc_id")
+@query("scan_text_dir", "select doc_id, lang, sha256(text) as source_id, length(text)::bigint as n from documents where doc_id not in (select doc_id from labels) order by n, doc_id")
 def scan_text_dir(t: Tables) -> DataFrame:
-    known = t.documents.where("doc_id % 5 = 0").select("doc_id")
-    rows = sf.unseen(t.documents.select("doc_id", "lang", "text"), known, "doc_id")
+    rows = sf.unseen(t.documents.select("doc_id", "lang", "text"), t.labels, "doc_id")
     rows = rows.select("doc_id", "lang", F.sha2("text", 256).alias("source_id"), F.length("text").cast("long").alias("n"))
     return rows.orderBy("n", "doc_id")
 
@@ -131,9 +130,9 @@ def scan_xml_dump(t: Tables) -> DataFrame:
     return sf.parse_release_xml(t.part.select(xml.alias("xml")), "xml")
 
 
-@query("filt_store_where", "select doc_id, lang, source from documents where n_chars <= 2000 and lang in ('en', 'fr') and source not in ('src1', 'src2') and doc_id <= 900")
+@query("filt_store_where", "select doc_id, lang, source from documents where n_chars <= 2000 and lang in ('en', 'fr') and source not in ('src1', 'src2')")
 def filt_store_where(t: Tables) -> DataFrame:
-    kept = t.documents.where("n_chars <= 2000 and lang in ('en', 'fr') and source not in ('src1', 'src2') and doc_id <= 900")
+    kept = t.documents.where("n_chars <= 2000 and lang in ('en', 'fr') and source not in ('src1', 'src2')")
     return kept.select("doc_id", "lang", "source")
 
 
@@ -393,15 +392,15 @@ def set_dedup_first(t: Tables) -> DataFrame:
     return t.documents.groupBy(F.sha2(F.lower(F.trim("text")), 256).alias("k")).agg(F.min("doc_id").alias("doc_id")).drop("k")
 
 
-@query("set_difference", "select c_nationkey from customer except select s_nationkey from supplier where s_suppkey < 50")
+@query("set_difference", "select c_nationkey from customer except select s_nationkey from supplier where s_acctbal < 2000")
 def set_difference(t: Tables) -> DataFrame:
-    gone = t.supplier.where("s_suppkey < 50").select(F.col("s_nationkey").alias("c_nationkey"))
+    gone = t.supplier.where("s_acctbal < 2000").select(F.col("s_nationkey").alias("c_nationkey"))
     return t.customer.select("c_nationkey").subtract(gone)
 
 
-@query("set_intersection", "select c_nationkey from customer intersect select s_nationkey from supplier where s_suppkey < 50")
+@query("set_intersection", "select c_nationkey from customer intersect select s_nationkey from supplier where s_acctbal < 2000")
 def set_intersection(t: Tables) -> DataFrame:
-    return t.customer.select("c_nationkey").intersect(t.supplier.where("s_suppkey < 50").select(F.col("s_nationkey").alias("c_nationkey")))
+    return t.customer.select("c_nationkey").intersect(t.supplier.where("s_acctbal < 2000").select(F.col("s_nationkey").alias("c_nationkey")))
 
 
 @query("sink_prose_files", "select p_type as cluster, count(*) as n, sum(length(p_name))::bigint as n_chars from part group by 1")
@@ -412,10 +411,10 @@ def sink_prose_files(t: Tables) -> DataFrame:
 @query(
     "sink_event_corpus",
     """select event_type, count(*) as n, strftime(min(ts), '%Y-%m-%d') as first_day, string_agg('Event: ' || event_id || ' ' || user_id, chr(10) || '---' || chr(10) order by ts, event_id) as body
-    from events where user_id < 5 group by 1""",
+    from events group by 1""",
 )
 def sink_event_corpus(t: Tables) -> DataFrame:
-    return sf.event_corpus(t.events.where("user_id < 5"), "event_type", "ts", "event_id", F.concat(F.lit("Event: "), "event_id", F.lit(" "), "user_id"))
+    return sf.event_corpus(t.events, "event_type", "ts", "event_id", F.concat(F.lit("Event: "), "event_id", F.lit(" "), "user_id"))
 
 
 @query(
@@ -464,12 +463,12 @@ def cmp_web_enrich(t: Tables) -> DataFrame:
 
 @query(
     "cmp_analysis_rows",
-    """select o_orderkey, 'artist' as kind, p_name as tag from orders join lineitem on l_orderkey = o_orderkey join part on p_partkey = l_partkey where o_orderkey < 2000
-    union all select o_orderkey, 'promoter', c_name from orders join customer on c_custkey = o_custkey where o_orderkey < 2000
-    union all select o_orderkey, 'narrative', o_orderpriority from orders where o_orderkey < 2000""",
+    """select o_orderkey, 'artist' as kind, p_name as tag from orders join lineitem on l_orderkey = o_orderkey join part on p_partkey = l_partkey
+    union all select o_orderkey, 'promoter', c_name from orders join customer on c_custkey = o_custkey
+    union all select o_orderkey, 'narrative', o_orderpriority from orders""",
 )
 def cmp_analysis_rows(t: Tables) -> DataFrame:
-    few = t.orders.where("o_orderkey < 2000")
+    few = t.orders
     row = lambda df, kind, tag: df.select("o_orderkey", F.lit(kind).alias("kind"), F.col(tag).alias("tag"))
     lines = few.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).join(t.part, F.col("p_partkey") == F.col("l_partkey"))
     promoters = few.join(t.customer, F.col("c_custkey") == F.col("o_custkey"))

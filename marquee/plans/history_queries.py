@@ -128,10 +128,10 @@ def join_label_mates(t: Tables) -> DataFrame:
 @query(
     "join_exclusion_anti",
     """select p_partkey, p_name from part where lower(trim(p_name)) not in
-    (select lower(trim(p_name)) from part where p_partkey < 20)""",
+    (select lower(trim(p_name)) from part where p_brand = 'Brand#1' and p_size < 20)""",
 )
 def join_exclusion_anti(t: Tables) -> DataFrame:
-    gone = t.part.where("p_partkey < 20").select(hi.name_key("p_name").alias("k")).distinct()
+    gone = t.part.where("p_brand = 'Brand#1' and p_size < 20").select(hi.name_key("p_name").alias("k")).distinct()
     rows = t.part.select("p_partkey", "p_name", hi.name_key("p_name").alias("k"))
     return rows.join(gone, "k", "left_anti").select("p_partkey", "p_name")
 
@@ -237,11 +237,11 @@ def sink_log_flier(t: Tables) -> DataFrame:
 
 @query(
     "sink_update_status",
-    "select o_orderkey, case when o_orderstatus = 'P' and o_orderkey % 3 = 0 then 'A' else o_orderstatus end as status from orders",
+    "select o_orderkey, case when o_orderstatus = 'P' and o_orderpriority = '1-URGENT' then 'A' else o_orderstatus end as status from orders",
 )
 def sink_update_status(t: Tables) -> DataFrame:
-    rows = t.orders.select("o_orderkey", F.col("o_orderstatus").alias("status"))
-    return hi.update_status(rows, F.col("o_orderkey") % 3 == 0, "status", "A", "P")
+    rows = t.orders.select("o_orderkey", "o_orderpriority", F.col("o_orderstatus").alias("status"))
+    return hi.update_status(rows, F.col("o_orderpriority") == "1-URGENT", "status", "A", "P").drop("o_orderpriority")
 
 
 @query(
@@ -429,13 +429,13 @@ def cmp_shared_flier(t: Tables) -> DataFrame:
 
 @query(
     "cmp_shared_context",
-    """with l as (select distinct l_orderkey k, l_partkey a from lineitem where l_partkey < 60), p as (select x.a as artist_a, y.a as artist_b, x.k
+    """with l as (select distinct l_orderkey k, l_partkey a from lineitem), p as (select x.a as artist_a, y.a as artist_b, x.k
         from l x join l y on x.k = y.k and x.a < y.a)
     select artist_a, artist_b, string_agg('[RA-' || r || '] ' || k, '; ' order by r) as context from
         (select *, row_number() over (partition by artist_a, artist_b order by k) as r from p) group by 1, 2""",
 )
 def cmp_shared_context(t: Tables) -> DataFrame:
-    rows = lineup(t).where("artist < 60").distinct()
+    rows = lineup(t).distinct()
     pairs = rows.withColumnRenamed("artist", "artist_a").join(rows.withColumnRenamed("artist", "artist_b"), "flier_id").where("artist_a < artist_b")
     lists = pairs.groupBy("artist_a", "artist_b").agg(F.sort_array(F.collect_list("flier_id")).alias("k"))
     text = F.transform("k", lambda x, i: F.concat(F.lit("[RA-"), i + 1, F.lit("] "), x))
@@ -488,10 +488,10 @@ def lk_area_discovery(t: Tables) -> DataFrame:
     return t.nation.join(counts, F.col("n_nationkey") == F.col("c_nationkey")).where("total > 0").select(F.col("n_nationkey").alias("area"), "total")
 
 
-@query("sink_annotation", "select o_orderkey, o_custkey, 'note ' || o_orderpriority as note from orders where o_custkey < 50 union all select l_orderkey, 0, 'line ' || l_linenumber from lineitem where l_suppkey = 3")
+@query("sink_annotation", "select o_orderkey, o_custkey, 'note ' || o_orderpriority as note from orders union all select l_orderkey, 0, 'line ' || l_linenumber from lineitem where l_returnflag = 'R'")
 def sink_annotation(t: Tables) -> DataFrame:
-    kept = t.orders.where("o_custkey < 50").select("o_orderkey", "o_custkey", F.concat(F.lit("note "), "o_orderpriority").alias("note"))
-    added = t.lineitem.where("l_suppkey = 3").select(
+    kept = t.orders.select("o_orderkey", "o_custkey", F.concat(F.lit("note "), "o_orderpriority").alias("note"))
+    added = t.lineitem.where("l_returnflag = 'R'").select(
         F.col("l_orderkey").alias("o_orderkey"), F.lit(0).cast("long").alias("o_custkey"), F.concat(F.lit("line "), "l_linenumber").alias("note")
     )
     return kept.unionByName(added)

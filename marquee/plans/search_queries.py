@@ -85,15 +85,17 @@ _HASH = "list_reduce(list_transform(range(64), lambda i: case when embedding[i +
 @query(
     "join_phash_near_dup",
     f"""with o as (select vec_id, {_HASH} as h from embeddings),
-    h as (select * from o union all select vec_id + 100000, xor(h, 5::hugeint) from o)
-    select a.vec_id as a, b.vec_id as b, bit_count(xor(a.h, b.h))::int as distance
-    from h a join h b on a.vec_id < b.vec_id and bit_count(xor(a.h, b.h)) <= 10""",
+    h as (select * from o union all select vec_id + 100000, xor(h, 5::hugeint) from o union all select vec_id + 200000, h from o where vec_id % 4 = 0),
+    c as (select h, min(vec_id) as class_id from h group by h),
+    p as (select a.class_id as class_id from c a join c b on a.class_id <> b.class_id and bit_count(xor(a.h, b.h)) <= 10)
+    select vec_id, class_id, coalesce(n, 0) as n_links from h join c using (h) left join (select class_id, count(*) as n from p group by 1) using (class_id)""",
 )
 def join_phash_near_dup(t: Tables) -> DataFrame:
-    """Each hash and a copy of it with two bits changed."""
+    """Each hash, a copy of it with two bits changed, and of every fourth an equal one."""
     rows = t.embeddings.select("vec_id", ve.sign_hash("embedding").alias("h"))
     changed = rows.select((F.col("vec_id") + 100000).alias("vec_id"), F.col("h").bitwiseXOR(F.lit(5)).alias("h"))
-    return ve.hash_neighbours(rows.unionByName(changed), "vec_id", "h", 10)
+    equal = rows.where("vec_id % 4 = 0").select((F.col("vec_id") + 200000).alias("vec_id"), "h")
+    return ve.near_hashes(rows.unionByName(changed).unionByName(equal), "vec_id", "h", 10)
 
 
 @query("fn_hamming", f"with h as (select vec_id, {_HASH} as h from embeddings) select a.vec_id, bit_count(xor(a.h, b.h))::int as distance from h a, h b where b.vec_id = 0")
@@ -105,15 +107,16 @@ def fn_hamming(t: Tables) -> DataFrame:
 
 @query(
     "dedup_jaccard",
-    """with d as (select doc_id, list_distinct(list_filter(string_split(lower(text), ' '), lambda w: w <> '')) as t from documents where n_chars < 3000)
-    select a.doc_id as a, b.doc_id as b, round(len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))), 6) as jaccard
-    from d a join d b on a.doc_id < b.doc_id and len(a.t) > 0 and len(b.t) > 0 and least(len(a.t), len(b.t)) >= 0.8 * greatest(len(a.t), len(b.t))
-    where len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) > 0.8""",
+    """with d as (select doc_id, list_sort(list_distinct(list_transform(list_filter(string_split(lower(text), ' '), lambda w: w <> ''), lambda w: hash(w)))) as t from documents),
+    c as (select t, min(doc_id) as class_id from d where len(t) > 0 group by t),
+    p as (select a.class_id from c a join c b on a.class_id <> b.class_id and least(len(a.t), len(b.t)) >= 0.8 * greatest(len(a.t), len(b.t))
+        where len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) > 0.8)
+    select doc_id, coalesce(class_id, doc_id) as class_id, coalesce(n, 0) as n_links from d left join c using (t)
+    left join (select class_id, count(*) as n from p group by 1) using (class_id)""",
 )
 def dedup_jaccard(t: Tables) -> DataFrame:
     tokens = F.filter(F.split(F.lower("text"), " "), lambda w: w != "")
-    pairs = ve.jaccard_pairs(t.documents.where("n_chars < 3000"), "doc_id", tokens, 0.8)
-    return pairs.withColumn("jaccard", F.round("jaccard", 6))
+    return ve.near_token_sets(t.documents, "doc_id", tokens, 0.8)
 
 
 @query(
@@ -163,8 +166,8 @@ def win_source_index(t: Tables) -> DataFrame:
     return firsts.select("source", F.row_number().over(Window.orderBy("first")).cast("long").alias("idx"))
 
 
-_MERGE = """select * from (select p_name as name, 0 as priority, p_size * 0.01 as strength, p_size as times from part where p_partkey < 300
-    union all select upper(p_name), 1, 0.9, 1 from part where p_partkey < 600 union all select p_type, 2, 0.5, 2 from part where p_partkey < 50)"""
+_MERGE = """select * from (select p_name as name, 0 as priority, p_size * 0.01 as strength, p_size as times from part where p_brand = 'Brand#1'
+    union all select upper(p_name), 1, 0.9, 1 from part where p_brand in ('Brand#1', 'Brand#2') union all select p_type, 2, 0.5, 2 from part where p_brand = 'Brand#3')"""
 
 
 @query(
@@ -173,9 +176,9 @@ _MERGE = """select * from (select p_name as name, 0 as priority, p_size * 0.01 a
     from ({_MERGE})) where r = 1 order by priority, strength desc, times desc, name limit 10""",
 )
 def win_merge_priority(t: Tables) -> DataFrame:
-    a = t.part.where("p_partkey < 300").select(F.col("p_name").alias("name"), F.lit(0).alias("priority"), (F.col("p_size") * 0.01).alias("strength"), F.col("p_size").alias("times"))
-    b = t.part.where("p_partkey < 600").select(F.upper("p_name").alias("name"), F.lit(1).alias("priority"), F.lit(0.9).alias("strength"), F.lit(1).alias("times"))
-    c = t.part.where("p_partkey < 50").select(F.col("p_type").alias("name"), F.lit(2).alias("priority"), F.lit(0.5).alias("strength"), F.lit(2).alias("times"))
+    a = t.part.where("p_brand = 'Brand#1'").select(F.col("p_name").alias("name"), F.lit(0).alias("priority"), (F.col("p_size") * 0.01).alias("strength"), F.col("p_size").alias("times"))
+    b = t.part.where("p_brand in ('Brand#1', 'Brand#2')").select(F.upper("p_name").alias("name"), F.lit(1).alias("priority"), F.lit(0.9).alias("strength"), F.lit(1).alias("times"))
+    c = t.part.where("p_brand = 'Brand#3'").select(F.col("p_type").alias("name"), F.lit(2).alias("priority"), F.lit(0.5).alias("strength"), F.lit(2).alias("times"))
     return rk.merge_by_priority(a.unionByName(b).unionByName(c), "name", "priority", "strength", "times", 10)
 
 
@@ -214,13 +217,13 @@ def agg_tag_union(t: Tables) -> DataFrame:
 
 @query(
     "topk_supplement",
-    """with main as (select doc_id, source from documents where lang = 'de' and n_chars > 12000)
+    """with main as (select doc_id, source from documents where lang = 'es' and source = 'src7')
     select doc_id, source, false as supplement from main union all select doc_id, source, true from documents
-    where (select count(*) from main) between 1 and 14 and lang = 'en' and n_chars > 12000 and source not in (select source from main)""",
+    where (select count(*) from main) between 1 and 14 and lang = 'en' and source not in (select source from main)""",
 )
 def topk_supplement(t: Tables) -> DataFrame:
-    docs = t.documents.where("n_chars > 12000").select("doc_id", "source", "lang")
-    main = docs.where("lang = 'de'")
+    docs = t.documents.select("doc_id", "source", "lang")
+    main = docs.where("lang = 'es' and source = 'src7'")
     few = main.agg(F.count("*").between(1, 14).alias("few")).where("few").drop("few")
     more = docs.where("lang = 'en'").join(main.select("source").distinct(), "source", "left_anti").crossJoin(F.broadcast(few))
     pick = lambda df, flag: df.select("doc_id", "source", F.lit(flag).alias("supplement"))
@@ -241,12 +244,12 @@ def topk_synthesis_context(t: Tables) -> DataFrame:
 
 @query(
     "join_query_broadcast_filters",
-    """with tiers as (select doc_id, source, case lang when 'en' then 1 when 'fr' then 2 else 3 end as tier from documents where n_chars < 400)
+    """with tiers as (select doc_id, source, case lang when 'en' then 1 when 'fr' then 2 else 3 end as tier from documents)
     select doc_id, source, tier from (select *, min(tier) over (partition by source) m from tiers) where tier = m""",
 )
 def join_query_broadcast_filters(t: Tables) -> DataFrame:
     tier = F.when(F.col("lang") == "en", 1).when(F.col("lang") == "fr", 2).otherwise(3)
-    return rk.unseen_by_tier(t.documents.where("n_chars < 400").select("doc_id", "source", tier.alias("tier")), "source", "tier")
+    return rk.unseen_by_tier(t.documents.select("doc_id", "source", tier.alias("tier")), "source", "tier")
 
 
 @query(
