@@ -21,11 +21,15 @@ are unsigned 32-bit integers; planes above the largest id are not stored.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+import sys
 from collections.abc import Iterator
 from functools import partial
 from itertools import chain
+from operator import attrgetter
+from types import ModuleType
 from zlib import crc32
 
 import numpy as np
@@ -39,8 +43,8 @@ from pyspark.sql import types as T
 BLOCK_IDS = 4096
 CHUNK_IDS = 262_144
 END_ID = 2
-#: Text of a shard; the number of shards follows the input.
-SHARD_MB = 32
+#: Input files to a shard; the number of shards follows the input.
+SHARD_MB = 20
 
 SCHEMA = T.StructType(
     [
@@ -73,7 +77,7 @@ ARROW = pa.schema(
 
 
 #: A run of Latin letters with at most one mark behind it: two pieces for the tokenizer.
-PLAIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,]?")
+PLAIN = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,]?")
 
 
 class _Numbers(dict):
@@ -100,7 +104,7 @@ class PieceEncoder:
     come from the tokenizers library. The memory is emptied at `most_pieces`.
     """
 
-    def __init__(self, path: str, most_pieces: int = 600_000):
+    def __init__(self, path: str, most_pieces: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -108,6 +112,8 @@ class PieceEncoder:
         self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.most_pieces = most_pieces
         self.line_feed = self._whole("\n").tolist()
+        self.space, self.feed = (self.bytes.pre_tokenize_str(c)[0][0] for c in " \n")
+        self.marks = {"": [], **{m: self._whole(m).tolist() for m in ".,"}}
         self._forget()
 
     def _forget(self) -> None:
@@ -129,25 +135,33 @@ class PieceEncoder:
             return None
         return ("\x01" + text).replace("\n", " \n").split(" ")
 
+    def _words(self, bodies: list[str]) -> list[list[int]]:
+        """Ids of bodies that are letters, with a space before or not: one BPE word each."""
+        space = self.space
+        mapped = [space + b[1:] if b[0] == " " else b for b in bodies]
+        wide = [i for i, b in enumerate(bodies) if not b.isascii()]
+        if wide:  # bytes beyond ASCII get the library's stand-in characters
+            joined = self.bytes.pre_tokenize_str("\n".join([bodies[i] for i in wide]))[0][0]
+            for i, m in zip(wide, joined.split(self.feed)):
+                mapped[i] = m
+        tokenize, number = self.tokenizer.model.tokenize, attrgetter("id")
+        return [list(map(number, tokenize(m))) for m in mapped]
+
     def _learn(self) -> None:
         fresh, self.number.fresh = self.number.fresh, []
-        ids: list[list[int]] = [[]] * len(fresh)
-        plain, other = [], []
-        for i, piece in enumerate(fresh):
-            body = piece[1:] if piece[0] in "\x01\n" else " " + piece
-            (plain if PLAIN.fullmatch(body.lstrip(" ")) else other).append((i, body))
-        model = self.tokenizer.model
-        if plain:
-            cores = [body[:-1] if body[-1] in ".," else body for _, body in plain]
-            mapped = self.bytes.pre_tokenize_str("\n".join(cores))[0][0].split(self.bytes.pre_tokenize_str("\n")[0][0])
-            marks = {m: [t.id for t in model.tokenize(m)] for m in ".,"}
-            for (i, body), core in zip(plain, mapped):
-                ids[i] = [t.id for t in model.tokenize(core)] + marks.get(body[-1], [])
-        for (i, _), e in zip(other, self.tokenizer.encode_batch([b for _, b in other], add_special_tokens=False)):
-            ids[i] = e.ids
-        for i, piece in enumerate(fresh):
-            if piece[0] == "\n":
-                ids[i] = self.line_feed + ids[i]
+        bodies = [p[1:] if p[0] in "\x01\n" else " " + p for p in fresh]
+        plain = [PLAIN.fullmatch(b) is not None for b in bodies]
+        marked = [b[-1] if ok and b[-1] in ".," else "" for b, ok in zip(bodies, plain)]
+        cores = [b[:-1] if m else b for b, m in zip(bodies, marked)]
+        unique = list(dict.fromkeys(c for c, ok in zip(cores, plain) if ok))
+        known = dict(zip(unique, self._words(unique)))
+        other = [b for b, ok in zip(bodies, plain) if not ok]
+        known_other = dict(zip(other, (e.ids for e in self.tokenizer.encode_batch(other, add_special_tokens=False))))
+        marks, feed = self.marks, self.line_feed
+        ids = [
+            (feed if p[0] == "\n" else []) + (known[c] + marks[m] if ok else known_other[b])
+            for p, b, c, m, ok in zip(fresh, bodies, cores, marked, plain)
+        ]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
@@ -163,7 +177,11 @@ class PieceEncoder:
             at = None if pieces is None else np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
             numbered.append(at)
         if self.number.fresh:
+            collecting = gc.isenabled()
+            gc.disable()  # many small lists and no cycles
             self._learn()
+            if collecting:
+                gc.enable()
         out = []
         for text, at in zip(texts, numbered):
             if at is None:
@@ -176,6 +194,14 @@ class PieceEncoder:
         return out
 
 
+def worker_encoder(path: str) -> PieceEncoder:
+    """The encoder that this process keeps: a worker is used for many tasks."""
+    kept = sys.modules.setdefault("_marquee_encoders", ModuleType("_marquee_encoders")).__dict__
+    if path not in kept:
+        kept[path] = PieceEncoder(path)
+    return kept[path]
+
+
 def to_planes(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> list[bytes]:
     """The uncompressed bit planes of `ids`, lowest first."""
     filled = np.zeros(-(-len(ids) // block_ids) * block_ids, np.uint32)
@@ -204,7 +230,7 @@ def _chunk_batch(shard: int, chunk: int, first: int, docs: list[tuple[int, np.nd
 
 
 def _encode_shard(batches: Iterator[pa.RecordBatch], tokenizer_path: str, chunk_ids: int) -> Iterator[pa.RecordBatch]:
-    encoder = PieceEncoder(tokenizer_path)
+    encoder = worker_encoder(tokenizer_path)
     shard = TaskContext.get().partitionId()
     chunk = first = held = 0
     docs: list[tuple[int, np.ndarray]] = []
@@ -231,7 +257,10 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, shards: int | Non
     """
     spark = docs.sparkSession
     if shards is None:
-        size = docs.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        # the optimizer's estimate, bytes of the files for a scan; else a pass over the texts
+        size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        if size >= 1 << 60:
+            size = docs.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
         shards = max(1, -(-size // (SHARD_MB << 20)))
     (
         docs.select(F.col("doc_id").cast("long"), "text")
