@@ -32,12 +32,6 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a table of the shared folder that is no longer read."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage ends there, so a
     lost executor costs a reread, and both joins and planning see true sizes."""
