@@ -85,12 +85,17 @@ def jaccard_pairs(docs: DataFrame, key: str, tokens: Column, threshold: float) -
     are joined; the Jaccard of the survivors is exact.
     """
     sets = docs.select(key, F.array_distinct(tokens).alias("t")).where(F.size("t") > 0)
-    counts = sets.select(F.explode("t").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
-    ranked = sets.select(key, F.explode("t").alias("w")).join(counts, "w")
+    words = sets.select(key, F.explode("t").alias("w"))
+    counts = words.groupBy("w").agg(F.count("*").alias("df"))
+    # a word in over one of a thousand sets would be a hot key; there are at most a
+    # thousand times the mean set size of those, whatever the number of sets
+    often = sets.count() / 1000
+    common = words.join(F.broadcast(counts.where(F.col("df") > often)), "w")
+    ranked = common.unionByName(words.join(counts.where(F.col("df") <= often), "w"))
     ordered = ranked.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("o"))
     n = F.size("o")
     prefix = F.slice("o", F.lit(1), (n - F.ceil(F.lit(threshold) * n) + 1).cast("int"))
-    heads = ordered.select(key, F.explode(prefix).alias("p")).select(key, F.col("p.w").alias("w"), )
+    heads = ordered.select(key, F.explode(prefix).alias("p")).select(key, F.col("p.w").alias("w"))
     size = ordered.select(key, n.alias("n"))
     heads = heads.join(size, key)
     a, b = heads.alias("a"), heads.alias("b")
