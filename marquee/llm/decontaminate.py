@@ -2,23 +2,27 @@
 
 Texts become tokens: numbers, mid-sentence names and units after numbers turn into
 typed placeholders (slots), other words are lower-cased. Windows of five tokens of
-documents and benchmark items are hash-joined. A document holds an item if it has
-at least 80 % of the item's windows and its slot values are consistent: each value
-of the item is always bound to the same one (or, where a question is there twice,
-the same two) values of the document. So a question that was re-parameterised is
-found like one that was copied.
+documents and benchmark items are hash-joined. A document holds an item if one
+occurrence has at least 80 % of the item's windows and consistent slot values: each
+value of the item is bound to one value of the document. Occurrences are judged one
+by one, however many there are, so a question that was re-parameterised is found
+like one that was copied. Windows that are spread over a document count too, if each
+value of the item is bound to two values at most on average.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marquee.llm.shared import materialize
+
 WINDOW = 5
 CONTAINMENT = 0.8
 #: Windows that hold fewer plain words say little about an item and are not used.
 PLAIN_WORDS = 2
-#: Values of the document to one value of the item.
+#: Values of the document to one value of the item where its windows are spread;
+#: no bound on a document that holds the item in one occurrence.
 MAX_BINDINGS = 2
 #: Benchmark windows that are broadcast; a larger index is joined by shuffling.
 BROADCAST_WINDOWS = 500_000
@@ -78,13 +82,50 @@ def slots(tokens_column: str = "t", at: str = "at") -> Column:
 
 
 def index(benchmark: DataFrame) -> DataFrame:
-    """(item_id, h, item_slots, n_windows): the windows of each item with enough plain
-    words, once, with the slot values of the window's first place by value."""
-    found = windows(benchmark, "item_id").select("item_id", "h", slots().alias("slots"))
-    found = found.where(WINDOW - F.size("slots") >= PLAIN_WORDS)
-    once = found.groupBy("item_id", "h").agg(F.min("slots").alias("item_slots"))
+    """(item_id, h, q, item_row, item_tokens, last, row_windows, item_slots, n_windows):
+    the windows of each item with enough plain words, at each place q of each of the
+    item's texts; item_slots are the slot values of the window's first place by value."""
+    found = windows(benchmark, "item_id").select(
+        "item_id", "h", F.col("at").alias("q"), F.xxhash64("t").alias("item_row"), slots().alias("slots"),
+        F.slice("t", F.col("at") + 1, WINDOW).alias("item_tokens"), (F.size("t") - 1).alias("last"),
+    )
+    places = found.where(WINDOW - F.size("slots") >= PLAIN_WORDS).dropDuplicates(["item_id", "item_row", "q"])
+    once = places.groupBy("item_id", "h").agg(F.min("slots").alias("item_slots"))
     counts = once.groupBy("item_id").agg(F.count("*").alias("n_windows"))
-    return once.join(counts, "item_id")
+    rows = places.groupBy("item_id", "item_row").agg(F.count("*").alias("row_windows"))
+    return places.drop("slots").join(once, ["item_id", "h"]).join(counts, "item_id").join(rows, ["item_id", "item_row"])
+
+
+def _bound_values() -> Column:
+    """(a, b) of a window's slots: the item's value and the document's. The item's
+    outermost tokens bind nothing, as names next to them may run on in the document."""
+    at = F.sequence(F.lit(0), F.lit(WINDOW - 1))
+    pairs = F.zip_with(at, F.arrays_zip(F.col("item_tokens").alias("a"), F.col("doc_tokens").alias("b")), lambda i, p: F.struct(i.alias("i"), p.alias("p")))
+    inner = lambda x: _is_slot(x["p"]["a"]) & ((F.col("q") + x["i"]) > 0) & ((F.col("q") + x["i"]) < F.col("last"))
+    return F.transform(F.filter(pairs, inner), lambda x: x["p"])
+
+
+def _occurrences(hits: DataFrame) -> DataFrame:
+    """(doc_id, item_id, n_windows) that an occurrence shows: windows at one distance
+    (place in the document minus place in the item), or in the item's order where
+    something was put in between."""
+    text = ["doc_id", "doc_row", "item_id", "item_row", "n_windows", "row_windows"]
+    order = Window.partitionBy(*text).orderBy("at", "q")
+    back = F.coalesce(F.col("q") <= F.lag("q").over(order), F.lit(True)).cast("long")
+    aligned = hits.select(*text, "h", "q", "at", _bound_values().alias("bound"), (F.col("at") - F.col("q")).cast("long").alias("run"), F.lit(0).alias("way"))
+    ordered = aligned.withColumn("__back", back).withColumn("run", F.sum("__back").over(order)).drop("__back").withColumn("way", F.lit(1))
+    per_run = (
+        aligned.unionByName(ordered)
+        .select(*text, "way", "run", "h", "q", F.explode_outer("bound").alias("p"))
+        .groupBy(*text, "way", "run")
+        .agg(
+            F.count_distinct("q").alias("places"), F.count_distinct("p.a").alias("values"),
+            F.count_distinct("p.a", "p.b").alias("bindings"), F.collect_set("h").alias("hs"),
+        )
+        .where((F.col("places") >= CONTAINMENT * F.col("row_windows")) & (F.col("bindings") == F.col("values")))
+    )
+    shown = per_run.select("doc_id", "item_id", "n_windows", F.explode("hs").alias("h")).groupBy("doc_id", "item_id", "n_windows")
+    return shown.agg(F.count_distinct("h").alias("n")).where(F.col("n") >= CONTAINMENT * F.col("n_windows")).drop("n")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -95,15 +136,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     columns are not read. Items (and texts) of fewer than five tokens, and items
     without a window of two plain words, have no windows and are never held. Rows
     with the same doc_id count as one document, rows with the same item_id as one
-    item; a null id is dropped. `reparameterised` tells that a slot value differs.
+    item; a null id is dropped. n_matched counts windows of the whole document, and
+    `reparameterised` tells that a slot value differs anywhere in it.
     """
-    items = index(benchmark.where("item_id is not null"))
-    known = items.select("item_id", "h", "item_slots", "n_windows")
+    known = materialize(index(benchmark.where("item_id is not null")), "items")
     if known.count() <= BROADCAST_WINDOWS:
         known = F.broadcast(known)
     hits = windows(docs.where("doc_id is not null"), "doc_id").join(known, "h")
+    hits = hits.withColumn("doc_row", F.xxhash64("t")).withColumn("doc_slots", slots())
+    hits = materialize(hits.withColumn("doc_tokens", F.slice("t", F.col("at") + 1, WINDOW)).drop("t"), "hits")
     # a row for each bound pair, and one without a pair for a window without slots
-    pairs = F.zip_with("item_slots", slots(), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    pairs = F.zip_with("item_slots", "doc_slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     bound = (
         hits.select("doc_id", "item_id", "n_windows", "h", F.explode_outer(pairs).alias("p"))
         .groupBy("doc_id", "item_id", "n_windows", "h", "p.a", "p.b")
@@ -115,9 +158,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.count_distinct("a", "b").alias("bindings"),
         F.max(F.coalesce(F.col("a") != F.col("b"), F.lit(False))).alias("reparameterised"),
     )
-    return per_item.where(
-        (F.col("n_matched") >= CONTAINMENT * F.col("n_windows")) & (F.col("bindings") <= MAX_BINDINGS * F.col("values"))
-    ).select(
+    shown = _occurrences(hits).select("doc_id", "item_id", F.lit(True).alias("shown"))
+    spread = (F.col("n_matched") >= CONTAINMENT * F.col("n_windows")) & (F.col("bindings") <= MAX_BINDINGS * F.col("values"))
+    return per_item.join(shown, ["doc_id", "item_id"], "left").where(spread | F.coalesce("shown", F.lit(False))).select(
         "doc_id", "item_id", "n_windows", "n_matched",
         (F.col("n_matched") / F.col("n_windows")).alias("containment"), "reparameterised",
     )

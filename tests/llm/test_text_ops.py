@@ -207,6 +207,24 @@ def test_inconsistent_slots_are_no_match(spark, docs_of):
     assert {r.doc_id for r in found} == {2, 3}
 
 
+def test_an_occurrence_among_variants_is_held(spark, docs_of):
+    variants = [
+        QUESTION.replace("Alice", a).replace("Bob", b).replace("40", f"{k}1").replace("17", f"{k}2").replace("3", f"{k}3")
+        for k, (a, b) in enumerate([("Carol", "Dave"), ("Erin", "Frank"), ("Grace", "Henry"), ("Ida", "John")], 4)
+    ]
+    recurring = " and ".join(f"then we take {k} red balls from box {k}" for k in (5, 6, 7, 8))
+    bench = spark.createDataFrame([(1, QUESTION), (2, recurring)], "item_id long, text string")
+    torn = " and ".join(f"then we take {k} red balls from box {k + 3}" for k in range(1, 10))
+    apart = QUESTION.replace(" and ", " and also ", 1)
+    rows = [
+        (1, ". ".join([*variants, QUESTION])), (2, ". ".join(variants)), (3, f"{recurring}. {recurring}"), (4, torn),
+        (5, ". ".join([*[v.split(" and ")[0] for v in variants], *variants[:1]])), (6, ". ".join(v.split(" while ")[0] for v in variants)),
+        (7, ". ".join([*variants, apart])),
+    ]
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contamination(docs_of(rows), bench).collect()}
+    assert found == {(1, 1), (2, 1), (3, 2), (5, 1), (7, 1)}
+
+
 def test_a_shuffled_index_gives_the_same(spark, docs_of, monkeypatch):
     bench = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
     frame = docs_of([(1, QUESTION), (2, "nothing of the kind is in this text")])
