@@ -65,6 +65,12 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.record_batch([batch.column("doc_id"), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
 
 
+def _hashed_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for out in _fingerprints(iter([batch])):
+            yield pa.record_batch([*out.columns, batch.column("__hash")], names=["doc_id", "fp", "__hash"])
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
@@ -141,6 +147,23 @@ def links(distinct: DataFrame, bucket_cap: int = BUCKET_CAP) -> DataFrame:
     return pairs.unionByName(stars)
 
 
+def _members(prints: DataFrame, bucket_cap: int) -> DataFrame:
+    """(fp, component, component_id) of every fingerprint; component is not null and
+    the same for two fingerprints exactly if they are connected."""
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    labels = connected_components(links(distinct, bucket_cap)).withColumnRenamed("u", "fp")
+    labelled = materialize(distinct.join(labels, "fp", "left"), "labelled")
+    least = materialize(
+        labelled.where("component is not null").groupBy("component").agg(F.min("first_id").alias("least_id")), "least"
+    )
+    alone = F.col("component").isNull()
+    component = F.struct(alone.alias("alone"), F.coalesce("component", "fp").alias("label")).alias("component")
+    return materialize(
+        labelled.join(least, "component", "left").select("fp", component, F.coalesce("least_id", "first_id").alias("component_id")),
+        "components",
+    )
+
+
 def near_duplicates(docs: DataFrame, bucket_cap: int = BUCKET_CAP) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of `docs` (doc_id, text).
 
@@ -150,40 +173,38 @@ def near_duplicates(docs: DataFrame, bucket_cap: int = BUCKET_CAP) -> DataFrame:
     out once per row; other columns are not read. An empty table gives no rows.
     """
     prints = materialize(fingerprints(docs), "prints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    labels = connected_components(links(distinct, bucket_cap)).withColumnRenamed("u", "fp")
-    labelled = materialize(distinct.join(labels, "fp", "left"), "labelled")
-    least = materialize(
-        labelled.where("component is not null").groupBy("component").agg(F.min("first_id").alias("least_id")), "least"
-    )
-    members = materialize(
-        labelled.join(least, "component", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id")),
-        "components",
-    )
-    return prints.join(members, "fp").select(
+    return prints.join(_members(prints, bucket_cap), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """Keep the row of each group whose doc_id is the group's least.
-
-    If rows share that doc_id, the one with the least text hash stays, so that
-    one document of each group is left. Columns are those of `docs`.
+    """Keep one row of each group of linked fingerprints: that of the least doc_id, and
+    of the least text hash where rows share it. Null comes after every doc_id; rows
+    with a null or a repeated doc_id go only if they are linked. Columns are those of `docs`.
     """
-    found = near_duplicates(docs)
+    text_hash = F.xxhash64("text").alias("__hash")
+    full = docs.select("*", F.col("doc_id").cast("long").alias("__id"), text_hash)
+    rows = full.select(F.col("__id").alias("doc_id"), "text", "__hash")
+    prints = materialize(rows.mapInArrow(_hashed_fingerprints, "doc_id long, fp long, __hash long"), "prints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("__id"), F.col("__hash").alias("__hash"))
+    copies = prints.select("fp", order.alias("row")).groupBy("fp", "row").agg(F.count("*").alias("copies"))
     winners = materialize(
-        found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies")), "winners"
+        copies.join(_members(prints, BUCKET_CAP), "fp")
+        .groupBy("component")
+        .agg(F.min(F.struct("row", "copies")).alias("first"))
+        .select(F.col("first.row.__id").alias("won"), F.col("first.row.__hash").alias("won_hash"), F.col("first.copies").alias("copies")),
+        "winners",
     )
-    kept = docs.join(winners.select("doc_id"), "doc_id", "left_semi")
-    again = winners.where("copies > 1").select("doc_id")
+    same = (F.col("__hash") == F.col("won_hash")) & F.col("__id").eqNullSafe(F.col("won"))
+    kept = full.join(winners.where("copies = 1").select("won", "won_hash"), same, "left_semi").select(docs.columns)
+    again = winners.where("copies > 1").select("won", "won_hash")
     if again.isEmpty():
-        return kept.select(docs.columns)
+        return kept
     once = (
-        kept.join(again, "doc_id", "left_semi")
-        .withColumn("__order", F.xxhash64("text"))
-        .groupBy("doc_id")
-        .agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), "__order").alias("__row"))
+        full.join(again, same, "left_semi")
+        .groupBy("__id", "__hash")
+        .agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__row"))
         .select("__row.*")
     )
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+    return kept.unionByName(once)

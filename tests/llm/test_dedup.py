@@ -79,6 +79,14 @@ def test_simhash_edges(docs_of):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 7]
 
 
+def test_dropping_near_duplicates_keeps_null_and_repeated_ids(docs_of):
+    alone = ["one text of its own here", "and a second that differs much", "the third is not like these"]
+    rows = [(None, alone[0]), (None, alone[1]), (5, alone[2]), (5, "words with the same number but unlinked")]
+    rows += [(None, "a b c d"), (9, "a b c d"), (None, "only null ids here now"), (None, "only null ids here now"), (9, "w x y z")]
+    kept = simhash.drop_near_duplicates(docs_of(rows)).collect()
+    assert sorted((r.doc_id or -1, r.text) for r in kept) == sorted((i or -1, t) for i, t in {*rows} - {(None, "a b c d")})
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(400)] + [(1000, 1001), (5, 5)], "u long, v long")
     labels = {r.u: r.component for r in connected_components(edges).collect()}
