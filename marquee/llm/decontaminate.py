@@ -12,6 +12,8 @@ value of the item is bound to two values at most on average.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,14 +38,17 @@ UNITS = (
 NAME_MARK, UNIT_MARK = "\x01", "\x02"
 NAME = r"\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*"
 MARK_NAMES = rf"([\p{{Ll}}0-9,;] )({NAME})"
+#: Names at every position, sentences' first words too.
+MARK_EVERY = rf"((?<!\p{{L}}))({NAME})"
+NO_NAMES = r"(\x01)(\x01)"
 MARK_UNITS = rf"([0-9] ?)({UNITS})\b"
 TOKEN = rf"{NAME_MARK}{NAME}|{UNIT_MARK}\p{{L}}+|\p{{L}}+|[0-9]+(?:[.,:/][0-9]+)*"
 
 
-def tokens(text: Column) -> Column:
+def tokens(text: Column, names: str = MARK_NAMES) -> Column:
     """Words and numbers of a text, names and units behind a mark."""
     plain = F.translate(F.coalesce(text, F.lit("")), NAME_MARK + UNIT_MARK, "")
-    marked = F.regexp_replace(plain, MARK_NAMES, f"$1{NAME_MARK}$2")
+    marked = F.regexp_replace(plain, names, f"$1{NAME_MARK}$2")
     return F.regexp_extract_all(F.regexp_replace(marked, MARK_UNITS, f"$1{UNIT_MARK}$2"), F.lit(TOKEN), F.lit(0))
 
 
@@ -62,11 +67,11 @@ def _canonical(token: Column) -> Column:
     )
 
 
-def windows(table: DataFrame, key: str) -> DataFrame:
+def windows(table: DataFrame, key: str, names: str = MARK_NAMES) -> DataFrame:
     """(key, t, at, h) of every window: t are the text's tokens, `at` the first of the
     window's, h the hash of its canonical tokens. Tokens are hashed once, windows are
     hashes of five of these; t is only read again where a window is matched."""
-    base = table.select(F.col(key).cast("long").alias(key), tokens(F.col("text")).alias("t"))
+    base = table.select(F.col(key).cast("long").alias(key), tokens(F.col("text"), names).alias("t"))
     base = base.select(key, "t", F.transform("t", lambda x: F.xxhash64(_canonical(x))).alias("c"))
     starts = F.sequence(F.lit(0), F.greatest(F.size("c") - WINDOW, F.lit(0)))
     hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get("c", i + k) for k in range(WINDOW)]))
@@ -81,11 +86,11 @@ def slots(tokens_column: str = "t", at: str = "at") -> Column:
     return F.filter(F.slice(tokens_column, F.col(at) + 1, WINDOW), _is_slot)
 
 
-def index(benchmark: DataFrame) -> DataFrame:
+def index(benchmark: DataFrame, names: str = MARK_NAMES) -> DataFrame:
     """(item_id, h, q, item_row, item_tokens, last, row_windows, item_slots, n_windows):
     the windows of each item with enough plain words, at each place q of each of the
     item's texts; item_slots are the slot values of the window's first place by value."""
-    found = windows(benchmark, "item_id").select(
+    found = windows(benchmark, "item_id", names).select(
         "item_id", "h", F.col("at").alias("q"), F.xxhash64("t").alias("item_row"), slots().alias("slots"),
         F.slice("t", F.col("at") + 1, WINDOW).alias("item_tokens"), (F.size("t") - 1).alias("last"),
     )
@@ -128,21 +133,18 @@ def _occurrences(hits: DataFrame) -> DataFrame:
     return shown.agg(F.count_distinct("h").alias("n")).where(F.col("n") >= CONTAINMENT * F.col("n_windows")).drop("n")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, n_windows, n_matched, containment, reparameterised), a row for
-    each document and benchmark item it holds.
-
-    docs has doc_id and text, benchmark item_id and text; null is an empty text, other
-    columns are not read. Items (and texts) of fewer than five tokens, and items
-    without a window of two plain words, have no windows and are never held. Rows
-    with the same doc_id count as one document, rows with the same item_id as one
-    item; a null id is dropped. n_matched counts windows of the whole document, and
-    `reparameterised` tells that a slot value differs anywhere in it.
-    """
-    known = materialize(index(benchmark.where("item_id is not null")), "items")
+def _held(docs: DataFrame, benchmark: DataFrame, names: str, least: DataFrame | None = None) -> DataFrame:
+    """The rows of contamination() with names marked by the pattern `names`. `least`
+    (item_id, at_least): windows that count for an item if it has fewer here; with it,
+    only occurrences count."""
+    known = index(benchmark, names)
+    if least is not None:
+        enough = F.greatest("n_windows", F.coalesce("at_least", "n_windows"))
+        known = known.join(least, "item_id", "left").withColumn("n_windows", enough).drop("at_least")
+    known = materialize(known, "items")
     if known.count() <= BROADCAST_WINDOWS:
         known = F.broadcast(known)
-    hits = windows(docs.where("doc_id is not null"), "doc_id").join(known, "h")
+    hits = windows(docs, "doc_id", names).join(known, "h")
     hits = hits.withColumn("doc_row", F.xxhash64("t")).withColumn("doc_slots", slots())
     hits = materialize(hits.withColumn("doc_tokens", F.slice("t", F.col("at") + 1, WINDOW)).drop("t"), "hits")
     # a row for each bound pair, and one without a pair for a window without slots
@@ -159,13 +161,80 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.max(F.coalesce(F.col("a") != F.col("b"), F.lit(False))).alias("reparameterised"),
     )
     shown = _occurrences(hits).select("doc_id", "item_id", F.lit(True).alias("shown"))
+    if least is not None:
+        per_item = per_item.withColumn("bindings", F.lit(None).cast("long"))
     spread = (F.col("n_matched") >= CONTAINMENT * F.col("n_windows")) & (F.col("bindings") <= MAX_BINDINGS * F.col("values"))
-    return per_item.join(shown, ["doc_id", "item_id"], "left").where(spread | F.coalesce("shown", F.lit(False))).select(
+    return per_item.join(shown, ["doc_id", "item_id"], "left").where(F.coalesce(spread, F.lit(False)) | F.coalesce("shown", F.lit(False))).select(
         "doc_id", "item_id", "n_windows", "n_matched",
         (F.col("n_matched") / F.col("n_windows")).alias("containment"), "reparameterised",
     )
 
 
+def _short_items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, words): texts of items without a window, as lower-case tokens."""
+    held = index(benchmark).select("item_id").distinct()
+    words = F.transform(tokens(F.col("text"), NO_NAMES), lambda x: F.lower(F.translate(x, UNIT_MARK, "")))
+    whole = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words.alias("words"))
+    return whole.where(F.size("words") > 0).join(held, "item_id", "left_anti").distinct()
+
+
+def _held_whole(docs: DataFrame, short: DataFrame, lengths: list[int]) -> DataFrame:
+    """The rows of contamination() for items without a window: all tokens of each of the
+    item's texts in a row, unchanged but for case. The texts count as windows."""
+    words = F.transform(tokens(F.col("text"), NO_NAMES), lambda x: F.lower(F.translate(x, UNIT_MARK, "")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("t"))
+    heads = []
+    for n in lengths:
+        starts = F.sequence(F.lit(0), F.greatest(F.size("t") - n, F.lit(0)))
+        head = lambda i: F.struct(F.xxhash64(F.lit(n), *[F.get("t", i + k) for k in range(n)]).alias("h"), i.alias("at"))  # noqa: B023, E731
+        heads.append(F.when(F.size("t") >= n, F.transform(starts, head)).otherwise(F.array().cast("array<struct<h:bigint,at:int>>")))
+    hashed = texts.select("doc_id", "t", F.concat(*heads).alias("ws"))
+    found = hashed.select("doc_id", "t", F.explode_outer("ws").alias("w")).select("doc_id", "t", "w.h", "w.at").where("h is not null")
+    counts = short.groupBy("item_id").agg(F.count("*").alias("n_windows"))
+    by_length = F.coalesce(*[
+        F.when(F.least(F.size("words"), F.lit(WINDOW)) == n, F.xxhash64(F.lit(n), *[F.get("words", F.lit(k)) for k in range(n)])) for n in lengths
+    ])
+    known = short.join(counts, "item_id").withColumn("h", by_length)
+    known = materialize(known, "short-index")
+    if known.count() <= BROADCAST_WINDOWS:
+        known = F.broadcast(known)
+    else:  # a shuffled row carries no more of the text than an item can have
+        longest = known.agg(F.max(F.size("words"))).first()[0]
+        found = found.select("doc_id", F.slice("t", F.col("at") + 1, longest).alias("t"), "h", F.lit(0).alias("at"))
+    hits = found.join(known, "h").where(F.slice("t", F.col("at") + 1, F.size("words")) == F.col("words"))
+    per_item = hits.groupBy("doc_id", "item_id", "n_windows").agg(F.count_distinct("words").alias("n_matched"))
+    return per_item.where(F.col("n_matched") >= CONTAINMENT * F.col("n_windows")).select(
+        "doc_id", "item_id", "n_windows", "n_matched",
+        (F.col("n_matched") / F.col("n_windows")).alias("containment"), F.lit(False).alias("reparameterised"),
+    )
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, n_windows, n_matched, containment, reparameterised), a row for
+    each document and benchmark item it holds.
+
+    docs has doc_id and text, benchmark item_id and text; null is an empty text, other
+    columns are not read. Names are read in two ways: as capitalised words within a
+    sentence (these figures come out where both hold), and at every position. Items
+    without a window (fewer than five tokens, or no window of two plain words) are
+    held where all their tokens stand in a row. Rows with the same doc_id count as one
+    document, rows with the same item_id as one item; a null id is dropped. n_matched
+    counts windows of the whole document, and `reparameterised` tells that a slot value
+    differs anywhere in it.
+    """
+    docs, benchmark = docs.where("doc_id is not null"), benchmark.where("item_id is not null")
+    inside = _held(docs, benchmark, MARK_NAMES)
+    least = index(benchmark).select("item_id", F.col("n_windows").alias("at_least")).distinct()
+    ways = [inside, _held(docs, benchmark, MARK_EVERY, least)]
+    short = materialize(_short_items(benchmark), "short-items")
+    lengths = [r.n for r in short.select(F.least(F.size("words"), F.lit(WINDOW)).alias("n")).distinct().collect()]
+    if lengths:
+        ways.append(_held_whole(docs, short, sorted(lengths)))
+    every = [w.withColumn("way", F.lit(k)) for k, w in enumerate(ways)]
+    row = F.min_by(F.struct(*inside.columns), "way")
+    return reduce(DataFrame.unionByName, every).groupBy("doc_id", "item_id").agg(row.alias("row")).select("row.*")
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`docs` without the documents that hold a benchmark item."""
     held = contamination(docs, benchmark).select(F.col("doc_id").alias("__held")).distinct()

@@ -225,6 +225,19 @@ def test_an_occurrence_among_variants_is_held(spark, docs_of):
     assert found == {(1, 1), (2, 1), (3, 2), (5, 1), (7, 1)}
 
 
+def test_names_at_every_position_and_short_items(spark, docs_of):
+    alice = "Alice has 3 apples. Alice gives 2 to Bob. How many apples does Alice have?"
+    items = [(1, alice), (2, "What is the boiling point of water"), (3, "What is 12 + 7?"), (4, "12 + 7 * 3 - 5 = 28")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [
+        (1, alice.replace("Alice", "Carol").replace("Bob", "Dan")), (2, "then it asks, the What is the boiling point of water"),
+        (3, "so what is 12 + 7? ok"), (4, "so what is 12 + 8? ok"), (5, "sum: 12 + 7 * 3 - 5 = 28."), (6, "12 + 7 * 3 - 5 = 29"),
+        (7, "Carol has 3 apples. Dan gives 2 to Carol. How many apples does Erin have?"), (8, None),
+    ]
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contamination(docs_of(rows), bench).collect()}
+    assert found == {(1, 1), (2, 2), (3, 3), (5, 4)}
+
+
 def test_a_shuffled_index_gives_the_same(spark, docs_of, monkeypatch):
     bench = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
     frame = docs_of([(1, QUESTION), (2, "nothing of the kind is in this text")])
