@@ -2,45 +2,50 @@
 
 A wrapper is a union-free regular expression over a host's token streams: tags in
 order, text slots, and groups that are optional or repeated. It is inferred by
-aligning one page after another. Equal neighbouring siblings fold into a repeated
-group; where two streams differ in tags the tokens that only one has become
-optional; where they differ in text, the text becomes a slot. Text that stays the
-same on all pages of a host is part of its template.
-
-Alignment also joins two wrappers, so tasks infer wrappers of their own pages, which
-are joined by host in two rounds: no host, however large, is gathered in one task.
-
-The wrapper tells content from furniture: the article's slots (or, on hosts without
-such an element, those of the element with most running text) without menus,
-repeated links, template text and what tags, roles and classes name as furniture.
+aligning one page after another. Equal neighbours, alone or in groups of two or
+three, are a repeated group. A tag is aligned with the tag of the same sign and
+occurrence under the same parent; what only some streams have becomes optional,
+and where streams differ in text, the text becomes a slot. Text that is the same on
+all pages of a host is a constant of its wrapper.
+
+A wrapper is kept as rows, one for each token, so joining two wrappers is a sum:
+tasks align their own pages, Spark adds their wrappers up by host and token. No
+host is gathered in one task, and results depend neither on the order of pages nor
+on partitions.
+
+The wrapper tells content from furniture: the article (or, on hosts without such an
+element, the element with most running text) without what tags, roles and classes
+name as furniture. Outside marked articles its constants and the menus among its
+repeated groups go too.
 """
 
 from __future__ import annotations
 
 import html as entities
-import json
 import re
+from collections import Counter
 from collections.abc import Iterator
-from zlib import crc32
 
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm.shared import materialize
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|"
-    r"<(?P<raw>script|style|textarea|title|noscript|template|iframe|svg|math|object|select|button)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|"
-    r"<(?P<close>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
-ATTRIBUTE = re.compile(r"([A-Za-z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+NAME = r"[A-Za-z][A-Za-z0-9:-]*+"
+#: Quotes count only behind an equals sign; nothing here is tried twice.
+TAG = re.compile(rf"<(?P<close>/?)(?P<tag>{NAME})(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
+PLAIN_TAG = re.compile(rf"<(?P<close>/?)(?P<tag>{NAME})(?P<attrs>[^>]*+)>")
+RAW = {
+    t: re.compile(rf"</{t}\s*+>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "select")
+}
+ATTRIBUTE = re.compile(r"([A-Za-z-]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+")
 VOID = {"img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
 INLINE = {
-    "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q",
-    "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var",
+    "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "button", "canvas", "cite", "code", "data", "del", "dfn", "em", "font", "g", "i", "ins",
+    "kbd", "label", "map", "mark", "math", "mfrac", "mi", "mn", "mo", "mrow", "msqrt", "msub", "msup", "mtext", "nobr", "object", "output", "q",
+    "rb", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "svg", "text", "time", "tspan", "tt", "u", "var",
 }
 #: An opening tag ends open elements of these kinds, up to the boundary tags.
 ENDS = {
@@ -49,38 +54,40 @@ ENDS = {
     "option": ({"option"}, {"select"}),
 }
 FURNITURE_TAGS = {"nav", "footer", "aside", "form", "head", "menu", "dialog", "fieldset"}
-FURNITURE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "menu", "form"}
+FURNITURE_ROLES = {"navigation", "contentinfo", "complementary", "search", "alert", "dialog", "menu", "form"}
+#: Names of furniture wherever it stands: menus, adverts, notices, reader comments.
 FURNITURE_NAMES = re.compile(
-    r"(?:^|[-_\s])(?:nav\w*|menu|breadcrumbs?|header|masthead|footer|side-?bar|aside|ads?|advert\w*|sponsor\w*|promo\w*|banner|"
-    r"cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscri\w+|shar(?:e|ing)|social|related|recommend\w*|"
-    r"comments?|disqus|repl(?:y|ies)|respond|login|signup|register|form|widget|paginat\w+|pager|toolbar|skip\w*)(?:$|[-_\s])",
+    r"(?:^|[-_\s])(?:nav(?:igation|bar|menu|links?)?|menu|breadcrumbs?|side-?bar|ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|"
+    r"notices?|alert|popup|modal|newsletter|subscri\w+|shar(?:e|ing)|social|comments?|disqus|repl(?:y|ies)|respond|paginat\w+|pager|toolbar)"
+    r"(?:$|[-_\s])",
     re.I,
 )
+#: Names of furniture around the article; within it they are part of it.
+OUTER_NAMES = re.compile(
+    r"(?:^|[-_\s])(?:header|masthead|footer|aside|banner|related|recommend\w*|login|signup|register|form|widget|skip\w*)(?:$|[-_\s])", re.I
+)
 CONTENT_NAMES = re.compile(r"(?:^|[-_\s])(?:article(?:-?body)?|content|post(?:-?body)?|entry|story|main)(?:$|[-_\s])", re.I)
 SPACES = re.compile(r"\s+")
-#: Pages with different texts that must agree before a text counts as the template's.
+DIGITS = re.compile(r"\d+")
+#: Different pages that must agree before a text counts as the template's. Fewer pages
+#: are no evidence: two articles may well share a paragraph.
 TEMPLATE_PAGES = 8
+#: Elements nested deeper are read as part of the one around them; their text stays.
+MOST_DEPTH, MOST_MARKED_DEPTH = 100, 140
 
 
 class Node:
-    """An element, a text ("#") or a group ("()") of a page or a wrapper."""
+    """An element or a text ("#") of a page."""
 
-    __slots__ = ("sign", "kind", "items", "text", "optional", "repeated", "chars", "links")
+    __slots__ = ("sign", "kind", "items", "text", "chars", "links")
 
-    def __init__(self, sign, kind="", items=None, text=None, optional=False, repeated=False, chars=0, links=0):
-        self.sign, self.kind, self.items, self.text = sign, kind, items or [], text
-        self.optional, self.repeated, self.chars, self.links = optional, repeated, chars, links
-
-    def pack(self) -> list:
-        return [self.sign, self.kind, [x.pack() for x in self.items], self.text, self.optional, self.repeated, self.chars, self.links]
-
-    @staticmethod
-    def unpack(x: list) -> Node:
-        return Node(x[0], x[1], [Node.unpack(y) for y in x[2]], *x[3:])
+    def __init__(self, sign: str, kind: str = "", text: str | None = None, chars: int = 0, links: int = 0):
+        self.sign, self.kind, self.text, self.chars, self.links = sign, kind, text, chars, links
+        self.items: list[Node] = []
 
 
 def _kind(tag: str, attributes: dict[str, str]) -> str:
-    """"x" furniture, "c" content, "h" header, "" neither."""
+    """ "x" furniture, "h" furniture unless in an article, "c" article, "n" named like one, "" neither."""
     role, names = attributes.get("role", "").lower(), f"{attributes.get('class', '')} {attributes.get('id', '')}"
     if tag in FURNITURE_TAGS or role in FURNITURE_ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true":
         return "x"
@@ -88,18 +95,50 @@ def _kind(tag: str, attributes: dict[str, str]) -> str:
         return "x"
     if tag in ("article", "main") or role in ("main", "article") or attributes.get("itemprop") == "articleBody":
         return "c"
-    if tag not in ("body", "html") and FURNITURE_NAMES.search(names):
-        return "x"
-    if tag == "header":
+    if tag not in ("body", "html") and names != " ":
+        if FURNITURE_NAMES.search(names):
+            return "x"
+        if OUTER_NAMES.search(names):
+            return "h"
+    if tag == "header" or role == "banner":
         return "h"
     return "n" if CONTENT_NAMES.search(names) else ""
 
 
+def _tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, close mark, tag, attributes) of each tag of a page in one pass; comments,
+    declarations and elements whose text is no text have the tag "". What begins like a
+    tag but has no end is text."""
+    at, last, pattern = page.find("<"), page.rfind(">"), TAG
+    while 0 <= at < last:
+        m = pattern.match(page, at)
+        if m is None and page[at + 1 : at + 2] in "!?" and at + 1 < len(page):
+            comment = page.startswith("<!--", at)
+            end = page.find("-->", at + 4) + 3 if comment else page.find(">", at) + 1
+            end = end if end > 3 or not comment else len(page)
+            yield at, end, "", "", ""
+        elif m is None and PLAIN_TAG.match(page, at):  # quotes hide every later end: from here on they count for nothing
+            pattern = PLAIN_TAG
+            continue
+        elif m is None:
+            end = at + 1
+        else:
+            tag, end = m["tag"].lower(), m.end()
+            if tag in RAW and not m["close"]:
+                closed = RAW[tag].search(page, end)
+                yield at, closed.end() if closed else len(page), "", "", ""
+                end = closed.end() if closed else len(page)
+            else:
+                yield at, end, m["close"], tag, m["attrs"]
+        at = page.find("<", end)
+
+
 def parse(page: str) -> Node:
     """The element tree of a page. Inline tags are no elements; a text is what stands
     between two block tags, its references decoded, its white space single spaces."""
     root = Node("html")
-    stack, run = [("html", root)], []
+    stack, run = [("html", root, 0)], []
+    open_tags = Counter()  # of the stack, so that a stray closing tag costs nothing
     links = linked = 0
 
     def flush() -> None:
@@ -118,11 +157,14 @@ def parse(page: str) -> Node:
             if links:
                 linked += len(raw.strip())
 
+    def cut(k: int) -> None:
+        open_tags.subtract(t for t, _, _ in stack[k:])
+        del stack[k:]
+
     at = 0
-    for m in TOKEN.finditer(page):
-        put(page[at : m.start()])
-        at = m.end()
-        tag = (m["tag"] or "").lower()
+    for start, end, close, tag, attrs in _tags(page):
+        put(page[at:start])
+        at = end
         if not tag or tag in VOID:
             continue
         if tag == "br":
@@ -130,115 +172,103 @@ def parse(page: str) -> Node:
             continue
         if tag in INLINE:
             if tag == "a":
-                links = 0 if m["close"] else 1
+                links = 0 if close else 1
             continue
         flush()
-        if m["close"]:
+        if close:
             links = 0
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if open_tags[tag] > 0:
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                cut(k)
             continue
         if tag in ("html", "body") and stack[-1][0] in ("html", "head"):
-            del stack[1:]
+            cut(1)
             if tag == "html":
                 continue
-        ended, bounds = ENDS.get(tag, ({"p"}, set()))
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in ended and (tag in ENDS or k == len(stack) - 1):
-                del stack[k:]
-                if tag not in ENDS:
-                    break
-            elif stack[k][0] in bounds or tag not in ENDS:
-                break
-        attributes = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(m["attrs"])} if m["attrs"] else {}
-        named = re.sub(r"\d+", "0", attributes.get("class", "").split(" ")[0]) if attributes.get("class") else ""
-        node = Node(f"{tag}.{named}" if named else tag, _kind(tag, attributes))
+        if tag in ENDS:
+            ended, bounds = ENDS[tag]
+            k, lowest = len(stack) - 1, 0
+            while k > max(0, len(stack) - MOST_DEPTH) and stack[k][0] not in bounds:
+                lowest = k if stack[k][0] in ended else lowest
+                k -= 1
+            if lowest:
+                cut(lowest)
+        elif stack[-1][0] == "p":
+            cut(len(stack) - 1)
+        attributes = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attrs)} if attrs.strip(" /") else {}
+        kind, depth = _kind(tag, attributes), stack[-1][2]
+        if stack[-1][1].kind == "x" or kind != "x" and depth >= (MOST_MARKED_DEPTH if kind else MOST_DEPTH):
+            if tag != "hr":
+                stack.append((tag, stack[-1][1], depth))
+                open_tags[tag] += 1
+            continue
+        named = DIGITS.sub("0", attributes.get("class", "").split(" ")[0]) if attributes.get("class") else ""
+        node = Node(f"{tag}.{named}" if named else tag, kind)
         stack[-1][1].items.append(node)
         if tag != "hr":
-            stack.append((tag, node))
+            stack.append((tag, node, depth + 1))
+            open_tags[tag] += 1
     put(page[at:])
     flush()
     return root
 
 
-def join(a: Node, b: Node) -> Node:
-    """The wrapper of two nodes of the same sign."""
-    out = Node(
-        a.sign, a.kind or b.kind, text=a.text if a.text == b.text else None, optional=a.optional or b.optional,
-        repeated=a.repeated or b.repeated, chars=a.chars + b.chars, links=a.links + b.links,
-    )
-    out.items = align(a.items, b.items) if a.items or b.items else []
+def places(signs: list[str]) -> list[tuple[str, int]]:
+    """Sign and occurrence of each of a parent's tokens; neighbours that repeat, alone or
+    in groups of two or three, have the occurrence of the first."""
+    out: list[tuple[str, int]] = []
+    seen: Counter[str] = Counter()
+    i = 0
+    while i < len(signs):
+        for size in (1, 2, 3):
+            unit, end = signs[i : i + size], i + size
+            while signs[end : end + size] == unit:
+                end += size
+            if end > i + size:
+                break
+        else:
+            size, end = 1, i + 1
+        group = []
+        for sign in signs[i : i + size]:
+            group.append((sign, seen[sign]))
+            seen[sign] += 1
+        out += group * ((end - i) // size)
+        i = end
     return out
 
 
-def align(a: list[Node], b: list[Node]) -> list[Node]:
-    """Two sequences as one: what both have in order is joined, the rest is optional."""
-    if [x.sign for x in a] == [x.sign for x in b]:
-        return [join(x, y) for x, y in zip(a, b)]
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i].sign == b[j].sign else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and a[i].sign == b[j].sign:
-            out.append(join(a[i], b[j]))
-            i, j = i + 1, j + 1
-            continue
-        left = j == m or i < n and best[i + 1][j] >= best[i][j + 1]
-        node = a[i] if left else b[j]
-        node.optional = True
-        out.append(node)
-        i, j = (i + 1, j) if left else (i, j + 1)
-    return out
+ROOT = 0
 
 
-def fold(node: Node) -> Node:
-    """The node with its repeated neighbours, alone or in groups of two or three, as
-    repeated groups."""
-    items: list[Node] = []
-    for x in map(fold, node.items):
-        if items and items[-1].sign == x.sign and x.sign != "#":
-            items[-1] = join(items[-1], x)
-            items[-1].repeated = True
-        else:
-            items.append(x)
-    for size in (2, 3):
-        k = 0
-        while k + 2 * size <= len(items):
-            signs = [x.sign for x in items[k : k + size]]
-            if signs == [x.sign for x in items[k + size : k + 2 * size]] and len(set(signs)) > 1:
-                group = Node("(" + " ".join(signs) + ")", items=items[k : k + size], repeated=True)
-                end = k + size
-                while [x.sign for x in items[end : end + size]] == signs:
-                    group.items = [join(x, y) for x, y in zip(group.items, items[end : end + size])]
-                    end += size
-                items[k:end] = [group]
-            k += 1
-    out = Node(node.sign, node.kind, items, node.text, node.optional, node.repeated, node.chars, node.links)
-    return out
+def place_hash(parent: int, sign: str, occurrence: int) -> int:
+    return xxhash.xxh3_64_intdigest(f"{parent} {sign} {occurrence}".encode("utf-8", "surrogatepass")) >> 1
 
 
-class Wrapper:
-    """The wrapper of a host's pages so far, and hashes of a few different texts."""
+def text_hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
 
-    def __init__(self, tree: Node | None = None, texts: list[int] | None = None):
-        self.tree, self.texts = tree, texts or []
 
-    def add(self, tree: Node, texts: list[int]) -> None:
-        self.tree = tree if self.tree is None else join(self.tree, tree)
-        self.texts = sorted({*self.texts, *texts})[:TEMPLATE_PAGES]
+def _running(node: Node) -> int:
+    """Characters outside links and furniture."""
+    if node.kind == "x":
+        return 0
+    return node.chars - node.links + sum(_running(x) for x in node.items)
 
-    def dump(self) -> str:
-        return json.dumps([self.tree.pack(), self.texts], ensure_ascii=False, separators=(",", ":"))
 
-    @staticmethod
-    def load(text: str) -> Wrapper:
-        tree, texts = json.loads(text)
-        return Wrapper(Node.unpack(tree), texts)
+def _marked(node: Node, kind: str) -> int:
+    """Running characters in elements of a kind."""
+    if node.kind == "x":
+        return 0
+    return _running(node) if node.kind == kind else sum(_marked(x, kind) for x in node.items)
+
+
+def _mark(every: int, article: int, named: int) -> str:
+    """How a host marks its content: by a "c" element, an "n" one, or not."""
+    if article:
+        return "c"
+    return "n" if named and 2 * named >= every else ""
 
 
 def _texts(node: Node) -> Iterator[str]:
@@ -248,86 +278,87 @@ def _texts(node: Node) -> Iterator[str]:
         yield from _texts(x)
 
 
-def wrap(page: str) -> tuple[Node, list[int]]:
-    tree = parse(page)
-    return fold(tree), [crc32("\n".join(_texts(tree)).encode("utf-8", "surrogatepass"))]
-
-
-def _running(node: Node) -> int:
-    """Characters outside links and furniture."""
-    if node.kind == "x":
-        return 0
-    return node.chars - node.links + sum(map(_running, node.items))
-
-
-def _roots(wrapper: Node) -> str:
-    """How this host marks its content: by a "c" element, an "n" one, or not."""
-    kinds: dict[str, int] = {"c": 0, "n": 0}
+class Wrapper:
+    """The wrapper of some pages of a host.
 
-    def walk(node: Node) -> None:
-        if node.kind == "x":
-            return
-        if node.kind in kinds:
-            kinds[node.kind] += _running(node)
-        for x in node.items:
-            walk(x)
+    tokens: by place [parent, sign, occurrence, pages, repeated, least and greatest hash
+    of the text, characters, of these in links]. Adding pages in any order, or adding up
+    wrappers, gives the same.
+    """
 
-    walk(wrapper)
-    every = _running(wrapper)
-    for kind in ("c", "n"):
-        if kinds[kind] and (kind == "c" or 2 * kinds[kind] >= every):
-            return kind
-    return ""
+    def __init__(self):
+        self.tokens: dict[int, list] = {}
+        self.pages = self.every = self.article = self.named = 0
+        self.different: set[int] = set()
+
+    def add(self, page: str) -> None:
+        tree = parse(page)
+        self.pages += 1
+        self.every += _running(tree)
+        self.article += _marked(tree, "c")
+        self.named += _marked(tree, "n")
+        self.different.add(text_hash("\n".join(_texts(tree))))
+        met: dict[int, int] = {}
+        self._align(tree, ROOT, met)
+        for place, times in met.items():
+            token = self.tokens[place]
+            token[3] += 1
+            token[4] = token[4] or times > 1
+
+    def _align(self, node: Node, parent: int, met: dict[int, int]) -> None:
+        tokens = self.tokens
+        for x, (sign, occurrence) in zip(node.items, places([x.sign for x in node.items])):
+            place = place_hash(parent, sign, occurrence)
+            met[place] = met.get(place, 0) + 1
+            token = tokens.get(place)
+            if token is None:
+                tokens[place] = token = [parent, sign, occurrence, 0, False, None, None, 0, 0]
+            if x.text is not None:
+                h = text_hash(x.text)
+                token[5] = h if token[5] is None else min(token[5], h)
+                token[6] = h if token[6] is None else max(token[6], h)
+            token[7] += x.chars
+            token[8] += x.links
+            if x.items and x.kind != "x":  # nothing in furniture is kept, so nothing there is learned
+                self._align(x, place, met)
+
+
+SCHEMA = (
+    "host string, what string, place long, parent long, sign string, occurrence int, pages long, repeated boolean, "
+    "low long, high long, chars long, links long, every long, article long, named long"
+)
+ARROW = [
+    ("host", pa.string()), ("what", pa.string()), ("place", pa.int64()), ("parent", pa.int64()), ("sign", pa.string()), ("occurrence", pa.int32()),
+    ("pages", pa.int64()), ("repeated", pa.bool_()), ("low", pa.int64()), ("high", pa.int64()), ("chars", pa.int64()), ("links", pa.int64()),
+    ("every", pa.int64()), ("article", pa.int64()), ("named", pa.int64()),
+]
+#: Tokens that a task holds before it hands its wrappers on.
+HELD_TOKENS = 100_000
 
 
-def _flat(items: list[Node]) -> list[Node]:
-    return [y for x in items for y in (_flat(x.items) if x.sign[0] == "(" else [x])]
+def _rows(found: dict[str, Wrapper]) -> pa.RecordBatch:
+    rows: list[tuple] = []
+    for host, w in found.items():
+        rows.append((host, "host", ROOT, None, None, None, w.pages, None, None, None, None, None, w.every, w.article, w.named))
+        rows += [(host, "page", h, *[None] * 12) for h in w.different]
+        rows += [(host, "token", p, *token, None, None, None) for p, token in w.tokens.items()]
+    return pa.record_batch([pa.array(c, k) for c, (_, k) in zip(zip(*rows), ARROW)], names=[n for n, _ in ARROW])
 
 
-def extract(page: str | None, wrapper: Wrapper | None) -> str:
-    """The main text of a page of the wrapper's host."""
-    if not page:
-        return ""
-    tree = parse(page)
-    if wrapper is None:
-        wrapper = Wrapper(*wrap(page))
-    mark = _roots(wrapper.tree)
-    own_mark = mark
-    if mark:  # a page may lack the element that its host has
-        found: list[Node] = []
-
-        def look(node: Node) -> None:
-            if node.kind == mark:
-                found.append(node)
-            elif node.kind != "x":
-                for x in node.items:
-                    look(x)
-
-        look(tree)
-        own_mark = mark if any(_running(x) for x in found) else ""
-    fixed = len(wrapper.texts) >= TEMPLATE_PAGES
-    blocks: list[str] = []
-
-    def walk(node: Node, known: Node | None, inside: bool) -> None:
-        if node.kind == "x" or node.kind == "h" and not inside:
-            return
-        inside = inside or not own_mark or node.kind == own_mark
-        slots = _flat(known.items) if known else []
-        place = 0
-        for x in node.items:
-            at = next((k for k in (*range(place, len(slots)), *range(place)) if slots[k].sign == x.sign), None)
-            slot = None if at is None else slots[at]
-            place = place if at is None else at
-            if x.sign != "#":
-                walk(x, slot, inside)
-            elif inside:
-                template = fixed and slot is not None and slot.text == x.text
-                menu = known is not None and known.repeated and slot is not None and slot.links >= 0.8 * slot.chars
-                if not template and not menu:
-                    blocks.append(x.text)
-
-    walk(tree, wrapper.tree, False)
-    return "\n".join(blocks)
+def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found: dict[str, Wrapper] = {}
+    held = 0
+    for batch in batches:
+        for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
+            wrapper = found.setdefault(host, Wrapper())
+            held -= len(wrapper.tokens)
+            wrapper.add(page)
+            held += len(wrapper.tokens) + 1
+            if held >= HELD_TOKENS:
+                yield _rows(found)
+                found, held = {}, 0
+    if found:
+        yield _rows(found)
 
 
 HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
@@ -338,53 +369,103 @@ def host_of(url: str = "url"):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), HOST, 1))
 
 
-WRAPPER_SCHEMA = "host string, part int, wrapper string"
-
-
-def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: dict[str, Wrapper] = {}
-
-    def out() -> pa.RecordBatch:
-        hosts, dumps = list(found), [w.dump() for w in found.values()]
-        parts = [crc32(d.encode("utf-8", "surrogatepass")) & 63 for d in dumps]
-        return pa.record_batch([pa.array(hosts, pa.string()), pa.array(parts, pa.int32()), pa.array(dumps, pa.string())], names=["host", "part", "wrapper"])
+def infer_wrappers(pages: DataFrame) -> DataFrame:
+    """The wrappers of all hosts, from all pages with html, a row for each token:
+    (host, what, place, parent, sign, occurrence, pages, repeated, low, high, chars,
+    links, ...). `what` is "token", "host" (its pages and characters) or "page" (a row
+    for each different page, its hash as place)."""
+    parts = pages.where("html is not null and html <> ''").select(host_of().alias("host"), "html").mapInArrow(_infer, SCHEMA)
+    return parts.groupBy("host", "what", "place").agg(
+        F.first("parent").alias("parent"), F.first("sign").alias("sign"), F.first("occurrence").alias("occurrence"),
+        F.sum("pages").alias("pages"), F.bool_or("repeated").alias("repeated"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.sum("every").alias("every"), F.sum("article").alias("article"),
+        F.sum("named").alias("named"),
+    )
 
-    for batch in batches:
-        for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            found.setdefault(host, Wrapper()).add(*wrap(page))
-        if len(found) > 2000:  # many hosts in one task: joined later
-            yield out()
-            found.clear()
-    if found:
-        yield out()
 
+def expressions(wrappers: DataFrame) -> DataFrame:
+    """(host, parent, place, token): each token of the wrappers as regular expression: `tag`, `+` where
+    repeated, `?` where optional, "#" a slot, "=" a constant text."""
+    pages = wrappers.where("what = 'host'").select("host", F.col("pages").alias("every_page"))
+    above = wrappers.where("what = 'token'").select("host", F.col("place").alias("parent"), F.col("pages").alias("parent_pages"))
+    tokens = wrappers.where("what = 'token'").join(pages, "host").join(above, ["host", "parent"], "left")
+    text = F.when(F.col("sign") == "#", F.when(F.col("low") == F.col("high"), "=").otherwise("#")).otherwise(F.col("sign"))
+    mark = F.concat(
+        F.when(F.col("repeated"), "+").otherwise(""), F.when(F.col("pages") < F.coalesce("parent_pages", "every_page"), "?").otherwise("")
+    )
+    return tokens.select("host", "parent", "place", F.concat(text, mark).alias("token"))
+
+
+def rules(wrappers: DataFrame) -> DataFrame:
+    """(host, mark, constants, menus): what extraction needs of a host's wrapper. Constants
+    (a text) and menus (repeated groups that are links) are on all pages of the
+    host, so there are no more of them than its shortest page has tokens."""
+    mark = F.when(F.col("article") > 0, "c").when((F.col("named") > 0) & (2 * F.col("named") >= F.col("every")), "n").otherwise("")
+    hosts = wrappers.where("what = 'host'").select("host", mark.alias("mark"), F.col("pages").alias("all_pages"))
+    different = wrappers.where("what = 'page'").groupBy("host").agg(F.count("*").alias("different"))
+    known = hosts.join(different, "host")
+    constant = (F.col("sign") == "#") & ~F.col("repeated") & (F.col("low") == F.col("high")) & (F.col("different") >= TEMPLATE_PAGES)
+    menu = F.col("repeated") & (F.col("sign") != "#") & (F.col("text_chars") > 0) & (F.col("text_links") >= 0.8 * F.col("text_chars"))
+    tokens = wrappers.where("what = 'token'")
+    below = tokens.where("sign = '#'").groupBy("host", F.col("parent").alias("place")).agg(
+        F.sum("chars").alias("text_chars"), F.sum("links").alias("text_links")
+    )
+    told = (
+        tokens.join(below, ["host", "place"], "left")
+        .join(known, "host")
+        .where(F.col("pages") == F.col("all_pages"))
+        .select("host", "place", "low", constant.alias("constant"), F.coalesce(menu, F.lit(False)).alias("menu"))
+        .where("constant or menu")
+        .groupBy("host")
+        .agg(
+            F.collect_list(F.when(F.col("constant"), F.struct("place", F.col("low").alias("text")))).alias("constants"),
+            F.collect_list(F.when(F.col("menu"), F.col("place"))).alias("menus"),
+        )
+    )
+    return known.join(told, "host", "left").select("host", "mark", "constants", "menus")
 
-def _join_all(frame: pd.DataFrame) -> pd.DataFrame:
-    whole = Wrapper()
-    for text in sorted(frame.wrapper):
-        part = Wrapper.load(text)
-        whole.add(part.tree, part.texts)
-    return pd.DataFrame({"host": frame.host[:1], "part": frame.part[:1], "wrapper": whole.dump()})
 
+def extract(page: str | None, mark: str | None = None, constants: frozenset = frozenset(), menus: frozenset = frozenset()) -> str:
+    """The main text of a page by its host's rules; without (mark None) by the page's own."""
+    if not page:
+        return ""
+    tree = parse(page)
+    if mark is None:
+        mark = _mark(_running(tree), _marked(tree, "c"), _marked(tree, "n"))
+    if mark and not _marked(tree, mark):  # a page may lack the element that its host has
+        mark = ""
+    blocks: list[str] = []
 
-def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper) of all hosts, from all pages with html."""
-    parts = pages.where("html is not null and html <> ''").select(host_of().alias("host"), "html").mapInArrow(_infer, WRAPPER_SCHEMA)
-    for keys in (("host", "part"), ("host",)):
-        parts = parts.groupBy(*keys).applyInPandas(_join_all, WRAPPER_SCHEMA)
-    return parts.select("host", "wrapper")
+    def walk(node: Node, place: int, inside: bool, marked: bool, menu: bool) -> None:
+        if node.kind == "x" or node.kind == "h" and not (inside and mark):
+            return
+        marked = marked or node.kind == "c"
+        inside = inside or not mark or node.kind == mark
+        known = (constants or menus) and not marked
+        below = places([x.sign for x in node.items]) if known else ()
+        for i, x in enumerate(node.items):
+            at = place_hash(place, *below[i]) if known else ROOT
+            if x.text is None:
+                walk(x, at, inside, marked, known and at in menus)
+            elif inside and not (known and (menu or (at, text_hash(x.text)) in constants)):
+                blocks.append(x.text)
+
+    walk(tree, ROOT, False, False, False)
+    return "\n".join(blocks)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    loaded: dict[str, Wrapper] = {}
+    loaded: dict[str, tuple[frozenset, frozenset]] = {}
     for batch in batches:
         texts = []
-        for page, dump in zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist()):
-            if dump is not None and dump not in loaded:
-                if len(loaded) > 500:
+        columns = (batch.column(c) for c in ("html", "host", "mark", "constants", "menus"))
+        for page, host, mark, constants, menus in zip(*columns):
+            host = host.as_py()
+            if host not in loaded:
+                if len(loaded) > 5000:
                     loaded.clear()
-                loaded[dump] = Wrapper.load(dump)
-            texts.append(extract(page, loaded.get(dump)))
+                loaded[host] = frozenset((c["place"], c["text"]) for c in constants.as_py() or ()), frozenset(menus.as_py() or ())
+            texts.append(extract(page.as_py(), mark.as_py(), *loaded[host]))
         yield pa.record_batch(
             [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
             names=["page_id", "url", "text", "n_chars"],
@@ -395,8 +476,12 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of `pages` (page_id, url, html).
 
     Null and empty html have the empty text. A null or relative url belongs to the
-    empty host. Repeated rows come out each; other columns are not read.
+    empty host. Repeated rows come out each, and count once as evidence for a constant;
+    other columns are not read. In a marked article only adverts, forms, notices, menus
+    and comments go, so a text that all its pages share stays; elsewhere a text counts as
+    template from TEMPLATE_PAGES different pages on. Pages of any depth, length or number
+    of siblings take linear time.
     """
     wrappers = materialize(infer_wrappers(pages), "wrappers")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html", host_of().alias("host"))
-    return rows.join(wrappers, "host", "left").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return rows.join(rules(wrappers), "host", "left").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -321,15 +321,113 @@ def test_pages(spark):
     assert wrappers.main_texts(frame.limit(0)).count() == 0
 
 
-def test_template_text_is_left_out():
+def test_template_text_is_left_out(spark):
+    page = "<body><div><p class=by>Shared by Site</p><div><h2>T{i}</h2><p>text {i}</p><p>more {i}</p></div>{x}</div></body>"
+    odd = {3: "<blockquote>once</blockquote><pre>code</pre><h2>Conclusion</h2>", 5: "<h2>Conclusion</h2>"}
+    pages = [(i, "http://a.org/x", page.format(i=i, x=odd.get(i, ""))) for i in range(12)]
+    pages += [(100 + i, "http://few.org/x", page.format(i=i, x="")) for i in range(3)]
+    pages += [(200 + i, "http://art.org/x", f"<article><p>Constant</p><p>text {i}</p></article>") for i in range(12)]
+    pages += [(300 + i, "http://copies.org/x", page.format(i=0, x="")) for i in range(30)]
+    found = []
+    for parts in (1, 7):
+        frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(parts)
+        found.append({r.page_id: r.text for r in wrappers.main_texts(frame).collect()})
+    assert found[0] == found[1]
+    for i, text in found[0].items():
+        own = f"T{i % 100}\ntext {i % 100}\nmore {i % 100}"
+        if i < 12:
+            rest = {3: "\nonce\ncode\nConclusion", 5: "\nConclusion"}.get(i, "")
+            assert text == own + rest
+        elif i < 200:
+            assert text == "Shared by Site\n" + own
+        elif i < 300:
+            assert text == f"Constant\ntext {i - 200}"
+        else:
+            assert text == "Shared by Site\nT0\ntext 0\nmore 0"
+
+
+def test_repeated_groups_fold(spark):
+    assert wrappers.places(["h2", "p", "h2", "p", "x"]) == [("h2", 0), ("p", 0), ("h2", 0), ("p", 0), ("x", 0)]
+    assert wrappers.places(["p", "p", "h2", "p"]) == [("p", 0), ("p", 0), ("h2", 0), ("p", 1)]
+    pages = [(1, "//h", "<h1>a</h1><p>b</p><p>c</p>"), (2, "//h", "<h1>a</h1><p>d</p><div>e</div>")]
+    wrapper = wrappers.infer_wrappers(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    assert sorted(r.token for r in wrappers.expressions(wrapper).collect()) == ["#+", "=", "=", "div?", "h1", "p+"]
+
+
+def test_articles_keep_their_own_parts():
+    page = (
+        "<body><header><p>Site</p></header><article><header class='entry-header'><h1>Title</h1></header><div class='related-work'><p>Work</p></div>"
+        "<p>Press <button>Go</button> and <math><mi>x</mi></math> in <svg><text>fig</text></svg> or <object>obj</object>.</p>"
+        "<div class='ad-box'>Buy</div><form><p>Mail</p></form><section id=comments><p>said</p></section><p class=notice>Note</p></article></body>"
+    )
+    assert wrappers.extract(page) == "Title\nWork\nPress Go and x in fig or obj."
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    deep = "<article>" + "<div>" * 50_000 + "<p>deep</p>" + "<nav><p>menu</p></nav>" + "</div>" * 50_000 + "<p>end</p></article>"
+    assert wrappers.extract(deep) == "deep\nend"
+    assert wrappers.extract("<p>" + "<a " * 350_000).startswith("<a")
+    assert wrappers.extract("<p>x</p>" + "<a x='" * 170_001 + ">\"").startswith("x")
+    assert wrappers.extract("<p>x" + "<a ='\"" * 100_000 + "<b>y</b>").startswith("x")
+    assert wrappers.extract("<!--" * 200_000 + "<p>x") == "" and wrappers.extract("<script>" * 100_000) == ""
+    assert wrappers.extract("<article><p>don't <b title=it's>stop</b> it's</p></article>") == "don't stop it's"
+    unlike = "<article>" + "".join(f"<div class='k{chr(97 + i % 26)}{i:x}'><p>{i}</p></div>" for i in range(20_000)) + "</article>"
+    assert wrappers.extract(unlike).count("\n") == 19_999
+    assert wrappers.extract("<table>" + "<td>a<li>b" * 20_000).count("\n") > 1000
+    assert wrappers.extract("</div>" * 200_000 + "<p>x") == "x"
     site = wrappers.Wrapper()
-    pages = [f"<body><div><p class=by>Shared by Site</p><div><h2>T{i}</h2><p>text {i}</p><p>more {i}</p></div></div></body>" for i in range(12)]
-    for page in pages:
-        site.add(*wrappers.wrap(page))
-    again = wrappers.Wrapper.load(site.dump())
-    assert wrappers.extract(pages[3], again) == "T3\ntext 3\nmore 3"
-
-
-def test_repeated_groups_fold():
-    tree = wrappers.fold(wrappers.parse("<body>" + "<h2>a</h2><p>b</p>" * 4 + "</body>"))
-    assert [x.sign for x in tree.items[0].items] == ["(h2 p)"]
+    for page in (deep, unlike, unlike):
+        site.add(page)
+    assert time.perf_counter() - began < 60
+
+
+def slow_main_text(page):
+    """By the standard library's parser: the article's texts but for furniture elements."""
+    import html.parser
+
+    class Reader(html.parser.HTMLParser):
+        blocks, run, inside, skip, script = None, "", 0, 0, 0
+
+        def flush(self):
+            text = re.sub(r"\s+", " ", self.run).strip()
+            self.run = ""
+            if text:
+                self.blocks.append(text)
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "br":
+                self.run += " "
+            elif tag != "b":
+                self.flush()
+            self.inside += tag == "article"
+            self.skip += tag in ("nav", "aside", "footer", "form") or dict(attrs).get("class") in ("ad", "comments")
+            self.script += tag in ("script", "style")
+
+        def handle_endtag(self, tag):
+            if tag != "b":
+                self.flush()
+            self.inside -= tag == "article"
+            self.skip -= tag in ("nav", "aside", "footer", "form", "div", "section")
+            self.script -= tag in ("script", "style")
+
+        def handle_data(self, data):
+            if self.inside and not self.skip and not self.script:
+                self.run += data
+
+    reader = Reader()
+    reader.blocks = []
+    reader.feed(page)
+    reader.flush()
+    return "\n".join(reader.blocks)
+
+
+def test_pages_against_brute_force(spark):
+    from tests.conftest import DATA
+
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    html = {r.page_id: r.html for r in pages.collect()}
+    found = {r.page_id: r.text for r in wrappers.main_texts(pages).collect()}
+    assert found == {i: slow_main_text(p or "") for i, p in html.items()}
