@@ -1,25 +1,29 @@
-"""SimHash near-duplicates through pivot distance tables.
-
-Each document gets a 64-bit SimHash of its 3-word shingles. A table of Hamming
-distances to fixed reference fingerprints (the pivots) is computed once per
-distinct fingerprint. By the triangle inequality two fingerprints within `k` bits
-differ by at most `k` in every coordinate of the table; a pair with a larger
-coordinate difference is discarded, the survivors are verified bit by bit.
-
-Pairs are only formed inside buckets: of four 16-bit blocks at least two are equal
-for a pair within 2 bits, so every link is in one of six buckets of 32 equal bits.
-A bucket of more than `bucket_cap` distinct fingerprints forms no pairs; its
-fingerprints go an exact way whose size is linear: two fingerprints within 2 bits
-have a common string within 1 bit of both, and no string has more than 65
-fingerprints within 1 bit. No link is lost and no bucket is quadratic.
+"""SimHash near-duplicates through a pivot distance table.
+
+Each document gets a 64-bit SimHash of its 3-word shingles. For each distinct
+fingerprint a row of the pivot table is computed once: its Hamming distances to 61
+reference fingerprints, which are 0 and, in each of four 16-bit blocks, the 15 Walsh
+functions of that block.
+
+1. Candidates. A pair within 2 bits is equal in two blocks at least, and there its
+   distances to the block's pivots, less that to 0, are the same. Rows of the table
+   are equi-joined on these coordinates for each of the six choices of two blocks.
+2. Discarding. By the triangle inequality fingerprints within 2 bits differ by at
+   most 2 in every coordinate; a pair with a larger difference is discarded. (Within
+   a block of many differing bits some Walsh function always shows one.)
+3. Verifying. Survivors are compared bit by bit.
+
+A bucket of more than `bucket_cap` fingerprints forms no pairs. It gets pivots of its
+own: the strings within 1 bit of its members. Two members within 2 bits have one of
+them in common, at a distance of 1 at most from both; by the triangle inequality all
+members that near to a pivot are within 2 bits of each other, and there are at most
+65. So they link as a star, and the bucket's work is linear. No link is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
-from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +36,7 @@ from marquee.llm.shared import connected_components, materialize, utf8
 SHINGLE_WORDS = 3
 MAX_BITS = 2
 BUCKET_CAP = 64
-N_PIVOTS = 16
-#: XXH64 of the pivot's number under this seed is the pivot.
-PIVOT_SEED = 2024
+BLOCKS, BLOCK_BITS = 4, 16
 
 
 def fingerprint(text: bytes) -> int:
@@ -80,66 +82,76 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def _pivots() -> list[int]:
-    return [_signed(xxhash.xxh64_intdigest(str(i).encode(), PIVOT_SEED)) for i in range(N_PIVOTS)]
+def pivots() -> list[int]:
+    """The reference fingerprints: 0, then block by block 15 Walsh functions. Any two of a
+    block differ in half of its bits, so together they tell its bits apart."""
+    walsh = [sum(1 << i for i in range(BLOCK_BITS) if (i & j).bit_count() & 1) for j in range(1, BLOCK_BITS)]
+    return [0] + [row << BLOCK_BITS * block for block in range(BLOCKS) for row in walsh]
 
 
-def _pivot_columns() -> list[Column]:
-    """The row of the pivot table for `fp`: eight distances to a long, a byte each."""
-    pivots, out = _pivots(), []
-    for at in range(0, N_PIVOTS, 8):
-        packed = F.lit(0).cast("long")
-        for i, pivot in enumerate(pivots[at : at + 8]):
-            distance = F.bit_count(F.col("fp").bitwiseXOR(F.lit(pivot))).cast("long")
-            packed = packed.bitwiseOR(F.shiftleft(distance, 8 * i))
-        out.append(packed.alias(f"d{at // 8}"))
-    return out
-
-
-def _within(max_bits: int) -> Column:
-    """Whether no coordinate of the rows `a` and `b` differs by more than max_bits."""
-    near = []
-    for i in range(N_PIVOTS):
-        coordinate = lambda side: F.shiftrightunsigned(F.col(f"{side}.d{i // 8}"), 8 * (i % 8)).bitwiseAND(F.lit(127))  # noqa: B023, E731
-        near.append(F.abs(coordinate("a") - coordinate("b")) <= max_bits)
-    return reduce(and_, near)
+def pivot_table(distinct: DataFrame) -> DataFrame:
+    """(fp, distances): the Hamming distances of each fingerprint to the pivots, a byte each."""
+    distance = lambda p: F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(p)))).cast("byte")
+    return distinct.select("fp", F.array(*map(distance, pivots())).alias("distances"))
 
 
 def _bucket_keys() -> Column:
-    block = lambda i: F.shiftrightunsigned(F.col("fp"), 16 * i).bitwiseAND(F.lit(0xFFFF))
+    """For each two blocks a hash of the row's coordinates there, less that of pivot 0."""
+    at = lambda block: range(1 + (BLOCK_BITS - 1) * block, 1 + (BLOCK_BITS - 1) * (block + 1))
     keys = [
-        F.lit(n << 32).bitwiseOR(F.shiftleft(block(i), 16)).bitwiseOR(block(j))
-        for n, (i, j) in enumerate(combinations(range(4), 2))
+        F.xxhash64(F.lit(n), *[F.col("distances")[k] - F.col("distances")[0] for b in pair for k in at(b)])
+        for n, pair in enumerate(combinations(range(BLOCKS), 2))
     ]
     return F.explode(F.array(*keys))
 
 
+def _buckets(distinct: DataFrame) -> DataFrame:
+    """(key, fp, n, distances) of buckets of n > 1 fingerprints."""
+    table = materialize(pivot_table(distinct), "pivots")
+    keyed = materialize(table.select(_bucket_keys().alias("key"), "fp"), "keyed")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return materialize(keyed.join(sizes, "key").join(table, "fp"), "members")
+
+
+def _candidates(small: DataFrame) -> DataFrame:
+    """(u, v, discarded, bits) of the pairs of each bucket; a pair may be in several. bits is
+    null for what the coordinates discard."""
+    far = F.exists(F.zip_with("a.distances", "b.distances", lambda x, y: F.abs(x - y)), lambda d: d > MAX_BITS)
+    bits = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp")))
+    return (
+        small.alias("a")
+        .join(small.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")))
+        .select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"), far.alias("discarded"), F.when(~far, bits).alias("bits"))
+    )
+
+
+def pair_counts(distinct: DataFrame, bucket_cap: int = BUCKET_CAP) -> DataFrame:
+    """(considered, discarded, verified, linked): how many pairs of the buckets up to
+    `bucket_cap` are looked at, go by the coordinates, are compared, and link."""
+    members = _buckets(distinct)
+    return (
+        _candidates(members.where(F.col("n") <= bucket_cap))
+        .distinct()
+        .agg(
+            F.count("*").alias("considered"), F.count_if("discarded").alias("discarded"), F.count("bits").alias("verified"),
+            F.count_if(F.col("bits") <= MAX_BITS).alias("linked"),
+        )
+    )
+
+
 def links(distinct: DataFrame, bucket_cap: int = BUCKET_CAP) -> DataFrame:
     """Edges (u, v) whose components are those of all pairs of distinct `fp` values
     within 2 bits. Pairs of small buckets are all there; those of a large bucket
-    as stars around common 1-bit neighbours."""
-    table = distinct.select("fp", *_pivot_columns())
-    keyed = materialize(table.select(_bucket_keys().alias("key"), "fp", "d0", "d1"), "keyed")
-    sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    members = materialize(keyed.join(sizes, "key"), "members")
+    as stars around pivots that are within 1 bit."""
+    members = _buckets(distinct)
     small, large = members.where(F.col("n") <= bucket_cap), members.where(F.col("n") > bucket_cap)
-    pairs = (
-        small.alias("a")
-        .join(
-            small.alias("b"),
-            (F.col("a.key") == F.col("b.key"))
-            & (F.col("a.fp") < F.col("b.fp"))
-            & _within(MAX_BITS)
-            & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= MAX_BITS),
-        )
-        .select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
-    )
+    pairs = _candidates(small).where(~F.col("discarded") & (F.col("bits") <= MAX_BITS)).select("u", "v")
     near = [F.col("fp")] + [F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)]
     stars = (
         large.select("fp")
         .distinct()
-        .select("fp", F.explode(F.array(*near)).alias("z"))
-        .groupBy("z")
+        .select("fp", F.explode(F.array(*near)).alias("pivot"))
+        .groupBy("pivot")
         .agg(F.sort_array(F.collect_list("fp")).alias("fps"))  # at most 65
         .where(F.size("fps") > 1)
         .select(F.col("fps")[0].alias("u"), F.explode(F.slice("fps", 2, 64)).alias("v"))

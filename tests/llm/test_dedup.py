@@ -68,6 +68,23 @@ def test_simhash_of_near_fingerprints(spark):
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
 
 
+def test_pivots_find_and_discard(spark):
+    """Candidates come from the table's coordinates; nearly all of the wrong ones go by them."""
+    random.seed(3)
+    base = random.getrandbits(64)
+    prints = {base ^ sum(1 << random.randrange(64) for _ in range(k % 9)) & (1 << 64) - 1 for k in range(300)}
+    prints |= {random.getrandbits(64) for _ in range(200)}
+    near = sum((a ^ b).bit_count() <= 2 for i, a in enumerate(sorted(prints)) for b in sorted(prints)[:i])
+    frame = spark.createDataFrame([(simhash._signed(p),) for p in prints], "fp long")
+    counts = simhash.pair_counts(frame, 10_000).first()
+    assert counts.linked == near and counts.considered == counts.discarded + counts.verified
+    assert counts.discarded > 0.9 * (counts.considered - counts.linked) and counts.considered < len(prints) ** 2 / 4
+    table = {r.fp: r.distances for r in simhash.pivot_table(frame).collect()}
+    pivots = simhash.pivots()
+    assert len(set(pivots)) == 61
+    assert all(d == [((p & (1 << 64) - 1) ^ q).bit_count() for q in pivots] for p, d in table.items())
+
+
 def test_simhash_edges(docs_of):
     assert simhash.near_duplicates(docs_of([])).count() == 0
     rows = [(3, "a b c d"), (3, "a b c d"), (1, "a b c d"), (None, "x y z q")]
