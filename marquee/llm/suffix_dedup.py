@@ -5,19 +5,20 @@ enough. Of every 64 neighbouring 37-byte strings the one with the least hash is
 anchor; a 100-byte window has one anchor, and equal windows have equal anchors at
 the same place. The windows of one anchor form a segment.
 
-1. Equal segments (same anchor, same bytes) are found by 128 bits of hashes. Within
-   a task all but the first are settled at once, so however common a passage is, a
-   task sends it on once. The first ones meet in buckets of anchors; all but the
-   earliest are repeats.
-2. Where an anchor has several different segments, their windows may still agree in
-   part, at the borders of repeats. There the bytes are fetched. The suffixes
+1. Hashes only partition. Anchors meet in buckets; segments whose anchor is met once
+   have nothing to be compared with. Within a task a segment whose bytes are those of
+   an earlier one is settled at once, so however common a passage is, a task sends it
+   on once.
+2. Of the anchors met more than once the segments' bytes are fetched. The suffixes
    behind the anchor, and the reversed prefixes before it, are put in order by
    deep-shallow sorting; two windows are equal where both orders' common prefixes
-   reach far enough.
-3. An anchor with more than `group_cap` different segments is settled window by
-   window through 128-bit hashes instead, spread over all buckets.
+   reach far enough. All that is removed is removed because bytes were compared.
+3. An anchor with more than `group_cap` different segments is too much for one group.
+   Its windows are groups of their own: the whole window takes the anchor's place, and
+   they are spread over all buckets and put in order alike.
 
-Every window is compared, none is sampled: results are those of a full suffix array.
+Rows, not ids, are compared: a row is its doc_id and a hash of its text. Every window
+is compared, none is sampled: results are those of a full suffix array.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,13 +41,16 @@ WINDOW = 100
 GRAM, SPAN = 37, 64  # GRAM + SPAN - 1 == WINDOW
 #: Text to a bucket, and to one vectorised step (positions must fit POSITION_BITS).
 BUCKET_MB, POSITION_BITS = 16, 22
+#: Partitions of the shuffles; beyond, a task works through several buckets in a row.
+MOST_PARTITIONS = 20_000
 GROUP_CAP = 4096
 #: Segments that a task holds before it settles repeats among them.
 HELD_SEGMENTS = 4_000_000
 
-SEGMENT = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("lo", "<i4"), ("hi", "<i4"), ("at", "<i4")])
-RANGE = np.dtype([("doc", "<i8"), ("lo", "<i4"), ("hi", "<i4")])
-SEGMENTS, RANGES, PAYLOADS, WINDOWS = range(4)
+#: doc and sub name a row: its doc_id and the hash that sets it apart from others with that id.
+SEGMENT = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("sub", "<i8"), ("lo", "<i4"), ("hi", "<i4"), ("at", "<i4")])
+RANGE = np.dtype([("doc", "<i8"), ("sub", "<i8"), ("lo", "<i4"), ("hi", "<i4")])
+SEGMENTS, RANGES, PAYLOADS = range(3)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -96,10 +101,14 @@ def segments(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     return position[first], position[last], anchor[first], hashes[anchor[first]]
 
 
-def _pieces(doc_ids: list[int], texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
-    """Texts in lots for one step; a longer text in pieces, each window in one of them."""
+Lot = list[tuple[int, int, int, bytes]]
+
+
+def _pieces(docs: list[int], subs: list[int], texts: list[bytes]) -> Iterator[Lot]:
+    """Texts in lots (doc, sub, start, bytes) for one step; a longer text in pieces, each
+    window in one of them."""
     lot, size, most = [], 0, 1 << POSITION_BITS
-    for doc, text in zip(doc_ids, texts):
+    for doc, sub, text in zip(docs, subs, texts):
         if len(text) < WINDOW:
             continue
         for at in range(0, len(text) - WINDOW + 1, most - WINDOW):
@@ -107,7 +116,7 @@ def _pieces(doc_ids: list[int], texts: list[bytes]) -> Iterator[list[tuple[int,
             if size + len(piece) > most:
                 yield lot
                 lot, size = [], 0
-            lot.append((doc, at, piece))
+            lot.append((doc, sub, at, piece))
             size += len(piece)
             if len(text) <= most:
                 break
@@ -115,52 +124,54 @@ def _pieces(doc_ids: list[int], texts: list[bytes]) -> Iterator[list[tuple[int,
         yield lot
 
 
-def _cut(lot: list[tuple[int, int, bytes]]) -> np.ndarray:
-    """The segments of one lot, as records."""
-    joined = b"".join(p for _, _, p in lot)
-    ends = np.cumsum([len(p) for _, _, p in lot])
+def _cut(lot: Lot) -> tuple[np.ndarray, bytes, np.ndarray]:
+    """The segments of one lot as records, the lot's bytes, and where in them each segment starts."""
+    joined = b"".join(p for *_, p in lot)
+    ends = np.cumsum([len(p) for *_, p in lot])
     lo, hi, at, anchor = segments(np.frombuffer(joined, np.uint8), ends)
     text = np.searchsorted(ends, lo, side="right")
-    shift = (np.array([a for _, a, _ in lot]) - np.concatenate(([0], ends[:-1])))[text]
+    shift = (np.array([a for _, _, a, _ in lot]) - np.concatenate(([0], ends[:-1])))[text]
     out = np.empty(len(lo), SEGMENT)
     view, digest = memoryview(joined), xxhash.xxh3_64_intdigest
     out["content"] = np.fromiter(
         (digest(view[a : b + WINDOW]) for a, b in zip(lo.tolist(), hi.tolist())), np.uint64, len(lo)
     )
-    out["anchor"], out["doc"] = anchor, np.array([d for d, _, _ in lot])[text]
+    out["anchor"] = anchor
+    out["doc"], out["sub"] = np.array([d for d, *_ in lot])[text], np.array([x for _, x, *_ in lot])[text]
     out["lo"], out["hi"], out["at"] = lo + shift, hi + shift, at + shift
-    return out
+    return out, joined, lo
 
 
 def _order(a: np.ndarray, *keys: str) -> np.ndarray:
     return np.lexsort([a[k] for k in reversed(keys)])
 
 
-def _settle(held: np.ndarray, *same: str, place: str = "lo") -> tuple[np.ndarray, np.ndarray]:
-    """Sorted records, and which of them repeat an earlier one in the columns `same`."""
-    held = held[_order(held, *same, "doc", place)]
-    if not len(held):
-        return held, np.zeros(0, bool)
-    new = np.ones(len(held), bool)
-    new[1:] = np.logical_or.reduce([held[k][1:] != held[k][:-1] for k in same])
-    first = held[np.maximum.accumulate(np.where(new, np.arange(len(held)), 0))]
-    return held, (held["doc"] != first["doc"]) | (held[place] != first[place])
+def _alike(records: np.ndarray, *same: str) -> np.ndarray:
+    """For sorted records the place of the first of those that are equal in the columns `same`."""
+    new = np.ones(len(records), bool)
+    new[1:] = np.logical_or.reduce([records[k][1:] != records[k][:-1] for k in same])
+    return np.maximum.accumulate(np.where(new, np.arange(len(records)), 0)) if len(records) else np.zeros(0, np.int64)
 
 
-def _merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+def _merged(ranges: np.ndarray) -> np.ndarray:
     """Ranges of windows with neighbours joined."""
-    ranges = np.empty(len(doc), RANGE)
-    ranges["doc"], ranges["lo"], ranges["hi"] = doc, lo, hi
-    ranges = ranges[_order(ranges, "doc", "lo")]
+    ranges = ranges[_order(ranges, "doc", "sub", "lo")]
     if len(ranges) < 2:
         return ranges
-    gap = (ranges["doc"][1:] != ranges["doc"][:-1]) | (ranges["lo"][1:] != ranges["hi"][:-1] + 1)
+    gap = (ranges["doc"][1:] != ranges["doc"][:-1]) | (ranges["sub"][1:] != ranges["sub"][:-1]) | (ranges["lo"][1:] != ranges["hi"][:-1] + 1)
     first, last = np.concatenate(([True], gap)), np.concatenate((gap, [True]))
     out = ranges[first]
     out["hi"] = ranges["hi"][last]
     return out
 
 
+def _ranges(records: np.ndarray) -> np.ndarray:
+    out = np.empty(len(records), RANGE)
+    for k in RANGE.names:
+        out[k] = records[k]
+    return out
+
+
 def _blobs(kind: int, buckets: np.ndarray, records: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
     """Records by bucket, stored by column."""
     order = np.argsort(buckets, kind="stable")
@@ -193,11 +204,23 @@ def _blob_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 
 def _find_segments(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    def settle(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        records, repeats = _settle(np.concatenate(held), "anchor", "content")
-        again, rest = records[repeats], records[~repeats]
-        found = _merged(again["doc"], again["lo"], again["hi"])
-        rest = rest[_order(rest, "doc", "lo")]
+    def settle(held: list[tuple[np.ndarray, bytes, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        records = np.concatenate([r for r, _, _ in held])
+        lot = np.repeat(np.arange(len(held)), [len(r) for r, _, _ in held])
+        start = np.concatenate([x for _, _, x in held])
+        order = _order(records, "anchor", "content", "doc", "sub", "lo")
+        records, lot, start = records[order], lot[order], start[order]
+        first = _alike(records, "anchor", "content")
+        other = np.flatnonzero(first != np.arange(len(records)))
+        # equal hashes propose, equal bytes decide; the same window of a repeated row repeats nothing
+        lots = [x for _, x, _ in held]
+        length = records["hi"] - records["lo"] + WINDOW
+        place = zip(other.tolist(), lot[other].tolist(), start[other].tolist(), lot[first[other]].tolist(), start[first[other]].tolist(), length[other].tolist())
+        equal = np.zeros(len(records), bool)
+        equal[[i for i, l, a, m, b, n in place if lots[l][a : a + n] == lots[m][b : b + n]]] = True
+        same = np.logical_and.reduce([records[k] == records[k][first] for k in ("doc", "sub", "lo")])
+        found, rest = _merged(_ranges(records[equal & ~same])), records[~equal]
+        rest = rest[_order(rest, "doc", "sub", "lo")]
         for rows in (
             _blobs(RANGES, (found["doc"] % buckets).astype(np.int64), found),
             _blobs(SEGMENTS, ((rest["anchor"] >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64), rest),
@@ -207,9 +230,10 @@ def _find_segments(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[
 
     held, n = [], 0
     for batch in batches:
-        for lot in _pieces(batch.column("doc_id").to_pylist(), utf8(batch.column("text").to_pylist())):
+        docs, subs, texts = (batch.column(c).to_pylist() for c in ("__doc", "__sub", "text"))
+        for lot in _pieces(docs, subs, utf8(texts)):
             held.append(_cut(lot))
-            n += len(held[-1])
+            n += len(held[-1][0])
             if n >= HELD_SEGMENTS:
                 yield from settle(held)
                 held, n = [], 0
@@ -217,103 +241,144 @@ def _find_segments(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[
         yield from settle(held)
 
 
-FOUND_SCHEMA = "doc_id long, lo int, hi int, at int, anchor long, large boolean"
+FOUND_SCHEMA = "doc long, sub long, lo int, hi int, at int, anchor long, large boolean"
 
 
 def _found(ranges: np.ndarray, at: np.ndarray | None = None, anchor: np.ndarray | None = None, large: np.ndarray | None = None) -> pa.RecordBatch:
     n = len(ranges)
     return pa.record_batch(
         [
-            pa.array(ranges["doc"]), pa.array(ranges["lo"]), pa.array(ranges["hi"]),
+            *(pa.array(np.ascontiguousarray(ranges[k])) for k in RANGE.names),
             pa.nulls(n, pa.int32()) if at is None else pa.array(at),
             pa.nulls(n, pa.int64()) if anchor is None else pa.array(anchor.view(np.int64)),
             pa.nulls(n, pa.bool_()) if large is None else pa.array(large),
         ],
-        names=["doc_id", "lo", "hi", "at", "anchor", "large"],
-    )
+        names=["doc", "sub", "lo", "hi", "at", "anchor", "large"],
+    )
 
 
-def _blobs_by_kind(batches: Iterator[pa.RecordBatch]) -> dict[int, list[bytes]]:
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, list[bytes]]]:
+    """The blobs of one bucket after the other, by kind; rows come sorted by bucket."""
     found: dict[int, list[bytes]] = {}
+    current = None
     for batch in batches:
-        for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob").to_pylist()):
+        for bucket, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "blob"))):
+            if bucket != current and found:
+                yield found
+                found = {}
+            current = bucket
             found.setdefault(kind, []).append(blob)
-    return found
+    if found:
+        yield found
 
 
 def _match_segments(batches: Iterator[pa.RecordBatch], group_cap: int) -> Iterator[pa.RecordBatch]:
-    """Repeats among a bucket's segments (no anchor), and the segments of anchors
-    with several different ones (with anchor)."""
-    blobs = _blobs_by_kind(batches)
-    yield _found(_records(blobs.pop(RANGES, []), RANGE))
-    records, repeats = _settle(_records(blobs.pop(SEGMENTS, []), SEGMENT), "anchor", "content")
-    again = records[repeats]
-    yield _found(_merged(again["doc"], again["lo"], again["hi"]))
-    # repeated rows of one document are one segment
-    new = np.ones(len(records), bool)
-    new[1:] = (records["anchor"][1:] != records["anchor"][:-1]) | (records["content"][1:] != records["content"][:-1])
-    firsts = records[new]
-    if len(firsts):
-        start = np.concatenate(([True], firsts["anchor"][1:] != firsts["anchor"][:-1]))
-        sizes = np.diff(np.append(np.flatnonzero(start), len(firsts)))
-        size = np.repeat(sizes, sizes)
-        several = firsts[size > 1]
-        ranges = np.empty(len(several), RANGE)
-        for k in RANGE.names:
-            ranges[k] = several[k]
-        yield _found(ranges, several["at"].copy(), several["anchor"].copy(), size[size > 1] > group_cap)
+    """Repeats settled before (no anchor), and the segments of anchors met more than once (with anchor)."""
+    for blobs in _by_bucket(batches):
+        yield _found(_records(blobs.pop(RANGES, []), RANGE))
+        records = _records(blobs.pop(SEGMENTS, []), SEGMENT)
+        records = records[_order(records, "anchor", "content", "doc", "sub", "lo")]
+        if not len(records):
+            continue
+        # repeated rows of one document are one segment
+        again = _alike(records, "anchor", "content", "doc", "sub", "lo") != np.arange(len(records))
+        records = records[~again]
+        of_anchor = _alike(records, "anchor")
+        sizes = np.bincount(of_anchor, minlength=len(records))[of_anchor]
+        different = np.bincount(of_anchor[_alike(records, "anchor", "content") == np.arange(len(records))], minlength=len(records))[of_anchor]
+        several = sizes > 1
+        chosen = records[several]
+        yield _found(_ranges(chosen), chosen["at"].copy(), chosen["anchor"].copy(), different[several] > group_cap)
 
 
-WINDOW_ROW = np.dtype([("high", "<u8"), ("low", "<u8"), ("doc", "<i8"), ("lo", "<i4")])
-PAYLOAD_HEAD = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("lo", "<i4"), ("hi", "<i4"), ("at", "<i4")])
+PAYLOAD_HEAD = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("sub", "<i8"), ("lo", "<i4"), ("hi", "<i4"), ("at", "<i4")])
 
 
 def _fetch(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """The bytes of candidate segments, or of a large anchor's the hashes of windows."""
+    """The bytes of the wanted segments; of a large anchor's those of each window, once a task."""
+    seen: dict[bytes, tuple[int, int, int]] = {}
     for batch in batches:
-        heads: list[tuple] = []
-        windows: list[tuple] = []
         rows: dict[int, list[bytes]] = {}
-        for doc, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "wanted"))):
+        repeats: list[tuple[int, int, int, int]] = []
+
+        def put(anchor: int, doc: int, sub: int, lo: int, hi: int, at: int, part: bytes) -> None:
+            head = np.array((anchor, doc, sub, lo, hi, at), PAYLOAD_HEAD).tobytes()
+            rows.setdefault((anchor >> 8) % buckets, []).append(head + part)
+
+        for doc, sub, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("__doc", "__sub", "text", "wanted"))):
             data = (text or "").encode("utf-8", "surrogatepass")
             for w in wanted:
-                anchor, lo, hi, at = w["anchor"] & 0xFFFFFFFFFFFFFFFF, w["lo"], w["hi"], w["at"]
-                if hi + WINDOW > len(data):  # of another row with the same doc_id
+                lo, hi = w["lo"], w["hi"]
+                if hi + WINDOW > len(data):  # another row under the same hash
+                    continue
+                if not w["large"]:
+                    put(w["anchor"] & 0xFFFFFFFFFFFFFFFF, doc, sub, lo, hi, w["at"], data[lo : hi + WINDOW])
                     continue
-                if w["large"]:
-                    for p in range(lo, hi + 1):
-                        h = xxhash.xxh3_128_intdigest(data[p : p + WINDOW])
-                        windows.append((h >> 64, h & 0xFFFFFFFFFFFFFFFF, doc, p))
-                else:
-                    head = np.array((anchor, doc, lo, hi, at), PAYLOAD_HEAD).tobytes()
-                    rows.setdefault((anchor >> 8) % buckets, []).append(head + data[lo : hi + WINDOW])
-        out = [(b, PAYLOADS, b"".join(x)) for b, x in rows.items()]
-        if windows:
-            records, repeats = np.array(windows, WINDOW_ROW), None
-            records, repeats = _settle(records, "high", "low")
-            again, rest = records[repeats], records[~repeats]
-            ranges = _merged(again["doc"], again["lo"], again["lo"])
-            out += _blobs(RANGES, (ranges["doc"] % buckets).astype(np.int64), ranges)
-            out += _blobs(WINDOWS, (rest["high"] % np.uint64(buckets)).astype(np.int64), rest)
-        for row in out:
+                for p in range(lo, hi + 1):
+                    window, here = data[p : p + WINDOW], (doc, sub, p)
+                    first = seen.get(window)
+                    if first is not None and first <= here:
+                        if first < here:
+                            repeats.append((doc, sub, p, p))
+                        continue
+                    if len(seen) < HELD_SEGMENTS // 8:
+                        seen[window] = here
+                    put(xxhash.xxh3_64_intdigest(window), doc, sub, p, p, p, window)
+        out = [(b, PAYLOADS, zstandard.compress(b"".join(x), 1)) for b, x in rows.items()]
+        ranges = _merged(np.array(repeats, RANGE))
+        for row in [*out, *_blobs(RANGES, (ranges["doc"] % buckets).astype(np.int64), ranges)]:
             yield _blob_batch([row])
 
 
-def match_group(group: list[tuple[int, int, int, int, bytes]]) -> list[tuple[int, int, int]]:
+Segment = tuple[tuple[int, int], int, int, int, bytes]
+
+
+def match_group(group: list[Segment]) -> list[tuple[int, int, int, int]]:
     """Ranges of repeated windows among segments of one anchor.
 
-    A segment is (doc, lo, hi, at, bytes of lo .. hi + WINDOW); a range (doc, lo, hi).
+    A segment is (row, lo, hi, at, bytes of lo .. hi + WINDOW), where a row is (doc, sub); a
+    range (doc, sub, lo, hi).
     """
     group = sorted(group)
     behind = [g[4][g[3] - g[1] :] for g in group]
     before = [g[4][: g[3] - g[1]][::-1] for g in group]
-    n, out = len(group), []
     orders = [deep_shallow_order(x) for x in (behind, before)]
     shared = [[common_prefix(x[i], x[j]) for i, j in zip(o, o[1:])] for x, o in zip((behind, before), orders)]
+    # segments of equal bytes are neighbours in both orders; the earliest stands for them
+    classes = []
+    for order, common, strings in zip(orders, shared, (behind, before)):
+        number, of = 0, [0] * len(group)
+        for k, i in enumerate(order):
+            if k and not (common[k - 1] == len(strings[i]) == len(strings[order[k - 1]])):
+                number += 1
+            of[i] = number
+        classes.append(of)
+    first: dict[tuple[int, int], int] = {}
+    out, kept = [], []
+    for i, (row, lo, hi, at, _) in enumerate(group):
+        j = first.setdefault((classes[0][i], classes[1][i]), i)
+        if j == i:
+            kept.append(i)
+        elif (group[j][0], group[j][3]) != (row, at):
+            out.append((*row, lo, hi))
+    if len(kept) < 2:
+        return out
+    stands = set(kept)
+    for k, order in enumerate(orders):
+        ends = [x for x, i in enumerate(order) if i in stands]
+        shared[k] = [min(shared[k][a:b]) for a, b in zip(ends, ends[1:])]
+        orders[k] = [order[x] for x in ends]
+    number = {i: k for k, i in enumerate(kept)}
+    return out + _different([group[i] for i in kept], [[number[i] for i in o] for o in orders], shared)
+
+
+def _different(group: list[Segment], orders: list[list[int]], shared: list[list[int]]) -> list[tuple[int, int, int, int]]:
+    """Ranges of repeated windows among different segments of one anchor, in both orders."""
+    n, out = len(group), []
     if n <= 4:
         places = [{i: k for k, i in enumerate(o)} for o in orders]
         for j in range(1, n):
-            doc, lo, hi, at, _ = group[j]
+            row, lo, hi, at, _ = group[j]
             for i in range(j):
                 reach = []
                 for place, common in zip(places, shared):
@@ -321,12 +386,12 @@ def match_group(group: list[tuple[int, int, int, int, bytes]]) -> list[tuple[int
                     reach.append(min(common[a:b]))
                 # a window that starts t before the anchor needs t bytes before it, WINDOW - t behind
                 most, least = min(reach[1], at - lo), max(WINDOW - reach[0], at - hi)
-                same_place = group[i][0] == doc and group[i][3] == at
-                if least <= most and not same_place:
-                    out.append((doc, at - most, at - least))
+                if least <= most and (group[i][0], group[i][3]) != (row, at):
+                    out.append((*row, at - most, at - least))
         return out
     lo, hi, at = (np.array([g[k] for g in group]) for k in (1, 2, 3))
-    docs = np.array([g[0] for g in group])
+    rows = [g[0] for g in group]
+    row_number = np.cumsum([0, *(a != b for a, b in zip(rows, rows[1:]))])
     before_anchor = np.arange(int((at - hi).min()), int((at - lo).max()) + 1)
     classes = []
     for order, common, need in zip(orders, shared, (WINDOW - before_anchor, before_anchor)):
@@ -338,63 +403,73 @@ def match_group(group: list[tuple[int, int, int, int, bytes]]) -> list[tuple[int
     window = at[None, :] - before_anchor[:, None]
     valid = (window >= lo) & (window <= hi)
     key = (np.arange(len(before_anchor))[:, None] * n + classes[0]) * n + classes[1]
-    rows, columns = np.nonzero(valid)  # row by row, so in the order of the group
-    keys = key[rows, columns]
+    steps, columns = np.nonzero(valid)  # step by step, so in the order of the group
+    keys = key[steps, columns]
     _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
     earliest = columns[first][inverse]
-    again = (docs[earliest] != docs[columns]) | (at[earliest] != at[columns])
-    return [(int(docs[c]), int(w), int(w)) for c, w in zip(columns[again], window[rows, columns][again])]
+    again = (row_number[earliest] != row_number[columns]) | (at[earliest] != at[columns])
+    return [(*rows[c], w, w) for c, w in zip(columns[again].tolist(), window[steps, columns][again].tolist())]
 
 
 def _match_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    blobs = _blobs_by_kind(batches)
-    yield _found(_records(blobs.pop(RANGES, []), RANGE))
-    records, repeats = _settle(_records(blobs.pop(WINDOWS, []), WINDOW_ROW), "high", "low")
-    again = records[repeats]
-    yield _found(_merged(again["doc"], again["lo"], again["lo"]))
-    groups: dict[int, list[tuple]] = {}
-    for blob in blobs.pop(PAYLOADS, []):
-        at = 0
-        while at < len(blob):
-            anchor, doc, lo, hi, place = np.frombuffer(blob, PAYLOAD_HEAD, 1, at)[0].item()
-            at += PAYLOAD_HEAD.itemsize
-            groups.setdefault(anchor, []).append((doc, lo, hi, place, blob[at : at + hi - lo + WINDOW]))
-            at += hi - lo + WINDOW
-    found = [r for group in groups.values() if len(group) > 1 for r in match_group(group)]
-    if found:
-        columns = [np.array(c) for c in zip(*found)]
-        ranges = np.empty(len(found), RANGE)
-        for k, c in zip(RANGE.names, columns):
-            ranges[k] = c
-        yield _found(ranges)
-
-
-def repeated_windows(docs: DataFrame, group_cap: int = GROUP_CAP, buckets: int | None = None) -> DataFrame:
-    """(doc_id, lo, hi): the windows starting at bytes lo .. hi of the document also
-    start earlier, in a document with a smaller doc_id or further ahead in the same."""
-    texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
-    if buckets is None:
-        size = texts.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-        buckets = max(32, -(-size // (BUCKET_MB << 20)))
+    for blobs in _by_bucket(batches):
+        yield _found(_records(blobs.pop(RANGES, []), RANGE))
+        groups: dict[int, list[Segment]] = {}
+        for packed in blobs.pop(PAYLOADS, []):
+            blob, at = zstandard.decompress(packed), 0
+            while at < len(blob):
+                anchor, doc, sub, lo, hi, place = np.frombuffer(blob, PAYLOAD_HEAD, 1, at)[0].item()
+                at += PAYLOAD_HEAD.itemsize
+                groups.setdefault(anchor, []).append(((doc, sub), lo, hi, place, blob[at : at + hi - lo + WINDOW]))
+                at += hi - lo + WINDOW
+        found = [r for group in groups.values() if len(group) > 1 for r in match_group(group)]
+        if found:
+            yield _found(_merged(np.array(found, RANGE)))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """`docs` with what names a row: __doc, its doc_id (null after all others), and __sub."""
+    none = F.col("doc_id").isNull()
+    return docs.withColumns(
+        {"__doc": F.when(none, F.lit((1 << 63) - 1)).otherwise(F.col("doc_id").cast("long")), "__sub": F.xxhash64("text", none)}
+    )
+
+
+def bucket_count(docs: DataFrame) -> int:
+    """Buckets of about BUCKET_MB of the texts' bytes."""
+    size = docs.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(32, -(-size // (BUCKET_MB << 20)))
+
+
+def repeated_windows(keyed: DataFrame, group_cap: int = GROUP_CAP, buckets: int | None = None) -> DataFrame:
+    """(doc, sub, lo, hi): the windows starting at bytes lo .. hi of the row also start
+    earlier, in a row before it or further ahead in the same. `keyed` is from _keyed()."""
+    texts = keyed.select("__doc", "__sub", "text").where("text is not null")
+    buckets = bucket_count(texts) if buckets is None else buckets
+    parts = min(buckets, MOST_PARTITIONS)
     found = materialize(
         texts.mapInArrow(partial(_find_segments, buckets=buckets), BLOB_SCHEMA)
-        .repartition(buckets, "bucket")
+        .repartition(parts, "bucket")
+        .sortWithinPartitions("bucket")
         .mapInArrow(partial(_match_segments, group_cap=group_cap), FOUND_SCHEMA),
         "segments",
     )
     wanted = (
         found.where("anchor is not null")
-        .groupBy("doc_id")
+        .repartition(parts, "doc", "sub")
+        .groupBy("doc", "sub")
         .agg(F.collect_list(F.struct("anchor", "lo", "hi", "at", "large")).alias("wanted"))
     )
     borders = (
-        texts.join(wanted, "doc_id")
+        texts.repartition(parts, "__doc", "__sub")
+        .join(wanted, (F.col("__doc") == F.col("doc")) & (F.col("__sub") == F.col("sub")))
         .mapInArrow(partial(_fetch, buckets=buckets), BLOB_SCHEMA)
-        .repartition(buckets, "bucket")
+        .repartition(parts, "bucket")
+        .sortWithinPartitions("bucket")
         .mapInArrow(_match_windows, FOUND_SCHEMA)
     )
     ranges = found.where("anchor is null").unionByName(borders)
-    return ranges.select("doc_id", "lo", "hi")
+    return ranges.select("doc", "sub", "lo", "hi")
 
 
 def spans(ranges: list[tuple[int, int]], n_bytes: int) -> list[tuple[int, int]]:
@@ -411,10 +486,18 @@ def spans(ranges: list[tuple[int, int]], n_bytes: int) -> list[tuple[int, int]]:
 
 
 def _with_ranges(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of `docs` with the ranges of their document."""
-    found = repeated_windows(docs).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("__ranges"))
-    found = found.withColumnRenamed("doc_id", "__doc")
-    return docs.join(found, F.col("doc_id").cast("long") == F.col("__doc"), "left").select(*columns, "__ranges")
+    """Rows of `docs` with the ranges of their windows, both sides dealt to as many partitions as texts need."""
+    keyed = _keyed(docs)
+    buckets = bucket_count(keyed)
+    parts = min(buckets, MOST_PARTITIONS)
+    found = repeated_windows(keyed, buckets=buckets).repartition(parts, "doc", "sub").groupBy("doc", "sub").agg(
+        F.collect_list(F.struct("lo", "hi")).alias("__ranges")
+    ).withColumnsRenamed({"doc": "__at_doc", "sub": "__at_sub"})
+    # texts without a window need no ranges, so nulls and stubs are dealt anywhere, however many are alike
+    windowed = F.coalesce(F.octet_length("text"), F.lit(0)) >= WINDOW
+    keyed = keyed.withColumn("__sub", F.when(windowed, F.col("__sub")).otherwise(F.monotonically_increasing_id()))
+    same = (F.col("__doc") == F.col("__at_doc")) & (F.col("__sub") == F.col("__at_sub"))
+    return keyed.repartition(parts, "__doc", "__sub").join(found, same, "left").select(*[F.col(f"`{c}`") for c in columns], "__ranges")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -437,9 +520,9 @@ def repeat_report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of `docs`.
 
     Null text is empty. Texts under 100 bytes lose nothing. Rows with equal doc_id
-    and text count as one document and get equal results; if rows with the same
-    doc_id have different texts, their results are not defined. A null doc_id is
-    compared with nothing. Other columns are not read.
+    and text count as one document and get equal results. Rows with the same doc_id
+    and different texts are documents of their own, ordered by a hash of the text; a
+    null doc_id comes after all others. Other columns are not read.
     """
     return _with_ranges(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long"), "text", "__ranges").mapInArrow(
         _digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -472,7 +555,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """`docs` with repeated passages cut out of text (and n_chars set anew where it is
-    a column). A document left without a word goes."""
+    a column). Rows are told apart as in repeat_report(). A document left without a word goes."""
     rest = [c for c in docs.columns if c != "text"]
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest), "text string"])
     cut = _with_ranges(docs, docs.columns).mapInArrow(_texts, schema)

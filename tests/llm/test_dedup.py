@@ -120,23 +120,33 @@ def test_deep_shallow_order():
 
 
 def slow_repeats(rows):
+    """By row: (doc_id, text) -> result; null ids come last, equal ids are ordered by the text's hash."""
     first, out = {}, {}
-    for doc, text in sorted(rows):
+    order = suffix_order(rows)
+    for n, (doc, text) in enumerate(order):
         data = (text or "").encode()
         for p in range(len(data) - 99):
-            first.setdefault(data[p : p + 100], (doc, p))
-    for doc, text in rows:
+            first.setdefault(data[p : p + 100], (n, p))
+    for n, (doc, text) in enumerate(order):
         data = (text or "").encode()
         gone = bytearray(len(data))
         for p in range(len(data) - 99):
-            if first[data[p : p + 100]] < (doc, p):
+            if first[data[p : p + 100]] < (n, p):
                 gone[p : p + 100] = b"\1" * 100
         kept = bytes(c for c, g in zip(data, gone) if not g)
         runs = sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1]))
-        out[doc] = (len(data), sum(gone), runs, hashlib.sha256(kept).hexdigest())
+        out[doc, text] = (len(data), sum(gone), runs, hashlib.sha256(kept).hexdigest())
     return out
 
 
+def suffix_order(rows):
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    keyed = suffix_dedup._keyed(spark.createDataFrame(sorted(set(rows), key=str), "doc_id long, text string"))
+    return [(r.doc_id, r.text) for r in sorted(keyed.collect(), key=lambda r: (r["__doc"], r["__sub"]))]
+
+
 def passages():
     random.seed(9)
     base = "".join(random.choice("abcdefgh é") for _ in range(3000))
@@ -149,29 +159,65 @@ def passages():
     return rows + [(500, "a" * 1000), (501, "ab" * 400), (502, "a" * 99), (503, ""), (504, "abc" * 300), (505, "abc" * 300 + "x"), (506, None)]
 
 
+def reported(docs):
+    found = {}
+    for r, text in ((r, r.text) for r in suffix_dedup.repeat_report(docs).join(docs.select("doc_id", "text").distinct(), "doc_id").collect()):
+        found[r.doc_id, text] = (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)
+    return found
+
+
 @pytest.mark.parametrize("cap", [1, suffix_dedup.GROUP_CAP])
 def test_repeats(docs_of, monkeypatch, cap):
     plain = suffix_dedup.repeated_windows
-    monkeypatch.setattr(suffix_dedup, "repeated_windows", lambda docs: plain(docs, group_cap=cap))
+    monkeypatch.setattr(suffix_dedup, "repeated_windows", lambda docs, buckets: plain(docs, cap, buckets))
     rows = passages()
-    found = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.repeat_report(docs_of(rows, 5)).collect()}
-    assert found == slow_repeats(rows)
+    assert reported(docs_of(rows, 5)) == slow_repeats(rows)
 
 
 def test_texts_longer_than_a_step(docs_of, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "POSITION_BITS", 10)
+    monkeypatch.setattr(suffix_dedup, "MOST_PARTITIONS", 3)
     rows = [(i, t) for i, t in passages() if t] + [(900, passages()[0][1] * 9), (901, "ab" * 3000)]
-    found = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.repeat_report(docs_of(rows, 2)).collect()}
-    assert found == slow_repeats(rows)
+    assert reported(docs_of(rows, 2)) == slow_repeats(rows)
+
+
+def test_bytes_decide_not_hashes(docs_of, monkeypatch):
+    """With a content hash that is always the same, and few anchors, results do not change."""
+    monkeypatch.setattr(suffix_dedup.xxhash, "xxh3_64_intdigest", lambda _: 7)
+    rows = passages()
+    lots = [(i, 0, 0, (t or "").encode()) for i, t in rows if len((t or "").encode()) >= 100]
+    records, _, _ = suffix_dedup._cut(lots)
+    assert (records["content"] == 7).all()
+    blobs = list(suffix_dedup._find_segments(iter([suffix_dedup.pa.record_batch(
+        [[i for i, *_ in lots], [0] * len(lots), [t.decode() for *_, t in lots]], names=["__doc", "__sub", "text"])]), 4))
+    ranges = suffix_dedup._records([b.column("blob")[0].as_py() for b in blobs if b.column("kind")[0].as_py() == suffix_dedup.RANGES], suffix_dedup.RANGE)
+    data, first = {i: t for i, _, _, t in lots}, {}
+    for i in sorted(data):
+        for p in range(len(data[i]) - 99):
+            first.setdefault(data[i][p : p + 100], (i, p))
+    for doc, _, lo, hi in ranges.tolist():
+        assert all(first[data[doc][p : p + 100]] < (doc, p) for p in range(lo, hi + 1))
+
+
+def test_rows_with_one_id_are_told_apart(docs_of):
+    random.seed(8)
+    x, y = ("".join(random.choice("abcdefgh ") for _ in range(300)) for _ in range(2))
+    rows = [(1, x), (4, y), (4, x + y), (None, y + x), (None, x), (7, y), (4, y)]
+    expected = slow_repeats(rows)
+    docs = docs_of(rows)
+    report = suffix_dedup.repeat_report(docs).collect()
+    assert sorted((r.doc_id or -1, r.n_bytes, r.n_removed) for r in report) == sorted((i or -1, *expected[i, t][:2]) for i, t in rows)
+    kept = " ".join(r.text for r in suffix_dedup.drop_repeats(docs).collect())
+    assert x in kept and y in kept
 
 
 def test_repeat_edges(docs_of):
     assert suffix_dedup.repeat_report(docs_of([])).count() == 0
     random.seed(1)
     long = "".join(random.choice("abcdefgh ") for _ in range(300))
-    rows = docs_of([(4, long), (4, long), (None, long), (9, "é" + long)])
+    rows = docs_of([(4, long), (4, long), (None, long), (9, "é" + long), (None, None), (None, None)])
     found = sorted((r.doc_id or -1, r.n_removed) for r in suffix_dedup.repeat_report(rows).collect())
-    assert found == [(-1, 0), (4, 0), (4, 0), (9, 300)]
+    assert found == [(-1, 0), (-1, 0), (-1, 300), (4, 0), (4, 0), (9, 300)]
     frame = docs_of([(1, long), (2, "début " + long), (3, long)])
     kept = {r.doc_id: r for r in suffix_dedup.drop_repeats(frame).collect()}
     assert kept.keys() == {1, 2} and kept[2].text == "début " and kept[2].n_chars == 6
