@@ -3,8 +3,8 @@
 Every letter has a random vector of +1 and -1, drawn from its code point. A
 trigram is bound from the vectors of its three letters, the first permuted twice
 (rotated), the second once. A text bundles (adds up) the vectors of its trigrams, a
-language the texts of its documents, each with the same weight. A document gets
-the language whose prototype has the largest cosine to it.
+language the bundles of its documents, each divided by its number of trigrams so that
+all weigh the same. A document gets the language whose prototype has the largest cosine to it.
 
 Bundles are exact integers, so results do not depend on the order of rows.
 """
@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 DIMENSIONS = 1024
 FOLDS = 5
 SEED = 7
-#: A training document's trigrams share this weight.
+#: A training document's bundle is divided by its trigrams in units of one to this.
 DOC_WEIGHT = 1 << 24
-#: Letters held at once, and trigrams whose vectors are held at once.
+#: Letters held at once (a longer text is worked on in parts), and trigrams whose vectors are held at once.
 BATCH_LETTERS, BATCH_TRIGRAMS = 1 << 20, 4096
 
 
@@ -53,56 +53,53 @@ class Letters:
 
 
 def pack_trigrams(text: str, is_letter: np.ndarray) -> np.ndarray:
-    """One trigram for every letter: what stands before it, it, what stands behind;
-    lower case, anything but letters is a space."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    """One trigram for every letter but the first and last character of `text`, which is in
+    lower case: what stands before it, it, what stands behind; anything but letters is
+    a space."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
     letters = np.where(is_letter[points], points, 32).astype(np.uint64)
-    padded = np.concatenate(([np.uint64(32)], letters, [np.uint64(32)]))
-    packed = (padded[:-2] << np.uint64(42)) | (padded[1:-1] << np.uint64(21)) | padded[2:]
-    return packed[letters != 32]
+    packed = (letters[:-2] << np.uint64(42)) | (letters[1:-1] << np.uint64(21)) | letters[2:]
+    return packed[letters[1:-1] != 32]
 
 
-def bundles(
-    texts: list[str | None], letters: Letters, is_letter: np.ndarray, groups: list[int] | None = None
-) -> tuple[np.ndarray, np.ndarray]:
-    """Per text the bundle of its trigrams and their number; with `groups`, per group
-    of texts, where the trigrams of each text share DOC_WEIGHT by its length."""
-    rows = groups if groups is not None else list(range(len(texts)))
-    sums = np.zeros((max(rows, default=-1) + 1, letters.dimensions), np.int64)
-    counts = np.zeros(len(sums), np.int64)
-    held: list[tuple[int, int, np.ndarray]] = []
+def text_trigrams(text: str | None, is_letter: np.ndarray) -> Iterator[np.ndarray]:
+    """The trigrams of a whole text, part by part; neighbouring parts overlap by two
+    characters, so the parts' trigrams are those of the text."""
+    padded, step = f" {(text or '').lower()} ", BATCH_LETTERS // 2
+    for at in range(0, len(padded) - 2, step):
+        yield pack_trigrams(padded[at : at + step + 2], is_letter)
+
+
+def bundles(texts: list[str | None], letters: Letters, is_letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per text the bundle of its trigrams and their number, as exact integers."""
+    sums, counts = np.zeros((len(texts), letters.dimensions), np.int64), np.zeros(len(texts), np.int64)
+    held: list[tuple[int, np.ndarray]] = []
 
     def add() -> None:
-        codes = np.concatenate([x for _, _, x in held])
-        lengths = [len(x) for _, _, x in held]
-        local, row = np.unique(np.array([i for i, _, _ in held]), return_inverse=True)
-        row = np.repeat(row, lengths)
-        weight = np.repeat(np.array([w for _, w, _ in held], np.float64), lengths)
+        codes = np.concatenate([x for _, x in held])
+        local, row = np.unique(np.array([i for i, _ in held]), return_inverse=True)
+        row = np.repeat(row, [len(x) for _, x in held])
         order = np.argsort(codes)
-        codes, row, weight = codes[order], row[order], weight[order]
+        codes, row = codes[order], row[order]
         first = np.concatenate(([True], codes[1:] != codes[:-1]))
         number, unique = np.cumsum(first) - 1, codes[first]
         for at in range(0, len(unique), BATCH_TRIGRAMS):
             lo, hi = np.searchsorted(number, (at, at + BATCH_TRIGRAMS))
             vectors = letters.trigrams(unique[at : at + BATCH_TRIGRAMS])
             cells = row[lo:hi] * len(vectors) + number[lo:hi] - at
-            table = np.bincount(cells, weight[lo:hi], len(local) * len(vectors)).reshape(len(local), -1)
-            if groups is None:  # counts below 2**24 are exact in single precision
-                sums[local] += (table.astype(np.float32) @ vectors).astype(np.int64)
-            else:
-                sums[local] += (table @ vectors.astype(np.float64)).astype(np.int64)
+            table = np.bincount(cells, minlength=len(local) * len(vectors)).reshape(len(local), -1)
+            # sums below 2**24 are exact in single precision
+            sums[local] += (table.astype(np.float32) @ vectors).astype(np.int64)
         counts[local] += np.bincount(row, minlength=len(local))
         held.clear()
 
     room = 0
-    for i, text in zip(rows, texts):
-        weight = 1 if groups is None else DOC_WEIGHT // max(1, len(text or ""))
-        for at in range(0, len(text or ""), BATCH_LETTERS // 2):
-            codes = pack_trigrams(text[at : at + BATCH_LETTERS // 2], is_letter)
+    for i, text in enumerate(texts):
+        for codes in text_trigrams(text, is_letter):
             if len(codes):
-                held.append((i, weight, codes))
+                held.append((i, codes))
                 room += len(codes)
-            if room >= BATCH_LETTERS or groups is None and len(held) >= 128:
+            if room >= BATCH_LETTERS or len(held) >= 128:
                 add()
                 room = 0
     if held:
@@ -110,18 +107,22 @@ def bundles(
     return sums, counts
 
 
+def weighted(sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Bundles divided by their texts' trigrams, in units of 1 / DOC_WEIGHT."""
+    return np.rint(sums * (DOC_WEIGHT / np.maximum(counts, 1))[:, None]).astype(np.int64)
+
+
 def _learn(batches: Iterator[pa.RecordBatch], dimensions: int) -> Iterator[pa.RecordBatch]:
     letters, is_letter = Letters(dimensions), letter_table()
     total: dict[str, np.ndarray] = {}
     for batch in batches:
         langs = batch.column("lang").to_pylist()
-        names = sorted(set(langs))
-        sums, _ = bundles(batch.column("text").to_pylist(), letters, is_letter, [names.index(x) for x in langs])
-        for lang, row in zip(names, sums):
-            total[lang] = total.get(lang, 0) + row
+        rows = weighted(*bundles(batch.column("text").to_pylist(), letters, is_letter))
+        for lang in sorted(set(langs)):
+            total[lang] = total.get(lang, 0) + rows[[i for i, x in enumerate(langs) if x == lang]].sum(0)
     if total:
         names = sorted(total)
-        values = pa.array([(total[n] >> 8).tolist() for n in names], pa.list_(pa.int64()))
+        values = pa.array([total[n].tolist() for n in names], pa.list_(pa.int64()))
         yield pa.record_batch([pa.array(names, pa.string()), values], names=["lang", "bundle"])
 
 
@@ -137,21 +138,22 @@ def learn_prototypes(docs: DataFrame, dimensions: int = DIMENSIONS) -> Prototype
     """Prototypes from the (text, lang) rows of `docs` with a lang.
 
     Each task bundles its documents; bundles are added up by language and
-    dimension. What reaches the driver is a vector for each language.
+    dimension, in decimals of 38 digits, so no number of documents overflows. What reaches
+    the driver is a vector for each language.
     """
     parts = docs.where("lang is not null and text is not null").select("lang", "text")
     rows = (
         parts.mapInArrow(partial(_learn, dimensions=dimensions), "lang string, bundle array<long>")
         .select("lang", F.posexplode("bundle"))
         .groupBy("lang", "pos")
-        .agg(F.sum("col").alias("col"))
+        .agg(F.sum(F.col("col").cast("decimal(28,0)")).alias("col"))
         .collect()
     )
     langs = sorted({r.lang for r in rows})
     vectors = np.zeros((len(langs), dimensions))
     at = {lang: i for i, lang in enumerate(langs)}
     for r in rows:
-        vectors[at[r.lang], r.pos] = r.col
+        vectors[at[r.lang], r.pos] = float(r.col)
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     return Prototypes(langs, vectors / np.where(norms > 0, norms, 1))
 

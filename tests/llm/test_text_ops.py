@@ -75,13 +75,53 @@ def test_languages(spark):
     assert langid.predict_languages(frame.limit(0)).count() == 0
 
 
+def slow_bundle(text, letters):
+    """Trigram by trigram, by the letters' vectors."""
+    total, n, table = np.zeros(letters.dimensions, np.int64), 0, collections.Counter()
+    line = f" {''.join(c if c.isalpha() else ' ' for c in (text or '').lower())} "
+    table.update(line[i : i + 3] for i in range(len(line) - 2) if line[i + 1] != " ")
+    for gram, times in table.items():
+        a, b, c = (letters.vectors(np.array([ord(x)]))[0].astype(np.int64) for x in gram)
+        total += times * np.roll(a, 2) * np.roll(b, 1) * c
+        n += times
+    return total, n
+
+
 def test_bundles_are_sums_of_trigram_vectors():
-    letters, table = langid.Letters(64), langid.letter_table()
-    text = "Ab1 c" * 50
-    codes = langid.pack_trigrams(text, table)
-    slow = letters.trigrams(codes).sum(0).astype(int)
-    sums, counts = langid.bundles([text, None, ""], letters, table)
-    assert sums[0].tolist() == slow.tolist() and counts.tolist() == [150, 0, 0] and not sums[1:].any()
+    letters, table, r = langid.Letters(64), langid.letter_table(), random.Random(4)
+    long = "".join(r.choice("abcdé ÄöΣ12.\n") for _ in range(2_000_000))
+    texts = ["Ab1 c" * 50, None, "", "a", "İx", long, "12 !", "x" * (langid.BATCH_LETTERS // 2), long[:30]]
+    sums, counts = langid.bundles(texts, letters, table)
+    for text, found, n in zip(texts, sums, counts):
+        total, expected = slow_bundle(text, letters)
+        assert found.tolist() == total.tolist() and n == expected
+
+
+def test_prototypes_and_predictions_against_brute_force(spark):
+    r = random.Random(6)
+    rows = [(i, t, lang) for k, lang in enumerate(("aa", "bb", "cc")) for i, t in enumerate(language(k, "abcdefgh"[k : k + 5], 30), 100 * k)]
+    rows += [(900, "ab c" * 5_000_000, "aa"), (901, "ba " * 600_000, None), (5, rows[5][1], "aa"), (5, rows[5][1], "aa"), (902, None, "bb"), (903, "", None)]
+    r.shuffle(rows)
+    letters = langid.Letters(langid.DIMENSIONS)
+    bundle = {t: slow_bundle(t, letters) for _, t, _ in rows}
+    sums = {lang: np.zeros(langid.DIMENSIONS) for lang in ("aa", "bb", "cc")}
+    for i, t, lang in rows:
+        if lang and t and zlib.crc32(str(i).encode()) % 5:
+            sums[lang] += np.rint(bundle[t][0] * (langid.DOC_WEIGHT / bundle[t][1]))
+    unit = {lang: v / np.linalg.norm(v) for lang, v in sums.items()}
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    learned = langid.learn_prototypes(frame.where(langid.fold() != 0))
+    assert learned.langs == ["aa", "bb", "cc"] and all(np.allclose(unit[x], v) for x, v in zip(learned.langs, learned.vectors))
+    without = langid.learn_prototypes(frame.where((langid.fold() != 0) & (F.col("doc_id") != 900)))
+    assert zlib.crc32(b"900") % 5 == 0 or not np.allclose(without.vectors[0], learned.vectors[0], atol=1e-12)
+    found = langid.predict_languages(frame).collect()
+    assert len(found) == len(rows)
+    text = {i: t for i, t, _ in rows}
+    for x in found:
+        total, n = bundle[text[x.doc_id]]
+        cosines = {lang: float(total @ v) / np.linalg.norm(total) for lang, v in unit.items()} if n else {}
+        best = max(cosines, key=cosines.get) if n else "und"
+        assert x.lang_pred == best and abs(x.score - max(0, cosines.get(best, 0))) < 1e-9
 
 
 def slow_repeated(words):
