@@ -22,6 +22,7 @@ are unsigned 32-bit integers; planes above the largest id are not stored.
 from __future__ import annotations
 
 import gc
+import json
 import os
 import re
 import sys
@@ -43,8 +44,8 @@ from pyspark.sql import types as T
 BLOCK_IDS = 4096
 CHUNK_IDS = 262_144
 END_ID = 2
-#: Input files to a shard; the number of shards follows the input.
-SHARD_MB = 20
+#: Text to a shard, and shards at most; beyond, the shards grow (a task holds one chunk at a time).
+SHARD_MB, MOST_SHARDS = 20, 20_000
 
 SCHEMA = T.StructType(
     [
@@ -101,7 +102,9 @@ class PieceEncoder:
     stands, and so is what a single line feed separates. Texts with any other white
     space are handed to the tokenizer whole. A new piece of letters goes straight
     to the tokenizer's BPE model, any other through all of it; either way all ids
-    come from the tokenizers library. The memory is emptied at `most_pieces`.
+    come from the tokenizers library. The memory is emptied at `most_pieces`. All this
+    holds for the byte-level pattern alone; with a file that splits, normalises or
+    merges differently every text is encoded whole.
     """
 
     def __init__(self, path: str, most_pieces: int = 1_200_000):
@@ -109,6 +112,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_pieces = self._byte_level(json.loads(self.tokenizer.to_str()))
         self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.most_pieces = most_pieces
         self.line_feed = self._whole("\n").tolist()
@@ -116,6 +120,14 @@ class PieceEncoder:
         self.marks = {"": [], **{m: self._whole(m).tolist() for m in ".,"}}
         self._forget()
 
+    @staticmethod
+    def _byte_level(settings: dict) -> bool:
+        """Whether texts are split by the byte-level pattern and nothing else touches them."""
+        split, model = settings.get("pre_tokenizer") or {}, settings["model"]
+        plain = not settings.get("normalizer") and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+        special = all(t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"]) and " " not in t["content"] for t in settings["added_tokens"])
+        return plain and special and model["type"] == "BPE" and split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
+
     def _forget(self) -> None:
         self.number = _Numbers()
         self.flat = np.zeros(0, np.uint32)
@@ -167,13 +179,13 @@ class PieceEncoder:
         self.lengths = np.concatenate([self.lengths, lengths])
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))])
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each whole text; null is empty."""
+    def _numbered(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        """The numbers of each text's pieces; None for a text to be encoded whole."""
         if len(self.number) > self.most_pieces:
             self._forget()
         numbered: list[np.ndarray | None] = []
         for text in texts:
-            pieces = self._pieces(text) if text else []
+            pieces = [] if not text else self._pieces(text) if self.by_pieces else None
             at = None if pieces is None else np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
             numbered.append(at)
         if self.number.fresh:
@@ -182,8 +194,12 @@ class PieceEncoder:
             self._learn()
             if collecting:
                 gc.enable()
+        return numbered
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each whole text; null is empty."""
         out = []
-        for text, at in zip(texts, numbered):
+        for text, at in zip(texts, self._numbered(texts)):
             if at is None:
                 out.append(self._whole(text))
                 continue
@@ -193,6 +209,10 @@ class PieceEncoder:
             out.append(self.flat[np.repeat(self.starts[at] - ends + lengths, lengths) + np.arange(total)])
         return out
 
+    def count(self, texts: list[str | None]) -> list[int]:
+        """How many ids each whole text has."""
+        return [len(self._whole(t)) if at is None else int(self.lengths[at].sum()) for t, at in zip(texts, self._numbered(texts))]
+
 
 def worker_encoder(path: str) -> PieceEncoder:
     """The encoder that this process keeps: a worker is used for many tasks."""
@@ -252,20 +272,18 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, shards: int | Non
 
     Documents are range-partitioned by doc_id, so shard after shard and chunk after
     chunk the ids are in that order. Null text gives the end id alone. Rows with
-    the same doc_id stand in the order of their texts; repeated rows are all
-    written. A null doc_id comes first. Other columns are not read.
+    the same doc_id stand in the order of a hash of their texts, which also deals them
+    to shards if they are many; repeated rows are all written. Null doc_ids come
+    first. An empty table gives an empty store. Other columns are not read.
     """
-    spark = docs.sparkSession
     if shards is None:
-        # the optimizer's estimate, bytes of the files for a scan; else a pass over the texts
-        size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-        if size >= 1 << 60:
-            size = docs.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-        shards = max(1, -(-size // (SHARD_MB << 20)))
+        size = docs.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        shards = min(MOST_SHARDS, max(1, -(-size // (SHARD_MB << 20))))
     (
-        docs.select(F.col("doc_id").cast("long"), "text")
-        .repartitionByRange(shards, "doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("__hash"))
+        .repartitionByRange(shards, "doc_id", "__hash")
+        .sortWithinPartitions("doc_id", "__hash", "text")
+        .select("doc_id", "text")
         .mapInArrow(partial(_encode_shard, tokenizer_path=tokenizer_path, chunk_ids=chunk_ids), SCHEMA)
         .write.option("compression", "none")
         .parquet(path)
@@ -320,3 +338,22 @@ def digest_store(spark: SparkSession, path: str) -> DataFrame:
     return found.join(F.broadcast(offsets), "shard").select(
         "doc_id", (F.col("shard_start") + F.col("in_shard")).alias("start"), "n_tokens", "ids_crc32"
     )
+
+
+def _lengths(batches: Iterator[pa.RecordBatch], tokenizer_path: str) -> Iterator[pa.RecordBatch]:
+    encoder = worker_encoder(tokenizer_path)
+    for batch in batches:
+        at = batch.schema.get_field_index("text")
+        texts = batch.column(at).to_pylist()
+        counts = [n + 1 for k in range(0, len(texts), 512) for n in encoder.count(texts[k : k + 512])]
+        rest = [i for i in range(batch.num_columns) if i != at]
+        yield pa.record_batch(
+            [*(batch.column(i) for i in rest), pa.array(counts, pa.int64())], names=[*(batch.schema.names[i] for i in rest), "n_tokens"]
+        )
+
+
+def token_lengths(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """`docs` with `n_tokens`, the ids of the text with the end id, in place of `text`."""
+    rest = [f for f in docs.schema.fields if f.name != "text"]
+    schema = T.StructType([*rest, T.StructField("n_tokens", T.LongType())])
+    return docs.mapInArrow(partial(_lengths, tokenizer_path=tokenizer_path), schema)

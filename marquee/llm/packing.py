@@ -7,10 +7,11 @@ among the residuals and goes on until the tightest bin that has room, does not h
 its duplicate cluster and holds its source fewer than `max_per_source` times. None:
 it opens a bin.
 
-Texts longer than a bin are cut: full pieces are bins of their own, the rest is an
-item. Items are dealt to shards by a hash of their id, whatever their source or
-cluster, so a hot source or cluster is spread evenly; a shard has about
-`shard_items` items and is packed on its own.
+Lengths are token ids of the tokenizer with the end id. Texts longer than a bin are
+cut: full pieces are bins of their own, the rest is an item. Items are dealt to
+shards by a hash of their row and piece, whatever their id, source or cluster, so
+none of these can be hot; a shard has about `shard_items` items and is packed on its
+own.
 """
 
 from __future__ import annotations
@@ -18,10 +19,13 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections import Counter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marquee.llm.bitplane import token_lengths
+from marquee.llm.shared import materialize
+
 CAPACITY = 2048
 MAX_PER_SOURCE = 4
 SHARD_ITEMS = 20_000
@@ -30,8 +34,8 @@ SHARD_ITEMS = 20_000
 def pack(sizes: list[int], sources: list, clusters: list, capacity: int, max_per_source: int = MAX_PER_SOURCE) -> list[tuple[int, int]]:
     """(bin, start) of each item; sizes are 0 to capacity. Items of one size are placed
     in the order given. A null source or cluster conflicts with nothing."""
-    source_bit = {s: 1 << k for k, s in enumerate(dict.fromkeys(s for s in sources if not pd.isna(s)))}
-    shared = [c for c, n in Counter(c for c in clusters if not pd.isna(c)).items() if n > 1]
+    source_bit = {s: 1 << k for k, s in enumerate(dict.fromkeys(s for s in sources if s is not None))}
+    shared = [c for c, n in Counter(c for c in clusters if c is not None).items() if n > 1]
     cluster_bit = {c: 1 << k for k, c in enumerate(shared)}
     residuals: list[tuple[int, int]] = []
     source_maps: list[list[int]] = []  # per bin: bit set in layer l if the source is there more than l times
@@ -62,22 +66,20 @@ def pack(sizes: list[int], sources: list, clusters: list, capacity: int, max_per
     return out
 
 
-def _pack_shard(capacity: int, max_per_source: int):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        order = ["n_tokens", "doc_id", "piece", "cluster"]
-        frame = frame.sort_values(order, ascending=[False, True, True, True], kind="stable")
-        placed = pack(frame.n_tokens.tolist(), frame.source.tolist(), frame.cluster.tolist(), capacity, max_per_source)
-        frame["bin"] = [b for b, _ in placed]
-        frame["start"] = [s for _, s in placed]
-        return frame[["doc_id", "piece", "shard", "bin", "start", "n_tokens"]]
+OUT = "doc_id long, piece int, shard long, bin long, start long, n_tokens long"
 
-    return run
 
+def _pack_shard(capacity: int, max_per_source: int):
+    def run(items: pa.Table) -> pa.Table:
+        order = [("n_tokens", "descending"), *((c, "ascending") for c in ("doc_id", "piece", "cluster", "row"))]
+        items = items.sort_by(order)
+        sizes, sources, clusters = (items.column(c).to_pylist() for c in ("n_tokens", "source", "cluster"))
+        placed = pack(sizes, sources, clusters, capacity, max_per_source)
+        kept = [items.column(c) for c in ("doc_id", "piece", "shard")]
+        bins, starts = pa.array([b for b, _ in placed], pa.int64()), pa.array([s for _, s in placed], pa.int64())
+        return pa.table([*kept, bins, starts, items.column("n_tokens")], names=[c.split()[0] for c in OUT.split(", ")])
 
-def word_tokens(text: Column) -> Column:
-    """Words between ASCII white space and an end mark: the length of a text in tokens
-    where no tokenizer is given."""
-    return (F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))) + 1).cast("long")
+    return run
 
 
 def duplicate_cluster(text: Column) -> Column:
@@ -87,6 +89,7 @@ def duplicate_cluster(text: Column) -> Column:
 
 def pack_documents(
     docs: DataFrame,
+    tokenizer_path: str | None = None,
     length: Column | None = None,
     cluster: Column | None = None,
     capacity: int = CAPACITY,
@@ -96,25 +99,28 @@ def pack_documents(
     """(doc_id, piece, shard, bin, start, n_tokens): where each piece of each row of
     `docs` (doc_id, text, source) lies; a sequence is named by shard and bin.
 
-    Null and empty texts are items of their end mark alone. Repeated rows are packed
-    each, copies never into one bin. A null doc_id, source or cluster is allowed
-    (the latter two conflict with nothing). Other columns are not read.
+    Lengths are those of the tokenizer at `tokenizer_path`, or `length` where that is
+    given. Null and empty texts are items of their end mark alone. Repeated rows are
+    packed each, copies never into one bin. A null doc_id, source or cluster is allowed
+    (the latter two conflict with nothing), and ids come out as they went in. Items of
+    one length are placed in the order of doc_id, null last. An empty table gives no
+    rows. Other columns are not read.
     """
-    length = word_tokens(F.col("text")) if length is None else length
+    if (length is None) == (tokenizer_path is None):
+        raise ValueError("give either tokenizer_path or length")
     cluster = duplicate_cluster(F.col("text")) if cluster is None else cluster
-    items = docs.select(F.col("doc_id").cast("long"), "source", length.alias("length"), cluster.alias("cluster"))
-    full = F.floor((F.col("length") - 1) / capacity).cast("int")
-    cut = items.where("length > 0").select(
-        "doc_id", "source", "cluster", "length", F.explode(F.sequence(F.lit(0), full)).alias("piece")
+    about = [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), cluster.alias("cluster")]
+    if length is None:
+        items = token_lengths(docs.select(*about, "text"), tokenizer_path)
+    else:
+        items = docs.select(*about, length.cast("long").alias("n_tokens"))
+    # written once, so that a row keeps its number when a task runs again
+    items = materialize(items.where("n_tokens > 0").withColumn("row", F.monotonically_increasing_id()), "items")
+    full = F.floor((F.col("n_tokens") - 1) / capacity)
+    pieces = items.withColumn("piece", F.explode(F.sequence(F.lit(0), full.cast("int")))).withColumn(
+        "n_tokens", F.least(F.col("n_tokens") - F.col("piece").cast("long") * capacity, F.lit(capacity).cast("long"))
     )
-    pieces = cut.select(
-        "doc_id", "source", "cluster", "piece",
-        F.least(F.col("length") - F.col("piece").cast("long") * capacity, F.lit(capacity)).alias("n_tokens"),
-    )
-    n = docs.count()
+    n = items.agg(F.sum(full + 1)).first()[0] or 0
     shards = max(1, -(-n // shard_items))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(
-        _pack_shard(capacity, max_per_source),
-        "doc_id long, piece int, shard long, bin long, start long, n_tokens long",
-    )
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("row", "piece"), F.lit(shards)))
+    return dealt.groupBy("shard").applyInArrow(_pack_shard(capacity, max_per_source), OUT)

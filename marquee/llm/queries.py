@@ -35,7 +35,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

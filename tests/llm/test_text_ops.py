@@ -30,6 +30,24 @@ def test_pieces_encode_like_whole_texts(tokenizer):
     for at in range(0, len(texts), 100):
         for text, ids in zip(texts[at : at + 100], encoder.encode(texts[at : at + 100])):
             assert ids.tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids, repr(text)
+        assert encoder.count(texts[at : at + 100]) == [len(x) for x in encoder.encode(texts[at : at + 100])]
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(tokenizer_path()) as f:
+        settings = json.load(f)
+    settings["pre_tokenizer"]["add_prefix_space"] = True
+    path = str(tmp_path / "other.json")
+    with open(path, "w") as f:
+        json.dump(settings, f)
+    encoder, other = bitplane.PieceEncoder(path), Tokenizer.from_file(path)
+    assert not encoder.by_pieces and bitplane.PieceEncoder(tokenizer_path()).by_pieces
+    for text, ids in zip(ODD, encoder.encode(ODD)):
+        assert ids.tolist() == (other.encode(text, add_special_tokens=False).ids if text else [])
 
 
 def test_planes_round_trip():
@@ -39,12 +57,13 @@ def test_planes_round_trip():
 
 
 def test_store(spark, docs_of, tokenizer):
-    rows = list(enumerate(ODD)) + [(100, "long text " * 3000), (101, "one"), (101, "two"), (101, "one")]
+    rows = list(enumerate(ODD)) + [(100, "long text " * 3000), (101, "one"), (101, "two"), (101, "one"), (None, "null id"), (None, "another"), (None, None)]
     path = shared_path(spark, "test")
     bitplane.write_ids(docs_of(rows), path, tokenizer_path(), shards=3, chunk_ids=500)
     found = sorted(map(tuple, bitplane.digest_store(spark, path).collect()), key=lambda r: r[1])
     start, expected = 0, []
-    for doc, text in sorted(rows, key=lambda r: (r[0], r[1] or "")):
+    order = docs_of(rows).select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    for doc, text, _ in sorted(order, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h)):
         ids = np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
         expected.append((doc, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
@@ -169,10 +188,10 @@ def test_packing(spark):
     rows = [(i, "w " * r.randint(0, 90), f"s{r.randrange(3) if r.random() < 0.5 else 0}", r.randrange(30)) for i in range(400)]
     rows += [(1000, "w " * 1000, "s1", None), (1001, None, None, None), (1001, None, None, None), (None, "a b", "s2", 5)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string, group long").repartition(3)
-    out = packing.pack_documents(frame, cluster=F.col("group"), capacity=128, shard_items=150).collect()
+    out = packing.pack_documents(frame, length=F.size(F.split(F.coalesce("text", F.lit("")), " ")), cluster=F.col("group"), capacity=128, shard_items=150).collect()
     words = collections.Counter()
     for doc, text, _, _ in rows:
-        words[doc] += len((text or "").split()) + 1
+        words[doc] += (text or "").count(" ") + 1
     got, bins = collections.Counter(), collections.defaultdict(list)
     for p in out:
         got[p.doc_id] += p.n_tokens
@@ -186,7 +205,24 @@ def test_packing(spark):
         sources = collections.Counter(about[p.doc_id][0] for p in pieces if about[p.doc_id][0])
         clusters = collections.Counter(about[p.doc_id][1] for p in pieces if about[p.doc_id][1] is not None)
         assert max(sources.values(), default=0) <= packing.MAX_PER_SOURCE and max(clusters.values(), default=0) <= 1
-    assert packing.pack_documents(frame.limit(0).drop("group")).count() == 0
+    assert packing.pack_documents(frame.limit(0).drop("group"), tokenizer_path()).count() == 0
+
+
+def test_packing_keeps_ids_and_takes_token_lengths(docs_of, tokenizer):
+    big = 1152921504606846977
+    rows = [(big, "one text"), (big + 2, "other text, longer"), (None, "text of a null id"), (None, "text of a null id"), (3, None), (4, ""), (5, "x" * 30_000)]
+    rows += [(7, "the same"), (7, "the same"), (7, "not the same")]
+    out = packing.pack_documents(docs_of(rows), tokenizer_path(), shard_items=4).collect()
+    expected, found = collections.Counter(), collections.Counter()
+    for doc, text in rows:
+        expected[doc] += len(tokenizer.encode(text or "", add_special_tokens=False).ids) + 1
+    for p in out:
+        found[p.doc_id] += p.n_tokens
+    assert found == expected and len({(p.shard, p.bin, p.start) for p in out}) == len(out)
+    room = collections.Counter()
+    for p in out:
+        room[p.shard, p.bin] += p.n_tokens
+    assert max(room.values()) <= packing.CAPACITY
 
 
 def slow_pack(sizes, sources, clusters, capacity, most):
