@@ -7,7 +7,10 @@ occurrence has at least 80 % of the item's windows and consistent slot values: e
 value of the item is bound to one value of the document. Occurrences are judged one
 by one, however many there are, so a question that was re-parameterised is found
 like one that was copied. Windows that are spread over a document count too, if each
-value of the item is bound to two values at most on average.
+value of the item is bound to two values at most.
+
+Texts are cut into blocks of BLOCK windows before windows become rows, so a row
+carries a few tokens and not its text, however long that is.
 """
 
 from __future__ import annotations
@@ -23,11 +26,12 @@ WINDOW = 5
 CONTAINMENT = 0.8
 #: Windows that hold fewer plain words say little about an item and are not used.
 PLAIN_WORDS = 2
-#: Values of the document to one value of the item where its windows are spread;
+#: Values of the document to each value of the item where its windows are spread;
 #: no bound on a document that holds the item in one occurrence.
 MAX_BINDINGS = 2
 #: Benchmark windows that are broadcast; a larger index is joined by shuffling.
 BROADCAST_WINDOWS = 500_000
+BLOCK = 32
 
 UNITS = (
     "km|kms|cm|mm|nm|m|meters?|metres?|kilometers?|kilometres?|miles?|mi|feet|foot|ft|inch|inches|yards?|kg|kgs|g|grams?|"
@@ -67,23 +71,38 @@ def _canonical(token: Column) -> Column:
     )
 
 
+def _blocks(table: DataFrame, arrays: list[str], overlap: int, least: int) -> DataFrame:
+    """A row for each BLOCK tokens, `first` being its first one's place: the arrays' slices with
+    `overlap` more tokens. Texts of fewer than `least` tokens have none.
+
+    All explodes are outer: before an inner one the optimizer filters by the arrays'
+    size, which computes the arrays once more, and in lambdas over and over."""
+    others = [c for c in table.columns if c not in arrays]
+    n = F.size(arrays[0])
+    cut = lambda s: F.struct(s.alias("first"), *[F.slice(a, s + 1, BLOCK + overlap).alias(a) for a in arrays])
+    blocks = F.when(n >= least, F.transform(F.sequence(F.lit(0), F.greatest(n - least, F.lit(0)), F.lit(BLOCK)), cut))
+    return table.select(*others, F.explode_outer(blocks).alias("block")).where("block is not null").select(*others, "block.*")
+
+
 def windows(table: DataFrame, key: str, names: str = MARK_NAMES) -> DataFrame:
-    """(key, t, at, h) of every window: t are the text's tokens, `at` the first of the
-    window's, h the hash of its canonical tokens. Tokens are hashed once, windows are
-    hashes of five of these; t is only read again where a window is matched."""
+    """(key, row, size, t, first, local, h) of every window: `row` is a hash of the text's tokens,
+    `size` their number, t a block's tokens from place `first` on, the window starts at `local`
+    in it, h is the hash of its canonical tokens. Tokens are hashed once, windows are hashes
+    of five of these."""
     base = table.select(F.col(key).cast("long").alias(key), tokens(F.col("text"), names).alias("t"))
-    base = base.select(key, "t", F.transform("t", lambda x: F.xxhash64(_canonical(x))).alias("c"))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("c") - WINDOW, F.lit(0)))
-    hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get("c", i + k) for k in range(WINDOW)]))
-    hashed = base.select(key, "t", F.when(F.size("c") >= WINDOW, hashes).alias("hs"))
-    # outer: an inner one would have the optimizer filter by the arrays' size first,
-    # which computes tokens and hashes once more, and in lambdas over and over
-    return hashed.select(key, "t", F.posexplode_outer("hs").alias("at", "h")).where("h is not null")
+    base = base.select(key, F.xxhash64("t").alias("row"), F.size("t").alias("size"), "t", F.transform("t", lambda x: F.xxhash64(_canonical(x))).alias("c"))
+    cut = _blocks(base, ["t", "c"], WINDOW - 1, WINDOW)
+    hashes = F.transform(F.sequence(F.lit(0), F.size("c") - WINDOW), lambda i: F.xxhash64(*[F.get("c", i + k) for k in range(WINDOW)]))
+    return cut.select(key, "row", "size", "t", "first", F.posexplode_outer(hashes).alias("local", "h"))
 
 
-def slots(tokens_column: str = "t", at: str = "at") -> Column:
+def window_tokens() -> Column:
+    return F.slice("t", F.col("local") + 1, WINDOW)
+
+
+def slots(window: Column | str) -> Column:
     """The slot values of a window, in order."""
-    return F.filter(F.slice(tokens_column, F.col(at) + 1, WINDOW), _is_slot)
+    return F.filter(window, _is_slot)
 
 
 def index(benchmark: DataFrame, names: str = MARK_NAMES) -> DataFrame:
@@ -91,8 +110,8 @@ def index(benchmark: DataFrame, names: str = MARK_NAMES) -> DataFrame:
     the windows of each item with enough plain words, at each place q of each of the
     item's texts; item_slots are the slot values of the window's first place by value."""
     found = windows(benchmark, "item_id", names).select(
-        "item_id", "h", F.col("at").alias("q"), F.xxhash64("t").alias("item_row"), slots().alias("slots"),
-        F.slice("t", F.col("at") + 1, WINDOW).alias("item_tokens"), (F.size("t") - 1).alias("last"),
+        "item_id", "h", (F.col("first") + F.col("local")).alias("q"), F.col("row").alias("item_row"), slots(window_tokens()).alias("slots"),
+        window_tokens().alias("item_tokens"), (F.col("size") - 1).alias("last"),
     )
     places = found.where(WINDOW - F.size("slots") >= PLAIN_WORDS).dropDuplicates(["item_id", "item_row", "q"])
     once = places.groupBy("item_id", "h").agg(F.min("slots").alias("item_slots"))
@@ -144,9 +163,11 @@ def _held(docs: DataFrame, benchmark: DataFrame, names: str, least: DataFrame |
     known = materialize(known, "items")
     if known.count() <= BROADCAST_WINDOWS:
         known = F.broadcast(known)
-    hits = windows(docs, "doc_id", names).join(known, "h")
-    hits = hits.withColumn("doc_row", F.xxhash64("t")).withColumn("doc_slots", slots())
-    hits = materialize(hits.withColumn("doc_tokens", F.slice("t", F.col("at") + 1, WINDOW)).drop("t"), "hits")
+    hits = windows(docs, "doc_id", names).join(known, "h").withColumn("doc_tokens", window_tokens())
+    # equal hashes propose, equal canonical windows decide
+    hits = hits.where(F.transform("doc_tokens", _canonical) == F.transform("item_tokens", _canonical))
+    hits = hits.withColumn("at", F.col("first") + F.col("local")).withColumn("doc_slots", slots("doc_tokens"))
+    hits = materialize(hits.withColumnRenamed("row", "doc_row").drop("t", "first", "local", "size"), "hits")
     # a row for each bound pair, and one without a pair for a window without slots
     pairs = F.zip_with("item_slots", "doc_slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     bound = (
@@ -154,16 +175,16 @@ def _held(docs: DataFrame, benchmark: DataFrame, names: str, least: DataFrame |
         .groupBy("doc_id", "item_id", "n_windows", "h", "p.a", "p.b")
         .agg(F.lit(1).alias("one"))
     )
-    per_item = bound.groupBy("doc_id", "item_id", "n_windows").agg(
+    item = ["doc_id", "item_id", "n_windows"]
+    widest = bound.groupBy(*item, "a").agg(F.count_distinct("b").alias("b")).groupBy(*item).agg(F.max("b").alias("widest"))
+    per_item = bound.groupBy(*item).agg(
         F.count_distinct("h").alias("n_matched"),
-        F.count_distinct("a").alias("values"),
-        F.count_distinct("a", "b").alias("bindings"),
         F.max(F.coalesce(F.col("a") != F.col("b"), F.lit(False))).alias("reparameterised"),
-    )
+    ).join(widest, item)
     shown = _occurrences(hits).select("doc_id", "item_id", F.lit(True).alias("shown"))
     if least is not None:
-        per_item = per_item.withColumn("bindings", F.lit(None).cast("long"))
-    spread = (F.col("n_matched") >= CONTAINMENT * F.col("n_windows")) & (F.col("bindings") <= MAX_BINDINGS * F.col("values"))
+        per_item = per_item.withColumn("widest", F.lit(None).cast("long"))
+    spread = (F.col("n_matched") >= CONTAINMENT * F.col("n_windows")) & (F.col("widest") <= MAX_BINDINGS)
     return per_item.join(shown, ["doc_id", "item_id"], "left").where(F.coalesce(spread, F.lit(False)) | F.coalesce("shown", F.lit(False))).select(
         "doc_id", "item_id", "n_windows", "n_matched",
         (F.col("n_matched") / F.col("n_windows")).alias("containment"), "reparameterised",
@@ -178,18 +199,19 @@ def _short_items(benchmark: DataFrame) -> DataFrame:
     return whole.where(F.size("words") > 0).join(held, "item_id", "left_anti").distinct()
 
 
-def _held_whole(docs: DataFrame, short: DataFrame, lengths: list[int]) -> DataFrame:
+def _held_whole(docs: DataFrame, short: DataFrame, lengths: list[int], longest: int) -> DataFrame:
     """The rows of contamination() for items without a window: all tokens of each of the
-    item's texts in a row, unchanged but for case. The texts count as windows."""
+    item's texts in a row, unchanged but for case. The texts count as windows. An item is
+    looked up by its first `lengths` tokens; `longest` is the longest item's size."""
     words = F.transform(tokens(F.col("text"), NO_NAMES), lambda x: F.lower(F.translate(x, UNIT_MARK, "")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("t"))
+    cut = _blocks(texts, ["t"], longest - 1, min(lengths))
     heads = []
     for n in lengths:
-        starts = F.sequence(F.lit(0), F.greatest(F.size("t") - n, F.lit(0)))
+        starts = F.sequence(F.lit(0), F.greatest(F.least(F.size("t") - n, F.lit(BLOCK - 1)), F.lit(0)))
         head = lambda i: F.struct(F.xxhash64(F.lit(n), *[F.get("t", i + k) for k in range(n)]).alias("h"), i.alias("at"))  # noqa: B023, E731
         heads.append(F.when(F.size("t") >= n, F.transform(starts, head)).otherwise(F.array().cast("array<struct<h:bigint,at:int>>")))
-    hashed = texts.select("doc_id", "t", F.concat(*heads).alias("ws"))
-    found = hashed.select("doc_id", "t", F.explode_outer("ws").alias("w")).select("doc_id", "t", "w.h", "w.at").where("h is not null")
+    found = cut.select("doc_id", "t", F.explode_outer(F.concat(*heads)).alias("w")).select("doc_id", "t", "w.h", "w.at")
     counts = short.groupBy("item_id").agg(F.count("*").alias("n_windows"))
     by_length = F.coalesce(*[
         F.when(F.least(F.size("words"), F.lit(WINDOW)) == n, F.xxhash64(F.lit(n), *[F.get("words", F.lit(k)) for k in range(n)])) for n in lengths
@@ -198,9 +220,6 @@ def _held_whole(docs: DataFrame, short: DataFrame, lengths: list[int]) -> DataFr
     known = materialize(known, "short-index")
     if known.count() <= BROADCAST_WINDOWS:
         known = F.broadcast(known)
-    else:  # a shuffled row carries no more of the text than an item can have
-        longest = known.agg(F.max(F.size("words"))).first()[0]
-        found = found.select("doc_id", F.slice("t", F.col("at") + 1, longest).alias("t"), "h", F.lit(0).alias("at"))
     hits = found.join(known, "h").where(F.slice("t", F.col("at") + 1, F.size("words")) == F.col("words"))
     per_item = hits.groupBy("doc_id", "item_id", "n_windows").agg(F.count_distinct("words").alias("n_matched"))
     return per_item.where(F.col("n_matched") >= CONTAINMENT * F.col("n_windows")).select(
@@ -218,27 +237,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sentence (these figures come out where both hold), and at every position. Items
     without a window (fewer than five tokens, or no window of two plain words) are
     held where all their tokens stand in a row. Rows with the same doc_id count as one
-    document, rows with the same item_id as one item; a null id is dropped. n_matched
+    document, rows with the same item_id as one item; a null id is in no row. n_matched
     counts windows of the whole document, and `reparameterised` tells that a slot value
-    differs anywhere in it.
+    differs anywhere in it. Without documents or items there are no rows.
     """
     docs, benchmark = docs.where("doc_id is not null"), benchmark.where("item_id is not null")
     inside = _held(docs, benchmark, MARK_NAMES)
     least = index(benchmark).select("item_id", F.col("n_windows").alias("at_least")).distinct()
     ways = [inside, _held(docs, benchmark, MARK_EVERY, least)]
     short = materialize(_short_items(benchmark), "short-items")
-    lengths = [r.n for r in short.select(F.least(F.size("words"), F.lit(WINDOW)).alias("n")).distinct().collect()]
-    if lengths:
-        ways.append(_held_whole(docs, short, sorted(lengths)))
+    sizes = short.groupBy(F.least(F.size("words"), F.lit(WINDOW)).alias("n")).agg(F.max(F.size("words")).alias("longest")).collect()
+    if sizes:  # WINDOW rows at most
+        ways.append(_held_whole(docs, short, sorted(r.n for r in sizes), max(r.longest for r in sizes)))
     every = [w.withColumn("way", F.lit(k)) for k, w in enumerate(ways)]
     row = F.min_by(F.struct(*inside.columns), "way")
     return reduce(DataFrame.unionByName, every).groupBy("doc_id", "item_id").agg(row.alias("row")).select("row.*")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`docs` without the documents that hold a benchmark item."""
-    held = contamination(docs, benchmark).select(F.col("doc_id").alias("__held")).distinct()
-    return docs.join(held, F.col("doc_id").cast("long") == F.col("__held"), "left_anti")
+    """`docs` without the rows that hold a benchmark item. Rows are judged by themselves
+    (as doc_id and text), so one with a null doc_id, or that of another row, goes only if
+    its own text holds an item."""
+    row = F.xxhash64("doc_id", "text")
+    held = contamination(docs.select(row.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("__held")).distinct()
+    return docs.join(held, row == F.col("__held"), "left_anti")
 
 
 _SQL_TOKENS = f"""regexp_extract_all(regexp_replace(regexp_replace(
@@ -263,11 +285,11 @@ once as (select item_id, h, min(slots) as item_slots from item_windows
 items as (select *, count(*) over (partition by item_id) as n_windows from once),
 hits as (select doc_id, item_id, n_windows, h, item_slots, slots from ({_sql_windows("documents", "doc_id")}) join items using (h)),
 pairs as (select doc_id, item_id, unnest(item_slots) as a, unnest(slots) as b from hits where len(slots) > 0),
-bound as (select doc_id, item_id, count(distinct a) as vals, count(distinct (a, b)) as bindings,
-    bool_or(a <> b) as differs from pairs group by doc_id, item_id),
+bound as (select doc_id, item_id, max(n) as widest, bool_or(differs) as differs from (select doc_id, item_id, a,
+    count(distinct b) as n, bool_or(a <> b) as differs from pairs group by doc_id, item_id, a) group by doc_id, item_id),
 matched as (select doc_id, item_id, n_windows, count(distinct h) as n_matched from hits group by doc_id, item_id, n_windows)
 select doc_id, item_id, n_windows, n_matched, n_matched / n_windows as containment,
     coalesce(differs, false) as reparameterised
 from matched left join bound using (doc_id, item_id)
-where n_matched >= {CONTAINMENT} * n_windows and coalesce(bindings, 0) <= {MAX_BINDINGS} * coalesce(vals, 0)
+where n_matched >= {CONTAINMENT} * n_windows and coalesce(widest, 0) <= {MAX_BINDINGS}
 """

@@ -269,7 +269,11 @@ def test_decontamination(spark, docs_of):
     assert not found[1, 1].reparameterised and found[2, 1].reparameterised
     kept = decontaminate.drop_contaminated(docs_of(rows), bench)
     assert kept.columns == docs_of(rows).columns
-    assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 3, 4, 5, 7]
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == [3, 4, 5, 7]
+    twins = docs_of([(None, "a text of its own"), (9, QUESTION), (9, "not that question"), (9, "not that question"), (None, None)])
+    assert sorted(((r.doc_id or -1), r.text or "") for r in decontaminate.drop_contaminated(twins, bench).collect()) == [
+        (-1, ""), (-1, "a text of its own"), (9, "not that question"), (9, "not that question"),
+    ]
     assert decontaminate.contamination(docs_of([]), bench).count() == 0
     assert decontaminate.contamination(docs_of(rows), bench.limit(0)).count() == 0
 
@@ -283,6 +287,23 @@ def test_inconsistent_slots_are_no_match(spark, docs_of):
     assert {r.doc_id for r in found} == {2, 3}
 
 
+def test_each_value_is_judged_by_itself(spark, docs_of):
+    """Other slots do not offset a value that is bound to many."""
+    item = "we take 5 red balls with Alice Smith and then 5 blue balls with Bob Jones and then 5 green balls with Carol King and 5 more with Dan Hill at 90 kg"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    torn = item.replace("5", "{}").format(1, 2, 3, 4)
+    long = " ".join(["filler words that go on"] * 3000)
+    found = decontaminate.contamination(docs_of([(1, torn), (2, item.replace("5", "8")), (3, long + " " + item + " " + long)]), bench).collect()
+    assert {r.doc_id for r in found} == {2, 3}
+
+
+def test_equal_hashes_are_compared(spark, docs_of, monkeypatch):
+    bench = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
+    monkeypatch.setattr(decontaminate.F, "xxhash64", lambda *_: F.lit(1).cast("long"))
+    found = decontaminate._held(docs_of([(1, QUESTION), (2, "an unlike text of enough words to have windows")]), bench, decontaminate.MARK_NAMES)
+    assert {r.doc_id for r in found.collect()} <= {1}
+
+
 def test_an_occurrence_among_variants_is_held(spark, docs_of):
     variants = [
         QUESTION.replace("Alice", a).replace("Bob", b).replace("40", f"{k}1").replace("17", f"{k}2").replace("3", f"{k}3")
