@@ -57,7 +57,9 @@ SWAP = {term: group[(i + 1) % len(group)] for group in IDENTITY_GROUPS for i, te
 class Training:
     """Bounds and strengths. `most_rows` bounds each label's expected share of the
     sample that is fitted; labelled rows beyond it are left to chance by the hash of
-    their id, and the log loss weighs the two labels back to their true shares."""
+    their id, and the log loss weighs the two labels back to their true shares.
+    `most_features` is the size of the model: the features that tell the sample's labels
+    apart best, and with them those of the identity terms that its counterfactuals hold."""
 
     most_rows: int = 6000
     most_features: int = 6000
@@ -107,8 +109,11 @@ class Model:
         return self.bias + float(self.weights[chosen].sum())
 
 
-def choose(examples: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, training: Training) -> np.ndarray:
-    """The features that tell the labels apart best, by weighted chi-square."""
+def choose(
+    examples: list[np.ndarray], swapped: list[np.ndarray | None], labels: np.ndarray, weights: np.ndarray, training: Training
+) -> np.ndarray:
+    """The features that tell the labels apart best, by weighted chi-square, and all in which a
+    text and its counterfactual differ: those are what the penalty is about."""
     sums = np.zeros((2, BUCKETS), np.float64)  # by label; as large as the hash, whatever the texts
     texts = np.zeros(BUCKETS, np.int32)
     for x, y, w in zip(examples, labels, weights):
@@ -121,7 +126,8 @@ def choose(examples: list[np.ndarray], labels: np.ndarray, weights: np.ndarray,
     spread = seen * (total - seen) * n_toxic * n_clean
     chi = np.where(spread > 0, total * (toxic * n_clean - clean * n_toxic) ** 2 / np.maximum(spread, 1e-9), 0)
     best = np.lexsort((buckets, -chi))[: training.most_features]
-    return np.sort(buckets[best[chi[best] > 0]])
+    pairs = [np.setxor1d(x, y) for x, y in zip(examples, swapped) if y is not None]
+    return np.unique(np.concatenate([buckets[best[chi[best] > 0]], *pairs]).astype(np.int64))
 
 
 def fit(examples: list[np.ndarray], swapped: list[np.ndarray | None], labels: np.ndarray, weights: np.ndarray, training: Training) -> Model:
@@ -129,8 +135,8 @@ def fit(examples: list[np.ndarray], swapped: list[np.ndarray | None], labels: np
     empty = Model(np.zeros(0, np.int64), np.zeros(0), -4.0)
     if not len(labels) or not (0 < labels.sum() < len(labels)):
         return empty if not len(labels) or not labels.sum() else Model(empty.buckets, empty.weights, 4.0)
-    chosen = choose(examples, labels, weights, training)
     # an identity term gets a weight to be penalised even where only counterfactuals have it
+    chosen = choose(examples, swapped, labels, weights, training)
     own = [np.searchsorted(chosen, np.intersect1d(x, chosen)) for x in examples]
     other = [None if x is None else np.searchsorted(chosen, np.intersect1d(x, chosen)) for x in swapped]
     share = (weights * labels).sum() / weights.sum()
@@ -223,9 +229,12 @@ def predict_toxicity(docs: DataFrame, labels: DataFrame, training: Training = Tr
     """(doc_id, held_out, score, predicted) of every row of `docs`.
 
     Labels of the held-out fold (crc32 of the id's text mod 4 is 2; a null id counts
-    as empty text) are never read. Rows with the same doc_id are scored each; extra
-    columns are not read. Without labels every score is low, without texts of one
-    label it is that of the other.
+    as empty text) are never read. Rows with the same doc_id are scored each, and each
+    teaches with each label of its id; equal texts have equal scores. Features that tell the
+    labels apart alike are taken in the order of their hash. Null and empty texts have the
+    score of no feature; whole texts are read, however long. Extra columns are not read.
+    Without labels every score is low, without texts of one label it is that of the
+    other; an empty table gives no rows.
     """
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % FOLDS
     model = train(docs, labels.where(fold != HELD_OUT), training)

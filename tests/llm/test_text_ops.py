@@ -343,33 +343,59 @@ def test_a_shuffled_index_gives_the_same(spark, docs_of, monkeypatch):
 
 
 def slow_licenses(text):
-    words = licenses.notice_words(text or "")
+    """Counts of windows by notice: every notice in every window, the best at each start."""
+    split = lambda t: re.findall(r"[^\W_]+(?:[.\-][^\W_]+)*", (t or "").lower())
+    words, found = split(text), collections.Counter()
     grams = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
-    found = set()
-    for number, (_, notice) in enumerate(licenses.NOTICES):
-        own = licenses.notice_words(notice)
-        for at in range(0, len(words), licenses.STRIDE):
-            if len(grams(words[at : at + len(own) + 3]) & grams(own)) >= 0.8 * len(grams(own)):
-                found.add(number)
+    notices = [split(notice) for _, notice in licenses.NOTICES]
+    for at in range(0, len(words), licenses.STRIDE):
+        here = []
+        for number, own in enumerate(notices):
+            share = len(grams(words[at : at + len(own) + 3]) & grams(own)) / len(grams(own))
+            if share >= 0.8:
+                here.append((-share, -len(grams(own)), number))
+        if here:
+            found[min(here)[2]] += 1
     return found
 
 
 def test_licenses(docs_of):
     r = random.Random(7)
-    rows = [(1, None), (2, ""), (3, "no such thing, licensed or not"), (4, "released under the mit license")]
-    for i in range(120):
+    rows = [(1, None), (2, ""), (3, "no such thing, licensed or not"), (4, "released under the mit license"), (4, "released under the mit license")]
+    rows += [(None, "Licensed under CC BY 4.0."), (5, "lorem ipsum " * 30_000 + licenses.NOTICES[3][1] + " dolor" * 30_000), (6, "mit license")]
+    for i in range(150):
         filler = ["lorem"] * r.randint(0, 30)
         notice = r.choice(licenses.NOTICES)[1].split()
         if r.random() < 0.4:
             notice[r.randrange(len(notice))] = "changed"
         rows.append((10 + i, " ".join(filler + notice + filler[:3])))
-    found = collections.defaultdict(set)
+    found, expected = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
     for m in licenses.license_matches(docs_of(rows)).collect():
-        found[m.doc_id].add(m.notice)
-    assert {i: found[i] for i, _ in rows} == {i: slow_licenses(t) for i, t in rows}
+        found[m.doc_id][m.notice] = m.n_windows
+    for i, t in rows:
+        expected[i].update(slow_licenses(t))
+    assert found == {i: c for i, c in expected.items() if c}
     assert licenses.license_matches(docs_of([])).count() == 0
 
 
+def test_sibling_licenses_are_told_apart(docs_of):
+    rows = [(i, f"Intro. {notice} Outro.") for i, (_, notice) in enumerate(licenses.NOTICES)]
+    found = collections.defaultdict(set)
+    for m in licenses.license_matches(docs_of(rows)).collect():
+        found[m.doc_id].add(m.license)
+    assert found == {i: {name} for i, (name, _) in enumerate(licenses.NOTICES)}
+
+
+def test_bands_retrieve(spark):
+    """Without bands nothing is retrieved; with them candidates are few."""
+    known = licenses.templates(spark)
+    sizes = {r.n for r in known.collect()}
+    assert all(1 - (1 - licenses.least_similarity(n)) ** licenses.BANDS > 0.999998 for n in sizes)
+    docs = spark.createDataFrame([(1, "some words that are in no notice " * 50 + licenses.NOTICES[0][1])], "row long, text string")
+    assert licenses.retrieved(docs, known.withColumn("tbands", F.array().cast("array<bigint>"))).count() == 0
+    assert 0 < licenses.retrieved(docs, known).count() < 20
+
+
 def test_toxicity(spark):
     r = random.Random(5)
     words, bad = [f"w{c}{d}x" for c in "abcdefghij" for d in "klmnop"], ["vilestem", "vilestone", "grubby"]
@@ -399,6 +425,34 @@ def test_toxicity(spark):
     assert len(none) == len(rows) and not any(x.predicted for x in none)
 
 
+def slow_logit(text, model):
+    """The sum of the weights of the text's distinct features, one by one."""
+    weight, met = dict(zip(model.buckets.tolist(), model.weights.tolist())), set()
+    for word in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        met.add(zlib.crc32(b"=" + word.encode()) % toxicity.BUCKETS)
+        met.update(zlib.crc32(b"^" + word[:n].encode()) % toxicity.BUCKETS for n in (3, 4, 5, 6) if len(word) >= n)
+    return model.bias + sum(weight.get(f, 0.0) for f in sorted(met))
+
+
+def test_toxicity_scores_against_brute_force(spark):
+    r = random.Random(9)
+    texts = [" ".join(r.choice(["fine", "good", "Vile", "grim", "muslim", "woman", "ok"]) for _ in range(12)) for _ in range(60)]
+    rows = [*enumerate(texts), (3, texts[3]), (3, "another row"), (70, "vile " * 400_000 + "woman"), (71, None), (None, None)]
+    labels = [(i, int("vile" in t.lower())) for i, t in enumerate(texts)] + [(3, 1), (3, 1), (4, None), (999, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4
+    model = toxicity.train(docs, marks.where(fold != 2))
+    terms = {b for w in ("muslim", "woman", toxicity.SWAP["muslim"], toxicity.SWAP["woman"]) for b in toxicity.word_features(w)}
+    assert zlib.crc32(b"=muslim") % toxicity.BUCKETS in model.buckets and terms & set(model.buckets.tolist())
+    found = toxicity.predict_toxicity(docs, marks).collect()
+    assert len(found) == len(rows)
+    expected = collections.Counter(round(1 / (1 + np.exp(-slow_logit(t, model))), 9) for _, t in rows)
+    assert collections.Counter(round(x.score, 9) for x in found) == expected
+    assert all(x.predicted == (x.score >= 0.3) for x in found)
+    assert toxicity.predict_toxicity(docs.limit(0), marks).count() == 0
+
+
 ARTICLE = "<article><h1>Head &amp; tail</h1><p>One <b>two</b>\n three<br>four<p>Five &lt;six&gt;.</p><div class=ad>Buy</div></article>"
 PAGE = (
     "<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><p>Site</p></header><nav><ul><li><a href=x>Home</a></li>"
