@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marquee.llm import decontaminate, packing, quality, simhash, suffix_dedup
+from marquee.llm.queries import tokenizer_path
 from marquee.llm.shared import materialize
 
 
@@ -18,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays."""
+    """One row of each group of linked fingerprints stays; rows are told apart by doc_id and text."""
     return simhash.drop_near_duplicates(docs)
 
 
@@ -28,13 +29,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Rows that hold a benchmark item go."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in which sequence."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, tokenizer_path())
 
 
 STAGES = [
