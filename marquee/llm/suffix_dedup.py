@@ -295,17 +295,25 @@ PAYLOAD_HEAD = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("sub", "<i8"), ("lo
 
 
 def _fetch(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """The bytes of the wanted segments; of a large anchor's those of each window, once a task."""
-    seen: dict[bytes, tuple[int, int, int]] = {}
+    """The bytes of the wanted segments, or of a large anchor's windows; what a task has met
+    before is settled there and not sent on again."""
+    seen: dict[tuple[int, bytes], tuple[int, int, int]] = {}
     for batch in batches:
         rows: dict[int, list[bytes]] = {}
         repeats: list[tuple[int, int, int, int]] = []
 
         def put(anchor: int, doc: int, sub: int, lo: int, hi: int, at: int, part: bytes) -> None:
+            here, first = (doc, sub, lo), seen.get((at - lo, part))
+            if first is not None and first <= here:
+                if first < here:
+                    repeats.append((doc, sub, lo, hi))
+                return
+            if len(seen) < HELD_SEGMENTS // 8:
+                seen[at - lo, part] = here
             head = np.array((anchor, doc, sub, lo, hi, at), PAYLOAD_HEAD).tobytes()
             rows.setdefault((anchor >> 8) % buckets, []).append(head + part)
 
-        for doc, sub, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("__doc", "__sub", "text", "wanted"))):
+        for doc, sub, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("__doc", "__sub", "text", "__wanted"))):
             data = (text or "").encode("utf-8", "surrogatepass")
             for w in wanted:
                 lo, hi = w["lo"], w["hi"]
@@ -315,14 +323,7 @@ def _fetch(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
                     put(w["anchor"] & 0xFFFFFFFFFFFFFFFF, doc, sub, lo, hi, w["at"], data[lo : hi + WINDOW])
                     continue
                 for p in range(lo, hi + 1):
-                    window, here = data[p : p + WINDOW], (doc, sub, p)
-                    first = seen.get(window)
-                    if first is not None and first <= here:
-                        if first < here:
-                            repeats.append((doc, sub, p, p))
-                        continue
-                    if len(seen) < HELD_SEGMENTS // 8:
-                        seen[window] = here
+                    window = data[p : p + WINDOW]
                     put(xxhash.xxh3_64_intdigest(window), doc, sub, p, p, p, window)
         out = [(b, PAYLOADS, zstandard.compress(b"".join(x), 1)) for b, x in rows.items()]
         ranges = _merged(np.array(repeats, RANGE))
@@ -340,41 +341,25 @@ def match_group(group: list[Segment]) -> list[tuple[int, int, int, int]]:
     range (doc, sub, lo, hi).
     """
     group = sorted(group)
-    behind = [g[4][g[3] - g[1] :] for g in group]
-    before = [g[4][: g[3] - g[1]][::-1] for g in group]
-    orders = [deep_shallow_order(x) for x in (behind, before)]
-    shared = [[common_prefix(x[i], x[j]) for i, j in zip(o, o[1:])] for x, o in zip((behind, before), orders)]
-    # segments of equal bytes are neighbours in both orders; the earliest stands for them
-    classes = []
-    for order, common, strings in zip(orders, shared, (behind, before)):
-        number, of = 0, [0] * len(group)
-        for k, i in enumerate(order):
-            if k and not (common[k - 1] == len(strings[i]) == len(strings[order[k - 1]])):
-                number += 1
-            of[i] = number
-        classes.append(of)
-    first: dict[tuple[int, int], int] = {}
+    # of segments of equal bytes the earliest stands for all
+    first: dict[tuple[int, bytes], int] = {}
     out, kept = [], []
-    for i, (row, lo, hi, at, _) in enumerate(group):
-        j = first.setdefault((classes[0][i], classes[1][i]), i)
+    for i, (row, lo, hi, at, part) in enumerate(group):
+        j = first.setdefault((at - lo, part), i)
         if j == i:
-            kept.append(i)
+            kept.append(group[i])
         elif (group[j][0], group[j][3]) != (row, at):
             out.append((*row, lo, hi))
-    if len(kept) < 2:
-        return out
-    stands = set(kept)
-    for k, order in enumerate(orders):
-        ends = [x for x, i in enumerate(order) if i in stands]
-        shared[k] = [min(shared[k][a:b]) for a, b in zip(ends, ends[1:])]
-        orders[k] = [order[x] for x in ends]
-    number = {i: k for k, i in enumerate(kept)}
-    return out + _different([group[i] for i in kept], [[number[i] for i in o] for o in orders], shared)
+    return out + _different(kept) if len(kept) > 1 else out
 
 
-def _different(group: list[Segment], orders: list[list[int]], shared: list[list[int]]) -> list[tuple[int, int, int, int]]:
-    """Ranges of repeated windows among different segments of one anchor, in both orders."""
+def _different(group: list[Segment]) -> list[tuple[int, int, int, int]]:
+    """Ranges of repeated windows among different segments of one anchor, in sorted order."""
+    behind = [g[4][g[3] - g[1] :] for g in group]
+    before = [g[4][: g[3] - g[1]][::-1] for g in group]
     n, out = len(group), []
+    orders = [deep_shallow_order(x) for x in (behind, before)]
+    shared = [[common_prefix(x[i], x[j]) for i, j in zip(o, o[1:])] for x, o in zip((behind, before), orders)]
     if n <= 4:
         places = [{i: k for k, i in enumerate(o)} for o in orders]
         for j in range(1, n):
@@ -428,10 +413,16 @@ def _match_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """`docs` with what names a row: __doc, its doc_id (null after all others), and __sub."""
-    none = F.col("doc_id").isNull()
+    """`docs` with what names a row: __doc, its doc_id (null after all others), and __sub. Texts
+    without a window are compared with nothing; a number of their own deals them anywhere,
+    however many nulls and stubs there are."""
+    windowed = F.coalesce(F.octet_length("text"), F.lit(0)) >= WINDOW
+    text_hash = F.xxhash64("text", F.col("doc_id").isNull())
     return docs.withColumns(
-        {"__doc": F.when(none, F.lit((1 << 63) - 1)).otherwise(F.col("doc_id").cast("long")), "__sub": F.xxhash64("text", none)}
+        {
+            "__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)),
+            "__sub": F.when(windowed, text_hash).otherwise(F.monotonically_increasing_id()),
+        }
     )
 
 
@@ -441,14 +432,14 @@ def bucket_count(docs: DataFrame) -> int:
     return max(32, -(-size // (BUCKET_MB << 20)))
 
 
-def repeated_windows(keyed: DataFrame, group_cap: int = GROUP_CAP, buckets: int | None = None) -> DataFrame:
+def repeated_windows(placed: DataFrame, buckets: int, group_cap: int = GROUP_CAP) -> DataFrame:
     """(doc, sub, lo, hi): the windows starting at bytes lo .. hi of the row also start
-    earlier, in a row before it or further ahead in the same. `keyed` is from _keyed()."""
-    texts = keyed.select("__doc", "__sub", "text").where("text is not null")
-    buckets = bucket_count(texts) if buckets is None else buckets
+    earlier, in a row before it or further ahead in the same. `placed` is from _keyed(), in
+    partitions by __doc and __sub."""
     parts = min(buckets, MOST_PARTITIONS)
     found = materialize(
-        texts.mapInArrow(partial(_find_segments, buckets=buckets), BLOB_SCHEMA)
+        placed.select("__doc", "__sub", "text")
+        .mapInArrow(partial(_find_segments, buckets=buckets), BLOB_SCHEMA)
         .repartition(parts, "bucket")
         .sortWithinPartitions("bucket")
         .mapInArrow(partial(_match_segments, group_cap=group_cap), FOUND_SCHEMA),
@@ -458,11 +449,11 @@ def repeated_windows(keyed: DataFrame, group_cap: int = GROUP_CAP, buckets: int
         found.where("anchor is not null")
         .repartition(parts, "doc", "sub")
         .groupBy("doc", "sub")
-        .agg(F.collect_list(F.struct("anchor", "lo", "hi", "at", "large")).alias("wanted"))
+        .agg(F.collect_list(F.struct("anchor", "lo", "hi", "at", "large")).alias("__wanted"))
+        .withColumnsRenamed({"doc": "__at_doc", "sub": "__at_sub"})
     )
     borders = (
-        texts.repartition(parts, "__doc", "__sub")
-        .join(wanted, (F.col("__doc") == F.col("doc")) & (F.col("__sub") == F.col("sub")))
+        placed.join(wanted, (F.col("__doc") == F.col("__at_doc")) & (F.col("__sub") == F.col("__at_sub")))
         .mapInArrow(partial(_fetch, buckets=buckets), BLOB_SCHEMA)
         .repartition(parts, "bucket")
         .sortWithinPartitions("bucket")
@@ -485,19 +476,22 @@ def spans(ranges: list[tuple[int, int]], n_bytes: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _with_ranges(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of `docs` with the ranges of their windows, both sides dealt to as many partitions as texts need."""
+def _with_ranges(docs: DataFrame) -> DataFrame:
+    """Rows of `docs` with the ranges of their windows. The texts are shuffled once: fetching
+    segments and cutting spans use the same exchange, so both take all columns."""
     keyed = _keyed(docs)
     buckets = bucket_count(keyed)
     parts = min(buckets, MOST_PARTITIONS)
-    found = repeated_windows(keyed, buckets=buckets).repartition(parts, "doc", "sub").groupBy("doc", "sub").agg(
-        F.collect_list(F.struct("lo", "hi")).alias("__ranges")
-    ).withColumnsRenamed({"doc": "__at_doc", "sub": "__at_sub"})
-    # texts without a window need no ranges, so nulls and stubs are dealt anywhere, however many are alike
-    windowed = F.coalesce(F.octet_length("text"), F.lit(0)) >= WINDOW
-    keyed = keyed.withColumn("__sub", F.when(windowed, F.col("__sub")).otherwise(F.monotonically_increasing_id()))
+    placed = keyed.repartition(parts, "__doc", "__sub")
+    found = (
+        repeated_windows(placed, buckets)
+        .repartition(parts, "doc", "sub")
+        .groupBy("doc", "sub")
+        .agg(F.collect_list(F.struct("lo", "hi")).alias("__ranges"))
+        .withColumnsRenamed({"doc": "__at_doc", "sub": "__at_sub"})
+    )
     same = (F.col("__doc") == F.col("__at_doc")) & (F.col("__sub") == F.col("__at_sub"))
-    return keyed.repartition(parts, "__doc", "__sub").join(found, same, "left").select(*[F.col(f"`{c}`") for c in columns], "__ranges")
+    return placed.join(found, same, "left")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -524,7 +518,7 @@ def repeat_report(docs: DataFrame) -> DataFrame:
     and different texts are documents of their own, ordered by a hash of the text; a
     null doc_id comes after all others. Other columns are not read.
     """
-    return _with_ranges(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long"), "text", "__ranges").mapInArrow(
+    return _with_ranges(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(
         _digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
 
@@ -549,7 +543,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             without_spans(t, [(r["lo"], r["hi"]) for r in ranges]) if t and ranges else t
             for t, ranges in zip(batch.column("text").to_pylist(), batch.column("__ranges").to_pylist())
         ]
-        names = [n for n in batch.schema.names if n not in ("text", "__ranges")]
+        names = [n for n in batch.schema.names if n != "text" and n[:2] != "__"]
         yield pa.record_batch([*(batch.column(n) for n in names), pa.array(texts, pa.string())], names=[*names, "text"])
 
 
@@ -558,7 +552,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     a column). Rows are told apart as in repeat_report(). A document left without a word goes."""
     rest = [c for c in docs.columns if c != "text"]
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest), "text string"])
-    cut = _with_ranges(docs, docs.columns).mapInArrow(_texts, schema)
+    cut = _with_ranges(docs).mapInArrow(_texts, schema)
     if "n_chars" in rest:
         cut = cut.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
     return cut.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(docs.columns)

@@ -169,7 +169,7 @@ def reported(docs):
 @pytest.mark.parametrize("cap", [1, suffix_dedup.GROUP_CAP])
 def test_repeats(docs_of, monkeypatch, cap):
     plain = suffix_dedup.repeated_windows
-    monkeypatch.setattr(suffix_dedup, "repeated_windows", lambda docs, buckets: plain(docs, cap, buckets))
+    monkeypatch.setattr(suffix_dedup, "repeated_windows", lambda docs, buckets: plain(docs, buckets, cap))
     rows = passages()
     assert reported(docs_of(rows, 5)) == slow_repeats(rows)
 
