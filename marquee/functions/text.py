@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,6 +49,13 @@ def replace_all(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
     return text
 
 
+def replace_all_sql(text: str, rules: tuple[tuple[str, str], ...]) -> str:
+    """`replace_all` as SQL."""
+    for pattern, replacement in rules:
+        text = "regexp_replace({}, '{}', '{}', 'g')".format(text, pattern.replace("'", "''"), replacement.replace("$", "\\"))
+    return text
+
+
 def clean_markup(text: Column) -> Column:
     """A profile without markup, single spaces; null is empty."""
     return F.trim(F.regexp_replace(replace_all(F.coalesce(text, F.lit("")), MARKUP), r"\s+", " "))
@@ -78,6 +85,12 @@ def truncate_chars(text: Column, most: int) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.regexp_replace(F.substring(text, 1, most), r"\s\S*\z", ""))
 
 
+def snippet(text: Column, words: list[str], most: int = 500) -> Column:
+    """The sentences that have one of the words, whatever its case, up to `most` characters, cut at a space."""
+    named = lambda s: F.exists(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.contains(F.lower(s), w))
+    return truncate_chars(F.array_join(F.filter(F.split(text, r"(?<=[.!?])\s+"), named), " "), most)
+
+
 def format_citation(title: Column, author: Column, page: Column, year: Column, tier: Column) -> Column:
     """Title, author, page, year, tier joined by commas; nulls are left out."""
     return F.concat_ws(", ", title, author, F.concat(F.lit("p."), page), year, F.concat(F.lit("[Tier "), tier, F.lit("]")))
@@ -119,23 +132,22 @@ def city_hint(line: Column) -> Column:
     return F.when((F.size(F.split(line, r",| - |–|—")) > 1) & (F.length(last) > 2), last)
 
 
-ABBREVIATIONS = ("dr.", "mr.", "mrs.", "ms.", "jr.", "sr.", "st.", "vs.", "feat.", "ft.", "etc.", "e.g.", "i.e.", "co.", "inc.", "no.", "vol.")
+#: Words whose period ends no sentence; case counts. Fixed values.
+ABBREVIATIONS = (
+    "Dr", "Mr", "Mrs", "Ms", "Prof", "Jr", "Sr", "St", "Ave", "Blvd", "Vol", "No", "vs", "etc", "approx", "dept", "est", "govt", "inc", "ltd",
+    "co", "ft",
+)
+_ABBREVIATED = re.compile(rf"(?:{'|'.join(ABBREVIATIONS)})\.")
+_SENTENCE_END = re.compile(r"[.!?](?=\s|\Z)")
 
 
 def sentences(text: str) -> list[str]:
-    """Sentences end at .!? before white space; a mark within an abbreviation does not
-    count, nor does one of a word that merely ends like one."""
-    masked = text
-    for a in ABBREVIATIONS:
-        for form in (a, a.capitalize()):
-            masked = masked.replace(form, form.replace(".", "\x00"))
-    out, start = [], 0
-    for i, c in enumerate(masked):
-        if c in ".!?" and (i + 1 == len(masked) or masked[i + 1].isspace()):
-            out.append(masked[start : i + 1])
-            start = i + 1
-    out.append(masked[start:])
-    return [s.replace("\x00", ".").strip() for s in out if s.strip()]
+    """Sentences end at .!? before white space or the end, but not at the period of an
+    abbreviation (nor of a word that ends like one). A text without any is its own sentence."""
+    held = {m.end() - 1 for m in _ABBREVIATED.finditer(text)}
+    ends = [m.end() for m in _SENTENCE_END.finditer(text) if m.start() not in held]
+    parts = [text[a:b].strip() for a, b in zip([0, *ends], [*ends, len(text)])]
+    return [p for p in parts if p] or [text]
 
 
 def pack_units(units: list[str], joiner: str, most: int, overlap: int) -> list[str]:
@@ -176,8 +188,11 @@ def chunk_text(text: str | None, most: int = 500, overlap: int = 100) -> list[st
     return out + pack_units(held, "\n\n", most, overlap)
 
 
-def chunk_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(source_id, text) to (source_id, ordinal, chunk), for mapInPandas."""
-    for frame in frames:
-        rows = [(s, i, c) for s, t in zip(frame.source_id, frame.text) for i, c in enumerate(chunk_text(t))]
-        yield pd.DataFrame(rows, columns=["source_id", "ordinal", "chunk"])
+def chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(source_id, text) to (source_id, ordinal, chunk), for mapInArrow."""
+    for batch in batches:
+        chunks = [chunk_text(t) for t in batch.column("text").to_pylist()]
+        source = pa.array([i for i, c in enumerate(chunks) for _ in c], pa.int64())
+        ordinals = pa.array([k for c in chunks for k in range(len(c))], pa.int32())
+        texts = pa.array([x for c in chunks for x in c], pa.string())
+        yield pa.record_batch([batch.column("source_id").take(source), ordinals, texts], names=["source_id", "ordinal", "chunk"])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marquee.operators.tables import written
+
 
 def top_per_key(rows: DataFrame, key: list[str], order: list, most: int) -> DataFrame:
     """The first `most` rows by key; the plan limits each group before the sort's exchange."""
@@ -12,6 +14,26 @@ def top_per_key(rows: DataFrame, key: list[str], order: list, most: int) -> Data
     return rows.withColumn("__r", F.row_number().over(window)).where(F.col("__r") <= most).drop("__r")
 
 
+def running_sum(rows: DataFrame, key: list[str], order: list[str], value: Column) -> DataFrame:
+    """`rows` with `total`, the running sum of `value` by key in ascending order (to be unique), for
+    keys of many rows: ranges of rows are summed on their own, and each starts from the
+    sums of the ranges before it, which are one row a range and key."""
+    ranged = rows.repartitionByRange(*key, *order).withColumn("__value", value)
+    placed = written(ranged.withColumn("__range", F.spark_partition_id()), "ranges")
+    same = [F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"__{k}") for k in key]
+    sums = placed.groupBy("__range", *key).agg(F.sum("__value").alias("__sum"))
+    before = F.sum("__sum").over(Window.partitionBy(*key).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sums.select("__range", *same, F.coalesce(before, F.lit(0)).alias("__before"))
+    own = F.sum("__value").over(Window.partitionBy("__range", *key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    joined = placed.select("*", own.alias("__own"), *same).join(starts, ["__range", *[f"__{k}" for k in key]])
+    return joined.withColumn("total", F.col("__own") + F.col("__before")).select(*rows.columns, "total")
+
+
+def numbered(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """`rows` with `number`, from 1 by key in ascending order; see running_sum."""
+    return running_sum(rows, key, order, F.lit(1).cast("long")).withColumnRenamed("total", "number")
+
+
 def sections(rows: DataFrame, key: list[str], order: str, starts: Column) -> DataFrame:
     """Rows with the number of section starts up to and with them, by key."""
     window = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -19,9 +41,9 @@ def sections(rows: DataFrame, key: list[str], order: str, starts: Column) -> Dat
 
 
 def within_budget(rows: DataFrame, key: list[str], order: list, size: str, budget: int) -> DataFrame:
-    """By key the rows in order until their sizes would exceed the budget."""
-    window = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("used", F.sum(size).over(window)).where(F.col("used") <= budget)
+    """By key the rows in order until their sizes would exceed the budget. Sizes are not
+    negative, so each key's sum is cut by ranges of rows."""
+    return running_sum(rows, key, order, F.col(size)).where(F.col("total") <= budget).withColumnRenamed("total", "used")
 
 
 def any_contains(tags: Column, part: str) -> Column:

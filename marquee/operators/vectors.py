@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.operators.ranking import top_per_key
+from marquee.operators.tables import written
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -57,52 +60,67 @@ def hex_to_long(h: Column) -> Column:
     return F.conv(h, 16, -10).cast("long")
 
 
+BLOCKS, BLOCK_BITS = 4, 16
+
+
+def _around(block: Column, bits: int) -> Column:
+    """A block and all blocks within `bits` of it."""
+    masks = [sum(1 << i for i in c) for n in range(bits + 1) for c in combinations(range(BLOCK_BITS), n)]
+    return F.array(*[block.bitwiseXOR(F.lit(m)) for m in masks])
+
+
 def hash_neighbours(rows: DataFrame, key: str, h: str, most_bits: int) -> DataFrame:
     """Pairs (a, b, distance), a < b, of 64-bit hashes within `most_bits`.
 
-    Exact: of most_bits + 1 disjoint bands at least one is equal in such a pair, so
-    pairs are found by an equi-join on bands; equal hashes are joined once.
+    Exact: of four blocks one differs in a quarter of the bits at most. Each side
+    takes its half of these: for 10 bits, two blocks within 2 bits have a block within 1
+    of both, which is what they are joined on.
     """
-    bands = most_bits + 1
-    edges = [64 * i // bands for i in range(bands + 1)]
-    keys = [
-        F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.col(h), lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("bits"))
-        for i, (lo, hi) in enumerate(zip(edges, edges[1:]))
-    ]
-    banded = rows.select(key, h, F.explode(F.array(*keys)).alias("__b")).select(key, h, "__b.band", "__b.bits")
-    a, b = banded.alias("a"), banded.alias("b")
-    near = hamming(F.col(f"a.{h}"), F.col(f"b.{h}"))
-    met = (F.col("a.band") == F.col("b.band")) & (F.col("a.bits") == F.col("b.bits")) & (F.col(f"a.{key}") < F.col(f"b.{key}"))
-    pairs = a.join(b, met & (near <= most_bits))
-    return pairs.select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), near.alias("distance")).distinct()
-
-
-def jaccard_pairs(docs: DataFrame, key: str, tokens: Column, threshold: float) -> DataFrame:
-    """Pairs (a, b, jaccard), a < b, of distinct token sets above the threshold.
+    near = most_bits // BLOCKS
+
+    def keyed(side: str, bits: int) -> DataFrame:
+        block = lambda i: F.shiftrightunsigned(F.col(h), BLOCK_BITS * i).bitwiseAND(F.lit(0xFFFF)).cast("int")
+        keys = F.flatten(F.array(*[F.transform(_around(block(i), bits), lambda z: z.bitwiseOR(F.lit(i << BLOCK_BITS))) for i in range(BLOCKS)]))  # noqa: B023
+        return rows.select(F.col(key).alias(side), F.col(h).alias(f"h{side}"), F.explode(keys).alias("block"))
+
+    distance = hamming(F.col("ha"), F.col("hb"))
+    met = keyed("a", (near + 1) // 2).join(keyed("b", near // 2), "block").where((F.col("a") < F.col("b")) & (distance <= most_bits))
+    return met.select("a", "b", distance.alias("distance")).distinct()
+
+
+def jaccard_pairs(sets: DataFrame, key: str, threshold: float) -> DataFrame:
+    """Pairs (a, b, jaccard), a < b, of rows of `sets` (key, t: distinct longs) above the threshold.
 
     Prefix filtering: with tokens ordered from rare to frequent, two sets above the
-    threshold share one of their first n - ceil(t * n) + 1 tokens, so only prefixes
-    are joined; the Jaccard of the survivors is exact.
+    threshold share one of their first n - floor(t * n) tokens, so only these are
+    joined. What they share can be no more than their common token's places allow
+    (positional filter). Sizes differ by the threshold at most: tokens are joined by
+    size band too, which splits frequent ones. The Jaccard of the survivors is exact.
     """
-    sets = docs.select(key, F.array_distinct(tokens).alias("t")).where(F.size("t") > 0)
+    n = F.size("t")
     words = sets.select(key, F.explode("t").alias("w"))
-    counts = words.groupBy("w").agg(F.count("*").alias("df"))
+    counts = written(words.groupBy("w").agg(F.count("*").alias("df")), "words")
     # a word in over one of a thousand sets would be a hot key; there are at most a
     # thousand times the mean set size of those, whatever the number of sets
-    often = sets.count() / 1000
+    often = sets.select(F.count("*") / 1000).first()[0]
     common = words.join(F.broadcast(counts.where(F.col("df") > often)), "w")
     ranked = common.unionByName(words.join(counts.where(F.col("df") <= often), "w"))
-    ordered = ranked.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("o"))
-    n = F.size("o")
-    prefix = F.slice("o", F.lit(1), (n - F.ceil(F.lit(threshold) * n) + 1).cast("int"))
-    heads = ordered.select(key, F.explode(prefix).alias("p")).select(key, F.col("p.w").alias("w"))
-    size = ordered.select(key, n.alias("n"))
-    heads = heads.join(size, key)
-    a, b = heads.alias("a"), heads.alias("b")
-    fits = (F.col("a.n") >= F.col("b.n") * threshold) & (F.col("b.n") >= F.col("a.n") * threshold)
-    candidates = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & fits)
-    pairs = candidates.select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b")).distinct()
-    left, right = sets.withColumnsRenamed({key: "a", "t": "ta"}), sets.withColumnsRenamed({key: "b", "t": "tb"})
+    order = F.transform(F.sort_array(F.collect_list(F.struct("df", "w"))), lambda x: x["w"])
+    ordered = written(ranked.groupBy(key).agg(order.alias("t")), "ordered")
+    band = F.floor(F.log(n.cast("double")) / -math.log(threshold) + 1e-9).cast("int")
+    prefix = F.slice("t", F.lit(1), (n - F.floor(F.lit(threshold) * n)).cast("int"))
+    heads = ordered.select(F.col(key), n.alias("n"), band.alias("band"), F.posexplode(prefix).alias("at", "w"))
+    names = {c: f"{c}2" for c in heads.columns if c != "w"}
+    other = heads.withColumnsRenamed(names)
+    # the smaller set's band is the larger one's or the one below; rounding may cost a band
+    other = other.withColumn("band", F.explode(F.array(*[F.col("band2") - k for k in range(3)]))).drop("band2")
+    smaller = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col(key) < F.col(f"{key}2")))
+    least = F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("n2"))
+    # a pair is found by its first common token at the latest: from there on it must share enough
+    room = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
+    met = heads.join(other, ["w", "band"]).where(smaller & (F.col("n2") * threshold < F.col("n") + 1e-9) & (room > least - 1e-9))
+    pairs = met.select(F.least(key, f"{key}2").alias("a"), F.greatest(key, f"{key}2").alias("b")).distinct()
+    left, right = ordered.withColumnsRenamed({key: "a", "t": "ta"}), ordered.withColumnsRenamed({key: "b", "t": "tb"})
     shared = F.size(F.array_intersect("ta", "tb"))
     similarity = shared / (F.size("ta") + F.size("tb") - shared)
     return pairs.join(left, "a").join(right, "b").select("a", "b", similarity.alias("jaccard")).where(F.col("jaccard") > threshold)
@@ -128,10 +146,14 @@ def near_token_sets(docs: DataFrame, key: str, tokens: Column, threshold: float)
     """(key, class_id, n_links): rows of one token set are a class; a class links to
     those with a Jaccard similarity above the threshold. Rows without tokens are
     classes of their own."""
-    sets = docs.select(key, F.sort_array(F.array_distinct(tokens)).alias("t"))
-    digest = F.when(F.size("t") > 0, F.sha2(F.array_join("t", "\x00"), 256)).otherwise(F.concat(F.lit("empty "), key))
-    named = sets.withColumn("d", digest)
-    classes = named.groupBy("d").agg(F.min(key).alias("class_id"))
-    members = named.select(key, "d").join(classes, "d").select(key, "class_id")
-    heads = sets.join(classes.select(F.col("class_id").alias(key)), key, "left_semi")
-    return linked_classes(members, jaccard_pairs(heads, key, F.col("t"), threshold))
+    hashed = F.sort_array(F.array_distinct(F.transform(tokens, lambda w: F.xxhash64(w))))
+    sets = written(docs.select(key, hashed.alias("t")), "sets")
+    # the digest is of the set, not of its 64-bit hash: classes are not joined by chance
+    digest = F.when(F.size("t") > 0, F.sha2(F.array_join(F.transform("t", lambda w: w.cast("string")), " "), 256)).otherwise(F.concat(F.lit("empty "), key))
+    named = sets.select(key, digest.alias("d"))
+    classes = written(named.groupBy("d").agg(F.min(key).alias("class_id")), "classes")
+    members = named.join(classes, "d").select(key, "class_id")
+    # sets of fewer tokens are above the threshold with themselves only
+    least = math.ceil(threshold / (1 - threshold) - 1e-9) if threshold < 1 else 1 << 30
+    heads = written(sets.where(F.size("t") >= least).join(classes.select(F.col("class_id").alias(key)), key, "left_semi"), "heads")
+    return linked_classes(members, jaccard_pairs(heads, key, threshold))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions import text as tx
@@ -10,6 +10,7 @@ from marquee.functions import urls as ur
 from marquee.operators import aggregate as ag
 from marquee.operators import history as hi
 from marquee.operators import ranking as rk
+from marquee.operators.tables import new_path
 from marquee.plans.registry import Tables, query
 from marquee.sources import files as sf
 
@@ -65,9 +66,9 @@ def scan_pdf(t: Tables) -> DataFrame:
     )
 
 
-@query("scan_html_text", "select page_id, trim(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)) as title from pages")
+@query("scan_html_text", sf.main_text_sql("html"))
 def scan_html_text(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", sf.html_title(F.col("html")).alias("title"))
+    return t.pages.select("page_id", sf.main_text(F.col("html")).alias("text"))
 
 
 @query("scan_epub")
@@ -188,23 +189,35 @@ def filt_music_relevance(t: Tables) -> DataFrame:
     return t.pages.where(ur.is_music_relevant(F.col("url"), sf.html_title(F.col("html")), F.col("url"))).select("page_id")
 
 
+_SLUGS = "[" + ", ".join(f"'{k}'" for k in sorted(ur.GENRE_KEYWORDS)) + "]"
+
+
 @query(
     "filt_url_slug_keywords",
-    """select page_id, array_to_string(k, ',') as matched from (select page_id, list_filter(['en', 'html', '77'], lambda k: contains(s, k)) as k from
-    (select page_id, lower(regexp_extract(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '([^/]*)$', 1)) as s from pages)) where len(k) > 0""",
+    f"""select page_id, array_to_string(k, ',') as matched from (select page_id, list_filter({_SLUGS}, lambda k: contains(s, k)) as k from
+    (select page_id, lower(regexp_extract(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '([^/]*)$', 1)) || '-' || ({_SLUGS})[page_id % {len(ur.GENRE_KEYWORDS) + 9} + 1] as s from pages)) where len(k) > 0""",
 )
 def filt_url_slug_keywords(t: Tables) -> DataFrame:
-    matched = F.filter(F.array(F.lit("en"), F.lit("html"), F.lit("77")), lambda k: F.contains(ur.last_segment(F.col("url")), k))
+    """URLs whose last part names one of the table's keywords; one in so many gets none."""
+    name = F.get(F.array(*[F.lit(k) for k in sorted(ur.GENRE_KEYWORDS)]), (F.col("page_id") % (len(ur.GENRE_KEYWORDS) + 9)).cast("int"))
+    url = F.concat(F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), r"/+$", ""), F.lit("-"), name)
+    matched = F.when(name.isNotNull(), ur.keywords_in(ur.last_segment(url)))
     return t.pages.select("page_id", matched.alias("k")).where(F.size("k") > 0).select("page_id", F.array_join("k", ",").alias("matched"))
 
 
-_KEYS = "[" + ", ".join(f"'{k}'" for k in ("tion", "the", "ing", "que", "ent", "sch")) + "]"
+_KEYS = "[" + ", ".join(f"'{k}'" for k in sorted(ur.GENRE_KEYWORDS)) + "]"
+_NAMED = f"text || ' ' || ({_KEYS})[doc_id % {len(ur.GENRE_KEYWORDS)} + 1] || ' ' || case when doc_id % 3 > 0 then ({_KEYS})[doc_id * 7 % {len(ur.GENRE_KEYWORDS)} + 1] || '/deep house' else '' end"
 
 
-@query("filt_content_keywords", f"select doc_id, len(list_filter({_KEYS}, lambda k: contains(lower(text), k))) as n from documents where len(list_filter({_KEYS}, lambda k: contains(lower(text), k))) >= 3")
+@query("filt_content_keywords", f"select doc_id, n from (select doc_id, len(list_filter({_KEYS}, lambda k: contains(lower(x), k))) as n from (select doc_id, {_NAMED} as x from documents)) where n >= 3")
 def filt_content_keywords(t: Tables) -> DataFrame:
-    n = F.size(ur.keywords_in(F.col("text"), ("tion", "the", "ing", "que", "ent", "sch"))).cast("long")
-    return t.documents.select("doc_id", n.alias("n")).where(F.col("n") >= ur.LEAST_KEYWORDS)
+    """Texts with keywords of the table behind them, as their words are invented."""
+    keys, n = F.array(*[F.lit(k) for k in sorted(ur.GENRE_KEYWORDS)]), len(ur.GENRE_KEYWORDS)
+    at = lambda x: F.get(keys, (x % n).cast("int"))
+    more = F.when(F.col("doc_id") % 3 > 0, F.concat(at(F.col("doc_id") * 7), F.lit("/deep house"))).otherwise("")
+    text = F.concat_ws(" ", "text", at(F.col("doc_id")), more)
+    rows = t.documents.select("doc_id", F.size(ur.keywords_in(text)).cast("long").alias("n"))
+    return rows.where(F.col("n") >= ur.LEAST_KEYWORDS)
 
 
 @query("filt_style_membership", "select p_partkey from part where p_brand <> 'Brand#1' and p_type in ('PROMO', 'LARGE')")
@@ -313,13 +326,13 @@ def agg_distinct_sources(t: Tables) -> DataFrame:
         select 'type' as facet, lang as value, count(*) as n from documents group by 2
         union all select 'source', source, count(*) from documents group by 2
         union all select 'tier', 'T' || (doc_id % 6 + 1), count(*) from documents group by 2
-        union all select 'entity', w, count(*) from (select unnest(string_split(text, ' ')[1:8]) as w from documents) group by 2))
+        union all select 'entity', w, count(*) from (select unnest(string_split(text, ' ')) as w from documents) group by 2))
     where r <= case facet when 'entity' then 30 when 'source' then 20 else 1000 end""",
 )
 def agg_facets(t: Tables) -> DataFrame:
     columns = {
         "type": F.col("lang"), "source": F.col("source"), "tier": F.concat(F.lit("T"), F.col("doc_id") % 6 + 1),
-        "entity": F.slice(F.split("text", " "), 1, 8),
+        "entity": F.split("text", " "),
     }
     return ag.facets(t.documents, columns, {"entity": 30, "source": 20})
 
@@ -405,7 +418,12 @@ def set_intersection(t: Tables) -> DataFrame:
 
 @query("sink_prose_files", "select p_type as cluster, count(*) as n, sum(length(p_name))::bigint as n_chars from part group by 1")
 def sink_prose_files(t: Tables) -> DataFrame:
-    return t.part.groupBy(F.col("p_type").alias("cluster")).agg(F.count("*").alias("n"), F.sum(F.length("p_name")).alias("n_chars"))
+    """Texts written to a folder for each cluster, and what the folders hold."""
+    rows = t.part.select(F.col("p_type").alias("cluster"), "p_name")
+    path = new_path(rows.sparkSession, "prose")
+    sf.write_text_by(rows, "cluster", "p_name", path)
+    back = rows.sparkSession.read.schema("value string, cluster string").text(path)
+    return back.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.length("value")).alias("n_chars"))
 
 
 @query(
@@ -425,8 +443,7 @@ def sink_event_corpus(t: Tables) -> DataFrame:
 def sink_article_corpus(t: Tables) -> DataFrame:
     group = F.when(F.contains("text", F.lit("tion")), "a").when(F.contains("text", F.lit("sch")), "b").otherwise("general")
     rows = t.documents.select("doc_id", group.alias("grp"))
-    number = F.row_number().over(Window.partitionBy("grp").orderBy("doc_id"))
-    return rows.select("doc_id", "grp", (F.floor((number - 1) / 50) + 1).alias("part"))
+    return rk.numbered(rows, ["grp"], ["doc_id"]).select("doc_id", "grp", (F.floor((F.col("number") - 1) / 50) + 1).alias("part"))
 
 
 @query("cmp_rebuild", "select doc_id, 'reference' as source_type from documents union all select conv_id * 100 + turn, 'transcript' from conversations union all select page_id, 'article' from pages")
@@ -455,10 +472,10 @@ def cmp_episode_index(t: Tables) -> DataFrame:
 
 @query(
     "cmp_web_enrich",
-    """select doc_id, array_to_string(list_sort(list_distinct(string_split(text, ' ')[1:4])), ',') as tags from documents""",
+    """select doc_id, array_to_string(list_sort(list_distinct(string_split(text, ' '))), ',') as tags from documents""",
 )
 def cmp_web_enrich(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.array_join(F.sort_array(F.array_distinct(F.slice(F.split("text", " "), 1, 4))), ",").alias("tags"))
+    return t.documents.select("doc_id", F.array_join(F.sort_array(F.array_distinct(F.split("text", " "))), ",").alias("tags"))
 
 
 @query(

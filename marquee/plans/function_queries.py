@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marquee.functions import dates as da
+from marquee.functions import domain as do
 from marquee.functions import names as na
 from marquee.functions import periods as pe
 from marquee.functions import scores as sc
 from marquee.functions import text as tx
 from marquee.functions import urls as ur
+from marquee.operators import fuzzy as fz
+from marquee.operators import graph as gr
 from marquee.operators import history as hi
 from marquee.plans.registry import Tables, query
 
@@ -47,20 +51,24 @@ def fn_fuzz_ratio(t: Tables) -> DataFrame:
 
 @query(
     "join_fuzzy",
-    """select p_partkey, best, ratio from (select a.p_partkey, b.p_name as best, 1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)) as ratio,
-    row_number() over (partition by a.p_partkey order by 1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)) desc, b.p_name) r
-    from (select p_partkey, p_name || 's' as p_name from part) a join (select distinct p_name from part) b
-    on split_part(a.p_name, ' ', 1) = split_part(b.p_name, ' ', 1)) where r = 1 and ratio >= 0.8""",
+    """with k as (select distinct p_name from part), a as (select distinct p_name || 's' as name from part),
+    s as (select name, p_name as best, 1 - levenshtein(name, p_name) / greatest(length(name), length(p_name)) as ratio from a, k),
+    m as (select * from (select *, row_number() over (partition by name order by ratio desc, best) r from s) where r = 1 and ratio >= 0.8)
+    select p_partkey, best, ratio from part join m on name = p_name || 's'""",
 )
 def join_fuzzy(t: Tables) -> DataFrame:
-    """Candidates share the first word, so only names of a block are compared."""
-    first = lambda c: F.split_part(c, F.lit(" "), F.lit(1))
+    """Every name is matched with all known ones, whatever they begin with."""
     asked = t.part.select("p_partkey", F.concat("p_name", F.lit("s")).alias("name"))
-    known = t.part.select(F.col("p_name").alias("best")).distinct()
-    pairs = asked.withColumn("w", first(F.col("name"))).join(known.withColumn("w", first(F.col("best"))), "w")
-    scored = pairs.withColumn("ratio", na.edit_ratio(F.col("name"), F.col("best"))).where("ratio >= 0.8D")
-    best = scored.groupBy("p_partkey").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "best")).alias("b"))
-    return best.select("p_partkey", "b.best", (-F.col("b.r")).alias("ratio"))
+    return asked.join(fz.best_matches(asked, t.part.select(F.col("p_name").alias("name")), 0.8), "name").select("p_partkey", "best", "ratio")
+
+
+@query("join_token_sort")
+def join_token_sort(t: Tables) -> DataFrame:
+    """Names with their words in another order and a letter misread, matched by their sorted words."""
+    read = F.regexp_replace(F.concat_ws(" ", F.reverse(F.split("p_name", " "))), "l", "1")
+    asked = t.part.select("p_partkey", gr.sorted_words(read).alias("name"))
+    known = t.part.select(gr.sorted_words(F.col("p_name")).alias("name"))
+    return asked.join(fz.best_matches(asked, known, 0.8, "indel"), "name").select("p_partkey", "best", "ratio")
 
 
 @query(
@@ -116,7 +124,7 @@ def fn_truncate_tokens(t: Tables) -> DataFrame:
 @query("fn_chunk")
 def fn_chunk(t: Tables) -> DataFrame:
     rows = t.documents.select(F.col("doc_id").alias("source_id"), "text")
-    chunks = rows.mapInPandas(tx.chunk_frames, "source_id long, ordinal int, chunk string")
+    chunks = rows.mapInArrow(tx.chunk_batches, "source_id long, ordinal int, chunk string")
     return chunks.withColumn("chunk_id", F.sha2(F.concat_ws("|", "source_id", "ordinal"), 256))
 
 
@@ -175,18 +183,20 @@ def fn_edge_adjust(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.round(c, 6).alias("c"))
 
 
-@query("fn_parse_date", "select o_orderkey, case when o_orderkey % 4 < 3 then strftime(o_orderdate, '%Y-%m-%d') end as d from orders")
+@query("fn_parse_date", "select o_orderkey, case when o_orderkey % 7 < 6 then strftime(o_orderdate, '%Y-%m-%d') end as d from orders")
 def fn_parse_date(t: Tables) -> DataFrame:
-    kind, at = F.col("o_orderkey") % 4, F.col("o_orderdate")
+    """Dates as fliers print them, within other text."""
+    kind, at = F.col("o_orderkey") % 7, F.col("o_orderdate")
     text = (
-        F.when(kind == 0, F.date_format(at, "EEEE, MMMM d, yyyy"))
-        .when(kind == 1, F.date_format(at, "M/d/yyyy"))
+        F.when(kind == 0, F.concat(F.date_format(at, "EEEE, MMMM d"), F.lit("th, "), F.year(at), F.lit(" at the hall, 10pm")))
+        .when(kind == 1, F.concat(F.lit("doors "), F.date_format(at, "M/d/yyyy")))
         .when(kind == 2, F.date_format(at, "yyyy-MM-dd"))
-        .otherwise(F.lit("soon"))
+        .when(kind == 3, F.concat(F.lit("live: "), F.date_format(at, "M/d/yy"), F.lit(", all night")))
+        .when(kind == 4, F.concat(F.lit("Sat "), F.date_format(at, "d MMM yyyy")))
+        .when(kind == 5, F.concat(F.lit("am "), F.date_format(at, "dd.MM.yy")))
+        .otherwise(F.lit("soon, 99/99/2024"))
     )
-    plain = F.regexp_replace(F.regexp_replace(text, r"(?i)^(?:mon|tues|wednes|thurs|fri|satur|sun)day,?\s*", ""), r"(\d)(?:st|nd|rd|th)\b", "$1")
-    found = F.coalesce(*[F.try_to_timestamp(plain, F.lit(f)) for f in ("yyyy-MM-dd", "M/d/yyyy", "MMMM d, yyyy", "d MMMM yyyy")])
-    return t.orders.select("o_orderkey", F.date_format(found, "yyyy-MM-dd").alias("d"))
+    return t.orders.select("o_orderkey", F.date_format(da.parse_date(text), "yyyy-MM-dd").alias("d"))
 
 
 @query("fn_city_hint", "select c_custkey, 'City ' || c_nationkey as city from customer")
@@ -199,10 +209,13 @@ def fn_domain(t: Tables) -> DataFrame:
     return t.pages.select("page_id", ur.domain(F.col("url")).alias("domain"))
 
 
-@query("fn_snippet", "select doc_id, array_to_string(list_filter(string_split(text, '. '), lambda s: contains(lower(s), 'tion'))[1:2], '. ') as snippet from documents")
+@query(
+    "fn_snippet",
+    """select doc_id, case when length(s) <= 500 then s else regexp_replace(substr(s, 1, 500), '\\s\\S*\\z', '') end as snippet from (select doc_id, array_to_string(list_filter(
+    string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: contains(lower(s), 'tion') or contains(lower(s), 'sch')), ' ') as s from documents)""",
+)
 def fn_snippet(t: Tables) -> DataFrame:
-    hits = F.filter(F.split("text", r"\. "), lambda s: F.contains(F.lower(s), F.lit("tion")))
-    return t.documents.select("doc_id", F.array_join(F.slice(hits, 1, 2), ". ").alias("snippet"))
+    return t.documents.select("doc_id", tx.snippet(F.col("text"), ["tion", "Sch"]).alias("snippet"))
 
 
 @query("fn_parse_event_block", "select event_id, event_type as title, strftime(ts, '%Y-%m-%d') as event_date from events")
@@ -275,51 +288,86 @@ def fn_cache_key(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", tx.cache_key(F.col("source"), F.col("lang")).alias("k"))
 
 
-@query("fn_extract_genres", "select doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda w: w in ('thention', 'the', 'tion', 'ing')))), ',') as genres from documents")
+GENRES = ("techno", "detroit techno", "house", "acid house", "dub", "dub techno", "house techno club")
+_LONGEST = sorted(GENRES, key=lambda g: (-len(g), g))
+
+
+def _genres_sql() -> str:
+    """Longest first, each taken out before the next is looked for (twice, as neighbours share a space)."""
+    steps, found = "select doc_id, lower(x) as t0 from named", []
+    for k, g in enumerate(_LONGEST):
+        hit = rf"(^|[^\p{{L}}\p{{N}}]){g}($|[^\p{{L}}\p{{N}}])"
+        out = f"t{k}"
+        for _ in range(2):
+            out = rf"regexp_replace({out}, '{hit}', '\1' || chr(1) || '\2', 'g')"
+        steps = f"select *, regexp_matches(t{k}, '{hit}') as f{k}, {out} as t{k + 1} from ({steps})"
+        found.append(f"case when f{k} then '{g}' end")
+    return f"""with named as (select doc_id, text || ' ' || (['', 'Acid House, house', 'DETROIT techno dub techno', 'warehouse house techno club', 'dub house'])[doc_id % 5 + 1] as x from documents)
+    select doc_id, array_to_string(list_sort(list_filter([{", ".join(found)}], lambda g: g is not null)), ',') as genres from ({steps})"""
+
+
+@query("fn_extract_genres", _genres_sql())
 def fn_extract_genres(t: Tables) -> DataFrame:
-    found = F.regexp_extract_all(F.lower("text"), F.lit(r"\b(?:thention|the|tion|ing)\b"), F.lit(0))
-    return t.documents.select("doc_id", F.array_join(F.sort_array(F.array_distinct(found)), ",").alias("genres"))
+    more = ["", "Acid House, house", "DETROIT techno dub techno", "warehouse house techno club", "dub house"]
+    text = F.concat_ws(" ", "text", F.get(F.array(*[F.lit(m) for m in more]), (F.col("doc_id") % 5).cast("int")))
+    return t.documents.select("doc_id", F.array_join(do.extract_genres(text, list(GENRES)), ",").alias("genres"))
 
 
 @query(
     "fn_expand_aliases",
-    "select n_nationkey, n_name || ',' || 'N' || n_nationkey as names from nation where n_regionkey = 1 union all select n_nationkey, n_name from nation where n_regionkey <> 1",
+    """with al as (select n_name as canonical, 'N' || n_nationkey as alias from nation where n_regionkey = 1 union all select n_name, 'Land ' || n_nationkey from nation where n_regionkey = 1)
+    select n_nationkey, coalesce((select string_agg(x, ',' order by x) from (select canonical as x from al where canonical = n_name union select alias from al where canonical = n_name)),
+    case when n_nationkey % 2 = 0 then n_name else 'n' || n_nationkey end) as names from nation""",
 )
 def fn_expand_aliases(t: Tables) -> DataFrame:
-    aliases = t.nation.where("n_regionkey = 1").select(F.lower("n_name").alias("k"), F.array(F.concat(F.lit("N"), "n_nationkey")).alias("a"))
-    rows = t.nation.join(aliases, F.lower("n_name") == F.col("k"), "left")
-    names = F.array_union(F.array("n_name"), F.coalesce("a", F.array().cast("array<string>")))
-    return rows.select("n_nationkey", F.array_join(names, ",").alias("names"))
+    """Every second nation is asked by its name, the others by an alias in lower case."""
+    own = t.nation.where("n_regionkey = 1")
+    aliases = own.select(F.col("n_name").alias("canonical"), F.concat(F.lit("N"), "n_nationkey").alias("alias"))
+    aliases = aliases.unionByName(own.select(F.col("n_name").alias("canonical"), F.concat(F.lit("Land "), "n_nationkey").alias("alias")))
+    asked = t.nation.select("n_nationkey", F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).otherwise(F.concat(F.lit("n"), "n_nationkey")).alias("asked"))
+    return do.expand_aliases(asked, "asked", aliases).select("n_nationkey", F.array_join("names", ",").alias("names"))
 
 
-@query("fn_adjacent_genres", "select a.p_type as genre, string_agg(distinct b.p_type, ',' order by b.p_type) as adjacent from (select distinct p_type from part) a join (select distinct p_type from part) b on a.p_type <> b.p_type and substr(a.p_type, 1, 1) = substr(b.p_type, 1, 1) group by 1")
+@query(
+    "fn_adjacent_genres",
+    """with nb as (select distinct p_type as genre, p_brand as neighbour from part where p_type <> 'PROMO')
+    select p_type as genre, coalesce(string_agg(neighbour, ',' order by neighbour), '') as adjacent from (select distinct p_type from part) left join nb on genre = p_type group by 1""",
+)
 def fn_adjacent_genres(t: Tables) -> DataFrame:
-    kinds = t.part.select("p_type").distinct()
-    pairs = kinds.alias("a").join(kinds.alias("b"), (F.substring("a.p_type", 1, 1) == F.substring("b.p_type", 1, 1)) & (F.col("a.p_type") != F.col("b.p_type")))
-    return pairs.groupBy(F.col("a.p_type").alias("genre")).agg(F.array_join(F.sort_array(F.collect_set("b.p_type")), ",").alias("adjacent"))
+    """The table has the brands of a type as its neighbours; one type is not in it."""
+    neighbours = t.part.where("p_type <> 'PROMO'").select(F.lower("p_type").alias("genre"), F.col("p_brand").alias("neighbour"))
+    found = do.adjacent_genres(t.part.select(F.concat(F.lit(" "), "p_type").alias("g")).distinct(), "g", neighbours)
+    return found.select(F.trim("genre").alias("genre"), F.array_join("adjacent", ",").alias("adjacent"))
+
+
+SCENES = {"auto": ["Detroit", "Windsor"], "house": ["Chicago", "Detroit"], "build": ["Berlin"], "household": ["Leeds"]}
 
 
-@query("fn_scene_geo", "select c_custkey, case when contains(lower(c_mktsegment), 'auto') then 'Detroit' when contains(lower(c_mktsegment), 'house') then 'Chicago' end as city from customer")
+@query(
+    "fn_scene_geo",
+    "select c_custkey, array_to_string(list_sort(list_distinct(flatten(["
+    + ", ".join(f"case when contains(lower(c_mktsegment), '{s}') then {c} else [] end" for s, c in SCENES.items())
+    + "]))), ',') as cities from customer",
+)
 def fn_scene_geo(t: Tables) -> DataFrame:
-    scenes = {"auto": "Detroit", "house": "Chicago"}
-    case = F.when(F.lit(False), F.lit(None).cast("string"))
-    for word, city in scenes.items():
-        case = case.when(F.contains(F.lower("c_mktsegment"), F.lit(word)), F.lit(city))
-    return t.customer.select("c_custkey", case.alias("city"))
+    return t.customer.select("c_custkey", F.array_join(do.scene_cities(F.col("c_mktsegment"), SCENES), ",").alias("cities"))
 
 
-@query("fn_is_artist_query", "select item_id, regexp_matches(text, '(?i)^(?:who is|the )') or contains(lower(text), 'thention') as hit from benchmark")
+@query(
+    "fn_is_artist_query",
+    "select doc_id, regexp_matches(text, '(?i)^(?:who is|the )') or lower(trim(text)) in ('tion', 'thention') or contains(lower(trim(text)), 'thention') as hit from documents",
+)
 def fn_is_artist_query(t: Tables) -> DataFrame:
-    hit = F.col("text").rlike(r"(?i)^(?:who is|the )") | F.contains(F.lower("text"), F.lit("thention"))
-    return t.benchmark.select("item_id", hit.alias("hit"))
+    return t.documents.select("doc_id", do.is_artist_query(F.col("text"), r"(?i)^(?:who is|the )", ["Tion", "Thention"]).alias("hit"))
+
+
+_RAW = "'[00:15:22]' || text || '(1:05)[LAUGHTER]'"
 
 
-@query("fn_preprocess_transcript", "select conv_id, turn, trim(regexp_replace(text, '[ \\t]{2,}', ' ', 'g'), ' ' || chr(10)) as text from conversations where not regexp_matches(text, '(?m)^[ \\t]*[A-Z][A-Za-z''\\-.]+(?:\\s+[A-Za-z''\\-.]+){0,3}\\s*:') and not regexp_matches(text, '\\n{3,}')")
+@query("fn_preprocess_transcript", f"select conv_id, turn, regexp_replace({tx.replace_all_sql(_RAW, tx.TRANSCRIPT)}, '^\\s+|\\s+$', '', 'g') as text from conversations")
 def fn_preprocess_transcript(t: Tables) -> DataFrame:
-    label = r"(?m)^[ \t]*[A-Z][A-Za-z'\-.]+(?:\s+[A-Za-z'\-.]+){0,3}\s*:"
-    plain = t.conversations.where(~F.col("text").rlike(label) & ~F.col("text").rlike(r"\n{3,}"))
     marked = F.concat(F.lit("[00:15:22]"), "text", F.lit("(1:05)[LAUGHTER]"))
-    return plain.select("conv_id", "turn", tx.clean_transcript(marked).alias("text"))
+    return t.conversations.select("conv_id", "turn", tx.clean_transcript(marked).alias("text"))
 
 
 @query("fn_ocr_correct")
@@ -344,13 +392,13 @@ def agg_research_confidence(t: Tables) -> DataFrame:
 def fn_embed(t: Tables) -> DataFrame:
     from marquee.sources.providers import embed
 
-    return embed(t.benchmark, "item_id", "text", 64)
+    return embed(t.documents, "doc_id", "text", 64)
 
 
 @query("fn_split_sentences")
 def fn_split_sentences(t: Tables) -> DataFrame:
     split = F.udf(tx.sentences, "array<string>", useArrow=True)
-    return t.benchmark.select("item_id", F.posexplode(split("text")).alias("n", "sentence"))
+    return t.documents.select("doc_id", F.posexplode(split("text")).alias("n", "sentence"))
 
 
 @query("fn_merge_filters", "select doc_id, lang from documents where lang in ('fr') and doc_id % 6 <= 3")

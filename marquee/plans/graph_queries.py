@@ -111,14 +111,13 @@ def resolve_canonical(t: Tables) -> DataFrame:
 
 @query("resolve_fuzzy")
 def resolve_fuzzy(t: Tables) -> DataFrame:
-    rows = t.part.select("p_partkey", "p_name", F.concat("p_type", F.substring("p_name", 1, 1)).alias("block"))
-    return gr.resolve(rows, "p_name", "p_partkey", 0.85)
+    return gr.resolve(t.part.select("p_partkey", "p_name"), "p_name", "p_partkey", 0.85)
 
 
 @query("dedup_ocr_fuzzy")
 def dedup_ocr_fuzzy(t: Tables) -> DataFrame:
     """Readings of one name in a supplier's parts: the most confident of like ones stays."""
-    rows = t.part.select((-F.col("p_size") * 100000 + F.col("p_partkey")).alias("o"), "p_name", F.substring("p_name", 1, 3).alias("block"))
+    rows = t.part.select((-F.col("p_size") * 100000 + F.col("p_partkey")).alias("o"), "p_name")
     found = gr.resolve(rows, "p_name", "o", 0.8)
     return found.groupBy("canonical").agg(F.min_by("p_name", "o").alias("p_name"), F.count("*").alias("n"))
 

@@ -499,10 +499,14 @@ def sink_annotation(t: Tables) -> DataFrame:
 
 @query("sink_jsonl_checkpoint", "select p_partkey, p_name, p_size from part where p_size > 10")
 def sink_jsonl_checkpoint(t: Tables) -> DataFrame:
-    """Rows as JSON lines and back, the schema given."""
+    """Rows written as JSON lines and read back, the schema given."""
+    from marquee.operators.tables import new_path
+    from marquee.sources.files import write_jsonl
+
     kept = t.part.where("p_size > 10").select("p_partkey", "p_name", "p_size")
-    schema = "p_partkey long, p_name string, p_size int"
-    return kept.select(F.from_json(F.to_json(F.struct("*")), schema).alias("r")).select("r.*")
+    path = new_path(kept.sparkSession, "checkpoint")
+    write_jsonl(kept, path)
+    return kept.sparkSession.read.schema("p_partkey long, p_name string, p_size int").json(path)
 
 
 @query("lk_dump_status", "select p_type as dump, count(*) as n, round(sum(length(p_name)) / 1024.0, 3)::double as kb from part group by 1")

@@ -160,10 +160,8 @@ def win_latest_active(t: Tables) -> DataFrame:
 )
 def win_source_index(t: Tables) -> DataFrame:
     """Numbers of sources by first occurrence; the sources are aggregated before they are ordered."""
-    from pyspark.sql import Window
-
     firsts = t.documents.groupBy("source").agg(F.min("doc_id").alias("first"))
-    return firsts.select("source", F.row_number().over(Window.orderBy("first")).cast("long").alias("idx"))
+    return rk.numbered(firsts, [], ["first"]).select("source", F.col("number").alias("idx"))
 
 
 _MERGE = """select * from (select p_name as name, 0 as priority, p_size * 0.01 as strength, p_size as times from part where p_brand = 'Brand#1'
@@ -195,10 +193,8 @@ def win_best_ocr(t: Tables) -> DataFrame:
 
 @query("win_batch_of_n", "select event_id, ((row_number() over (partition by event_type order by ts, event_id)) - 1) // 8 as batch from events")
 def win_batch_of_n(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
-    number = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
-    return t.events.select("event_id", F.floor((number - 1) / 8).alias("batch"))
+    rows = rk.numbered(t.events.select("event_id", "event_type", "ts"), ["event_type"], ["ts", "event_id"])
+    return rows.select("event_id", F.floor((F.col("number") - 1) / 8).alias("batch"))
 
 
 @query(
@@ -207,10 +203,8 @@ def win_batch_of_n(t: Tables) -> DataFrame:
     (select *, ((row_number() over (partition by event_type order by ts, event_id)) - 1) // 8 as batch from events) group by 1, 2""",
 )
 def agg_tag_union(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
-    number = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
-    rows = t.events.select("event_type", "ts", "user_id", F.floor((number - 1) / 8).alias("batch"))
+    rows = rk.numbered(t.events.select("event_id", "event_type", "ts", "user_id"), ["event_type"], ["ts", "event_id"])
+    rows = rows.select("event_type", "ts", "user_id", F.floor((F.col("number") - 1) / 8).alias("batch"))
     tags = F.transform(F.sort_array(F.collect_set("user_id")), lambda x: x.cast("string"))
     return rows.groupBy("event_type", "batch").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.array_join(tags, ",").alias("tags"))
 

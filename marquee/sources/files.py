@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marquee.operators.tables import written
+
 
 def read_text_files(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
     """Whole files of a folder (path, source_id, n_bytes, text), known source_ids left
@@ -34,6 +36,38 @@ def html_title(html: Column) -> Column:
     return F.trim(F.regexp_extract(html, r"(?s)<title[^>]*>(.*?)</title>", 1))
 
 
+#: Elements that are no text of the article.
+FURNITURE = ("script", "style", "noscript", "template", "head", "nav", "header", "footer", "aside", "form")
+REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&middot;", "·"), ("&amp;", "&"))
+
+
+def main_text(html: Column) -> Column:
+    """The article's text (that of the page without an article or main element) without
+    furniture and tags, references decoded, white space as single spaces."""
+    page = F.coalesce(html, F.lit(""))
+    for tag in FURNITURE:
+        page = F.regexp_replace(page, rf"(?is)<{tag}\b.*?</{tag}>", " ")
+    article = [F.regexp_extract(page, rf"(?is)<{tag}\b[^>]*>(.*)</{tag}>", 1) for tag in ("article", "main")]
+    body = F.coalesce(*[F.when(a != "", a) for a in article], page)
+    text = F.regexp_replace(F.regexp_replace(body, r"(?s)<!--.*?-->", " "), r"<[^>]+>", " ")
+    for name, character in REFERENCES:
+        text = F.replace(text, F.lit(name), F.lit(character))
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def main_text_sql(html: str) -> str:
+    """`main_text` as SQL."""
+    page = f"coalesce({html}, '')"
+    for tag in FURNITURE:
+        page = rf"regexp_replace({page}, '(?is)<{tag}\b.*?</{tag}>', ' ', 'g')"
+    article = [rf"nullif(regexp_extract(page, '(?is)<{tag}\b[^>]*>(.*)</{tag}>', 1), '')" for tag in ("article", "main")]
+    text = rf"regexp_replace(regexp_replace(body, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g')"
+    for name, character in REFERENCES:
+        text = "replace({}, '{}', '{}')".format(text, name, character.replace("'", "''"))
+    return f"""select page_id, trim(regexp_replace({text}, '\\s+', ' ', 'g')) as text from
+        (select page_id, coalesce({', '.join(article)}, page) as body from (select page_id, {page} as page from pages))"""
+
+
 def html_documents(pages: DataFrame, least_chars: int) -> DataFrame:
     """(page_id, title, n_chars): pages with enough text and their first heading."""
     plain = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style|head)\b.*?</\1>", " "), r"<[^>]+>", " ")
@@ -69,9 +103,11 @@ def crawl(links: DataFrame, seeds: list, max_depth: int) -> DataFrame:
     kind = links.schema["source"].dataType.simpleString()
     reached = spark.createDataFrame([(s, 0) for s in seeds], f"page {kind}, depth int")
     frontier = reached
+    links = written(links.select("source", "target").distinct(), "links")
     for depth in range(1, max_depth + 1):
         following = frontier.join(links, F.col("page") == F.col("source")).select(F.col("target").alias("page")).distinct()
-        frontier = following.join(reached.select("page"), "page", "left_anti").withColumn("depth", F.lit(depth))
+        # a level is written, so that the next ones do not compute it again
+        frontier = written(following.join(reached.select("page"), "page", "left_anti").withColumn("depth", F.lit(depth)), "level")
         reached = reached.unionByName(frontier)
     return reached
 

@@ -26,9 +26,73 @@ def test_same_rows_as_sql(spark, duck, name):
     assert rows_of(ours) == rows_of(theirs)
 
 
-@pytest.mark.parametrize("name", ["scan_epub", "fn_token_sort_ratio", "fn_chunk", "fn_ocr_correct", "resolve_fuzzy", "dedup_ocr_fuzzy"])
-def test_runs_without_sql(spark, name):
-    assert QUERIES[name](spark, DATA).count() > 0
+def test_epub_documents(spark):
+    """Pages with enough text and their first heading, by the standard library's parser."""
+    import html.parser
+    import re
+
+    class Reader(html.parser.HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=False)
+            self.text, self.skip, self.heading, self.title = "", 0, 0, None
+
+        def handle_starttag(self, tag, attrs):
+            self.text += " "
+            self.skip += tag in ("script", "style", "head")
+            if tag in ("h1", "h2", "h3") and self.title is None:
+                self.heading, self.title = 1, ""
+
+        def handle_endtag(self, tag):
+            self.text += " "
+            self.skip -= tag in ("script", "style", "head")
+            self.heading = 0 if tag in ("h1", "h2", "h3") else self.heading
+
+        def put(self, data):
+            self.text += "" if self.skip else data
+            if self.heading:
+                self.title += data
+
+        handle_data = put
+
+        def handle_entityref(self, name):
+            self.put(f"&{name};")
+
+        def handle_charref(self, name):
+            self.put(f"&#{name};")
+
+    expected = {}
+    for r in spark.read.parquet(f"{DATA}/pages.parquet").collect():
+        reader = Reader()
+        reader.feed(r.html or "")
+        n = len(re.sub(r"\s+", " ", reader.text).strip())
+        if n >= 100:
+            expected[r.page_id] = ((reader.title or "").strip(), n)
+    assert {r.page_id: (r.title, r.n_chars) for r in QUERIES["scan_epub"](spark, DATA).collect()} == expected
+
+
+def test_token_sort_ratio_of_parts(spark):
+    from marquee.functions.names import lcs_ratio
+
+    sort = lambda x: " ".join(sorted(x.split()))
+    parts = spark.read.parquet(f"{DATA}/part.parquet").collect()
+    expected = {p.p_partkey: lcs_ratio(sort(p.p_name), sort(f"{p.p_type} {p.p_name.split(' ')[-1]}")) for p in parts}
+    found = {r.p_partkey: r.ratio for r in QUERIES["fn_token_sort_ratio"](spark, DATA).collect()}
+    assert found == expected
+
+
+def test_ocr_corrections_of_parts(spark):
+    names = {r.p_partkey: r.p_name for r in spark.read.parquet(f"{DATA}/part.parquet").collect()}
+    found = {r.p_partkey: r.text for r in QUERIES["fn_ocr_correct"](spark, DATA).collect()}
+    assert found == {k: f"Arming OPEN CARLO live late Warehouse {n.replace('rn', 'm')}" for k, n in names.items()}
+
+
+def test_embeddings_are_unit_vectors_of_the_text(spark):
+    from marquee.sources.providers import hash_vector
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    rows = QUERIES["fn_embed"](spark, DATA).collect()
+    assert {r.doc_id: r.embedding for r in rows} == {i: hash_vector(t or "", 64) for i, t in texts.items()}
+    assert all(abs(sum(x * x for x in r.embedding) - 1) < 1e-9 for r in rows)
 
 
 def test_flagship(spark):

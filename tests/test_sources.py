@@ -58,13 +58,22 @@ def test_filters():
 
 
 def test_jaccard_pairs_are_exact(spark):
+    import random
+
+    r = random.Random(5)
+    base = [[r.choice("abcdefghijklmnopqrstuvwxyz") + r.choice("abcd") for _ in range(r.randint(0, 25))] for _ in range(40)]
     texts = ["a b c d e f g h i j", "a b c d e f g h i k", "a b c d e f g h i j", "z", "z", "", "a b"]
+    texts += [" ".join(words) for words in base] + [" ".join(words[1:] + [r.choice("xyz")]) for words in base] + [" ".join(words[:-1]) for words in base]
     rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
     tokens = F.filter(F.split("t", " "), lambda w: w != "")
-    found = {(r.a, r.b) for r in vectors.jaccard_pairs(rows, "k", tokens, 0.8).collect()}
-    sets = [set(t.split()) for t in texts]
-    expected = {(i, j) for i in range(7) for j in range(i + 1, 7) if sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) > 0.8}
-    assert found == expected
+    found = {r.k: (r.class_id, r.n_links) for r in vectors.near_token_sets(rows, "k", tokens, 0.8).collect()}
+    sets = [frozenset(t.split()) for t in texts]
+    first = {}
+    for i, s in enumerate(sets):
+        first.setdefault(s or i, i)
+    for i, s in enumerate(sets):
+        like = {first[o] for o in sets if s and o and o != s and len(s & o) / len(s | o) > 0.8}
+        assert found[i] == (first[s or i], len(like))
 
 
 def test_nested_children_are_empty_not_null(spark):
