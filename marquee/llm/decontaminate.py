@@ -15,6 +15,7 @@ carries a few tokens and not its text, however long that is.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -152,14 +153,8 @@ def _occurrences(hits: DataFrame) -> DataFrame:
     return shown.agg(F.count_distinct("h").alias("n")).where(F.col("n") >= CONTAINMENT * F.col("n_windows")).drop("n")
 
 
-def _held(docs: DataFrame, benchmark: DataFrame, names: str, least: DataFrame | None = None) -> DataFrame:
-    """The rows of contamination() with names marked by the pattern `names`. `least`
-    (item_id, at_least): windows that count for an item if it has fewer here; with it,
-    only occurrences count."""
-    known = index(benchmark, names)
-    if least is not None:
-        enough = F.greatest("n_windows", F.coalesce("at_least", "n_windows"))
-        known = known.join(least, "item_id", "left").withColumn("n_windows", enough).drop("at_least")
+def _hits(docs: DataFrame, known: DataFrame, names: str) -> DataFrame:
+    """The documents' windows that are in the index `known`, written."""
     known = materialize(known, "items")
     if known.count() <= BROADCAST_WINDOWS:
         known = F.broadcast(known)
@@ -167,7 +162,11 @@ def _held(docs: DataFrame, benchmark: DataFrame, names: str, least: DataFrame |
     # equal hashes propose, equal canonical windows decide
     hits = hits.where(F.transform("doc_tokens", _canonical) == F.transform("item_tokens", _canonical))
     hits = hits.withColumn("at", F.col("first") + F.col("local")).withColumn("doc_slots", slots("doc_tokens"))
-    hits = materialize(hits.withColumnRenamed("row", "doc_row").drop("t", "first", "local", "size"), "hits")
+    return materialize(hits.withColumnRenamed("row", "doc_row").drop("t", "first", "local", "size"), "hits")
+
+
+def _held(hits: DataFrame, only_occurrences: bool = False) -> DataFrame:
+    """The rows of contamination() that the hits show: occurrences, and windows that are spread."""
     # a row for each bound pair, and one without a pair for a window without slots
     pairs = F.zip_with("item_slots", "doc_slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     bound = (
@@ -182,7 +181,7 @@ def _held(docs: DataFrame, benchmark: DataFrame, names: str, least: DataFrame |
         F.max(F.coalesce(F.col("a") != F.col("b"), F.lit(False))).alias("reparameterised"),
     ).join(widest, item)
     shown = _occurrences(hits).select("doc_id", "item_id", F.lit(True).alias("shown"))
-    if least is not None:
+    if only_occurrences:
         per_item = per_item.withColumn("widest", F.lit(None).cast("long"))
     spread = (F.col("n_matched") >= CONTAINMENT * F.col("n_windows")) & (F.col("widest") <= MAX_BINDINGS)
     return per_item.join(shown, ["doc_id", "item_id"], "left").where(F.coalesce(spread, F.lit(False)) | F.coalesce("shown", F.lit(False))).select(
@@ -191,6 +190,28 @@ def _held(docs: DataFrame, benchmark: DataFrame, names: str, least: DataFrame |
     )
 
 
+def _held_by_every_name(docs: DataFrame, benchmark: DataFrame, inside_hits: DataFrame) -> Iterator[DataFrame]:
+    """The rows of contamination() with names read at every position; only occurrences count, and
+    an item has as many windows as it has in the other reading at least.
+
+    A window without a name is the same in both readings. Where more of an item's windows
+    are without a name than may be missing, a document that holds it has one of them,
+    so it is among the hits of the other reading; other documents are read again only
+    for the items where that is not so.
+    """
+    least = index(benchmark).select("item_id", F.col("n_windows").alias("at_least")).distinct()
+    enough = F.greatest("n_windows", F.coalesce("at_least", "n_windows"))
+    known = index(benchmark, MARK_EVERY).join(least, "item_id", "left").withColumn("n_windows", enough).drop("at_least")
+    named = F.exists("item_tokens", lambda x: F.substring(x, 1, 1) == NAME_MARK)
+    sure = known.groupBy("item_id", "n_windows").agg(F.count_distinct(F.when(~named, F.col("h"))).alias("plain"))
+    sure = materialize(sure.withColumn("sure", F.col("plain") > F.floor((1 - CONTAINMENT) * F.col("n_windows") + 1e-9)), "sure-items")
+    known = known.join(sure.select("item_id", "sure"), "item_id")
+    again = docs.join(inside_hits.select(F.col("doc_id").alias("__hit")).distinct(), F.col("doc_id").cast("long") == F.col("__hit"), "left_semi")
+    yield _held(_hits(again, known.where("sure").drop("sure"), MARK_EVERY), only_occurrences=True)
+    if not sure.where("not sure").isEmpty():
+        yield _held(_hits(docs, known.where("not sure").drop("sure"), MARK_EVERY), only_occurrences=True)
+
+
 def _short_items(benchmark: DataFrame) -> DataFrame:
     """(item_id, words): texts of items without a window, as lower-case tokens."""
     held = index(benchmark).select("item_id").distinct()
@@ -242,9 +263,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     differs anywhere in it. Without documents or items there are no rows.
     """
     docs, benchmark = docs.where("doc_id is not null"), benchmark.where("item_id is not null")
-    inside = _held(docs, benchmark, MARK_NAMES)
-    least = index(benchmark).select("item_id", F.col("n_windows").alias("at_least")).distinct()
-    ways = [inside, _held(docs, benchmark, MARK_EVERY, least)]
+    hits = _hits(docs, index(benchmark), MARK_NAMES)
+    inside = _held(hits)
+    ways = [inside, *_held_by_every_name(docs, benchmark, hits)]
     short = materialize(_short_items(benchmark), "short-items")
     sizes = short.groupBy(F.least(F.size("words"), F.lit(WINDOW)).alias("n")).agg(F.max(F.size("words")).alias("longest")).collect()
     if sizes:  # WINDOW rows at most

@@ -300,7 +300,8 @@ def test_each_value_is_judged_by_itself(spark, docs_of):
 def test_equal_hashes_are_compared(spark, docs_of, monkeypatch):
     bench = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
     monkeypatch.setattr(decontaminate.F, "xxhash64", lambda *_: F.lit(1).cast("long"))
-    found = decontaminate._held(docs_of([(1, QUESTION), (2, "an unlike text of enough words to have windows")]), bench, decontaminate.MARK_NAMES)
+    docs = docs_of([(1, QUESTION), (2, "an unlike text of enough words to have windows")])
+    found = decontaminate._hits(docs, decontaminate.index(bench), decontaminate.MARK_NAMES)
     assert {r.doc_id for r in found.collect()} <= {1}
 
 
@@ -335,6 +336,15 @@ def test_names_at_every_position_and_short_items(spark, docs_of):
     assert found == {(1, 1), (2, 2), (3, 3), (5, 4)}
 
 
+def test_items_full_of_names_are_looked_for_everywhere(spark, docs_of):
+    """No window of the item is without a name, so no hit of the other reading leads to it."""
+    item = "Alice went home early. Bob came back late. Carol left it open. Dan read some books."
+    bench = spark.createDataFrame([(1, item), (2, QUESTION)], "item_id long, text string")
+    other = "Paul went home early. Quinn came back late. Rosa left it open. Sam read some books."
+    found = decontaminate.contamination(docs_of([(1, other), (2, "nothing here"), (3, "Well, " + QUESTION)]), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(1, 1), (3, 2)}
+
+
 def test_a_shuffled_index_gives_the_same(spark, docs_of, monkeypatch):
     bench = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
     frame = docs_of([(1, QUESTION), (2, "nothing of the kind is in this text")])
