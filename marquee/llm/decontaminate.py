@@ -15,7 +15,6 @@ carries a few tokens and not its text, however long that is.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -190,26 +189,28 @@ def _held(hits: DataFrame, only_occurrences: bool = False) -> DataFrame:
     )
 
 
-def _held_by_every_name(docs: DataFrame, benchmark: DataFrame, inside_hits: DataFrame) -> Iterator[DataFrame]:
+def _held_by_every_name(docs: DataFrame, benchmark: DataFrame, inside_hits: DataFrame) -> DataFrame:
     """The rows of contamination() with names read at every position; only occurrences count, and
     an item has as many windows as it has in the other reading at least.
 
     A window without a name is the same in both readings. Where more of an item's windows
     are without a name than may be missing, a document that holds it has one of them,
-    so it is among the hits of the other reading; other documents are read again only
-    for the items where that is not so.
+    so it is among the hits of the other reading. If that holds for all items, only such
+    documents are read again, else all are.
     """
     least = index(benchmark).select("item_id", F.col("n_windows").alias("at_least")).distinct()
     enough = F.greatest("n_windows", F.coalesce("at_least", "n_windows"))
     known = index(benchmark, MARK_EVERY).join(least, "item_id", "left").withColumn("n_windows", enough).drop("at_least")
     named = F.exists("item_tokens", lambda x: F.substring(x, 1, 1) == NAME_MARK)
-    sure = known.groupBy("item_id", "n_windows").agg(F.count_distinct(F.when(~named, F.col("h"))).alias("plain"))
-    sure = materialize(sure.withColumn("sure", F.col("plain") > F.floor((1 - CONTAINMENT) * F.col("n_windows") + 1e-9)), "sure-items")
-    known = known.join(sure.select("item_id", "sure"), "item_id")
-    again = docs.join(inside_hits.select(F.col("doc_id").alias("__hit")).distinct(), F.col("doc_id").cast("long") == F.col("__hit"), "left_semi")
-    yield _held(_hits(again, known.where("sure").drop("sure"), MARK_EVERY), only_occurrences=True)
-    if not sure.where("not sure").isEmpty():
-        yield _held(_hits(docs, known.where("not sure").drop("sure"), MARK_EVERY), only_occurrences=True)
+    counted = known.groupBy("item_id", "n_windows").agg(
+        F.count_distinct("h").alias("all"), F.count_distinct(F.when(~named, F.col("h"))).alias("plain")
+    )
+    missing = F.col("all") - F.ceil(F.lit(CONTAINMENT) * F.col("n_windows") - 1e-9)
+    sure = materialize(counted.withColumn("sure", F.col("plain") > missing), "sure-items")
+    if sure.where("not sure").isEmpty():
+        hit = inside_hits.select(F.col("doc_id").alias("__hit")).distinct()
+        docs = docs.join(hit, F.col("doc_id").cast("long") == F.col("__hit"), "left_semi")
+    return _held(_hits(docs, known, MARK_EVERY), only_occurrences=True)
 
 
 def _short_items(benchmark: DataFrame) -> DataFrame:
@@ -265,7 +266,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs, benchmark = docs.where("doc_id is not null"), benchmark.where("item_id is not null")
     hits = _hits(docs, index(benchmark), MARK_NAMES)
     inside = _held(hits)
-    ways = [inside, *_held_by_every_name(docs, benchmark, hits)]
+    ways = [inside, _held_by_every_name(docs, benchmark, hits)]
     short = materialize(_short_items(benchmark), "short-items")
     sizes = short.groupBy(F.least(F.size("words"), F.lit(WINDOW)).alias("n")).agg(F.max(F.size("words")).alias("longest")).collect()
     if sizes:  # WINDOW rows at most
