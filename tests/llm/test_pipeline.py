@@ -126,6 +126,6 @@ def test_stages_of_odd_rows(spark, docs_of):
             assert out.columns == docs.columns, name
             kept = out.collect()
             if docs.count():
-                assert sum(r.text == prose for r in kept) >= 1, name
+                assert any(prose in (r.text or "") for r in kept), name
         packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect()
         assert len({(p.shard, p.bin, p.start) for p in packed}) == len(packed) >= docs.count()
