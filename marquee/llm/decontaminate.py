@@ -31,6 +31,12 @@ PLAIN_WORDS = 2
 MAX_BINDINGS = 2
 #: Benchmark windows that are broadcast; a larger index is joined by shuffling.
 BROADCAST_WINDOWS = 500_000
+#: Document ids that are broadcast; more of them are joined by shuffling.
+BROADCAST_IDS = 1_000_000
+#: Item texts that are looked for by their words, and words of each. With more texts, or one
+#: without such words, all documents are read; the results are the same.
+WORD_ITEMS = 64
+ITEM_WORDS = 4
 BLOCK = 32
 
 UNITS = (
@@ -153,8 +159,7 @@ def _occurrences(hits: DataFrame) -> DataFrame:
 
 
 def _hits(docs: DataFrame, known: DataFrame, names: str) -> DataFrame:
-    """The documents' windows that are in the index `known`, written."""
-    known = materialize(known, "items")
+    """The documents' windows that are in the written index `known`, written."""
     if known.count() <= BROADCAST_WINDOWS:
         known = F.broadcast(known)
     hits = windows(docs, "doc_id", names).join(known, "h").withColumn("doc_tokens", window_tokens())
@@ -189,28 +194,63 @@ def _held(hits: DataFrame, only_occurrences: bool = False) -> DataFrame:
     )
 
 
-def _held_by_every_name(docs: DataFrame, benchmark: DataFrame, inside_hits: DataFrame) -> DataFrame:
-    """The rows of contamination() with names read at every position; only occurrences count, and
-    an item has as many windows as it has in the other reading at least.
+def _bounded(ids: DataFrame) -> DataFrame:
+    """Written ids, broadcast if they are few."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def _words_needed(known: DataFrame) -> list[list[str]] | None:
+    """For each item's text words of which a document that holds it lacks none: those in more
+    places of the text than may be missing. None if a text has no such word, or texts are many.
+    Words are compared as parts of the lower-case text, which is sure for ASCII letters."""
+    text = ["item_id", "item_row", "row_windows"]
+    places = known.select(*text, "q", F.explode("item_tokens").alias("word")).where(~_is_slot(F.col("word")))
+    places = places.groupBy(*text, F.lower("word").alias("word")).agg(F.count_distinct("q").alias("n"))
+    may_miss = F.col("row_windows") - F.ceil(F.lit(CONTAINMENT) * F.col("row_windows") - 1e-9)
+    needed = F.when((F.col("n") > may_miss) & F.col("word").rlike("^[a-z]+$"), F.struct(F.length("word").alias("l"), "word"))
+    longest = F.slice(F.sort_array(F.collect_list(needed), asc=False), 1, ITEM_WORDS)
+    rows = places.groupBy(*text).agg(longest.alias("words")).select("words.word").limit(WORD_ITEMS + 1).collect()
+    return None if len(rows) > WORD_ITEMS or not all(r.word for r in rows) else [r.word for r in rows]
+
+
+def _may_hold(docs: DataFrame, known: DataFrame, inside_hits: DataFrame) -> DataFrame:
+    """All rows of the documents that may hold an item of `known`, the index by every name.
 
     A window without a name is the same in both readings. Where more of an item's windows
-    are without a name than may be missing, a document that holds it has one of them,
-    so it is among the hits of the other reading. If that holds for all items, only such
-    documents are read again, else all are.
+    are without a name than may be missing, a document that holds it has at least the
+    difference among the hits of the other reading. Of other items it has the needed words.
     """
-    least = index(benchmark).select("item_id", F.col("n_windows").alias("at_least")).distinct()
-    enough = F.greatest("n_windows", F.coalesce("at_least", "n_windows"))
-    known = index(benchmark, MARK_EVERY).join(least, "item_id", "left").withColumn("n_windows", enough).drop("at_least")
-    named = F.exists("item_tokens", lambda x: F.substring(x, 1, 1) == NAME_MARK)
+    nameless = ~F.exists("item_tokens", lambda x: F.substring(x, 1, 1) == NAME_MARK)
     counted = known.groupBy("item_id", "n_windows").agg(
-        F.count_distinct("h").alias("all"), F.count_distinct(F.when(~named, F.col("h"))).alias("plain")
+        F.count_distinct("h").alias("all"), F.count_distinct(F.when(nameless, F.col("h"))).alias("plain")
     )
     missing = F.col("all") - F.ceil(F.lit(CONTAINMENT) * F.col("n_windows") - 1e-9)
-    sure = materialize(counted.withColumn("sure", F.col("plain") > missing), "sure-items")
-    if sure.where("not sure").isEmpty():
-        hit = inside_hits.select(F.col("doc_id").alias("__hit")).distinct()
-        docs = docs.join(hit, F.col("doc_id").cast("long") == F.col("__hit"), "left_semi")
-    return _held(_hits(docs, known, MARK_EVERY), only_occurrences=True)
+    least = materialize(counted.select("item_id", (F.col("plain") - missing).alias("least")), "least-hits")
+    words = _words_needed(known.join(least.where("least <= 0"), "item_id", "left_semi"))
+    if words is None:
+        return docs
+    plain = known.where(nameless).select("item_id", "h").distinct().join(least.where("least > 0"), "item_id")
+    met = inside_hits.select("doc_id", "item_id", "h").join(F.broadcast(plain) if plain.count() <= BROADCAST_WINDOWS else plain, ["item_id", "h"])
+    ids = met.groupBy("doc_id", "item_id", "least").agg(F.count_distinct("h").alias("n")).where("n >= least").select("doc_id")
+    if words:
+        low = F.lower("text")
+        every = [reduce(Column.__and__, [F.contains(low, F.lit(w)) for w in of_text]) for of_text in words]
+        # marks are taken out of a text before it is read, so words in it may be torn
+        torn = F.contains("text", F.lit(NAME_MARK)) | F.contains("text", F.lit(UNIT_MARK))
+        ids = ids.unionByName(docs.where(reduce(Column.__or__, every, torn)).select(F.col("doc_id").cast("long").alias("doc_id")))
+    ids = materialize(ids.select(F.col("doc_id").alias("__id")).distinct(), "may-hold")
+    return docs.join(_bounded(ids), F.col("doc_id").cast("long") == F.col("__id"), "left_semi")
+
+
+def _held_by_every_name(docs: DataFrame, benchmark: DataFrame, inside: DataFrame, inside_hits: DataFrame) -> DataFrame:
+    """The rows of contamination() with names read at every position; only occurrences count, and
+    an item has as many windows as it has in the other reading (the index `inside`) at least.
+    Only documents that may hold an item are read again."""
+    least = inside.select("item_id", F.col("n_windows").alias("at_least")).distinct()
+    enough = F.greatest("n_windows", F.coalesce("at_least", "n_windows"))
+    known = index(benchmark, MARK_EVERY).join(least, "item_id", "left").withColumn("n_windows", enough).drop("at_least")
+    known = materialize(known, "items-every-name")
+    return _held(_hits(_may_hold(docs, known, inside_hits), known, MARK_EVERY), only_occurrences=True)
 
 
 def _short_items(benchmark: DataFrame) -> DataFrame:
@@ -264,9 +304,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     differs anywhere in it. Without documents or items there are no rows.
     """
     docs, benchmark = docs.where("doc_id is not null"), benchmark.where("item_id is not null")
-    hits = _hits(docs, index(benchmark), MARK_NAMES)
+    known = materialize(index(benchmark), "items")
+    hits = _hits(docs, known, MARK_NAMES)
     inside = _held(hits)
-    ways = [inside, _held_by_every_name(docs, benchmark, hits)]
+    ways = [inside, _held_by_every_name(docs, benchmark, known, hits)]
     short = materialize(_short_items(benchmark), "short-items")
     sizes = short.groupBy(F.least(F.size("words"), F.lit(WINDOW)).alias("n")).agg(F.max(F.size("words")).alias("longest")).collect()
     if sizes:  # WINDOW rows at most
@@ -282,7 +323,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     its own text holds an item."""
     row = F.xxhash64("doc_id", "text")
     held = contamination(docs.select(row.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("__held")).distinct()
-    return docs.join(held, row == F.col("__held"), "left_anti")
+    return docs.join(_bounded(materialize(held, "held")), row == F.col("__held"), "left_anti")
 
 
 _SQL_TOKENS = f"""regexp_extract_all(regexp_replace(regexp_replace(

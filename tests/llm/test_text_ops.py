@@ -345,6 +345,33 @@ def test_items_full_of_names_are_looked_for_everywhere(spark, docs_of):
     assert {(r.doc_id, r.item_id) for r in found} == {(1, 1), (3, 2)}
 
 
+def test_documents_that_may_hold_an_item(spark, docs_of, monkeypatch):
+    """Reading these again gives what reading all again gives, with ids broadcast or not."""
+    item = "Alice went home early. Bob came back late. Carol left it open. Dan read some books."
+    other = "Paul went home early. Quinn came back late. Rosa left it open. Sam read some books."
+    both = [item.replace(". Bob came back late", ""), "Rosa left it open. Sam read some books. Paul went home early. Quinn came back late."]
+    bench = spark.createDataFrame([(1, item), (2, QUESTION), (3, "Alice sold 3 red hats to us. Alice kept 2 blue hats at home.")], "item_id long, text string")
+    rows = [
+        (1, other), (2, other.upper()), (3, other.replace("early", "ea\x01rly").replace("late", "la\x02te")), (4, "nothing here"), (5, None),
+        (6, "Well, " + QUESTION), (7, "Carol sold 8 red hats to us. Carol kept 9 blue hats at home."), (8, both[0]), (8, both[1]), (None, other),
+        (9, other + " It is so. " + other), (10, "went home early came back late left it open read some books"),
+    ]
+    docs = docs_of(rows)
+    got = lambda: sorted(map(tuple, decontaminate.contamination(docs, bench).collect()))
+    first = got()
+    assert {(1, 1), (3, 1), (6, 2), (7, 3), (9, 1)} <= {(r[0], r[1]) for r in first}
+    known = decontaminate.index(bench, decontaminate.MARK_EVERY)
+    hits = decontaminate._hits(docs, decontaminate.index(bench), decontaminate.MARK_NAMES)
+    again = {r.doc_id for r in decontaminate._may_hold(docs.where("doc_id is not null"), known, hits).collect()}
+    assert {1, 3, 7, 9} <= again and not again & {4, 5}
+    monkeypatch.setattr(decontaminate, "BROADCAST_IDS", 0)
+    assert got() == first
+    monkeypatch.setattr(decontaminate, "WORD_ITEMS", 0)
+    assert decontaminate._words_needed(known) is None
+    monkeypatch.setattr(decontaminate, "_may_hold", lambda docs, known, hits: docs)
+    assert got() == first
+
+
 def test_a_shuffled_index_gives_the_same(spark, docs_of, monkeypatch):
     bench = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
     frame = docs_of([(1, QUESTION), (2, "nothing of the kind is in this text")])
