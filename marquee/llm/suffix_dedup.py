@@ -47,8 +47,10 @@ GROUP_CAP = 4096
 #: Segments that a task holds before it settles repeats among them.
 HELD_SEGMENTS = 4_000_000
 
-#: doc and sub name a row: its doc_id and the hash that sets it apart from others with that id.
-SEGMENT = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("sub", "<i8"), ("lo", "<i4"), ("hi", "<i4"), ("at", "<i4")])
+#: doc and sub name a row: its doc_id and the hash that sets it apart from others with that id. A
+#: segment's shape is the distance from lo to its anchor (6 bits), from lo to hi (6 bits), and LARGE.
+SEGMENT = np.dtype([("anchor", "<u8"), ("content", "<u4"), ("doc", "<i8"), ("sub", "<i8"), ("lo", "<i4"), ("shape", "<u2")])
+LARGE = 1 << 12
 RANGE = np.dtype([("doc", "<i8"), ("sub", "<i8"), ("lo", "<i4"), ("hi", "<i4")])
 SEGMENTS, RANGES, PAYLOADS = range(3)
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -134,11 +136,11 @@ def _cut(lot: Lot) -> tuple[np.ndarray, bytes, np.ndarray]:
     out = np.empty(len(lo), SEGMENT)
     view, digest = memoryview(joined), xxhash.xxh3_64_intdigest
     out["content"] = np.fromiter(
-        (digest(view[a : b + WINDOW]) for a, b in zip(lo.tolist(), hi.tolist())), np.uint64, len(lo)
+        (digest(view[a : b + WINDOW]) & 0xFFFFFFFF for a, b in zip(lo.tolist(), hi.tolist())), np.uint32, len(lo)
     )
     out["anchor"] = anchor
     out["doc"], out["sub"] = np.array([d for d, *_ in lot])[text], np.array([x for _, x, *_ in lot])[text]
-    out["lo"], out["hi"], out["at"] = lo + shift, hi + shift, at + shift
+    out["lo"], out["shape"] = lo + shift, at - lo | hi - lo << 6
     return out, joined, lo
 
 
@@ -165,10 +167,16 @@ def _merged(ranges: np.ndarray) -> np.ndarray:
     return out
 
 
+def _reach(shape: np.ndarray) -> np.ndarray:
+    """Distance from lo to hi."""
+    return (shape >> 6 & 63).astype(np.int32)
+
+
 def _ranges(records: np.ndarray) -> np.ndarray:
     out = np.empty(len(records), RANGE)
-    for k in RANGE.names:
+    for k in ("doc", "sub", "lo"):
         out[k] = records[k]
+    out["hi"] = records["lo"] + _reach(records["shape"])
     return out
 
 
@@ -208,13 +216,13 @@ def _find_segments(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[
         records = np.concatenate([r for r, _, _ in held])
         lot = np.repeat(np.arange(len(held)), [len(r) for r, _, _ in held])
         start = np.concatenate([x for _, _, x in held])
-        order = _order(records, "anchor", "content", "doc", "sub", "lo")
+        order = _order(records, "anchor", "content", "shape", "doc", "sub", "lo")
         records, lot, start = records[order], lot[order], start[order]
-        first = _alike(records, "anchor", "content")
+        first = _alike(records, "anchor", "content", "shape")
         other = np.flatnonzero(first != np.arange(len(records)))
         # equal hashes propose, equal bytes decide; the same window of a repeated row repeats nothing
         lots = [x for _, x, _ in held]
-        length = records["hi"] - records["lo"] + WINDOW
+        length = _reach(records["shape"]) + WINDOW
         place = zip(other.tolist(), lot[other].tolist(), start[other].tolist(), lot[first[other]].tolist(), start[first[other]].tolist(), length[other].tolist())
         equal = np.zeros(len(records), bool)
         equal[[i for i, l, a, m, b, n in place if lots[l][a : a + n] == lots[m][b : b + n]]] = True
@@ -241,20 +249,17 @@ def _find_segments(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[
         yield from settle(held)
 
 
-FOUND_SCHEMA = "doc long, sub long, lo int, hi int, at int, anchor long, large boolean"
+FOUND_SCHEMA = "doc long, sub long, lo int, hi int, shape short"
 
 
-def _found(ranges: np.ndarray, at: np.ndarray | None = None, anchor: np.ndarray | None = None, large: np.ndarray | None = None) -> pa.RecordBatch:
-    n = len(ranges)
-    return pa.record_batch(
-        [
-            *(pa.array(np.ascontiguousarray(ranges[k])) for k in RANGE.names),
-            pa.nulls(n, pa.int32()) if at is None else pa.array(at),
-            pa.nulls(n, pa.int64()) if anchor is None else pa.array(anchor.view(np.int64)),
-            pa.nulls(n, pa.bool_()) if large is None else pa.array(large),
-        ],
-        names=["doc", "sub", "lo", "hi", "at", "anchor", "large"],
-    )
+def _found(records: np.ndarray) -> pa.RecordBatch:
+    """Ranges (no shape) or segments (no hi) as rows."""
+    columns = {
+        k: pa.array(np.ascontiguousarray(records[k])) if k in records.dtype.names else pa.nulls(len(records), pa.int32())
+        for k in ("doc", "sub", "lo", "hi")
+    }
+    shape = pa.array(records["shape"].astype(np.int16)) if "shape" in records.dtype.names else pa.nulls(len(records), pa.int16())
+    return pa.record_batch([*columns.values(), shape], names=[*columns, "shape"])
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, list[bytes]]]:
@@ -273,25 +278,50 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, list[byt
 
 
 def _match_segments(batches: Iterator[pa.RecordBatch], group_cap: int) -> Iterator[pa.RecordBatch]:
-    """Repeats settled before (no anchor), and the segments of anchors met more than once (with anchor)."""
+    """Repeats settled before, and the segments of anchors met more than once."""
     for blobs in _by_bucket(batches):
         yield _found(_records(blobs.pop(RANGES, []), RANGE))
         records = _records(blobs.pop(SEGMENTS, []), SEGMENT)
-        records = records[_order(records, "anchor", "content", "doc", "sub", "lo")]
+        records = records[_order(records, "anchor", "content", "shape", "doc", "sub", "lo")]
         if not len(records):
             continue
         # repeated rows of one document are one segment
-        again = _alike(records, "anchor", "content", "doc", "sub", "lo") != np.arange(len(records))
+        again = _alike(records, "anchor", "content", "shape", "doc", "sub", "lo") != np.arange(len(records))
         records = records[~again]
         of_anchor = _alike(records, "anchor")
         sizes = np.bincount(of_anchor, minlength=len(records))[of_anchor]
-        different = np.bincount(of_anchor[_alike(records, "anchor", "content") == np.arange(len(records))], minlength=len(records))[of_anchor]
+        content = _alike(records, "anchor", "content", "shape") == np.arange(len(records))
+        different = np.bincount(of_anchor[content], minlength=len(records))[of_anchor]
         several = sizes > 1
         chosen = records[several]
-        yield _found(_ranges(chosen), chosen["at"].copy(), chosen["anchor"].copy(), different[several] > group_cap)
+        chosen["shape"] |= np.where(different[several] > group_cap, LARGE, 0).astype(np.uint16)
+        yield _found(chosen[["doc", "sub", "lo", "shape"]])
+
+
+PAYLOAD_HEAD = np.dtype([("doc", "<i8"), ("sub", "<i8"), ("lo", "<i4"), ("shape", "<u2")])
+
+
+def _anchor(shape: int, part: bytes) -> bytes:
+    """What a segment is grouped by: its anchor's bytes, or the whole window of a large anchor."""
+    return part if shape & LARGE else part[shape & 63 : (shape & 63) + GRAM]
+
+
+def _packed(rows: list[tuple[tuple[int, int, int, int], bytes]]) -> bytes:
+    """Segments (doc, sub, lo, shape), their bytes: heads by column, then all bytes."""
+    heads = np.array([h for h, _ in rows], PAYLOAD_HEAD)
+    columns = (np.ascontiguousarray(heads[k]).tobytes() for k in PAYLOAD_HEAD.names)
+    return zstandard.compress(b"".join([len(rows).to_bytes(4, "little"), *columns, *(x for _, x in rows)]), 3)
 
 
-PAYLOAD_HEAD = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("sub", "<i8"), ("lo", "<i4"), ("hi", "<i4"), ("at", "<i4")])
+def _unpacked(blob: bytes) -> Iterator[tuple[int, int, int, int, bytes]]:
+    blob = zstandard.decompress(blob)
+    n = int.from_bytes(blob[:4], "little")
+    at = 4 + n * PAYLOAD_HEAD.itemsize
+    heads = _records([blob[4:at]], PAYLOAD_HEAD)
+    for doc, sub, lo, shape in heads.tolist():
+        size = (shape >> 6 & 63) + WINDOW
+        yield doc, sub, lo, shape, blob[at : at + size]
+        at += size
 
 
 def _fetch(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -299,33 +329,33 @@ def _fetch(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
     before is settled there and not sent on again."""
     seen: dict[tuple[int, bytes], tuple[int, int, int]] = {}
     for batch in batches:
-        rows: dict[int, list[bytes]] = {}
+        rows: dict[int, list[tuple[tuple[int, int, int, int], bytes]]] = {}
         repeats: list[tuple[int, int, int, int]] = []
 
-        def put(anchor: int, doc: int, sub: int, lo: int, hi: int, at: int, part: bytes) -> None:
-            here, first = (doc, sub, lo), seen.get((at - lo, part))
+        def put(doc: int, sub: int, lo: int, shape: int, part: bytes) -> None:
+            here, first = (doc, sub, lo), seen.get((shape, part))
             if first is not None and first <= here:
                 if first < here:
-                    repeats.append((doc, sub, lo, hi))
+                    repeats.append((doc, sub, lo, lo + (shape >> 6 & 63)))
                 return
             if len(seen) < HELD_SEGMENTS // 8:
-                seen[at - lo, part] = here
-            head = np.array((anchor, doc, sub, lo, hi, at), PAYLOAD_HEAD).tobytes()
-            rows.setdefault((anchor >> 8) % buckets, []).append(head + part)
+                seen[shape, part] = here
+            bucket = xxhash.xxh3_64_intdigest(_anchor(shape, part)) % buckets
+            rows.setdefault(bucket, []).append(((*here, shape), part))
 
         for doc, sub, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("__doc", "__sub", "text", "__wanted"))):
             data = (text or "").encode("utf-8", "surrogatepass")
             for w in wanted:
-                lo, hi = w["lo"], w["hi"]
+                lo, shape = w["lo"], w["shape"]
+                hi = lo + (shape >> 6 & 63)
                 if hi + WINDOW > len(data):  # another row under the same hash
                     continue
-                if not w["large"]:
-                    put(w["anchor"] & 0xFFFFFFFFFFFFFFFF, doc, sub, lo, hi, w["at"], data[lo : hi + WINDOW])
+                if not shape & LARGE:
+                    put(doc, sub, lo, shape, data[lo : hi + WINDOW])
                     continue
                 for p in range(lo, hi + 1):
-                    window = data[p : p + WINDOW]
-                    put(xxhash.xxh3_64_intdigest(window), doc, sub, p, p, p, window)
-        out = [(b, PAYLOADS, zstandard.compress(b"".join(x), 1)) for b, x in rows.items()]
+                    put(doc, sub, p, LARGE, data[p : p + WINDOW])
+        out = [(b, PAYLOADS, _packed(x)) for b, x in rows.items()]
         ranges = _merged(np.array(repeats, RANGE))
         for row in [*out, *_blobs(RANGES, (ranges["doc"] % buckets).astype(np.int64), ranges)]:
             yield _blob_batch([row])
@@ -399,14 +429,11 @@ def _different(group: list[Segment]) -> list[tuple[int, int, int, int]]:
 def _match_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for blobs in _by_bucket(batches):
         yield _found(_records(blobs.pop(RANGES, []), RANGE))
-        groups: dict[int, list[Segment]] = {}
-        for packed in blobs.pop(PAYLOADS, []):
-            blob, at = zstandard.decompress(packed), 0
-            while at < len(blob):
-                anchor, doc, sub, lo, hi, place = np.frombuffer(blob, PAYLOAD_HEAD, 1, at)[0].item()
-                at += PAYLOAD_HEAD.itemsize
-                groups.setdefault(anchor, []).append(((doc, sub), lo, hi, place, blob[at : at + hi - lo + WINDOW]))
-                at += hi - lo + WINDOW
+        groups: dict[bytes, list[Segment]] = {}
+        for blob in blobs.pop(PAYLOADS, []):
+            for doc, sub, lo, shape, part in _unpacked(blob):
+                segment = ((doc, sub), lo, lo + (shape >> 6 & 63), lo + (shape & 63), part)
+                groups.setdefault(_anchor(shape, part), []).append(segment)
         found = [r for group in groups.values() if len(group) > 1 for r in match_group(group)]
         if found:
             yield _found(_merged(np.array(found, RANGE)))
@@ -446,10 +473,10 @@ def repeated_windows(placed: DataFrame, buckets: int, group_cap: int = GROUP_CAP
         "segments",
     )
     wanted = (
-        found.where("anchor is not null")
+        found.where("shape is not null")
         .repartition(parts, "doc", "sub")
         .groupBy("doc", "sub")
-        .agg(F.collect_list(F.struct("anchor", "lo", "hi", "at", "large")).alias("__wanted"))
+        .agg(F.collect_list(F.struct("lo", "shape")).alias("__wanted"))
         .withColumnsRenamed({"doc": "__at_doc", "sub": "__at_sub"})
     )
     borders = (
@@ -459,7 +486,7 @@ def repeated_windows(placed: DataFrame, buckets: int, group_cap: int = GROUP_CAP
         .sortWithinPartitions("bucket")
         .mapInArrow(_match_windows, FOUND_SCHEMA)
     )
-    ranges = found.where("anchor is null").unionByName(borders)
+    ranges = found.where("shape is null").unionByName(borders)
     return ranges.select("doc", "sub", "lo", "hi")
 
 
