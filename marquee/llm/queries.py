@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.llm import bitplane, decontaminate, langid, licenses, packing, periodic_runs, quality, simhash, suffix_dedup, toxicity, wrappers
+from marquee.llm import bitplane, centroids, decontaminate, langid, licenses, packing, periodic_runs, quality, simhash, suffix_dedup, toxicity, wrappers
 from marquee.llm.shared import shared_path
 
 
@@ -66,6 +66,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_report(table(spark, sf_dir, "documents"), periodic_runs.with_planted_runs)
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bitplane": op1_bitplane,
     "op2_langid": op2_langid,
@@ -78,9 +82,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_wrappers": op9_wrappers,
     "op10_suffix": op10_suffix,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_centroids": op13_centroids,
 }
 
 ORACLES: dict[str, str] = {
     "op5_decontaminate": decontaminate.ORACLE_SQL,
     "op6_licenses": licenses.oracle_sql(),
+    "op13_centroids": centroids.oracle_sql(),
 }
