@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.llm import bitplane, centroids, decontaminate, langid, licenses, packing, periodic_runs, quality, simhash, suffix_dedup, toxicity, wrappers
+from marquee.llm import bitplane, centroids, decontaminate, langid, licenses, packing, periodic_runs, pii, quality, simhash, suffix_dedup, toxicity, wrappers
 from marquee.llm.shared import shared_path
 
 
@@ -62,6 +62,10 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeat_report(table(spark, sf_dir, "documents"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.private_report(table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_report(table(spark, sf_dir, "documents"), periodic_runs.with_planted_runs)
 
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_wrappers": op9_wrappers,
     "op10_suffix": op10_suffix,
+    "op11_pii": op11_pii,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_centroids": op13_centroids,
 }
