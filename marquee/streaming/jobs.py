@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -32,9 +35,41 @@ def latest_status(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(last.alias("l")).select("user_id", "l.ts", "l.event_id", "l.event_type")
 
 
-def sessions(events: DataFrame, gap: str = "72 hours", late: str = "1 day") -> DataFrame:
-    """Sessions of a user that end after `gap` without an event."""
-    return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("s"), "user_id").agg(F.count("*").alias("n"))
+def feed(rows: DataFrame, ts: str, slices: int, path: str) -> str:
+    """Write `rows` as a folder of files that arrive in the order of `ts`, to be streamed."""
+    first, last = rows.agg(F.min(ts), F.max(ts)).first()
+    if first is None:
+        rows.limit(0).write.parquet(path)
+        return path
+    step = (last - first) / slices
+    for i in range(slices):
+        later = F.col(ts) >= F.lit(first + step * i) if i else F.lit(True)
+        before = F.col(ts) < F.lit(first + step * (i + 1)) if i < slices - 1 else F.lit(True)
+        rows.where(later & before).write.mode("append").parquet(path)
+    return path
+
+
+def numbered_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """Each batch in a folder of its number, so that one that comes again replaces itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
+@contextmanager
+def state_settings(spark: SparkSession, partitions: int) -> Iterator[None]:
+    """State in RocksDB, dealt to `partitions`; a stream keeps what it was started with."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.shuffle.partitions": str(partitions)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def run_available(rows: DataFrame, mode: str, checkpoint: str, write: Callable[[DataFrame, int], None]) -> StreamingQuery:
@@ -51,28 +86,28 @@ def run_available(rows: DataFrame, mode: str, checkpoint: str, write: Callable[[
     return query
 
 
-def feedback_sink(path: str, key: str) -> Callable[[DataFrame, int], None]:
-    """Finished rows re-enter a corpus: each batch goes to a folder of its number, once
-    by key, so a batch that comes again replaces itself."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates([key]).write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return write
+class VersionedCache:
+    """Results by the version of their input, for `ttl` seconds: kept while both hold, dropped
+    after. At most `most` are held; the oldest goes first."""
 
+    def __init__(self, most: int = 16, ttl: float = 3600.0, clock: Callable[[], float] = time.monotonic):
+        self.most, self.ttl, self._clock = most, ttl, clock
+        self._kept: dict[str, tuple[str, float, DataFrame]] = {}
 
-class VersionedCache:
-    """Results by the version of their input: kept while it is the same, dropped after."""
+    def drop(self, name: str) -> None:
+        if known := self._kept.pop(name, None):
+            known[2].unpersist()
 
-    def __init__(self, most: int = 16):
-        self.most, self._kept = most, {}
+    def holds(self, name: str, version: str) -> bool:
+        known = self._kept.get(name)
+        return known is not None and known[0] == version and self._clock() - known[1] < self.ttl
 
     def get(self, name: str, version: str, build: Callable[[], DataFrame]) -> DataFrame:
-        known = self._kept.get(name)
-        if known is None or known[0] != version:
-            if known:
-                known[1].unpersist()
-            elif len(self._kept) >= self.most:
-                self._kept.pop(next(iter(self._kept)))[1].unpersist()
-            self._kept[name] = (version, build().persist())
-        return self._kept[name][1]
+        if not self.holds(name, version):
+            self.drop(name)
+            for old in [n for n, (v, _, _) in self._kept.items() if not self.holds(n, v)]:
+                self.drop(old)
+            while len(self._kept) >= self.most:
+                self.drop(next(iter(self._kept)))
+            self._kept[name] = (version, self._clock(), build().persist())
+        return self._kept[name][2]

@@ -83,14 +83,6 @@ def test_nested_children_are_empty_not_null(spark):
     assert [tuple(x) for x in rows[1]] == [("a", 1), ("b", 2)] and rows[2] == []
 
 
-def test_feedback_batches_replace_themselves(spark, tmp_path):
-    write = jobs.feedback_sink(f"{tmp_path}/corpus", "k")
-    batch = spark.createDataFrame([(1,), (1,), (2,)], "k long")
-    write(batch, 0)
-    write(batch, 0)
-    assert spark.read.parquet(f"{tmp_path}/corpus").count() == 2
-
-
 def test_cache_follows_the_version(spark):
     cache, built = jobs.VersionedCache(most=1), []
 
