@@ -16,7 +16,7 @@ FORMS = (
 )
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 #: Two digits from here on are of the 1900s.
-PIVOT = 69
+PIVOT = 51
 
 
 def parse_date(text: Column) -> Column:

@@ -2,34 +2,39 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marquee.operators.tables import written
+
 
 def facets(rows: DataFrame, columns: dict[str, Column], most: dict[str, int]) -> DataFrame:
     """(facet, value, n): counts of all facets in one pass over the rows.
 
     `columns` gives each facet a column; arrays count for each element. `most` keeps
-    a facet's commonest values (ties by value).
+    a facet's commonest values (ties by value), by a top-k of its own: no task sorts
+    the values of a facet.
     """
     parts = []
     for name, column in columns.items():
         kind = rows.select(column.alias("c")).schema["c"].dataType.typeName()
         values = F.transform(column, lambda x: x.cast("string")) if kind == "array" else F.array(column.cast("string"))
         named = F.lit(name).alias("facet")
-        parts.append(F.transform(values, lambda v: F.struct(named, v.alias("value"))))  # noqa: B023
+        parts.append(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.struct(named, v.alias("value"))))  # noqa: B023
     counted = (
         rows.select(F.explode(F.concat(*parts)).alias("f"))
         .where("f.value is not null")
         .groupBy("f.facet", "f.value")
         .agg(F.count("*").alias("n"))
     )
-    window = Window.partitionBy("facet").orderBy(F.desc("n"), "value")
-    limit = F.create_map(*[F.lit(x) for pair in most.items() for x in pair]) if most else F.create_map()
-    ranked = counted.withColumn("__r", F.row_number().over(window))
-    if most:
-        ranked = ranked.where(F.coalesce(F.col("__r") <= F.try_element_at(limit, F.col("facet")), F.lit(True)))
-    return ranked.drop("__r")
+    if not most:
+        return counted
+    counted = written(counted, "facets")
+    whole = counted.where(~F.col("facet").isin(list(most)))
+    tops = [counted.where(F.col("facet") == name).orderBy(F.desc("n"), "value").limit(k) for name, k in most.items()]
+    return reduce(DataFrame.unionByName, tops, whole)
 
 
 def rating_summary(ratings: DataFrame, kind: str, rating: str) -> DataFrame:

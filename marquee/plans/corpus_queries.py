@@ -10,9 +10,18 @@ from marquee.functions import urls as ur
 from marquee.operators import aggregate as ag
 from marquee.operators import history as hi
 from marquee.operators import ranking as rk
-from marquee.operators.tables import new_path
+from marquee.operators import vectors as ve
+from marquee.operators.postings import Postings
+from marquee.operators.tables import new_path, written
 from marquee.plans.registry import Tables, query
 from marquee.sources import files as sf
+from marquee.sources import frontier as fr
+from marquee.sources import listings as li
+from marquee.sources.articles import read_articles
+
+#: A fixed query vector of the table's 64 dimensions.
+QUERY = [round(((i * 37) % 64 - 31.5) / 32, 4) for i in range(64)]
+QUERY_SQL = "[" + ", ".join(map(str, QUERY)) + "]::double[]"
 
 
 @query("scan_text_dir", "select doc_id, lang, sha256(text) as source_id, length(text)::bigint as n from documents where doc_id not in (select doc_id from labels) order by n, doc_id")
@@ -66,11 +75,22 @@ def scan_pdf(t: Tables) -> DataFrame:
     )
 
 
-@query("scan_html_text", sf.main_text_sql("html"))
-def scan_html_text(t: Tables) -> DataFrame:
+@query("scan_html_plain", sf.main_text_sql("html"))
+def scan_html_plain(t: Tables) -> DataFrame:
+    """The text by patterns alone, without leaving the JVM."""
     return t.pages.select("page_id", sf.main_text(F.col("html")).alias("text"))
 
 
+@query(
+    "scan_html_text",
+    f"""select page_id, text, nullif(trim(regexp_replace({sf.decoded_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, '\\s+', ' ', 'g')), '') as title,
+    cast(null as varchar) as author, cast(null as date) as published from ({sf.main_text_sql("html")}) join pages using (page_id)""",
+)
+def scan_html_text(t: Tables) -> DataFrame:
+    """Text, title, author and date of each page, parsed once (these pages name no author and no date)."""
+    return read_articles(t.pages, "page_id", "html")
+
+
 @query("scan_epub")
 def scan_epub(t: Tables) -> DataFrame:
     """Documents of at least 100 characters with the text of their first heading."""
@@ -82,12 +102,34 @@ def scan_corpus_metadata(t: Tables) -> DataFrame:
     return t.documents.where("lang = 'en'").select("doc_id", "lang", "source", "n_chars").orderBy("doc_id")
 
 
+LISTING_FIRST, LISTING_WINDOWS, LISTING_DAYS = "2024-01-01", 4, 7
+
+
 @query(
     "scan_event_listings",
+    """select event_id, event_type as area, coalesce(json_extract_string(props, '$.title'), 'Untitled') as title, strftime(ts, '%Y-%m-%d') as event_date,
+    coalesce(json_extract_string(props, '$.k')::int, 0) as attending from events where ts >= timestamp '2024-01-01' and ts < timestamp '2024-01-30'""",
+)
+def scan_event_listings(t: Tables) -> DataFrame:
+    """Four weeks of all areas, pulled page by page from a service whose windows reach a day on."""
+    events = t.events
+    spark = events.sparkSession
+    root = new_path(spark, "pages")
+    li.serve_pages(
+        events, "event_id", "event_type", "ts", "props", root, first=LISTING_FIRST, windows=LISTING_WINDOWS, days=LISTING_DAYS, overlap=1, page_rows=500
+    )
+    areas = ",".join(sorted(r[0] for r in events.select("event_type").distinct().collect()))  # a service has few areas
+    return li.listings(
+        spark, lambda options: li.folder_client(options["root"]), root=root, areas=areas, start=LISTING_FIRST, end="2024-01-29", windowDays=LISTING_DAYS
+    )
+
+
+@query(
+    "scan_listing_props",
     """select event_id, coalesce(json_extract_string(props, '$.k')::int, 0) as attending, coalesce(json_extract_string(props, '$.title'), 'Untitled') as title,
     strftime(ts, '%Y-%m-%d') as event_date from events where ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-12'""",
 )
-def scan_event_listings(t: Tables) -> DataFrame:
+def scan_listing_props(t: Tables) -> DataFrame:
     window = t.events.where("ts >= timestamp_ntz '2024-01-05' and ts < timestamp_ntz '2024-01-12'")
     return sf.parse_listing(window, "event_id", "ts", "props")
 
@@ -100,13 +142,48 @@ def scan_web_archive_index(t: Tables) -> DataFrame:
     return sf.archive_index(t.pages, "url", r"/\d+", r"\?|\.css|\.js|#")
 
 
+CRAWL_WORDS, CRAWL_DEPTH, CRAWL_PAGES = ["e", "th", "de", "on"], 3, 60
+
+
+def _crawl_sql() -> str:
+    """The levels of the crawl one by one."""
+    host = "lower(regexp_extract({}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"
+    score = " + ".join(f"contains(lower(target || ' ' || anchor), '{w}')::int" for w in CRAWL_WORDS)
+    hrefs = r"""regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*["'']?([^"''\s>]+)[^>]*>(.*?)</a>', {})"""
+    root = "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
+    levels = ["t0 as (select distinct url as page, 0 as depth, cast(null as int) as score from (select url from pages order by page_id limit 10))"]
+    for d in range(1, CRAWL_DEPTH + 1):
+        levels.append(f"""f{d} as materialized (select target as page, {d} as depth, max(score) as score from graph where source in (select page from t{d - 1} where depth = {d - 1})
+            and target not in (select page from t{d - 1}) group by 1 qualify row_number() over (order by max(score) desc, target) <= {CRAWL_PAGES} - (select count(*) from t{d - 1})),
+            t{d} as materialized (select * from t{d - 1} union all select * from f{d})""")
+    return rf"""with {levels[0]}, raw as (select url, {root} || h as hub, trim(regexp_replace(regexp_replace(a, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) as anchor
+        from (select url, unnest({hrefs.format(1)}) as h, unnest({hrefs.format(2)}) as a from pages) where starts_with(h, '/')),
+    found as (select url as source, hub as target, anchor from raw union all select hub, url, anchor from raw),
+    graph as materialized (select source, target, max({score}) as score from found
+        where {host.format("target")} in (select {host.format("page")} from t0) group by 1, 2 having score >= 1), {", ".join(levels[1:])}
+    select page, depth, score from t{CRAWL_DEPTH}"""
+
+
+@query("scan_crawl", _crawl_sql())
+def scan_crawl(t: Tables) -> DataFrame:
+    """From the first ten pages over the hrefs of all pages, on their hosts. A path that pages link to is a listing of
+    its host, which links back to them; so the graph has links to follow."""
+    pages = t.pages
+    links = fr.page_links(pages, "url", "html")
+    back = links.select(F.col("target").alias("source"), F.col("source").alias("target"), "anchor")
+    both = written(fr.relevance(links.unionByName(back), CRAWL_WORDS), "links")
+    known = pages.select(F.col("url").alias("page")).unionByName(both.select(F.col("target").alias("page")))
+    seeds = [r[0] for r in pages.orderBy("page_id").select("url").limit(10).collect()]
+    return fr.best_first(both, known, seeds, max_depth=CRAWL_DEPTH, max_pages=CRAWL_PAGES, least=1)
+
+
 @query(
-    "scan_crawl",
+    "scan_crawl_levels",
     """with recursive links as (select n_nationkey as a, (n_nationkey * 3 + k) % 25 as b from nation, range(0, 3) r(k)),
     reached as (select 0::bigint as page, 0 as depth union select b, depth + 1 from reached join links on a = page where depth < 3)
     select page, min(depth) as depth from reached group by page""",
 )
-def scan_crawl(t: Tables) -> DataFrame:
+def scan_crawl_levels(t: Tables) -> DataFrame:
     keys = t.nation.select(F.col("n_nationkey").cast("long").alias("source"))
     links = keys.select("source", F.explode(F.array(*[(F.col("source") * 3 + k) % 25 for k in range(3)])).alias("target"))
     return sf.crawl(links, seeds=[0], max_depth=3)
@@ -320,21 +397,33 @@ def agg_distinct_sources(t: Tables) -> DataFrame:
     return t.documents.where("lang = 'fr'").select("source").distinct()
 
 
-@query(
-    "agg_facets",
-    """select facet, value, n from (select *, row_number() over (partition by facet order by n desc, value) r from (
-        select 'type' as facet, lang as value, count(*) as n from documents group by 2
-        union all select 'source', source, count(*) from documents group by 2
-        union all select 'tier', 'T' || (doc_id % 6 + 1), count(*) from documents group by 2
-        union all select 'entity', w, count(*) from (select unnest(string_split(text, ' ')) as w from documents) group by 2))
-    where r <= case facet when 'entity' then 30 when 'source' then 20 else 1000 end""",
-)
+#: What stands for the tags of a chunk: words by their form.
+FACETS = {"entity": (30, "length(w) >= 9"), "place": (20, "w ~ '^[A-Z]' and length(w) <= 4"), "genre": (None, "w in ('the', 'der', 'de', 'las', 'and', 'und', 'et', 'que')")}
+
+
+def _facets_sql() -> str:
+    words = "select doc_id, unnest(list_distinct(string_split(coalesce(text, ''), ' '))) as w from pool"
+    tags = [f"select '{f}' as facet, w as value, count(*) as n from ({words}) where {c.replace(' ~ ', ' similar to ').replace('^[A-Z]', '[A-Z].*')} group by 2" for f, (_, c) in FACETS.items()]
+    limits = " ".join(f"when '{f}' then {k}" for f, (k, _) in FACETS.items() if k)
+    return f"""with pool as (select d.* from documents d join (select vec_id from embeddings order by list_cosine_similarity(embedding::double[], {QUERY_SQL}) desc, vec_id limit 500) on vec_id = doc_id),
+    counts as (select 'type' as facet, lang as value, count(*) as n from pool where lang is not null group by 2
+        union all select 'tier', 'T' || (doc_id % 6 + 1), count(*) from pool group by 2
+        union all select 'period', (1960 + doc_id % 6 * 10) || 's', count(*) from pool group by 2 union all {" union all ".join(tags)})
+    select facet, value, n from (select *, row_number() over (partition by facet order by n desc, value) r from counts) where r <= case facet {limits} else 1000000 end"""
+
+
+@query("agg_facets", _facets_sql())
 def agg_facets(t: Tables) -> DataFrame:
-    columns = {
-        "type": F.col("lang"), "source": F.col("source"), "tier": F.concat(F.lit("T"), F.col("doc_id") % 6 + 1),
-        "entity": F.split("text", " "),
+    """Six facets of the pool that a search of 500 finds: types, genres, periods, entities (30), places (20), tiers."""
+    found = ve.search(t.embeddings.select("vec_id", "embedding"), "embedding", "vec_id", QUERY, 500)
+    pool = t.documents.join(F.broadcast(found.select(F.col("vec_id").alias("doc_id"))), "doc_id")
+    words = F.array_distinct(F.split(F.coalesce("text", F.lit("")), " "))
+    own = {"entity": lambda w: F.length(w) >= 9, "place": lambda w: w.rlike("^[A-Z]") & (F.length(w) <= 4), "genre": lambda w: w.isin("the", "der", "de", "las", "and", "und", "et", "que")}
+    tagged = pool.select("doc_id", "lang", words.alias("w")).select("doc_id", "lang", *[F.filter("w", keep).alias(f) for f, keep in own.items()])
+    columns = {f: F.col(f) for f in own} | {
+        "type": F.col("lang"), "tier": F.concat(F.lit("T"), F.col("doc_id") % 6 + 1), "period": F.concat(1960 + F.col("doc_id") % 6 * 10, F.lit("s")),
     }
-    return ag.facets(t.documents, columns, {"entity": 30, "source": 20})
+    return ag.facets(tagged, columns, {f: k for f, (k, _) in FACETS.items() if k})
 
 
 @query(
@@ -390,8 +479,9 @@ def sort_ra_first(t: Tables) -> DataFrame:
     (select distinct p_name as name from part where contains(lower(p_name), 're'))) order by rank, name limit 20""",
 )
 def topk_suggest(t: Tables) -> DataFrame:
-    names = t.part.select(F.col("p_name").alias("name")).distinct()
-    return rk.suggest(names, "name", "re", 20)
+    """Read from postings by key; `ranking.suggest` is the scan that gives the same."""
+    spark = t.part.sparkSession
+    return Postings.build(t.part, "p_name", new_path(spark, "postings")).suggest(spark, "re", 20)
 
 
 @query("set_union_providers", "select s_name as name, 'supplier' as provider from supplier union all select c_name, 'customer' from customer")

@@ -12,6 +12,7 @@ from marquee.functions import periods as pe
 from marquee.functions import scores as sc
 from marquee.functions import text as tx
 from marquee.functions import urls as ur
+from marquee.operators import dictionary as di
 from marquee.operators import fuzzy as fz
 from marquee.operators import graph as gr
 from marquee.operators import history as hi
@@ -313,6 +314,29 @@ def fn_extract_genres(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.array_join(do.extract_genres(text, list(GENRES)), ",").alias("genres"))
 
 
+_NAMED = "['red', 'widget', 'small ring', 'the', 'the and', 'de la', 'que de la', 'der die', 'and the', 'of the', 'en el']"
+
+
+@query(
+    "fn_dictionary_names",
+    rf"""with recursive cut as materialized (select doc_id, regexp_extract_all(lower(coalesce(text, '') || ' ' || p_name), '[\p{{L}}\p{{N}}]+') as t
+        from documents join part on p_partkey = doc_id % 200 + 1),
+    known as materialized (select distinct name, regexp_extract_all(lower(name), '[\p{{L}}\p{{N}}]+') as w from (select unnest({_NAMED}) as name union all select p_name from part)),
+    m as materialized (select doc_id, i as start, len(w)::int as length, name from (select doc_id, t, unnest(range(0, len(t)))::int as i from cut) join known on t[i + 1] = w[1] and t[i + 1 : i + len(w)] = w),
+    walk as (select doc_id, min((start, -length, name)) as x from m group by doc_id
+        union all select m.doc_id, min((m.start, -m.length, m.name)) from walk join m on m.doc_id = walk.doc_id and m.start >= x[1] - x[2] group by m.doc_id)
+    select doc_id, count(*) as n_names, string_agg(x[3], ',' order by x[1]) as names from walk where x is not null group by 1""",
+)
+def fn_dictionary_names(t: Tables) -> DataFrame:
+    """All part names and some phrases in all texts: joined by n-grams, leftmost and longest first."""
+    named = F.explode(F.array(*[F.lit(n) for n in _NAMED.strip("[]").replace("'", "").split(", ")]))
+    names = t.part.select(F.col("p_name").alias("name")).unionByName(t.part.sparkSession.range(1).select(named.alias("name"))).distinct()
+    docs = t.documents.join(t.part, F.col("p_partkey") == F.col("doc_id") % 200 + 1).select("doc_id", F.concat_ws(" ", F.coalesce("text", F.lit("")), "p_name").alias("text"))
+    found = di.extract_names(docs, "doc_id", "text", names, "name")
+    ordered = F.array_sort(F.collect_list(F.struct("start", "name")))
+    return found.groupBy(F.col("key").alias("doc_id")).agg(F.count("*").alias("n_names"), F.array_join(F.transform(ordered, lambda x: x["name"]), ",").alias("names"))
+
+
 @query(
     "fn_expand_aliases",
     """with al as (select n_name as canonical, 'N' || n_nationkey as alias from nation where n_regionkey = 1 union all select n_name, 'Land ' || n_nationkey from nation where n_regionkey = 1)

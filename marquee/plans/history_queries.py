@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.operators import aggregate as ag
 from marquee.operators import history as hi
+from marquee.operators.archive import export_tables, import_tables
+from marquee.operators.tables import new_path
 from marquee.plans.registry import Tables, query
 
 SEEDS = [1, 2, 3, 4, 5, 6, 7, 8, 9, 10]
@@ -543,3 +547,23 @@ def cmp_shared_lineup(t: Tables) -> DataFrame:
     hits = lines.where(F.contains("text", F.lit("red")))
     parsed = hits.select("l_orderkey", F.explode(F.split(F.regexp_extract("text", r"(?m)^Artists: (.*)$", 1), ", ")).alias("name"))
     return parsed.where(~F.contains("name", F.lit("red"))).groupBy("name").agg(F.count_distinct("l_orderkey").alias("times"), F.lit(0.4).alias("strength"))
+
+
+@query("sink_archive", "select 'supplier' as name, s_suppkey as key, s_name as label, s_acctbal as amount from supplier union all select 'customer', c_custkey, c_name, c_acctbal from customer")
+def sink_archive(t: Tables) -> DataFrame:
+    """Two tables packed, verified by their manifest, and read from where they were taken back to."""
+    spark = t.supplier.sparkSession
+    root, target = new_path(spark, "archive"), new_path(spark, "imported")
+    export_tables({"supplier": t.supplier, "customer": t.customer}, root)
+    names = import_tables(spark, root, target)
+    parts = {"supplier": "s", "customer": "c"}
+    ids = {"supplier": "s_suppkey", "customer": "c_custkey"}
+    return reduce(
+        DataFrame.unionByName,
+        [
+            spark.read.parquet(f"{target}/{n}").select(
+                F.lit(n).alias("name"), F.col(ids[n]).alias("key"), F.col(f"{parts[n]}_name").alias("label"), F.col(f"{parts[n]}_acctbal").alias("amount")
+            )
+            for n in names
+        ],
+    )

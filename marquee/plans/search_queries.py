@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from marquee.operators import ranking as rk
 from marquee.operators import vectors as ve
+from marquee.operators.tables import new_path
+from marquee.operators.vector_index import VectorIndex
 from marquee.plans.registry import Tables, query
 
 #: A fixed query vector of the table's 64 dimensions.
@@ -29,6 +31,29 @@ def topk_vector(t: Tables) -> DataFrame:
     return found.withColumn("similarity", F.bround("similarity", 6))
 
 
+def _index(t: Tables) -> VectorIndex:
+    return VectorIndex.build(t.embeddings, "vec_id", "embedding", new_path(t.embeddings.sparkSession, "index"), dims=64, keep=("label",))
+
+
+_ALL_PAIRS = "select q.vec_id as query_id, e.vec_id, round(least(greatest(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 0), 1), 6) as similarity, row_number() over (partition by q.vec_id order by least(greatest(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 0), 1) desc, e.vec_id) as r from embeddings e, embeddings q where q.vec_id % 100 = 0"
+
+
+@query("topk_vector_index", f"select query_id, vec_id, similarity from ({_ALL_PAIRS}) where r <= 20")
+def topk_vector_index(t: Tables) -> DataFrame:
+    """The 20 nearest of every hundredth vector, exactly, over an index of all rows."""
+    asked = t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    found = _index(t).search(asked, 20)
+    return found.select("query_id", F.col("key").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
+
+
+@query("topk_vector_filtered", f"select query_id, vec_id, similarity from ({_ALL_PAIRS.replace('where', 'where e.label in (1, 3) and')}) where r <= 5")
+def topk_vector_filtered(t: Tables) -> DataFrame:
+    """As before among two labels, a condition that the scan of the lists is given."""
+    asked = t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    found = _index(t).search(asked, 5, only=F.col("label").isin(1, 3))
+    return found.select("query_id", F.col("key").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
+
+
 @query("fn_cosine", f"select vec_id, similarity from {_SCORED}")
 def fn_cosine(t: Tables) -> DataFrame:
     return scored(t).select("vec_id", "similarity")

@@ -55,6 +55,13 @@ def main_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def decoded_sql(text: str) -> str:
+    """A text with its references decoded, as SQL."""
+    for name, character in REFERENCES:
+        text = "replace({}, '{}', '{}')".format(text, name, character.replace("'", "''"))
+    return text
+
+
 def main_text_sql(html: str) -> str:
     """`main_text` as SQL."""
     page = f"coalesce({html}, '')"
@@ -62,8 +69,7 @@ def main_text_sql(html: str) -> str:
         page = rf"regexp_replace({page}, '(?is)<{tag}\b.*?</{tag}>', ' ', 'g')"
     article = [rf"nullif(regexp_extract(page, '(?is)<{tag}\b[^>]*>(.*)</{tag}>', 1), '')" for tag in ("article", "main")]
     text = rf"regexp_replace(regexp_replace(body, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g')"
-    for name, character in REFERENCES:
-        text = "replace({}, '{}', '{}')".format(text, name, character.replace("'", "''"))
+    text = decoded_sql(text)
     return f"""select page_id, trim(regexp_replace({text}, '\\s+', ' ', 'g')) as text from
         (select page_id, coalesce({', '.join(article)}, page) as body from (select page_id, {page} as page from pages))"""
 
