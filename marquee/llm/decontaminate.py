@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.llm.shared import materialize
+from marquee.llm.shared import materialize, packed, unpacked
 
 WINDOW = 5
 CONTAINMENT = 0.8
@@ -320,10 +320,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`docs` without the rows that hold a benchmark item. Rows are judged by themselves
     (as doc_id and text), so one with a null doc_id, or that of another row, goes only if
-    its own text holds an item."""
+    its own text holds an item. Other columns are carried whatever their names."""
+    given, docs = docs, packed(docs)
     row = F.xxhash64("doc_id", "text")
     held = contamination(docs.select(row.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("__held")).distinct()
-    return docs.join(_bounded(materialize(held, "held")), row == F.col("__held"), "left_anti")
+    return unpacked(docs.join(_bounded(materialize(held, "held")), row == F.col("__held"), "left_anti"), given)
 
 
 _SQL_TOKENS = f"""regexp_extract_all(regexp_replace(regexp_replace(

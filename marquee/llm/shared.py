@@ -43,6 +43,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, rest): all columns but text in one struct, under names of no meaning, so
+    that no column of `docs` can clash with one that an operator adds."""
+    rest = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"])
+    return docs.select("doc_id", "text", rest.alias("rest"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows (text, rest) of a packed table with the columns of `docs`."""
+    return rows.select(*[F.col("text" if c == "text" else f"rest.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def rows_in(df: DataFrame) -> int:
     """Row count of a written table (answered from the file footers)."""
     return df.count()

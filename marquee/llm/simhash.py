@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.shared import connected_components, materialize, utf8
+from marquee.llm.shared import connected_components, materialize, utf8, packed, unpacked
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -193,8 +193,10 @@ def near_duplicates(docs: DataFrame, bucket_cap: int = BUCKET_CAP) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """Keep one row of each group of linked fingerprints: that of the least doc_id, and
     of the least text hash where rows share it. Null comes after every doc_id; rows
-    with a null or a repeated doc_id go only if they are linked. Columns are those of `docs`.
+    with a null or a repeated doc_id go only if they are linked. Columns are those of
+    `docs`; no name of theirs has a meaning here but doc_id and text.
     """
+    given, docs = docs, packed(docs)
     text_hash = F.xxhash64("text").alias("__hash")
     full = docs.select("*", F.col("doc_id").cast("long").alias("__id"), text_hash)
     rows = full.select(F.col("__id").alias("doc_id"), "text", "__hash")
@@ -212,11 +214,11 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     kept = full.join(winners.where("copies = 1").select("won", "won_hash"), same, "left_semi").select(docs.columns)
     again = winners.where("copies > 1").select("won", "won_hash")
     if again.isEmpty():
-        return kept
+        return unpacked(kept, given)
     once = (
         full.join(again, same, "left_semi")
         .groupBy("__id", "__hash")
         .agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__row"))
         .select("__row.*")
     )
-    return kept.unionByName(once)
+    return unpacked(kept.unionByName(once), given)

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.shared import materialize, utf8
+from marquee.llm.shared import materialize, utf8, packed, unpacked
 from marquee.llm.suffixes import common_prefix, deep_shallow_order
 
 WINDOW = 100
@@ -570,16 +570,16 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             without_spans(t, [(r["lo"], r["hi"]) for r in ranges]) if t and ranges else t
             for t, ranges in zip(batch.column("text").to_pylist(), batch.column("__ranges").to_pylist())
         ]
-        names = [n for n in batch.schema.names if n != "text" and n[:2] != "__"]
-        yield pa.record_batch([*(batch.column(n) for n in names), pa.array(texts, pa.string())], names=[*names, "text"])
+        yield pa.record_batch([pa.array(texts, pa.string()), batch.column("rest")], names=["text", "rest"])
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """`docs` with repeated passages cut out of text (and n_chars set anew where it is
-    a column). Rows are told apart as in repeat_report(). A document left without a word goes."""
-    rest = [c for c in docs.columns if c != "text"]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest), "text string"])
-    cut = _with_ranges(docs).mapInArrow(_texts, schema)
-    if "n_chars" in rest:
+    a column). Rows are told apart as in repeat_report(). A document left without a word goes.
+    Other columns are carried whatever their names."""
+    rows = packed(docs)
+    schema = f"text string, rest {rows.schema['rest'].dataType.simpleString()}"
+    cut = unpacked(_with_ranges(rows).mapInArrow(_texts, schema), docs)
+    if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return cut.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(docs.columns)
+    return cut.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select([f"`{c}`" for c in docs.columns])
