@@ -18,22 +18,46 @@ from marquee.sources import files as sf
 from marquee.sources import frontier as fr
 from marquee.sources import listings as li
 from marquee.sources.articles import read_articles
+from marquee.sources.books import HEADINGS, book_sections, paged_sections
 
 #: A fixed query vector of the table's 64 dimensions.
 QUERY = [round(((i * 37) % 64 - 31.5) / 32, 4) for i in range(64)]
 QUERY_SQL = "[" + ", ".join(map(str, QUERY)) + "]::double[]"
 
 
-@query("scan_text_dir", "select doc_id, lang, sha256(text) as source_id, length(text)::bigint as n from documents where doc_id not in (select doc_id from labels) order by n, doc_id")
+#: Documents in a file of the shelf, conversations in a paged one.
+PER_FILE, PER_VOLUME = 25, 10
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_HEADING = " or ".join(f"regexp_matches({_STRIP.format('line')}, '{h}')" for h in HEADINGS)
+
+
+def _shelf_sql(line: str) -> str:
+    return f"(select doc_id // {PER_FILE} as b, string_agg({line}, chr(10) order by doc_id) || chr(10) as text from documents group by 1)"
+
+
+def _shelf(t: Tables, line: F.Column) -> DataFrame:
+    """Text files written from the documents, `PER_FILE` in each, as the reader finds them."""
+    docs = t.documents
+    path = new_path(docs.sparkSession, "shelf")
+    sf.write_files(docs.select(F.floor(F.col("doc_id") / PER_FILE).alias("b"), "doc_id", line.alias("line")), "b", "doc_id", "line", path)
+    return sf.read_text_files(docs.sparkSession, path)
+
+
+_TEXT = "coalesce(text, '')"
+
+
+@query("scan_text_dir", f"select sha256(text) as source_id, length(text)::bigint as n from {_shelf_sql(_TEXT)} where b % 5 <> 0 order by n, source_id")
 def scan_text_dir(t: Tables) -> DataFrame:
-    rows = sf.unseen(t.documents.select("doc_id", "lang", "text"), t.labels, "doc_id")
-    rows = rows.select("doc_id", "lang", F.sha2("text", 256).alias("source_id"), F.length("text").cast("long").alias("n"))
-    return rows.orderBy("n", "doc_id")
+    """Files of a folder, small ones first; every fifth is known already and left out."""
+    files = _shelf(t, F.coalesce("text", F.lit("")))
+    known = files.where(F.regexp_extract("path", r"b=(\d+)", 1).cast("long") % 5 == 0)
+    rows = sf.unseen(files, known, "source_id").select("source_id", F.length("text").cast("long").alias("n"))
+    return rows.orderBy("n", "source_id")
 
 
-@query("scan_article_file", "select doc_id, sha256(text) as source_id, length(text)::bigint // 4 as token_count from documents")
+@query("scan_article_file", f"select sha256(text) as source_id, length(text)::bigint // 4 as token_count from {_shelf_sql(_TEXT)}")
 def scan_article_file(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.sha2("text", 256).alias("source_id"), tx.count_tokens(F.col("text")).alias("token_count"))
+    return _shelf(t, F.coalesce("text", F.lit(""))).select("source_id", tx.count_tokens(F.col("text")).alias("token_count"))
 
 
 @query(
@@ -49,29 +73,50 @@ def scan_article_url(t: Tables) -> DataFrame:
     )
 
 
+_CHAPTER = "'Chapter ' || doc_id || chr(10) || '[p. ' || (doc_id * 3) || '] ' || coalesce(text, '')"
+
+
 @query(
     "scan_book",
-    """with lines as (select doc_id, i, l[i + 1] as line from (select doc_id, string_split(text, chr(10)) as l from documents), range(0, 100000) r(i) where i < len(l)),
-    sec as (select *, sum((length(line) < 60)::int) over (partition by doc_id order by i) as s from lines)
-    select doc_id, s::bigint as section, count(*) as n_lines, sum(length(line))::bigint as n_chars, min(i)::bigint as first_line from sec group by 1, 2""",
+    rf"""with books as {_shelf_sql(_CHAPTER)},
+    lines as (select b, sha256(text) as source_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from books),
+    parts as (select *, sum(({_HEADING})::int) over (partition by b order by i) as s from lines),
+    told as (select b, source_id, s, {_STRIP.format("string_agg(line, chr(10) order by i)")} as x from parts group by 1, 2, 3)
+    select source_id, (row_number() over (partition by b order by s) - 1)::int as section, nullif(regexp_extract(x, '(?i)\[p(?:age)?\.?\s*(\d+)\]', 1), '') as page,
+    length(x)::bigint as n_chars, sha256(x) as text_sha256 from told where x <> ''""".replace("\\\\", "\\"),
 )
 def scan_book(t: Tables) -> DataFrame:
-    lines = sf.lines(t.documents, "doc_id", "text")
-    parts = rk.sections(lines, ["doc_id"], "line_no", F.length("line") < 60)
-    return parts.groupBy("doc_id", "section").agg(
-        F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"), F.min("line_no").cast("long").alias("first_line")
-    )
+    """Books of many chapters, read from files and cut at their headings."""
+    title = F.concat(F.lit("Chapter "), "doc_id", F.lit("\n[p. "), F.col("doc_id") * 3, F.lit("] "), F.coalesce("text", F.lit("")))
+    found = book_sections(_shelf(t, title).select("source_id", "text"))
+    return found.select("source_id", "section", "page", F.length("section_text").cast("long").alias("n_chars"), F.sha2("section_text", 256).alias("text_sha256"))
+
+
+_PAGE = f"case when turn = 0 and conv_id // {PER_VOLUME} % 2 = 0 then 'Part ' || (conv_id + 1) || chr(10) else '' end || coalesce(text, '') || chr(12)"
 
 
 @query(
     "scan_pdf",
-    """select conv_id, turn // 10 as part, min(turn) as first_page, count(*) as pages, sum(length(text))::bigint as n_chars
-    from conversations group by 1, 2""",
+    rf"""with volumes as (select conv_id // {PER_VOLUME} as v, string_agg({_PAGE}, chr(10) order by conv_id, turn) || chr(10) as text from conversations group by 1),
+    pages as (select v, sha256(text) as source_id, generate_subscripts(string_split(text, chr(12)), 1) as n, {_STRIP.format("unnest(string_split(text, chr(12)))")} as x from volumes),
+    flagged as (select *, row_number() over (partition by v order by n) - 1 as k,
+        len(list_filter(string_split(x, chr(10))[1:5], lambda line: {_HEADING})) > 0 as head from pages where x <> ''),
+    parts as (select *, case when max(head::int) over (partition by v) = 1 then sum(head::int) over (partition by v order by n) else k // 10 end as s from flagged),
+    told as (select v, source_id, s, min(n)::int as first_page, count(*)::int as n_pages, string_agg(x, chr(10) || chr(10) order by n) as x from parts group by 1, 2, 3)
+    select source_id, (row_number() over (partition by v order by s) - 1)::int as section, first_page, n_pages, length(x)::bigint as n_chars, sha256(x) as text_sha256 from told""",
 )
 def scan_pdf(t: Tables) -> DataFrame:
-    part = F.floor(F.col("turn") / 10).alias("part")
-    return t.conversations.groupBy("conv_id", part).agg(
-        F.min("turn").alias("first_page"), F.count("*").alias("pages"), F.sum(F.length("text")).alias("n_chars")
+    """Paged documents, a turn a page; every second one has headings, the others are cut by pages."""
+    talks = t.conversations
+    head = F.when((F.col("turn") == 0) & (F.floor(F.col("conv_id") / PER_VOLUME) % 2 == 0), F.concat(F.lit("Part "), F.col("conv_id") + 1, F.lit("\n"))).otherwise("")
+    lines = talks.select(
+        F.floor(F.col("conv_id") / PER_VOLUME).alias("v"), F.struct("conv_id", "turn").alias("at"), F.concat(head, F.coalesce("text", F.lit("")), F.lit("\f")).alias("line")
+    )
+    path = new_path(talks.sparkSession, "volumes")
+    sf.write_files(lines, "v", "at", "line", path)
+    found = paged_sections(sf.read_text_files(talks.sparkSession, path).select("source_id", "text"))
+    return found.select(
+        "source_id", "section", "first_page", "n_pages", F.length("section_text").cast("long").alias("n_chars"), F.sha2("section_text", 256).alias("text_sha256")
     )
 
 
@@ -200,12 +245,19 @@ def scan_music_db(t: Tables) -> DataFrame:
 
 @query("scan_xml_dump", "select p_partkey as id, p_name as name, [p_type, p_brand] as styles from part where p_partkey % 7 <> 0")
 def scan_xml_dump(t: Tables) -> DataFrame:
-    """Records rendered to XML and parsed back; every seventh lacks its id and is dropped."""
+    """Records written as XML files and read by the dump reader; every seventh lacks its id and is dropped."""
     xml = F.concat(
         F.lit("<release>"), F.when(F.col("p_partkey") % 7 != 0, F.concat(F.lit("<id>"), "p_partkey", F.lit("</id>"))).otherwise(""),
         F.lit("<name>"), "p_name", F.lit("</name><style>"), "p_type", F.lit("</style><style>"), "p_brand", F.lit("</style></release>"),
     )
-    return sf.parse_release_xml(t.part.select(xml.alias("xml")), "xml")
+    spark = t.part.sparkSession
+    path = new_path(spark, "dump")
+    file = F.floor(F.col("p_partkey") / 1000).alias("file")
+    records = t.part.select(file, F.col("p_partkey").alias("at"), xml.alias("line"))
+    ends = t.part.select(file).distinct().select("file", F.explode(F.array(F.struct(F.lit(-1).alias("at"), F.lit("<releases>").alias("line")), F.struct(F.lit((1 << 31) - 1).alias("at"), F.lit("</releases>").alias("line")))).alias("e"))
+    sf.write_files(records.unionByName(ends.select("file", "e.at", "e.line")), "file", "at", "line", path)
+    found = sf.read_xml_dump(spark, path, "release", "id long, name string, style array<string>")
+    return found.select("id", "name", F.col("style").alias("styles"))
 
 
 @query("filt_store_where", "select doc_id, lang, source from documents where n_chars <= 2000 and lang in ('en', 'fr') and source not in ('src1', 'src2')")

@@ -12,6 +12,7 @@ from marquee.operators import history as hi
 from marquee.operators.archive import export_tables, import_tables
 from marquee.operators.tables import new_path
 from marquee.plans.registry import Tables, query
+from marquee.streaming.upserts import BucketTable
 
 SEEDS = [1, 2, 3, 4, 5, 6, 7, 8, 9, 10]
 IN_SEEDS = ", ".join(map(str, SEEDS))
@@ -163,12 +164,29 @@ def join_alias_lookup(t: Tables) -> DataFrame:
     return alias.join(t.nation.select(F.lower("n_name").alias("k"), F.col("n_name").alias("canonical")), "k").drop("k")
 
 
+def _store(t: Tables, schema: str, key: list[str], order: list[str]) -> BucketTable:
+    spark = t.nation.sparkSession
+    return BucketTable(spark, new_path(spark, "store"), schema, key, order)
+
+
+def _chunks(t: Tables) -> BucketTable:
+    """The documents as a written chunk table."""
+    table = _store(t, "doc_id long, lang string, source string", ["doc_id"], ["source", "lang"])
+    table.merge(t.documents, 0)
+    return table
+
+
 @query(
     "sink_upsert_chunks",
     "select event_id, user_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) r from events) where r = 1",
 )
 def sink_upsert_chunks(t: Tables) -> DataFrame:
-    return hi.latest(t.events.select("event_id", "user_id", "event_type", "ts"), ["user_id"], ["ts", "event_id"]).drop("ts")
+    """Written in three batches that overlap, the second one twice; the table is read back."""
+    events = t.events
+    table = _store(t, "event_id long, user_id long, event_type string, ts timestamp_ntz", ["user_id"], ["ts", "event_id"])
+    for number, only in enumerate(("event_id % 3 <> 1", "event_id % 3 <> 0", "event_id % 3 <> 0", "event_id % 3 = 1")):
+        table.merge(events.where(only), number)
+    return table.latest().drop("ts")
 
 
 @query(
@@ -186,8 +204,13 @@ def sink_versioned_snapshot(t: Tables) -> DataFrame:
     f"""select user_id, item_type, item_key, arg_max(rating, (ts, event_id))::bigint as rating from {RATINGS} group by 1, 2, 3""",
 )
 def sink_upsert_rating(t: Tables) -> DataFrame:
-    rows = hi.latest_value(ratings(t), ["user_id", "item_type", "item_key"], "rating", F.struct("ts", "event_id"))
-    return rows.select("user_id", "item_type", "item_key", F.col("rating").cast("long").alias("rating"))
+    """Ratings of two batches, the older ones last; a later rating of a key stays."""
+    rows = ratings(t).withColumn("rating", F.col("rating").cast("long"))
+    schema = "event_id long, ts timestamp_ntz, user_id long, item_type string, item_key string, rating long"
+    table = _store(t, schema, ["user_id", "item_type", "item_key"], ["ts", "event_id"])
+    table.merge(rows.where("event_id % 2 = 1"), 0)
+    table.merge(rows.where("event_id % 2 = 0"), 1)
+    return table.latest().select("user_id", "item_type", "item_key", "rating")
 
 
 @query(
@@ -212,17 +235,23 @@ def sink_upsert_narrative(t: Tables) -> DataFrame:
 
 @query("sink_delete_source", "select doc_id, source from documents where source <> 'src3'")
 def sink_delete_source(t: Tables) -> DataFrame:
-    return t.documents.where("source <> 'src3'").select("doc_id", "source")
+    table = _chunks(t)
+    table.delete(F.col("source") == "src3", 1)
+    return table.latest().select("doc_id", "source")
 
 
 @query("sink_delete_type", "select lang, count(*) as n from documents where lang <> 'de' group by lang")
 def sink_delete_type(t: Tables) -> DataFrame:
-    return t.documents.where("lang <> 'de'").groupBy("lang").agg(F.count("*").alias("n"))
+    table = _chunks(t)
+    table.delete(F.col("lang") == "de", 1)
+    return table.latest().groupBy("lang").agg(F.count("*").alias("n"))
 
 
 @query("sink_update_metadata", "select doc_id, case when doc_id = 7 then 'patched' else source end as source from documents")
 def sink_update_metadata(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.when(F.col("doc_id") == 7, F.lit("patched")).otherwise(F.col("source")).alias("source"))
+    table = _chunks(t)
+    table.update(F.col("doc_id") == 7, {"source": F.lit("patched")}, 1)
+    return table.latest().select("doc_id", "source")
 
 
 @query(

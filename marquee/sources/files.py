@@ -153,6 +153,12 @@ def write_text_by(df: DataFrame, cluster: str, text: str, path: str) -> None:
     df.select(cluster, F.col(text).alias("value")).write.mode("overwrite").partitionBy(cluster).text(path)
 
 
+def write_files(rows: DataFrame, cluster: str, order: str, line: str, path: str) -> None:
+    """One text file for each cluster, its lines in order; clusters are files, so bounded."""
+    dealt = rows.repartition(cluster).sortWithinPartitions(cluster, order)
+    dealt.select(cluster, F.col(line).alias("value")).write.mode("overwrite").partitionBy(cluster).text(path)
+
+
 def upsert_parquet(current: DataFrame, changes: DataFrame, key: list[str], version: str, path: str) -> None:
     """The newest version of each key of both tables, written to a new path."""
     from marquee.operators.history import latest
