@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,6 +107,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of a few rows, so that a worker never holds many texts as Python objects."""
+    for batch in batches:
+        if not batch.num_rows:
+            yield batch
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def utf8(texts: Iterable[str | None]) -> list[bytes]:
     """Whole texts as UTF-8; null is empty."""
     return [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]

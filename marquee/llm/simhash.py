@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.shared import connected_components, materialize, utf8, packed, unpacked
+from marquee.llm.shared import connected_components, materialize, packed, slices, unpacked, utf8
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -62,13 +62,13 @@ def fingerprint(text: bytes) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         values = np.array([fingerprint(t) for t in utf8(batch.column("text").to_pylist())], dtype=np.uint64)
         yield pa.record_batch([batch.column("doc_id"), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
 
 
 def _hashed_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         for out in _fingerprints(iter([batch])):
             yield pa.record_batch([*out.columns, batch.column("__hash")], names=["doc_id", "fp", "__hash"])
 

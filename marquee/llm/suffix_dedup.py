@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.shared import materialize, utf8, packed, unpacked
+from marquee.llm.shared import materialize, packed, slices, unpacked, utf8
 from marquee.llm.suffixes import common_prefix, deep_shallow_order
 
 WINDOW = 100
@@ -237,7 +237,7 @@ def _find_segments(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[
                 yield _blob_batch([row])
 
     held, n = [], 0
-    for batch in batches:
+    for batch in slices(batches, 1024):
         docs, subs, texts = (batch.column(c).to_pylist() for c in ("__doc", "__sub", "text"))
         for lot in _pieces(docs, subs, utf8(texts)):
             held.append(_cut(lot))
@@ -523,7 +523,7 @@ def _with_ranges(docs: DataFrame) -> DataFrame:
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
-    for batch in batches:
+    for batch in slices(batches):
         rows = []
         for doc, text, ranges in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "__ranges"))):
             data = (text or "").encode("utf-8", "surrogatepass")
@@ -565,7 +565,7 @@ def without_spans(text: str, ranges: list[tuple[int, int]]) -> str:
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         texts = [
             without_spans(t, [(r["lo"], r["hi"]) for r in ranges]) if t and ranges else t
             for t, ranges in zip(batch.column("text").to_pylist(), batch.column("__ranges").to_pylist())
