@@ -29,7 +29,13 @@ NAMED_ERAS = {
     "uk garage era": "1997-2002",
     "nuum": "1990-2010",
 }
+#: How a year, a range of years, a decade and a short decade are written.
 YEAR = r"(?:19|20)\d{2}"
+YEAR_RANGE = rf"({YEAR})\s*[-–—]\s*({YEAR})"
+SHORT_THE = r"(?i)\bthe\s+(\d{2})['’]?s\b"
+SHORT = r"(?i)\b(\d{2})['’]?s\b"
+DECADE = rf"\b({YEAR})s\b"
+SINGLE = rf"\b({YEAR})\b"
 
 
 def detect_period(text: Column) -> Column:
@@ -39,8 +45,7 @@ def detect_period(text: Column) -> Column:
     cases = F.when(F.lit(False), F.lit(None).cast("string"))
     for era in sorted(NAMED_ERAS, key=len, reverse=True):
         cases = cases.when(F.contains(lowered, F.lit(era)), F.lit(NAMED_ERAS[era]))
-    span = rf"\b({YEAR})\s*[-–—]\s*({YEAR})\b"
-    short_the, short = r"(?i)\bthe\s+(\d{2})['’]?s\b", r"(?i)\b(\d{2})['’]?s\b"
+    span = rf"\b{YEAR_RANGE}\b"
     found = lambda p: F.regexp_extract(text, p, 1)
 
     def decade(pattern: str) -> Column:
@@ -49,17 +54,17 @@ def detect_period(text: Column) -> Column:
 
     return (
         cases.when(text.rlike(span), F.concat_ws("-", found(span), F.regexp_extract(text, span, 2)))
-        .when(text.rlike(short_the), decade(short_the))
-        .when(text.rlike(short), decade(short))
-        .when(text.rlike(rf"\b({YEAR})s\b"), F.concat(found(rf"\b({YEAR})s\b"), F.lit("s")))
-        .when(text.rlike(rf"\b({YEAR})\b"), found(rf"\b({YEAR})\b"))
+        .when(text.rlike(SHORT_THE), decade(SHORT_THE))
+        .when(text.rlike(SHORT), decade(SHORT))
+        .when(text.rlike(DECADE), F.concat(found(DECADE), F.lit("s")))
+        .when(text.rlike(SINGLE), found(SINGLE))
     )
 
 
 def parse_period(period: Column) -> Column:
     """struct(start, end), a closed interval of years; null if it is none."""
     period = F.trim(period)
-    span = rf"^({YEAR})\s*[-–—]\s*({YEAR})$"
+    span = rf"^{YEAR_RANGE}$"
     interval = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
     first = F.when(period.rlike(rf"^{YEAR}"), F.substring(period, 1, 4).cast("int"))
     return (

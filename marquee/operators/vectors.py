@@ -60,31 +60,53 @@ def hex_to_long(h: Column) -> Column:
     return F.conv(h, 16, -10).cast("long")
 
 
-BLOCKS, BLOCK_BITS = 4, 16
+def _ball(width: int, bits: int) -> int:
+    return sum(math.comb(width, n) for n in range(bits + 1))
 
 
-def _around(block: Column, bits: int) -> Column:
+def block_plan(rows: int, most_bits: int) -> list[tuple[int, int, int, int]]:
+    """(shift, width, near on one side, near on the other) of each block that 64-bit hashes are cut
+    into. Of b blocks one differs in most_bits // b bits at most, of which each side takes its
+    half. Few narrow blocks have few keys and many chance meetings, wide ones the reverse; the
+    number of blocks is that of the least of both for so many rows."""
+
+    def plan(blocks: int) -> list[tuple[int, int, int, int]]:
+        cuts, near = [64 * i // blocks for i in range(blocks + 1)], most_bits // blocks
+        return [(a, b - a, (near + 1) // 2, near // 2) for a, b in zip(cuts, cuts[1:])]
+
+    def cost(blocks: int) -> float:
+        keys = sum(_ball(w, x) + _ball(w, y) for _, w, x, y in plan(blocks))
+        met = sum(_ball(w, x) * _ball(w, y) / 2.0**w for _, w, x, y in plan(blocks))
+        return rows * keys + rows * rows * met / 2
+
+    return plan(min(range(2, 9), key=cost))
+
+
+def _around(block: Column, width: int, bits: int) -> Column:
     """A block and all blocks within `bits` of it."""
-    masks = [sum(1 << i for i in c) for n in range(bits + 1) for c in combinations(range(BLOCK_BITS), n)]
-    return F.array(*[block.bitwiseXOR(F.lit(m)) for m in masks])
+    masks = [sum(1 << i for i in c) for n in range(bits + 1) for c in combinations(range(width), n)]
+    return F.transform(F.split(F.lit(",".join(map(str, masks))), ",").cast("array<long>"), block.bitwiseXOR)
 
 
 def hash_neighbours(rows: DataFrame, key: str, h: str, most_bits: int) -> DataFrame:
     """Pairs (a, b, distance), a < b, of 64-bit hashes within `most_bits`.
 
-    Exact: of four blocks one differs in a quarter of the bits at most. Each side
-    takes its half of these: for 10 bits, two blocks within 2 bits have a block within 1
-    of both, which is what they are joined on.
+    Exact: the blocks of `block_plan` are joined on, each side giving all blocks near its own.
+    The width of the blocks follows the number of rows, which is counted first.
     """
-    near = most_bits // BLOCKS
+    rows = written(rows.select(key, h), "hashes")
+    plan = block_plan(max(rows.count(), 2), most_bits)
+
+    def of_block(number: int, shift: int, width: int, near: int) -> Column:
+        own = F.shiftrightunsigned(F.col(h), shift).bitwiseAND(F.lit((1 << width) - 1))
+        return F.transform(_around(own, width, near), lambda z: F.struct(F.lit(number).alias("n"), z.alias("z")))
 
-    def keyed(side: str, bits: int) -> DataFrame:
-        block = lambda i: F.shiftrightunsigned(F.col(h), BLOCK_BITS * i).bitwiseAND(F.lit(0xFFFF)).cast("int")
-        keys = F.flatten(F.array(*[F.transform(_around(block(i), bits), lambda z: z.bitwiseOR(F.lit(i << BLOCK_BITS))) for i in range(BLOCKS)]))  # noqa: B023
-        return rows.select(F.col(key).alias(side), F.col(h).alias(f"h{side}"), F.explode(keys).alias("block"))
+    def keyed(side: str, which: int) -> DataFrame:
+        keys = [of_block(number, shift, width, near[which]) for number, (shift, width, *near) in enumerate(plan)]
+        return rows.select(F.col(key).alias(side), F.col(h).alias(f"h{side}"), F.explode(F.concat(*keys)).alias("block"))
 
     distance = hamming(F.col("ha"), F.col("hb"))
-    met = keyed("a", (near + 1) // 2).join(keyed("b", near // 2), "block").where((F.col("a") < F.col("b")) & (distance <= most_bits))
+    met = keyed("a", 0).join(keyed("b", 1), "block").where((F.col("a") < F.col("b")) & (distance <= most_bits))
     return met.select("a", "b", distance.alias("distance")).distinct()
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from marquee.sources import frontier as fr
 from marquee.sources import listings as li
 from marquee.sources.articles import read_articles
 from marquee.sources.books import HEADINGS, book_sections, paged_sections
+from marquee.streaming.upserts import BucketTable
 
 #: A fixed query vector of the table's 64 dimensions.
 QUERY = [round(((i * 37) % 64 - 31.5) / 32, 4) for i in range(64)]
@@ -493,13 +496,12 @@ def agg_collect_citations(t: Tables) -> DataFrame:
     return t.documents.groupBy("source", "lang").agg(F.min("doc_id").alias("first_id")).orderBy("first_id")
 
 
-@query(
-    "lk_source_detail",
-    "select source, count(*) as n, string_agg(doc_id::varchar, ',' order by doc_id) as chunk_ids from documents where source = 'src4' group by source",
-)
+@query("lk_source_detail", "select source, count(*) over () as n, doc_id as chunk_id from documents where source = 'src4' order by doc_id")
 def lk_source_detail(t: Tables) -> DataFrame:
-    rows = t.documents.where("source = 'src4'").groupBy("source").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("doc_id")).alias("ids"))
-    return rows.select("source", "n", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("chunk_ids"))
+    """A source's chunks, a row each, with their number."""
+    rows = t.documents.where("source = 'src4'").select("source", "doc_id")
+    total = rows.agg(F.count("*").alias("n"))
+    return rows.crossJoin(F.broadcast(total)).select("source", "n", F.col("doc_id").alias("chunk_id")).orderBy("chunk_id")
 
 
 @query("sort_citations", "select doc_id, tier, yr from (select doc_id, doc_id % 6 + 1 as tier, case when doc_id % 4 > 0 then n_chars end as yr from documents) order by tier, yr desc nulls last, doc_id")
@@ -570,11 +572,20 @@ def sink_prose_files(t: Tables) -> DataFrame:
 
 @query(
     "sink_event_corpus",
-    """select event_type, count(*) as n, strftime(min(ts), '%Y-%m-%d') as first_day, string_agg('Event: ' || event_id || ' ' || user_id, chr(10) || '---' || chr(10) order by ts, event_id) as body
+    """select event_type, count(*) as n, strftime(min(ts), '%Y-%m-%d') as first_day, sum(length('Event: ' || event_id || ' ' || user_id || chr(10) || '---'))::bigint as n_chars
     from events group by 1""",
 )
 def sink_event_corpus(t: Tables) -> DataFrame:
-    return sf.event_corpus(t.events, "event_type", "ts", "event_id", F.concat(F.lit("Event: "), "event_id", F.lit(" "), "user_id"))
+    """Files of event blocks in order of time, written and read back. A type's events are dealt to
+    files by ranges of time, so a hot type is many files."""
+    block = F.concat(F.lit("Event: "), "event_id", F.lit(" "), "user_id", F.lit("\nDate: "), F.date_format("ts", "yyyy-MM-dd"), F.lit("\n---"))
+    spark = t.events.sparkSession
+    path = new_path(spark, "corpus")
+    sf.write_event_corpus(t.events, "event_type", "ts", "event_id", block, path)
+    found = sf.read_event_corpus(spark, path, "event_type")
+    return found.groupBy("event_type").agg(
+        F.count("*").alias("n"), F.min("date").alias("first_day"), F.sum(F.length(F.concat(F.lit("Event: "), "event", F.lit("\n---")))).alias("n_chars")
+    )
 
 
 @query(
@@ -588,18 +599,58 @@ def sink_article_corpus(t: Tables) -> DataFrame:
     return rk.numbered(rows, ["grp"], ["doc_id"]).select("doc_id", "grp", (F.floor((F.col("number") - 1) / 50) + 1).alias("part"))
 
 
-@query("cmp_rebuild", "select doc_id, 'reference' as source_type from documents union all select conv_id * 100 + turn, 'transcript' from conversations union all select page_id, 'article' from pages")
+_PARAGRAPHS = r"list_filter(list_transform(regexp_split_to_array(coalesce({}, ''), '\n\s*\n'), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '')"
+
+
+def _rows_sql(type_: str, id_: str, text: str, table: str) -> str:
+    return f"select '{type_}' as source_type, sha256('{type_}:' || {id_}) as source_id, {_PARAGRAPHS.format(text)} as p from {table}"
+
+
+def _chunks_of(rows: DataFrame, type_: F.Column, id_: F.Column, text: F.Column) -> DataFrame:
+    """Paragraphs of a text with an identity that no other source's can be."""
+    source_id = F.sha2(F.concat(type_, F.lit(":"), id_.cast("string")), 256)
+    cut = rows.select(type_.alias("source_type"), source_id.alias("source_id"), F.posexplode(tx.split_paragraphs(F.coalesce(text, F.lit("")))).alias("at", "text"))
+    chunk_id = F.sha2(F.concat_ws(":", "source_id", "at"), 256)
+    return cut.select("source_type", "source_id", chunk_id.alias("chunk_id"), F.length("text").cast("long").alias("n_chars"))
+
+
+_CUT_SQL = "select source_type, source_id, sha256(source_id || ':' || (i - 1)) as chunk_id, length(p[i])::bigint as n_chars from (select *, unnest(range(1, len(p) + 1)) as i from ({}))"
+
+
+@query(
+    "cmp_rebuild",
+    _CUT_SQL.format(" union all ".join((
+        _rows_sql("reference", "doc_id", "replace(text, chr(10), chr(10) || chr(10))", "documents"), _rows_sql("transcript", "conv_id || '/' || turn", "text", "conversations"),
+        _rows_sql("article", "page_id", "text", f"({sf.main_text_sql('html')})"),
+    ))),
+)
 def cmp_rebuild(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id", F.lit("reference").alias("source_type"))
-    rows = rows.unionByName(t.conversations.select((F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"), F.lit("transcript").alias("source_type")))
-    return rows.unionByName(t.pages.select(F.col("page_id").alias("doc_id"), F.lit("article").alias("source_type")))
+    """All sources cut to chunks anew; ids are made of type and id, so those of three tables do not clash."""
+    blank = F.replace("text", F.lit("\n"), F.lit("\n\n"))
+    parts = [
+        _chunks_of(t.documents, F.lit("reference"), F.col("doc_id"), blank),
+        _chunks_of(t.conversations, F.lit("transcript"), F.concat_ws("/", "conv_id", "turn"), F.col("text")),
+        _chunks_of(t.pages, F.lit("article"), F.col("page_id"), sf.main_text(F.col("html"))),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
-@query("cmp_reingest", "select doc_id, case when source in ('src1', 'src2') then 'event' else lang end as source_type from documents")
+@query(
+    "cmp_reingest",
+    _CUT_SQL.format("select case when source in ('src1', 'src2') then 'event' else lang end as source_type, sha256(case when source in ('src1', 'src2') then 'event' else lang end || ':' || doc_id) as source_id,"
+    + _PARAGRAPHS.format("replace(text, chr(10), chr(10) || chr(10))") + " as p from documents"),
+)
 def cmp_reingest(t: Tables) -> DataFrame:
+    """Chunks of two wrongly typed sources are deleted from the written table and ingested anew as events."""
+    spark = t.documents.sparkSession
     wrong = F.col("source").isin("src1", "src2")
-    kept = t.documents.where(~wrong).select("doc_id", F.col("lang").alias("source_type"))
-    return kept.unionByName(t.documents.where(wrong).select("doc_id", F.lit("event").alias("source_type")))
+    blank = F.replace("text", F.lit("\n"), F.lit("\n\n"))
+    table = BucketTable(spark, new_path(spark, "chunks"), "chunk_id string, source_id string, source_type string, n_chars long", ["chunk_id"], ["source_id"])
+    table.merge(_chunks_of(t.documents, F.col("lang"), F.col("doc_id"), blank), 0)
+    gone = t.documents.where(wrong).select(F.sha2(F.concat("lang", F.lit(":"), "doc_id"), 256).alias("source_id"))
+    kept = table.latest().join(gone, "source_id", "left_anti")
+    again = _chunks_of(t.documents.where(wrong), F.lit("event"), F.col("doc_id"), blank)
+    return kept.unionByName(again).select("source_type", "source_id", "chunk_id", "n_chars")
 
 
 @query(
@@ -612,12 +663,37 @@ def cmp_episode_index(t: Tables) -> DataFrame:
     return rows.groupBy("key").agg(F.min("page_id").alias("page_id")).withColumn("number", F.regexp_extract("key", r"/(\d+)", 1))
 
 
+_LIKE = "least(greatest(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 0), 1)"
+
+
+def _tags_sql(keep: str) -> str:
+    once = "list_filter(string_split(coalesce(text, ''), ' '), lambda w: {})".format(keep)
+    return f"list_filter({once}, lambda w, i: list_position({once}, w) = i)"
+
+
 @query(
     "cmp_web_enrich",
-    """select doc_id, array_to_string(list_sort(list_distinct(string_split(text, ' '))), ',') as tags from documents""",
+    f"""with ranked as (select q.vec_id as query_id, e.vec_id as doc_id, row_number() over (partition by q.vec_id order by {_LIKE} desc, e.vec_id) as r
+        from embeddings e join documents d on d.doc_id = e.vec_id, embeddings q where q.vec_id % 100 = 0),
+    tagged as (select query_id, r, {_tags_sql("length(w) >= 9")}[1:2] || {_tags_sql("w in ('the', 'der', 'de', 'las')")}[1:1] as tags from ranked join documents using (doc_id) where r <= 5),
+    every as (select query_id, flatten(list(tags order by r)) as tags from tagged group by 1)
+    select query_id, array_to_string(list_filter([['q' || query_id], list_filter(tags, lambda w, i: list_position(tags, w) = i)[1:4], ['electronic music']].flatten(), lambda w: w <> ''), ' ') as enriched from every""",
 )
 def cmp_web_enrich(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.array_join(F.sort_array(F.array_distinct(F.split("text", " "))), ",").alias("tags"))
+    """Searches enriched by the tags of their five best chunks: two entities and a genre of each, in
+    order of rank, four different ones in all."""
+    from marquee.operators.vector_index import VectorIndex
+
+    docs, vectors = t.documents, t.embeddings
+    known = vectors.join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    index = VectorIndex.build(known, "vec_id", "embedding", new_path(docs.sparkSession, "index"), dims=64)
+    asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    words = F.array_distinct(F.split(F.coalesce("text", F.lit("")), " "))
+    tags = F.concat(F.slice(F.filter(words, lambda w: F.length(w) >= 9), 1, 2), F.slice(F.filter(words, lambda w: w.isin("the", "der", "de", "las")), 1, 1))
+    best = index.search(asked, 5).join(docs.select(F.col("doc_id").alias("key"), tags.alias("tags")), "key")
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "key", "tags")))  # five a query
+    four = F.slice(F.array_distinct(F.flatten(F.transform(ranked, lambda x: x["tags"]))), 1, 4)
+    return best.groupBy("query_id").agg(F.array_join(F.concat(F.array(F.concat(F.lit("q"), F.first("query_id"))), four, F.array(F.lit("electronic music"))), " ").alias("enriched"))
 
 
 @query(

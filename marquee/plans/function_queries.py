@@ -16,6 +16,7 @@ from marquee.operators import dictionary as di
 from marquee.operators import fuzzy as fz
 from marquee.operators import graph as gr
 from marquee.operators import history as hi
+from marquee.operators.tables import new_path
 from marquee.plans.registry import Tables, query
 
 _INITCAP = "array_to_string(list_transform(string_split(x, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
@@ -222,10 +223,12 @@ def fn_snippet(t: Tables) -> DataFrame:
 @query("fn_parse_event_block", "select event_id, event_type as title, strftime(ts, '%Y-%m-%d') as event_date from events")
 def fn_parse_event_block(t: Tables) -> DataFrame:
     block = F.concat(F.lit("Event: "), "event_type", F.lit("\nDate: "), F.date_format("ts", "yyyy-MM-dd"), F.lit("\nId: "), "event_id")
-    listing = t.events.select("user_id", block.alias("b")).groupBy("user_id").agg(F.array_join(F.collect_list("b"), "\n\n---\n\n").alias("text"))
-    one = listing.select(F.explode(F.split("text", r"\n\n---\n\n")).alias("b"))
+    path = new_path(t.events.sparkSession, "blocks")
+    t.events.select(F.concat(block, F.lit("\n---\n")).alias("value")).write.text(path)
+    # blocks are records of the files: a listing of any length is read by many tasks
+    one = t.events.sparkSession.read.option("lineSep", "\n---\n").text(path).select(F.col("value").alias("b"))
     field = lambda k: F.regexp_extract("b", rf"(?m)^{k}: (.*)$", 1)
-    return one.select(field("Id").cast("long").alias("event_id"), field("Event").alias("title"), field("Date").alias("event_date"))
+    return one.where(F.col("b").contains("Id: ")).select(field("Id").cast("long").alias("event_id"), field("Event").alias("title"), field("Date").alias("event_date"))
 
 
 @query("fn_parse_llm_json", "select event_id, json_extract_string(props, '$.k')::bigint as k from events")

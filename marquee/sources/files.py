@@ -133,14 +133,17 @@ def event_text(title: Column, ts: Column, attending: Column) -> Column:
     )
 
 
-def event_corpus(rows: DataFrame, key: str, ts: str, tie: str, block: Column) -> DataFrame:
-    """By key all event blocks in order of time, between `---` lines; the output is one
-    file a key, so its blocks meet in one row."""
-    ordered = F.sort_array(F.collect_list(F.struct(ts, tie, block.alias("block"))))
-    return rows.groupBy(key).agg(
-        F.count("*").alias("n"), F.date_format(F.min(ts), "yyyy-MM-dd").alias("first_day"),
-        F.array_join(F.transform(ordered, lambda x: x["block"]), "\n---\n").alias("body"),
-    )
+def write_event_corpus(rows: DataFrame, key: str, ts: str, tie: str, block: Column, path: str) -> None:
+    """Event blocks in text files by key, in order of time within a file and over a key's files."""
+    dealt = rows.select(key, ts, tie, block.alias("value")).repartitionByRange(key, ts, tie).sortWithinPartitions(key, ts, tie)
+    dealt.select(key, "value").write.mode("overwrite").partitionBy(key).text(path)
+
+
+def read_event_corpus(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """(key, event, date) of the blocks between `---` lines; a file of any length is read by many tasks."""
+    blocks = spark.read.schema(f"value string, {key} string").option("lineSep", "\n---\n").text(path)
+    field = lambda k: F.regexp_extract("value", rf"(?m)^{k}: (.*)$", 1)
+    return blocks.where(F.contains("value", F.lit("Event: "))).select(key, field("Event").alias("event"), field("Date").alias("date"))
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:

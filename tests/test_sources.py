@@ -94,3 +94,25 @@ def test_cache_follows_the_version(spark):
         cache.get("x", version, build)
     cache.get("y", "a", build)
     assert len(built) == 3
+
+
+@pytest.mark.parametrize("most,blocks", [(3, None), (10, None), (10, 2), (10, 3), (7, 5), (0, None)])
+def test_hash_neighbours_are_exact_for_any_blocks(spark, monkeypatch, most, blocks):
+    """Whatever the blocks, all pairs within the distance and no others."""
+    import random
+
+    rng = random.Random(most)
+    middles = [rng.getrandbits(64) for _ in range(6)]
+    hashes = [m ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 8))) for m in middles for _ in range(8)] + [0, 2**64 - 1, 1 << 63]
+    if blocks:
+        cuts, near = [64 * i // blocks for i in range(blocks + 1)], most // blocks
+        monkeypatch.setattr(vectors, "block_plan", lambda rows, bits: [(a, b - a, (near + 1) // 2, near // 2) for a, b in zip(cuts, cuts[1:])])
+    rows = [(i, h - (1 << 64) if h >> 63 else h) for i, h in enumerate(hashes)]
+    got = {tuple(r) for r in vectors.hash_neighbours(spark.createDataFrame(rows, "k long, h long"), "k", "h", most).collect()}
+    far = lambda a, b: (hashes[a] ^ hashes[b]).bit_count()
+    assert got == {(a, b, far(a, b)) for a in range(len(hashes)) for b in range(a + 1, len(hashes)) if far(a, b) <= most}
+
+
+def test_blocks_widen_with_the_rows():
+    widths = [vectors.block_plan(n, 10)[0][1] for n in (1_000, 1_000_000, 10_000_000_000)]
+    assert widths == sorted(widths) and widths[-1] == 32
