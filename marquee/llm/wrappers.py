@@ -62,6 +62,13 @@ FURNITURE_NAMES = re.compile(
     r"(?:$|[-_\s])",
     re.I,
 )
+#: A class that tells what a page has is no furniture, nor is a box around the content and its sidebar.
+HAS_NAME = re.compile(r"(?:has|no|with|without|is)[-_]|.*[-_](?:wrap|wrapper|layout|container)$", re.I)
+#: Whole classes by which an article is an advert or a reader's comment.
+NO_ARTICLE = re.compile(r"(?:ads?|advert\w*|sponsor\w*|promo|comments?|comment[-_]\S+|repl(?:y|ies))", re.I)
+SECTION_IDS = re.compile(r"(?:comments?|disqus|respond|ads?)(?:$|[-_])", re.I)
+#: Elements that some sites put around the whole page.
+AROUND_ALL = {"form", "fieldset", "dialog"}
 #: Names of furniture around the article; within it they are part of it.
 OUTER_NAMES = re.compile(
     r"(?:^|[-_\s])(?:header|masthead|footer|aside|banner|related|recommend\w*|login|signup|register|form|widget|skip\w*)(?:$|[-_\s])", re.I
@@ -79,24 +86,39 @@ MOST_DEPTH, MOST_MARKED_DEPTH = 100, 140
 class Node:
     """An element or a text ("#") of a page."""
 
-    __slots__ = ("sign", "kind", "items", "text", "chars", "links")
+    __slots__ = ("sign", "kind", "items", "text", "chars", "links", "raw", "marked")
 
     def __init__(self, sign: str, kind: str = "", text: str | None = None, chars: int = 0, links: int = 0):
         self.sign, self.kind, self.text, self.chars, self.links = sign, kind, text, chars, links
         self.items: list[Node] = []
+        self.raw = self.marked = 0
 
 
-def _kind(tag: str, attributes: dict[str, str]) -> str:
-    """ "x" furniture, "h" furniture unless in an article, "c" article, "n" named like one, "" neither."""
-    role, names = attributes.get("role", "").lower(), f"{attributes.get('class', '')} {attributes.get('id', '')}"
+def _furniture_name(names: str) -> bool:
+    """Whether a class or id names furniture by itself."""
+    return any(
+        FURNITURE_NAMES.search(name) and not (HAS_NAME.match(name) and (name[:3].lower() in ("has", "no-", "no_", "is-", "is_", "wit") or CONTENT_NAMES.search(name)))
+        for name in names.split()
+    )
+
+
+def _kind(tag: str, attributes: dict[str, str], inside: bool = False) -> str:
+    """ "x" furniture, "h" furniture unless in an article, "c" article, "n" named like one, "" neither.
+    The id of a section in an article is made of its heading, so few of them name furniture."""
+    own_id = attributes.get("id", "")
+    if inside and tag == "section" and not SECTION_IDS.match(own_id):
+        own_id = ""
+    role, names = attributes.get("role", "").lower(), f"{attributes.get('class', '')} {own_id}"
     if tag in FURNITURE_TAGS or role in FURNITURE_ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true":
         return "x"
     if "display:none" in attributes.get("style", "").replace(" ", "").lower():
         return "x"
+    if tag == "article" and any(map(NO_ARTICLE.fullmatch, attributes.get("class", "").split())):
+        return "x"
     if tag in ("article", "main") or role in ("main", "article") or attributes.get("itemprop") == "articleBody":
         return "c"
     if tag not in ("body", "html") and names != " ":
-        if FURNITURE_NAMES.search(names):
+        if _furniture_name(names):
             return "x"
         if OUTER_NAMES.search(names):
             return "h"
@@ -137,7 +159,8 @@ def parse(page: str) -> Node:
     """The element tree of a page. Inline tags are no elements; a text is what stands
     between two block tags, its references decoded, its white space single spaces."""
     root = Node("html")
-    stack, run = [("html", root, 0)], []
+    stack, run = [("html", root, 0, False, False)], []  # tag, node, depth, in an article, in furniture
+    furnished = False
     open_tags = Counter()  # of the stack, so that a stray closing tag costs nothing
     links = linked = 0
 
@@ -158,7 +181,7 @@ def parse(page: str) -> Node:
                 linked += len(raw.strip())
 
     def cut(k: int) -> None:
-        open_tags.subtract(t for t, _, _ in stack[k:])
+        open_tags.subtract(entry[0] for entry in stack[k:])
         del stack[k:]
 
     at = 0
@@ -198,23 +221,51 @@ def parse(page: str) -> Node:
         elif stack[-1][0] == "p":
             cut(len(stack) - 1)
         attributes = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attrs)} if attrs.strip(" /") else {}
-        kind, depth = _kind(tag, attributes), stack[-1][2]
-        if stack[-1][1].kind == "x" or kind != "x" and depth >= (MOST_MARKED_DEPTH if kind else MOST_DEPTH):
+        _, above, depth, inside, hidden = stack[-1]
+        kind = _kind(tag, attributes, inside)
+        if depth >= (MOST_MARKED_DEPTH if kind else MOST_DEPTH) and (kind != "x" or hidden):
             if tag != "hr":
-                stack.append((tag, stack[-1][1], depth))
+                stack.append((tag, *stack[-1][1:]))
                 open_tags[tag] += 1
             continue
         named = DIGITS.sub("0", attributes.get("class", "").split(" ")[0]) if attributes.get("class") else ""
         node = Node(f"{tag}.{named}" if named else tag, kind)
-        stack[-1][1].items.append(node)
+        above.items.append(node)
+        furnished = furnished or kind == "x"
         if tag != "hr":
-            stack.append((tag, node, depth + 1))
+            stack.append((tag, node, depth + 1, inside or kind == "c", hidden or kind == "x"))
             open_tags[tag] += 1
     put(page[at:])
     flush()
+    if furnished:
+        _weigh(root)
+        _keep_around(root, root.raw, root.marked)
     return root
 
 
+def _weigh(node: Node) -> None:
+    """Characters outside links of each element, and of those the ones in articles."""
+    node.raw = max(0, node.chars - node.links)
+    for x in node.items:
+        _weigh(x)
+        node.raw += x.raw
+        node.marked += x.marked
+    if node.kind == "c":
+        node.marked = node.raw
+
+
+def _keep_around(node: Node, every: int, marked: int) -> None:
+    """What holds the articles (half of their text) is no furniture, nor is a form around most
+    of a page without any, whatever it is called."""
+    if node.kind == "x":
+        around = node.sign.split(".")[0] in AROUND_ALL and not marked and 2 * node.raw > every
+        if not around and not (marked and 2 * node.marked >= marked):
+            return
+        node.kind = ""
+    for x in node.items:
+        _keep_around(x, every, marked)
+
+
 def places(signs: list[str]) -> list[tuple[str, int]]:
     """Sign and occurrence of each of a parent's tokens; neighbours that repeat, alone or
     in groups of two or three, have the occurrence of the first."""

@@ -551,6 +551,34 @@ def test_articles_keep_their_own_parts():
     assert wrappers.extract(page) == "Title\nWork\nPress Go and x in fig or obj."
 
 
+ARTICLE = "<article><h1>Title</h1><p>All of the text that this page is about.</p></article>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<form id="aspnetForm"><nav><p>menu</p></nav>{ARTICLE}<input></form>',
+        f'<div class="content-sidebar-wrap"><main>{ARTICLE}</main><div class="sidebar"><p>side</p></div></div>',
+        f'<div id="page" class="site has-sidebar">{ARTICLE}<aside><article class="teaser"><p>next</p></article></aside></div>',
+        f'<div class="nav-open menu">{ARTICLE}</div>',
+        f'<body class="comments-open"><div id="comments-page">{ARTICLE}</div></body>',
+        f'{ARTICLE}<article class="advert"><p>buy</p></article><div id="comments"><article class="comment"><p>nice</p></article></div>',
+        ARTICLE.replace("<p>", '<section id="sharing"><p>').replace("</p>", "</p></section>"),
+        ARTICLE.replace("<article>", '<article class="post tag-sharing category-social has-comments">'),
+    ],
+)
+def test_furniture_names_lose_no_article(page):
+    assert wrappers.extract(page) == "Title\nAll of the text that this page is about."
+
+
+def test_forms_around_pages_without_articles():
+    body = "<h1>Title</h1><p>All of the text that this page is about, in some words.</p>"
+    assert wrappers.extract(f"<form><div>{body}</div><nav><a href=x>menu</a></nav></form>").startswith("Title\nAll of")
+    assert wrappers.extract(f"<div>{body}</div><form><p>Your mail</p></form>").endswith("in some words.")
+    assert wrappers.extract(f"<div>{body}</div><div class=comments><p>{'said by a reader ' * 20}</p></div>").endswith("in some words.")
+    assert wrappers.extract("<nav>" * 5_000 + "<p>menu" + "<article>" * 5_000 + "x") is not None
+
+
 def test_hostile_pages_take_linear_time():
     import time
 
