@@ -12,7 +12,7 @@ from marquee.operators import history as hi
 from marquee.operators.archive import export_tables, import_tables
 from marquee.operators.tables import new_path
 from marquee.plans.registry import Tables, query
-from marquee.streaming.upserts import BucketTable
+from marquee.streaming.upserts import AppendLog, BucketTable
 
 SEEDS = [1, 2, 3, 4, 5, 6, 7, 8, 9, 10]
 IN_SEEDS = ", ".join(map(str, SEEDS))
@@ -596,3 +596,15 @@ def sink_archive(t: Tables) -> DataFrame:
             for n in names
         ],
     )
+
+
+@query("sink_feedback", "select event_id, user_id as session_id, event_type as target, value >= 50 as useful, ts from events where event_type in ('click', 'view', 'purchase')")
+def sink_feedback(t: Tables) -> DataFrame:
+    """Feedback rows appended in three batches, one of which comes twice, and read back."""
+    rows = t.events.where("event_type in ('click', 'view', 'purchase')").select(
+        "event_id", F.col("user_id").alias("session_id"), F.col("event_type").alias("target"), (F.col("value") >= 50).alias("useful"), "ts"
+    )
+    log = AppendLog(t.events.sparkSession, new_path(t.events.sparkSession, "feedback"), rows.schema)
+    for number in (0, 1, 1, 2):
+        log.append(rows.where(F.pmod("event_id", F.lit(3)) == number), number)
+    return log.rows()

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 MANIFEST = "bucket int, version long"
 
@@ -54,7 +55,8 @@ class BucketTable:
         if touched:
             parted = rows.withColumn("bucket", self._bucket()).repartition(len(touched), "bucket")
             parted.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/rows/version={number}")
-            held = [r[0] for r in self.spark.read.parquet(f"{self.path}/rows/version={number}").select("bucket").distinct().collect()] if not rows.isEmpty() else []
+            kept = self.spark.read.schema(f"{self.schema}, bucket int").parquet(f"{self.path}/rows/version={number}")
+            held = [r[0] for r in kept.select("bucket").distinct().collect()]  # a bucket may have lost all its rows
             before = {b: v for b, v in before.items() if b not in touched} | dict.fromkeys(held, number)
         told = self.spark.createDataFrame(list(before.items()) or [(-1, -1)], MANIFEST).coalesce(1)
         told.write.mode("overwrite").parquet(f"{self.path}/manifest/batch={number}")
@@ -91,3 +93,22 @@ class BucketTable:
         if set(change) & set(self.key):
             raise ValueError("keys do not change in place")
         return self._change(only, number, change)
+
+
+class AppendLog:
+    """Rows that are only added, a folder for each batch: one that comes again replaces itself."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: StructType):
+        self.spark, self.path, self.schema = spark, path, schema
+
+    def append(self, batch: DataFrame, number: int) -> None:
+        """For `foreachBatch`."""
+        batch.select(self.schema.names).write.mode("overwrite").parquet(f"{self.path}/batch={number}")
+
+    def rows(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(self.schema).parquet(self.path).select(self.schema.names)
+        except Exception as missing:
+            if "PATH_NOT_FOUND" in str(missing):
+                return self.spark.createDataFrame([], self.schema)
+            raise

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marquee.streaming import jobs
 from marquee.streaming.batches import BatchJobs, Status
 from marquee.streaming.sessions import expired_sessions, from_micros, merged
-from marquee.streaming.upserts import BucketTable
+from marquee.streaming.upserts import AppendLog, BucketTable
 from tests.conftest import DATA
 
 
@@ -182,3 +182,12 @@ def test_cache_forgets_after_its_time(spark):
     cache.get("y", "a", build)
     cache.get("z", "a", build)
     assert not cache.holds("x", "a") and cache.holds("y", "a") and cache.holds("z", "a")
+
+
+def test_appended_batches_replace_themselves(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "k long, v string")
+    log = AppendLog(spark, f"{tmp_path}/log", rows.schema)
+    assert log.rows().count() == 0
+    for number, part in ((0, rows), (1, rows.where("k = 1")), (1, rows.where("k = 2")), (2, rows.limit(0))):
+        log.append(part, number)
+    assert sorted(map(tuple, log.rows().collect())) == [(1, "a"), (2, "b"), (2, "b"), (2, "b"), (2, "b")]
