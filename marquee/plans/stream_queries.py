@@ -133,5 +133,5 @@ CACHE = jobs.VersionedCache(most=4, ttl=30.0)
 def st_ttl_cache(t: Tables) -> DataFrame:
     """Statistics kept for half a minute, as long as the table is the same files."""
     events = t.events
-    version = "|".join(sorted(events.inputFiles()))
+    version = "|".join([events.sparkSession.sparkContext.applicationId, *sorted(events.inputFiles())])
     return CACHE.get("stats", version, lambda: events.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users")))
