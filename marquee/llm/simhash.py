@@ -83,8 +83,9 @@ def _signed(value: int) -> int:
 
 
 def pivots() -> list[int]:
-    """The reference fingerprints: 0, then block by block 15 Walsh functions. Any two of a
-    block differ in half of its bits, so together they tell its bits apart."""
+    """The fingerprints that distances are taken to: 0, then block by block 15 Walsh functions.
+    Any two of a block differ in half of its bits. Bit 0 of a block is in none of them, so
+    fingerprints that differ there only have the same coordinates but for pivot 0; they meet, as keys only get wider by it."""
     walsh = [sum(1 << i for i in range(BLOCK_BITS) if (i & j).bit_count() & 1) for j in range(1, BLOCK_BITS)]
     return [0] + [row << BLOCK_BITS * block for block in range(BLOCKS) for row in walsh]
 
