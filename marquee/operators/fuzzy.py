@@ -2,9 +2,13 @@
 
 Two strings are `like` above a threshold t if either 1 - Levenshtein / longer length
 ("edit") or twice the longest common subsequence over both lengths ("indel") reaches
-it. Both bound the edits by the lengths. A known string is cut into one segment more
-than it can lose, so a string like it holds one of the segments whole, and not far
-from its place: segments are hash-joined, and only what meets is compared. Exact.
+it. Both bound the edits by the lengths. The longer string of a pair is cut into one
+segment more than there can be edits, so the shorter one holds a segment whole. Of
+the segments it holds, one lies so that the edits before it are fewer than the
+segments before it, and those behind it likewise; that leaves few places to look.
+What meets by a segment is compared by its letters (a bitmap of which letter stands
+how often, the edits bound the bits that differ) before it leaves the join, and only
+the rest as strings. Exact.
 """
 
 from __future__ import annotations
@@ -16,66 +20,102 @@ from marquee.functions.names import edit_ratio, lcs_ratio_udf
 
 #: Below this a string may lose all of its letters.
 LEAST = 0.7
+#: Longs of a bitmap of letters.
+WORDS = 4
 
 
-def _losses(kind: str, threshold: float) -> tuple[float, float]:
-    """Edits of a pair to a letter of both ("indel") or of the longer ("edit"), and the most
-    that a known string can lose to its own letters."""
+def _edits(shorter: str, longer: str, kind: str, threshold: float) -> str:
+    """The most edits of a like pair of these lengths, in SQL."""
     if threshold < LEAST:
         raise ValueError(f"threshold must be {LEAST} or more")
-    most = (1 - threshold) / threshold
-    return 1 - threshold, most if kind == "edit" else 2 * most
-
-
-def _cut(length: Column, i: Column, parts: Column) -> Column:
-    return F.floor(i * length / parts).cast("int")
-
-
-def _parts(length: Column, most: float) -> Column:
-    return (F.floor(length * F.lit(most) + 1e-9) + 1).cast("int")
-
-
-def segments(name: Column, kind: str, threshold: float) -> Column:
-    """The segments of a known string: (length, number, text)."""
-    _, most = _losses(kind, threshold)
-    n = F.length(name)
-    parts = _parts(n, most)
-    piece = lambda i: F.substring(name, _cut(n, i, parts) + 1, _cut(n, i + 1, parts) - _cut(n, i, parts))
-    cut = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.struct(n.alias("n"), i.alias("i"), piece(i).alias("s")))
-    return F.when(n > 0, cut)
-
-
-def probes(name: Column, kind: str, threshold: float) -> Column:
-    """What the segments of strings like this one may be."""
-    share, most = _losses(kind, threshold)
-    la = F.length(name)
-    low, high = (threshold, 1 / threshold) if kind == "edit" else (threshold / (2 - threshold), (2 - threshold) / threshold)
-    lengths = F.sequence(F.greatest(F.ceil(la * F.lit(low) - 1e-9), F.lit(1)).cast("int"), F.floor(la * F.lit(high) + 1e-9).cast("int"))
-    none = F.array().cast("array<struct<n:int,i:int,s:string>>")
-
-    def of_segment(lb: Column, i: Column) -> Column:
-        start = _cut(lb, i, _parts(lb, most))
-        size = _cut(lb, i + 1, _parts(lb, most)) - start
-        edits = F.floor((F.greatest(la, lb) if kind == "edit" else la + lb) * F.lit(share) + 1e-9).cast("int")
-        first, last = F.greatest(start - edits, F.lit(0)), F.least(start + edits, la - size)
-        at = lambda q: F.struct(lb.alias("n"), i.alias("i"), F.substring(name, q + 1, size).alias("s"))
-        return F.when(last >= first, F.transform(F.sequence(first, F.greatest(first, last)), at)).otherwise(none)
-
-    def of_length(lb: Column) -> Column:
-        return F.flatten(F.transform(F.sequence(F.lit(0), _parts(lb, most) - 1), lambda i: of_segment(lb, i)))
-
-    return F.when(la > 0, F.array_distinct(F.flatten(F.transform(lengths, of_length))))
+    both = longer if kind == "edit" else f"({shorter} + {longer})"
+    return f"cast(floor({both} * {1 - threshold!r}D + 1e-9D) as int)"
+
+
+def _cuts(length: str, parts: str) -> str:
+    """The segments (number, first place, place behind) of a string of this length, in SQL."""
+    cut = lambda i: f"cast(floor({i} * {length} / {parts}) as int)"
+    return f"transform(sequence(0, {parts} - 1), i -> named_struct('i', i, 'from', {cut('i')}, 'to', {cut('(i + 1)')}))"
+
+
+def segments(kind: str, threshold: float) -> Column:
+    """Hashes of the segments of the string `name`, for pairs in which it is the longer one."""
+    n = "length(name)"
+    cuts = _cuts(n, f"({_edits(n, n, kind, threshold)} + 1)")
+    return F.expr(f"if({n} > 0, transform({cuts}, s -> xxhash64({n}, s.i, substring(name, s.from + 1, s.to - s.from))), null)")
+
+
+def probes(kind: str, threshold: float, longer_by: int = 0) -> Column:
+    """Hashes of what the segments of strings like `name` that are longer by `longer_by` or more may be."""
+    n = "length(name)"
+    least = f"({n} + {longer_by})"
+    most = f"cast(floor({n} * {1 / threshold if kind == 'edit' else (2 - threshold) / threshold!r}D + 1e-9D) as int)"
+    lengths = f"transform(sequence({least}, greatest({least}, {most})), b -> named_struct('b', b, 'parts', {_edits('b', 'b', kind, threshold)} + 1))"
+    behind = f"s.from - (x.b - {n})"
+    window = f"""named_struct('i', s.i, 'size', s.to - s.from, 'first', greatest(0, s.from - s.i, {behind} - (x.parts - 1 - s.i)),
+        'last', least({n} - (s.to - s.from), s.from + s.i, {behind} + (x.parts - 1 - s.i)))"""
+    hashes = "transform(sequence(w.first, w.last), q -> xxhash64(x.b, w.i, substring(name, q + 1, w.size)))"
+    windows = f"filter(transform({_cuts('x.b', 'x.parts')}, s -> {window}), w -> w.last >= w.first)"
+    found = f"flatten(transform({lengths}, x -> flatten(transform({windows}, w -> {hashes}))))"
+    return F.expr(f"if({n} > 0 and {most} >= {least}, array_distinct({found}), null)")
+
+
+def letters(name: Column) -> Column:
+    """Places of a string's letters in a bitmap, the first, second, ... of each has its own (some share one)."""
+    until = lambda i: F.substring(name, 1, i)
+    time = lambda i, c: F.length(until(i)) - F.length(F.replace(until(i), c, F.lit("")))
+    place = lambda i, c: F.pmod(F.xxhash64(c, time(i, c)), F.lit(64 * WORDS))
+    return F.when(F.length(name) > 0, F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: place(i, F.substring(name, i, 1))))
+
+
+def bitmap(places: Column) -> Column:
+    """The bitmap of these places: two strings' bitmaps differ in no more bits than letters that
+    one string has and the other lacks."""
+    none = F.lit(0).cast("long")
+    bit = lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), (b % 64).cast("int"))
+    word = lambda w: F.aggregate(F.filter(places, lambda b: F.shiftright(b, 6) == w), none, lambda a, b: a.bitwiseOR(bit(b)))
+    # never null, or the join's filter for nulls is pushed down and computes all of this once more in the scan
+    return F.struct(*[F.coalesce(word(w), none).alias(f"w{w}") for w in range(WORDS)])
+
+
+def _candidates(short: DataFrame, long: DataFrame, threshold: float, kind: str, longer_by: int = 0) -> DataFrame:
+    """(short, long) of the pairs that meet by a segment and may be like by their letters; pairs
+    may repeat. The explodes are outer, as inner ones compute the keys twice."""
+    left = short.select(F.col("name").alias("short"), F.col("bits").alias("a"), F.explode_outer(probes(kind, threshold, longer_by)).alias("k"))
+    right = long.select(F.col("name").alias("long"), F.col("bits").alias("b"), F.explode_outer(segments(kind, threshold)).alias("k"))
+    differ = sum((F.bit_count(F.col(f"a.w{w}").bitwiseXOR(F.col(f"b.w{w}"))) for w in range(1, WORDS)), F.bit_count(F.col("a.w0").bitwiseXOR(F.col("b.w0"))))
+    edits = F.expr(_edits("length(short)", "length(long)", kind, threshold))
+    return left.join(right, "k").where((differ <= (edits * 2 if kind == "edit" else edits)) & (F.col("short") != F.col("long"))).select("short", "long")
+
+
+def candidates(asked: DataFrame, known: DataFrame, threshold: float, kind: str = "edit") -> DataFrame:
+    """(asked, known) of the different strings that are compared as strings, each pair once."""
+    a = _names(asked)
+    names = lambda x, y: [F.col(x).alias("asked"), F.col(y).alias("known")]
+    if asked is known:
+        met = _candidates(a, a, threshold, kind)
+        pairs = met.select(*names("short", "long")).unionByName(met.select(*names("long", "short")))
+    else:
+        b = _names(known)
+        pairs = _candidates(a, b, threshold, kind).select(*names("short", "long"))
+        pairs = pairs.unionByName(_candidates(b, a, threshold, kind, 1).select(*names("long", "short")))
+    return pairs.distinct()
+
+
+def _names(table: DataFrame) -> DataFrame:
+    """Different names and their bitmaps. A few bytes of names are much work, so they are spread
+    over a given number of tasks, by a hash of their own, as else the distinct's are joined by size."""
+    names = table.select("name").where("name is not null").distinct()
+    spread = names.repartition(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("name"))
+    return spread.withColumn("places", letters(F.col("name"))).select("name", bitmap(F.col("places")).alias("bits"))
 
 
 def like_pairs(asked: DataFrame, known: DataFrame, threshold: float, kind: str = "edit") -> DataFrame:
     """(asked, known, ratio) of all strings of the column `name` of both that are like each other,
     each pair once. Nulls are like nothing; equal strings, empty ones too, have the ratio 1."""
     a, b = (t.select("name").where("name is not null").distinct() for t in (asked, known))
-    left = a.select(F.col("name").alias("asked"), F.explode(probes(F.col("name"), kind, threshold)).alias("k"))
-    right = b.select(F.col("name").alias("known"), F.explode(segments(F.col("name"), kind, threshold)).alias("k"))
-    met = left.join(right, "k").select("asked", "known").where("asked <> known").distinct()
     ratio = edit_ratio(F.col("asked"), F.col("known")) if kind == "edit" else lcs_ratio_udf("asked", "known")
-    other = met.withColumn("ratio", ratio).where(F.col("ratio") >= threshold)
+    other = candidates(asked, known, threshold, kind).withColumn("ratio", ratio).where(F.col("ratio") >= threshold)
     same = a.join(b, "name").select(F.col("name").alias("asked"), F.col("name").alias("known"), F.lit(1.0).alias("ratio"))
     return same.unionByName(other)
 

@@ -64,6 +64,38 @@ def join_fuzzy(t: Tables) -> DataFrame:
     return asked.join(fz.best_matches(asked, t.part.select(F.col("p_name").alias("name")), 0.8), "name").select("p_partkey", "best", "ratio")
 
 
+def openings(t: Tables) -> DataFrame:
+    """(id, name): the first three words of every turn of a conversation, names whose number
+    grows with the table; letters beyond ASCII are one mark, as the SQL's distance counts bytes."""
+    first = F.regexp_replace(F.regexp_extract(F.lower("text"), r"^\s*(\S+(?:\s+\S+){0,2})", 1), r"[^\x20-\x7e]", "~")
+    return t.conversations.select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("id"), first.alias("name")).where("name <> ''")
+
+
+_OPENINGS = r"""select conv_id * 1000000 + turn as id, regexp_replace(regexp_extract(lower(text), '^\s*(\S+(?:\s+\S+){0,2})', 1), '[^\x20-\x7e]', '~', 'g') as name
+    from conversations"""
+
+
+@query(
+    "join_fuzzy_openings",
+    f"""with o as (select * from ({_OPENINGS}) where name <> ''), k as (select distinct name from o),
+    a as (select distinct substr(name, 1, 3) || substr(name, 5) as name from o),
+    s as (select a.name, k.name as best, 1 - levenshtein(a.name, k.name) / greatest(length(a.name), length(k.name)) as ratio from a, k),
+    m as (select * from (select *, row_number() over (partition by name order by ratio desc, best) r from s) where r = 1 and ratio >= 0.8)
+    select id, best, ratio from o join m on m.name = substr(o.name, 1, 3) || substr(o.name, 5)""",
+)
+def join_fuzzy_openings(t: Tables) -> DataFrame:
+    """Openings with their fourth letter lost, matched with all openings there are."""
+    known = openings(t)
+    asked = known.select("id", F.concat(F.substring("name", 1, 3), F.substring("name", 5, 1 << 20)).alias("name"))
+    return asked.join(fz.best_matches(asked, known, 0.8), "name").select("id", "best", "ratio")
+
+
+@query("resolve_openings")
+def resolve_openings(t: Tables) -> DataFrame:
+    """Openings of turns resolved in order of the turns."""
+    return gr.resolve(openings(t), "name", "id", 0.8).select("id", "name", "canonical")
+
+
 @query("join_token_sort")
 def join_token_sort(t: Tables) -> DataFrame:
     """Names with their words in another order and a letter misread, matched by their sorted words."""
