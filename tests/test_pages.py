@@ -94,6 +94,15 @@ def test_articles_as_a_table(spark):
     assert articles.read_articles(pages.where("false"), "id", "h").count() == 0
 
 
+def test_references_without_a_semicolon_are_text():
+    """Titles are cut within references; script data is no text with references."""
+    html = """<title>A &amp;&amp; b&amp</title><meta name=author content="C &amp D"><body>x&nbsp;&lt y &#39;z&#39 &copy2 &amp;lt; &
+        <script type="application/ld+json">{"headline": "q & r &amp s &amp; t"}</script>"""
+    text = "A && b&amp x &lt y 'z&#39 &copy2 &lt; &"
+    assert articles.read_page(html) == (text, "q & r &amp s &amp; t", "C &amp D", None)
+    assert articles.read_page("<title>A&amp;&amp</title>")[1] == "A&&amp"
+
+
 def test_links_are_resolved(spark):
     base = "https://Ex.org/a/b.html?q=1"
     hrefs = ["/x", "c.html", "//h.net/y#z", "http://k.io/", "#top", "mailto:a@b.c", "?p=2", "d/e"]
