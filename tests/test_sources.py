@@ -113,6 +113,20 @@ def test_hash_neighbours_are_exact_for_any_blocks(spark, monkeypatch, most, bloc
     assert got == {(a, b, far(a, b)) for a in range(len(hashes)) for b in range(a + 1, len(hashes)) if far(a, b) <= most}
 
 
+def test_hashes_of_one_key_are_linked_each(spark):
+    """Keys may be shared by different hashes: a pair of hashes is a link, whatever its keys and distance."""
+    rows = [(1, 0), (2, 0b11 << 40), (2, 0b11 << 20), (3, 0), (3, -1)]
+    found = sorted(tuple(r) for r in vectors.near_hashes(spark.createDataFrame(rows, "k long, h long"), "k", "h", 4).collect())
+    assert found == [(1, 1, 2), (1, 3, 2), (2, 2, 2), (2, 2, 2), (3, 3, 0)]
+
+
+def test_blocks_of_hashes_are_not_broadcast(spark):
+    """A file of hashes is small, its blocks are not."""
+    rows = spark.range(200).select("id", vectors.F.xxhash64("id").alias("h"))
+    plan = vectors.hash_neighbours(rows, "id", "h", 10)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_blocks_widen_with_the_rows():
     widths = [vectors.block_plan(n, 10)[0][1] for n in (1_000, 1_000_000, 10_000_000_000)]
     assert widths == sorted(widths) and widths[-1] == 32
