@@ -570,22 +570,35 @@ def sink_prose_files(t: Tables) -> DataFrame:
     return back.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.length("value")).alias("n_chars"))
 
 
+#: Blocks of a part of the event corpus.
+PER_PART = 1000
+
+
 @query(
     "sink_event_corpus",
-    """select event_type, count(*) as n, strftime(min(ts), '%Y-%m-%d') as first_day, sum(length('Event: ' || event_id || ' ' || user_id || chr(10) || '---'))::bigint as n_chars
-    from events group by 1""",
+    f"""select event_type, (r - 1) // {PER_PART} as part, count(*) as n, strftime(min(ts), '%Y-%m-%d') as first_day,
+    sum(length('Event: ' || event_id || ' ' || user_id || chr(10) || '---'))::bigint as n_chars,
+    string_agg('Event: ' || event_id || ' ' || user_id, chr(10) || '---' || chr(10) order by r) as body
+    from (select *, row_number() over (partition by event_type order by ts, event_id) as r from events) group by 1, 2""",
 )
 def sink_event_corpus(t: Tables) -> DataFrame:
     """Files of event blocks in order of time, written and read back. A type's events are dealt to
-    files by ranges of time, so a hot type is many files."""
-    block = F.concat(F.lit("Event: "), "event_id", F.lit(" "), "user_id", F.lit("\nDate: "), F.date_format("ts", "yyyy-MM-dd"), F.lit("\n---"))
-    spark = t.events.sparkSession
-    path = new_path(spark, "corpus")
-    sf.write_event_corpus(t.events, "event_type", "ts", "event_id", block, path)
-    found = sf.read_event_corpus(spark, path, "event_type")
-    return found.groupBy("event_type").agg(
-        F.count("*").alias("n"), F.min("date").alias("first_day"), F.sum(F.length(F.concat(F.lit("Event: "), "event", F.lit("\n---")))).alias("n_chars")
+    files by ranges of time, so a hot type is many files; its text is told in parts of a thousand
+    blocks, which follow each other."""
+    rows = rk.numbered(t.events.select("event_type", "ts", "event_id", "user_id"), ["event_type"], ["ts", "event_id"])
+    event = F.concat(F.lit("Event: "), "event_id", F.lit(" "), "user_id")
+    day = F.concat(F.lit("Date: "), F.date_format("ts", "yyyy-MM-dd"))
+    block = F.concat_ws("\n", event, day, F.concat(F.lit("Number: "), "number"), F.lit("---"))
+    path = new_path(rows.sparkSession, "corpus")
+    sf.write_event_corpus(rows, "event_type", "ts", "event_id", block, path)
+    found = sf.read_event_corpus(rows.sparkSession, path, "event_type")
+    text = F.concat(F.lit("Event: "), "event")
+    ordered = F.sort_array(F.collect_list(F.when(F.col("event").isNotNull(), F.struct("number", text.alias("text")))))
+    parts = found.groupBy("event_type", F.floor((F.col("number") - 1) / PER_PART).alias("part")).agg(
+        F.count("*").alias("n"), F.min("date").alias("first_day"), F.sum(F.length(F.concat(text, F.lit("\n---")))).alias("n_chars"), ordered.alias("blocks")
     )
+    body = F.when(F.size("blocks") > 0, F.array_join(F.transform("blocks", lambda b: b["text"]), "\n---\n"))
+    return parts.select("event_type", "part", "n", "first_day", "n_chars", body.alias("body"))
 
 
 @query(

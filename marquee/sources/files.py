@@ -140,10 +140,12 @@ def write_event_corpus(rows: DataFrame, key: str, ts: str, tie: str, block: Colu
 
 
 def read_event_corpus(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """(key, event, date) of the blocks between `---` lines; a file of any length is read by many tasks."""
+    """(key, number, event, date) of the numbered blocks between `---` lines, null where a block
+    has no such line; a file of any length is read by many tasks."""
     blocks = spark.read.schema(f"value string, {key} string").option("lineSep", "\n---\n").text(path)
-    field = lambda k: F.regexp_extract("value", rf"(?m)^{k}: (.*)$", 1)
-    return blocks.where(F.contains("value", F.lit("Event: "))).select(key, field("Event").alias("event"), field("Date").alias("date"))
+    field = lambda k: F.nullif(F.regexp_extract("value", rf"(?m)^{k}: (.*)$", 1), F.lit(""))
+    found = blocks.select(key, field("Number").cast("long").alias("number"), field("Event").alias("event"), field("Date").alias("date"))
+    return found.where("number is not null")
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:

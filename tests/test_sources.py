@@ -113,6 +113,22 @@ def test_hash_neighbours_are_exact_for_any_blocks(spark, monkeypatch, most, bloc
     assert got == {(a, b, far(a, b)) for a in range(len(hashes)) for b in range(a + 1, len(hashes)) if far(a, b) <= most}
 
 
+def test_event_corpus_is_told_whole(spark, tmp_path):
+    """The parts of a type are its blocks in order of time; an event without a user has no text but counts."""
+    from datetime import datetime, timedelta
+
+    import __spark_entry__ as entry
+
+    first = datetime(2024, 1, 1)
+    rows = [(i, first + timedelta(minutes=(i * 7919) % 2500), None if i == 5 else i % 9, "ab"[i % 5 == 0], 1.0, "{}") for i in range(2600)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    found = sorted(entry.queries()["sink_event_corpus"](spark, str(tmp_path)).collect(), key=lambda r: (r.event_type, r.part))
+    assert [(r.event_type, r.part, r.n) for r in found] == [("a", 0, 1000), ("a", 1, 1000), ("a", 2, 80), ("b", 0, 520)]
+    for kind in "ab":
+        texts = [f"Event: {i} {u}" for i, _, u, k, *_ in sorted(rows, key=lambda r: (r[1], r[0])) if k == kind and u is not None]
+        assert "\n---\n".join(r.body for r in found if r.event_type == kind) == "\n---\n".join(texts)
+
+
 def test_hashes_of_one_key_are_linked_each(spark):
     """Keys may be shared by different hashes: a pair of hashes is a link, whatever its keys and distance."""
     rows = [(1, 0), (2, 0b11 << 40), (2, 0b11 << 20), (3, 0), (3, -1)]
