@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of line-ups for each task that reduces their pairs.
+ROWS_A_TASK = 500_000
+
+
 def name_key(name: str | Column) -> Column:
     """A name as it is compared: trimmed, lower case."""
     return F.lower(F.trim(F.col(name) if isinstance(name, str) else name))
@@ -38,14 +42,21 @@ def shared_event_pairs(lineup: DataFrame, event: list[str], artist: str, rank: l
     they are reduced to one row a pair by the least `rank`. `most` keeps the first
     pairs by rank, as the feature asks.
     """
-    rows = lineup.select(*event, artist, *[c for c in rank if c not in (*event, artist)]).distinct()
-    a = rows.withColumnRenamed(artist, "artist_a")
+    extra = [c for c in rank if c not in (*event, artist)]
+    rows = lineup.select(*event, artist, *extra)
+    rows = rows.groupBy(*event, artist).agg(F.min(F.struct(*extra)).alias("extra")) if extra else rows.distinct()
+    first = [F.col(f"extra.{c}") if c in extra else F.col(c) for c in rank]
+    a = rows.select(*event, F.col(artist).alias("artist_a"), *[c.alias(f"first{i}") for i, c in enumerate(first)])
     b = rows.select(*event, F.col(artist).alias("artist_b"))
-    pairs = a.join(b, event).where("artist_a < artist_b")
-    first = pairs.groupBy("artist_a", "artist_b").agg(
-        F.min(F.struct(*rank)).alias("first"), F.count_distinct(*event).alias("shared")
-    )
-    out = first.select("artist_a", "artist_b", "shared", "first.*")
+    firsts = [f"first{i}" for i in range(len(rank))]
+    pairs = a.join(b, event).where("artist_a < artist_b").select("artist_a", "artist_b", *firsts)
+    # a plain column is aggregated without sorting; those of the event are never null here
+    least = F.min("first0") if len(rank) == 1 and not extra else F.min(F.struct(*firsts))
+    # an artist is in an event once, so a pair's rows are its events; a task gets a bounded share of them
+    tasks = max(int(lineup.sparkSession.conf.get("spark.sql.shuffle.partitions")), lineup.count() // ROWS_A_TASK + 1)
+    found = pairs.repartition(tasks, "artist_a", "artist_b").groupBy("artist_a", "artist_b").agg(F.count("*").alias("shared"), least.alias("first"))
+    told = [(F.col("first") if not extra and len(rank) == 1 else F.col(f"first.first{i}")).alias(c) for i, c in enumerate(rank)]
+    out = found.select("artist_a", "artist_b", "shared", *told)
     return out.orderBy(*rank, "artist_a", "artist_b").limit(most) if most else out
 
 

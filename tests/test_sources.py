@@ -129,6 +129,36 @@ def test_event_corpus_is_told_whole(spark, tmp_path):
         assert "\n---\n".join(r.body for r in found if r.event_type == kind) == "\n---\n".join(texts)
 
 
+def test_shared_events_keep_their_first_by_any_rank(spark, monkeypatch):
+    """Repeated line-up rows, ranks beside the event; pairs are dealt to tasks by the number of rows
+    and reduced once, without sorting where the rank is one column."""
+    import random
+    from itertools import combinations
+
+    from marquee.operators import history
+
+    rng = random.Random(4)
+    rows = [(rng.randrange(40), rng.randrange(12), rng.choice([None, 1, 2, 3])) for _ in range(300)]
+    table = spark.createDataFrame(rows + [(None, 1, 1), (None, 2, 1)], "e int, a int, r int")
+    monkeypatch.setattr(history, "ROWS_A_TASK", 20)
+    for rank in (["e"], ["r", "e"], ["r"]):
+        expected = {}
+        for event in {e for e, _, _ in rows}:
+            least = {}
+            for e, a, r in rows:
+                if e == event:
+                    value = tuple({"e": (True, e), "r": (r is not None, r or 0)}[c] for c in rank)
+                    least[a] = min(least.get(a, value), value)
+            for a, b in combinations(sorted(least), 2):
+                n, first = expected.get((a, b), (0, least[a]))
+                expected[a, b] = (n + 1, min(first, least[a]))
+        found = history.shared_event_pairs(table, ["e"], "a", rank)
+        got = {(x.artist_a, x.artist_b): (x.shared, tuple((x[c] is not None, x[c] or 0) for c in rank)) for x in found.collect()}
+        assert got == expected
+    plan = history.shared_event_pairs(table, ["e"], "a", ["e"])._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "SortAggregate" not in plan and "hashpartitioning(artist_a#" in plan
+
+
 def test_hashes_of_one_key_are_linked_each(spark):
     """Keys may be shared by different hashes: a pair of hashes is a link, whatever its keys and distance."""
     rows = [(1, 0), (2, 0b11 << 40), (2, 0b11 << 20), (3, 0), (3, -1)]
