@@ -10,11 +10,13 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from hashlib import sha256
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Hook = Callable[[DataFrame], DataFrame]
+#: Texts that are embedded at once.
+MOST_TEXTS = 256
 
 
 def hash_vector(text: str, dimensions: int) -> list[float]:
@@ -30,15 +32,20 @@ def hash_vector(text: str, dimensions: int) -> list[float]:
 
 
 def embed(rows: DataFrame, key: str, text: str, dimensions: int = 128, batch: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
-    """(key, embedding) by a batch function of texts; without one, by `hash_vector`."""
+    """(key, embedding) by a batch function of texts; without one, by `hash_vector`. The function
+    gets at most `MOST_TEXTS` at once, and a worker never holds more of them as Python objects."""
     encode = batch or (lambda texts: [hash_vector(t, dimensions) for t in texts])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({key: frame[key], "embedding": encode(frame[text].fillna("").tolist())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, MOST_TEXTS):
+                part = whole.slice(at, MOST_TEXTS)
+                vectors = encode([t or "" for t in part.column(1).to_pylist()])
+                yield pa.record_batch([part.column(0), pa.array(vectors, pa.list_(pa.float64()))], names=["key", "embedding"])
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, text).mapInPandas(run, f"{key} {kind}, embedding array<double>")
+    found = rows.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, embedding array<double>")
+    return found.withColumnRenamed("key", key)
 
 
 @dataclass(frozen=True)

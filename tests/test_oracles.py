@@ -95,5 +95,14 @@ def test_embeddings_are_unit_vectors_of_the_text(spark):
     assert all(abs(sum(x * x for x in r.embedding) - 1) < 1e-9 for r in rows)
 
 
+def test_few_texts_are_embedded_at_once(spark):
+    from marquee.sources.providers import embed
+
+    rows = spark.range(3000).selectExpr("id", "if(id % 7 = 0, null, concat('t', id)) as t").coalesce(1)
+    found = embed(rows, "id", "t", 2, lambda texts: [[float(len(texts)), float(len(t))] for t in texts]).collect()
+    assert {r.id: r.embedding[1] for r in found} == {i: 0.0 if i % 7 == 0 else len(f"t{i}") for i in range(3000)}
+    assert max(r.embedding[0] for r in found) <= 256
+
+
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
