@@ -21,6 +21,9 @@ from pyspark.sql.streaming import StreamingQuery
 Process = Callable[[DataFrame], DataFrame]
 QUEUED, RUNNING, PAUSED, CANCELLED, COMPLETED, FAILED = "queued", "running", "paused", "cancelled", "completed", "failed"
 
+#: Items of a file, about.
+ITEMS_A_FILE = 10_000
+
 
 @dataclass(frozen=True)
 class Status:
@@ -57,11 +60,13 @@ class BatchJobs:
 
     # -- life of a job -------------------------------------------------------
     def create(self, items: DataFrame, key: str, slices: int) -> str:
-        """Queue a job over `items`, dealt to `slices` by key."""
+        """Queue a job over `items`, dealt to `slices` by key. A slice is one file or more, each of
+        some `ITEMS_A_FILE` items, so that no task takes a whole slice of many."""
         job_id = uuid.uuid4().hex
-        items.repartition(slices, key).write.option("maxRecordsPerFile", 0).parquet(self._path(job_id, "items"))
+        files = items.count() // (slices * ITEMS_A_FILE) + 1
+        items.repartition(slices * files, key).write.option("maxRecordsPerFile", 0).parquet(self._path(job_id, "items"))
         total = self.spark.read.parquet(self._path(job_id, "items")).count()
-        self._put(job_id, QUEUED, total=total, schema=items.schema.json())
+        self._put(job_id, QUEUED, total=total, schema=items.schema.json(), files=files)
         return job_id
 
     def start(self, job_id: str, process: Process, after_slice: Callable[[int], None] | None = None) -> StreamingQuery:
@@ -74,7 +79,7 @@ class BatchJobs:
         stop = self._stopping[job_id] = threading.Event()
         rows = (
             self.spark.readStream.schema(StructType.fromJson(json.loads(known["schema"])))
-            .option("maxFilesPerTrigger", 1)
+            .option("maxFilesPerTrigger", known.get("files", 1))
             .parquet(self._path(job_id, "items"))
         )
 
@@ -86,7 +91,7 @@ class BatchJobs:
             if after_slice:
                 after_slice(number)
 
-        self._put(job_id, RUNNING, total=known["total"], schema=known["schema"])
+        self._put(job_id, RUNNING, total=known["total"], schema=known["schema"], files=known.get("files", 1))
         query = (
             rows.writeStream.foreachBatch(run)
             .option("checkpointLocation", self._path(job_id, "checkpoint"))
@@ -113,7 +118,7 @@ class BatchJobs:
 
     def _settle(self, job_id: str, state: str) -> None:
         known = self._get(job_id)
-        self._put(job_id, state, total=known["total"], schema=known["schema"])
+        self._put(job_id, state, total=known["total"], schema=known["schema"], files=known.get("files", 1))
 
     def _halt(self, job_id: str) -> None:
         self._stopping.setdefault(job_id, threading.Event()).set()

@@ -113,6 +113,20 @@ def test_job_is_paused_resumed_and_done_once(spark, tmp_path):
     assert again.status(job).state == "completed"
 
 
+def test_slices_of_many_items_are_several_files(spark, tmp_path, monkeypatch):
+    """A slice is a batch however many files it is, and no file is larger than some items."""
+    from marquee.streaming import batches
+
+    monkeypatch.setattr(batches, "ITEMS_A_FILE", 10)
+    table, told = BatchJobs(spark, f"{tmp_path}/jobs"), []
+    job = table.create(items(spark, 300), "k", 3)
+    sizes = [r.n for r in spark.read.parquet(table._path(job, "items")).groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) > 20 and max(sizes) < 40
+    table.start(job, doubled, told.append)
+    assert table.wait(job) == Status(job, "completed", 300, 200, 100)
+    assert told == [0, 1, 2]
+
+
 def test_cancelled_job_shows_nothing(spark, tmp_path):
     table = BatchJobs(spark, f"{tmp_path}/jobs")
     job = table.create(items(spark, 30), "k", 3)
@@ -167,6 +181,14 @@ def test_upserts_touch_their_buckets_and_repeat_safely(spark, tmp_path):
     assert {r.k: r.v for r in table.latest().collect()}["b"] == "x"
 
 
+def test_feed_has_as_many_files_as_asked_for(spark, tmp_path):
+    """Batches are counted in files, so their number must not follow the partitions of the table."""
+    rows = spark.range(0, 1000, 1, 16).selectExpr("id", "timestampadd(MINUTE, id * 37 % 1000, timestamp_ntz '2024-01-01') as ts")
+    path = jobs.feed(rows, "ts", 4, f"{tmp_path}/feed", 2)
+    files = spark.read.parquet(path).groupBy(F.input_file_name().alias("f")).agg(F.min("ts"), F.max("ts"), F.count("*").alias("n")).collect()
+    assert len(files) == 8 and sum(r.n for r in files) == 1000 and min(r.n for r in files) > 50
+
+
 def test_cache_forgets_after_its_time(spark):
     now, built = [0.0], []
     cache = jobs.VersionedCache(most=2, ttl=10.0, clock=lambda: now[0])
