@@ -19,27 +19,33 @@ from marquee.streaming.sessions import EXPIRED, expired_sessions, from_micros, m
 from marquee.streaming.upserts import BucketTable
 
 SLICES, STATE_PARTITIONS = 4, 8
+#: Events of a file of a slice, about.
+EVENTS_A_FILE = 500_000
 #: Within a slice files come in any order, so an event may be late by a slice of the month.
 LATE = "8 days"
 
 
-def _fed(t: Tables, *again: str) -> str:
-    """The events as a folder to be streamed, and once more those of each condition."""
+def _fed(t: Tables, *again: str) -> tuple[str, int]:
+    """The events as a folder to be streamed, and once more those of each condition; and the files
+    of a slice, which follow the number of events, so that the number of batches does not. State is
+    dealt to more partitions likewise."""
     events = t.events
-    path = jobs.feed(events, "ts", SLICES, new_path(events.sparkSession, "feed"))
+    path = new_path(events.sparkSession, "feed")
+    files = events.count() // (SLICES * EVENTS_A_FILE) + 1
+    jobs.feed(events, "ts", SLICES, path, files)
     for condition in again:
-        events.where(condition).write.mode("append").parquet(path)
-    return path
+        events.where(condition).repartition(files).write.mode("append").parquet(path)
+    return path, files
 
 
 @query("st_incremental_months", "select strftime(ts, '%Y-%m') as month, event_type, count(distinct event_id) as n, round(sum(value), 2) as total from events group by 1, 2")
 def st_incremental_months(t: Tables) -> DataFrame:
     """Overlapping pulls (every fifth event comes twice) count once; days are kept by the sink and added to months."""
-    path = _fed(t, "event_id % 5 = 0")
+    path, files = _fed(t, "event_id % 5 = 0")
     spark = t.events.sparkSession
     days = BucketTable(spark, new_path(spark, "days"), "day long, event_type string, n long, total double", ["day", "event_type"], ["n"])
-    with jobs.state_settings(spark, STATE_PARTITIONS):
-        rows = spark.readStream.schema(jobs.EVENTS).option("maxFilesPerTrigger", 2).parquet(path)
+    with jobs.state_settings(spark, STATE_PARTITIONS * files):
+        rows = spark.readStream.schema(jobs.EVENTS).option("maxFilesPerTrigger", 2 * files).parquet(path)
         timed = rows.withColumn("ts", F.timestamp_micros(micros("ts")))
         counted = jobs.incremental_days(timed, "40 days").select(F.unix_micros("day.start").alias("day"), "event_type", "n", "total")
         jobs.run_available(counted, "update", new_path(spark, "progress"), days.merge)
@@ -50,11 +56,11 @@ def st_incremental_months(t: Tables) -> DataFrame:
 @query("st_progress_push", "select user_id, arg_max(event_type, (ts, event_id)) as status, max(ts) as ts from events group by 1")
 def st_progress_push(t: Tables) -> DataFrame:
     """Each batch pushes the users whose last event changed to a table of latest rows."""
-    path = _fed(t)
+    path, files = _fed(t)
     spark = t.events.sparkSession
     told = BucketTable(spark, new_path(spark, "status"), "user_id long, status string, ts timestamp_ntz, event_id long", ["user_id"], ["ts", "event_id"])
-    with jobs.state_settings(spark, STATE_PARTITIONS):
-        rows = spark.readStream.schema(jobs.EVENTS).option("maxFilesPerTrigger", 2).parquet(path)
+    with jobs.state_settings(spark, STATE_PARTITIONS * files):
+        rows = spark.readStream.schema(jobs.EVENTS).option("maxFilesPerTrigger", 2 * files).parquet(path)
         latest = jobs.latest_status(rows).withColumnRenamed("event_type", "status")
         jobs.run_available(latest, "update", new_path(spark, "progress"), told.merge)
     return told.latest().select("user_id", "status", "ts")
@@ -70,11 +76,11 @@ def st_progress_push(t: Tables) -> DataFrame:
 )
 def st_session_ttl(t: Tables) -> DataFrame:
     """Sessions that the clock of the stream has ended: 72 hours without an event."""
-    path = _fed(t)
+    path, files = _fed(t)
     spark = t.events.sparkSession
     out = new_path(spark, "expired")
-    with jobs.state_settings(spark, STATE_PARTITIONS):
-        rows = spark.readStream.schema(jobs.EVENTS).option("maxFilesPerTrigger", 1).parquet(path)
+    with jobs.state_settings(spark, STATE_PARTITIONS * files):
+        rows = spark.readStream.schema(jobs.EVENTS).option("maxFilesPerTrigger", files).parquet(path)
         over = expired_sessions(rows, "user_id", "ts", "72 hours", LATE)
         jobs.run_available(over, "append", new_path(spark, "progress"), jobs.numbered_sink(out))
     told = spark.read.schema(EXPIRED).parquet(out)
@@ -84,7 +90,7 @@ def st_session_ttl(t: Tables) -> DataFrame:
 @query("st_feedback_loop", "select user_id, arg_max(event_type, (ts, event_id)) as event_type, arg_max(value, (ts, event_id)) as value, max(ts) as ts from events where user_id is not null group by 1")
 def st_feedback_loop(t: Tables) -> DataFrame:
     """Results re-enter a table as upserts by user; pulls overlap, and the last batch comes twice."""
-    path = _fed(t, "event_id % 7 = 0")
+    path, files = _fed(t, "event_id % 7 = 0")
     spark = t.events.sparkSession
     table = BucketTable(spark, new_path(spark, "corpus"), jobs.EVENTS, ["user_id"], ["ts", "event_id"])
     numbers: list[int] = []
@@ -94,7 +100,7 @@ def st_feedback_loop(t: Tables) -> DataFrame:
         table.merge(batch, number)
         numbers.append(number)
 
-    rows = spark.readStream.schema(jobs.EVENTS).option("maxFilesPerTrigger", 1).parquet(path)
+    rows = spark.readStream.schema(jobs.EVENTS).option("maxFilesPerTrigger", files).parquet(path)
     jobs.run_available(rows, "append", new_path(spark, "progress"), twice)
     return table.latest().select("user_id", "event_type", "value", "ts")
 

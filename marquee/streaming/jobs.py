@@ -35,8 +35,9 @@ def latest_status(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(last.alias("l")).select("user_id", "l.ts", "l.event_id", "l.event_type")
 
 
-def feed(rows: DataFrame, ts: str, slices: int, path: str) -> str:
-    """Write `rows` as a folder of files that arrive in the order of `ts`, to be streamed."""
+def feed(rows: DataFrame, ts: str, slices: int, path: str, files: int = 1) -> str:
+    """Write `rows` as a folder of files that arrive in the order of `ts`, to be streamed; a slice
+    is `files` files, however many tasks read the rows."""
     first, last = rows.agg(F.min(ts), F.max(ts)).first()
     if first is None:
         rows.limit(0).write.parquet(path)
@@ -45,7 +46,7 @@ def feed(rows: DataFrame, ts: str, slices: int, path: str) -> str:
     for i in range(slices):
         later = F.col(ts) >= F.lit(first + step * i) if i else F.lit(True)
         before = F.col(ts) < F.lit(first + step * (i + 1)) if i < slices - 1 else F.lit(True)
-        rows.where(later & before).write.mode("append").parquet(path)
+        rows.where(later & before).repartition(files).write.mode("append").parquet(path)
     return path
 
 
