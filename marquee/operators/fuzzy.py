@@ -7,12 +7,15 @@ segment more than there can be edits, so the shorter one holds a segment whole.
 the segments it holds, one lies so that the edits before it are fewer than the
 segments before it, and those behind it likewise; that leaves few places to look.
 What meets by a segment is compared by its letters (a bitmap of which letter stands
-how often, the edits bound the bits that differ) before it leaves the join, and only
-the rest as strings. Exact.
+how often, and one of its pairs of neighbours; the edits bound the bits that differ),
+then by its Levenshtein distance before it leaves the join, and only the rest as
+strings. Exact.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +23,9 @@ from marquee.functions.names import edit_ratio, lcs_ratio_udf
 
 #: Below this a string may lose all of its letters.
 LEAST = 0.7
-#: Longs of a bitmap of letters.
+#: Longs of a bitmap of letters, and of one of pairs of letters.
 WORDS = 4
+PAIR_WORDS = 2
 
 
 def _edits(shorter: str, longer: str, kind: str, threshold: float) -> str:
@@ -68,38 +72,71 @@ def letters(name: Column) -> Column:
     return F.when(F.length(name) > 0, F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: place(i, F.substring(name, i, 1))))
 
 
-def bitmap(places: Column) -> Column:
-    """The bitmap of these places: two strings' bitmaps differ in no more bits than letters that
-    one string has and the other lacks."""
+def letter_pairs(name: Column) -> Column:
+    """Places of a string's pairs of neighbouring letters in a bitmap."""
+    place = lambda i: F.pmod(F.xxhash64(F.substring(name, i, 2)), F.lit(64 * PAIR_WORDS))
+    return F.when(F.length(name) > 1, F.transform(F.sequence(F.lit(1), F.length(name) - 1), place))
+
+
+def bitmap(places: Column, words: int = WORDS) -> Column:
+    """The bitmap of these places: two strings' bitmaps differ in no more bits than letters (or
+    pairs) that one string has and the other lacks."""
     none = F.lit(0).cast("long")
     bit = lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), (b % 64).cast("int"))
     word = lambda w: F.aggregate(F.filter(places, lambda b: F.shiftright(b, 6) == w), none, lambda a, b: a.bitwiseOR(bit(b)))
     # never null, or the join's filter for nulls is pushed down and computes all of this once more in the scan
-    return F.struct(*[F.coalesce(word(w), none).alias(f"w{w}") for w in range(WORDS)])
+    return F.struct(*[F.coalesce(word(w), none).alias(f"w{w}") for w in range(words)])
 
 
-def _candidates(short: DataFrame, long: DataFrame, threshold: float, kind: str, longer_by: int = 0) -> DataFrame:
-    """(short, long) of the pairs that meet by a segment and may be like by their letters; pairs
-    may repeat. The explodes are outer, as inner ones compute the keys twice."""
-    left = short.select(F.col("name").alias("short"), F.col("bits").alias("a"), F.explode_outer(probes(kind, threshold, longer_by)).alias("k"))
-    right = long.select(F.col("name").alias("long"), F.col("bits").alias("b"), F.explode_outer(segments(kind, threshold)).alias("k"))
-    differ = sum((F.bit_count(F.col(f"a.w{w}").bitwiseXOR(F.col(f"b.w{w}"))) for w in range(1, WORDS)), F.bit_count(F.col("a.w0").bitwiseXOR(F.col("b.w0"))))
-    edits = F.expr(_edits("length(short)", "length(long)", kind, threshold))
-    return left.join(right, "k").where((differ <= (edits * 2 if kind == "edit" else edits)) & (F.col("short") != F.col("long"))).select("short", "long")
+def _differing(a: str, b: str, words: int) -> Column:
+    """Bits in which two bitmaps differ."""
+    bits = [F.bit_count(F.col(f"{a}.w{w}").bitwiseXOR(F.col(f"{b}.w{w}"))) for w in range(words)]
+    return reduce(Column.__add__, bits)
 
 
-def candidates(asked: DataFrame, known: DataFrame, threshold: float, kind: str = "edit") -> DataFrame:
-    """(asked, known) of the different strings that are compared as strings, each pair once."""
+def _candidates(short: DataFrame, long: DataFrame, threshold: float, kind: str, longer_by: int = 0) -> DataFrame:
+    """(short, long) of the pairs that meet by a segment and may be like by their letters and their
+    Levenshtein distance, which neither kind's edits fall below; pairs may repeat.
+
+    The explodes are outer, as inner ones compute the keys twice. A name has hundreds of probes,
+    which no estimate knows, and its bytes say nothing of the meetings: keys are dealt to a given
+    number of tasks and joined by sorting, so neither side is sent to all or held as a whole."""
+    tasks = int(short.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = short.select(F.col("name").alias("short"), F.col("bits").alias("a"), F.col("pairs").alias("c"), F.length("name").alias("m"), F.explode_outer(probes(kind, threshold, longer_by)).alias("k"))
+    right = long.select(F.col("name").alias("long"), F.col("bits").alias("b"), F.col("pairs").alias("d"), F.length("name").alias("n"), F.explode_outer(segments(kind, threshold)).alias("k"))
+    left, right = (side.where("k is not null").repartition(tasks, "k") for side in (left, right))
+    edits = _edits("m", "n", kind, threshold)
+    # a letter lost or put in makes three pairs differ, one changed four
+    letters_differ = _differing("a", "b", WORDS) <= F.expr(f"2 * {edits}" if kind == "edit" else edits)
+    pairs_differ = _differing("c", "d", PAIR_WORDS) <= F.expr(f"{4 if kind == 'edit' else 3} * {edits}")
+    near = (F.col("short") != F.col("long")) & F.expr(f"levenshtein(short, long, {edits}) >= 0")
+    met = left.join(right.hint("merge"), "k").where(letters_differ & pairs_differ & near)
+    return met.select("short", "long")
+
+
+def _met(asked: DataFrame, known: DataFrame, threshold: float, kind: str) -> DataFrame:
+    """(asked, known) of the different strings that are compared as strings; pairs may repeat.
+    Of one table with itself a pair has one of its two orders."""
     a = _names(asked)
     names = lambda x, y: [F.col(x).alias("asked"), F.col(y).alias("known")]
     if asked is known:
-        met = _candidates(a, a, threshold, kind)
-        pairs = met.select(*names("short", "long")).unionByName(met.select(*names("long", "short")))
-    else:
-        b = _names(known)
-        pairs = _candidates(a, b, threshold, kind).select(*names("short", "long"))
-        pairs = pairs.unionByName(_candidates(b, a, threshold, kind, 1).select(*names("long", "short")))
-    return pairs.distinct()
+        # strings of one length meet in both orders
+        return _candidates(a, a, threshold, kind).where("length(short) < length(long) or short < long").select(*names("short", "long"))
+    b = _names(known)
+    pairs = _candidates(a, b, threshold, kind).select(*names("short", "long"))
+    return pairs.unionByName(_candidates(b, a, threshold, kind, 1).select(*names("long", "short")))
+
+
+def _both_orders(pairs: DataFrame) -> DataFrame:
+    more = [c for c in pairs.columns if c not in ("asked", "known")]
+    order = lambda x, y: F.struct(F.col(x).alias("asked"), F.col(y).alias("known"))
+    return pairs.select(F.explode(F.array(order("asked", "known"), order("known", "asked"))).alias("p"), *more).select("p.asked", "p.known", *more)
+
+
+def candidates(asked: DataFrame, known: DataFrame, threshold: float, kind: str = "edit") -> DataFrame:
+    """(asked, known) of the different strings that are compared as strings, each pair once."""
+    pairs = _met(asked, known, threshold, kind).distinct()
+    return _both_orders(pairs) if asked is known else pairs
 
 
 def _names(table: DataFrame) -> DataFrame:
@@ -107,7 +144,7 @@ def _names(table: DataFrame) -> DataFrame:
     over a given number of tasks, by a hash of their own, as else the distinct's are joined by size."""
     names = table.select("name").where("name is not null").distinct()
     spread = names.repartition(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("name"))
-    return spread.withColumn("places", letters(F.col("name"))).select("name", bitmap(F.col("places")).alias("bits"))
+    return spread.withColumn("places", letters(F.col("name"))).select("name", bitmap(F.col("places")).alias("bits"), bitmap(letter_pairs(F.col("name")), PAIR_WORDS).alias("pairs"))
 
 
 def like_pairs(asked: DataFrame, known: DataFrame, threshold: float, kind: str = "edit") -> DataFrame:
@@ -115,7 +152,8 @@ def like_pairs(asked: DataFrame, known: DataFrame, threshold: float, kind: str =
     each pair once. Nulls are like nothing; equal strings, empty ones too, have the ratio 1."""
     a, b = (t.select("name").where("name is not null").distinct() for t in (asked, known))
     ratio = edit_ratio(F.col("asked"), F.col("known")) if kind == "edit" else lcs_ratio_udf("asked", "known")
-    other = candidates(asked, known, threshold, kind).withColumn("ratio", ratio).where(F.col("ratio") >= threshold)
+    other = _met(asked, known, threshold, kind).distinct().withColumn("ratio", ratio).where(F.col("ratio") >= threshold)
+    other = _both_orders(other) if asked is known else other
     same = a.join(b, "name").select(F.col("name").alias("asked"), F.col("name").alias("known"), F.lit(1.0).alias("ratio"))
     return same.unionByName(other)
 

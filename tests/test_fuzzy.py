@@ -64,6 +64,15 @@ def test_few_pairs_are_compared(spark):
         assert fuzzy.candidates(known, known, 0.8, kind).count() < 0.01 * n * n
 
 
+def test_few_pairs_leave_the_join_of_many_names(spark):
+    """Letters alone let 0.8 % of the pairs pass; keys are dealt out, whatever the size looks like."""
+    known = openings(Tables(spark, DATA.replace("sf0.001", "sf0.01"))).select("name").distinct().cache()
+    n = known.count()
+    found = fuzzy.candidates(known, known, 0.8, "indel")
+    assert found.count() < 0.001 * n * n
+    assert "SortMergeJoin [k" in found._jdf.queryExecution().toString()
+
+
 def test_resolved_openings_against_brute_force(spark):
     rows = [(r.id, r.name) for r in openings(Tables(spark, DATA)).collect()]
     found = {r.id: r.canonical for r in entry.queries()["resolve_openings"](spark, DATA).collect()}
