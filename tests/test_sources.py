@@ -76,6 +76,23 @@ def test_jaccard_pairs_are_exact(spark):
         assert found[i] == (first[s or i], len(like))
 
 
+def test_sets_that_share_a_rare_word_are_not_compared(spark):
+    """A word that two sets alone share makes them meet; they are compared if they share more at their beginnings."""
+    sets = spark.range(40).selectExpr("id", "transform(sequence(0, 99), i -> if(i = 0, -1 - id div 2, 1000 * id + i)) t")
+    sets = sets.unionByName(spark.range(100, 102).selectExpr("id", "transform(sequence(0, 99), i -> if(i = 0, -id, 10000000 + i)) t"))
+    found = vectors.jaccard_pairs(sets, "id", 0.8)
+    compared = [f for f in found.inputFiles() if "/pairs-" in f]
+    assert compared and spark.read.parquet(*compared).count() == 1
+    assert [(r.a, r.b, round(r.jaccard, 9)) for r in found.collect()] == [(100, 101, round(99 / 101, 9))]
+
+
+def test_bands_of_sizes_hold_all_near_ones():
+    for threshold in (0.5, 0.7, 0.8, 0.9, 0.95):
+        low = vectors._bands(threshold)
+        band = lambda n: sum(x <= n for x in low)  # noqa: B023, E731
+        assert all(band(m) - band(n) in (0, 1) for n in range(1, 300) for m in range(n, int(n / threshold + 1e-9) + 1))
+
+
 def test_nested_children_are_empty_not_null(spark):
     parents = spark.createDataFrame([(1,), (2,)], "k long")
     children = spark.createDataFrame([(1, "b", 2), (1, "a", 1)], "k long, n string, v int")
