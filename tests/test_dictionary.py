@@ -54,3 +54,22 @@ def test_names_are_joined_not_scanned(spark):
     got = di.extract_names(docs, "k", "t", many, "n")
     assert sorted(r.name for r in got.collect()) == ["name 5", "name 77777"]
     assert "Join" in got._jdf.queryExecution().toString() and "RLIKE" not in got._jdf.queryExecution().toString().upper()
+
+
+def test_names_over_blocks_of_words(spark):
+    """Texts of many blocks, names that cross their borders; only n-grams that begin like a name are hashed."""
+    rng = random.Random(9)
+    names = ["a b c d e", "b", "c d", "e a a", "zz"]
+    docs = [(i, " ".join(rng.choice("abcde") for _ in range(n))) for i, n in enumerate([1, 4, 31, 32, 33, 36, 64, 65, 100, 400])]
+    docs += [(100 + i, "x " * i + "a b c d e") for i in range(25, 36)]
+    name_rows = spark.createDataFrame([(n,) for n in names], "n string")
+    got = di.extract_names(spark.createDataFrame(docs, "k long, t string"), "k", "t", name_rows, "n")
+    assert {tuple(r) for r in got.collect()} == slow(docs, names)
+    assert "LeftSemi" in got._jdf.queryExecution().toString()
+
+
+def test_a_dictionary_with_many_first_words(spark, monkeypatch):
+    monkeypatch.setattr(di, "BROADCAST_FIRSTS", 2)
+    names, docs = ["a b", "b", "c d e"], [(1, "a b c d e b a"), (2, "d e"), (3, None)]
+    got = di.extract_names(spark.createDataFrame(docs, "k long, t string"), "k", "t", spark.createDataFrame([(n,) for n in names], "n string"), "n")
+    assert {tuple(r) for r in got.collect()} == slow(docs, names)
