@@ -57,7 +57,10 @@ TOKEN = rf"{NAME_MARK}{NAME}|{UNIT_MARK}\p{{L}}+|\p{{L}}+|[0-9]+(?:[.,:/][0-9]+)
 
 def tokens(text: Column, names: str = MARK_NAMES) -> Column:
     """Words and numbers of a text, names and units behind a mark."""
-    plain = F.translate(F.coalesce(text, F.lit("")), NAME_MARK + UNIT_MARK, "")
+    given = F.coalesce(text, F.lit(""))
+    # marks are hardly ever in a text, and translate() looks up each letter
+    torn = F.contains(given, F.lit(NAME_MARK)) | F.contains(given, F.lit(UNIT_MARK))
+    plain = F.when(torn, F.translate(given, NAME_MARK + UNIT_MARK, "")).otherwise(given)
     marked = F.regexp_replace(plain, names, f"$1{NAME_MARK}$2")
     return F.regexp_extract_all(F.regexp_replace(marked, MARK_UNITS, f"$1{UNIT_MARK}$2"), F.lit(TOKEN), F.lit(0))
 
@@ -68,11 +71,11 @@ def _is_slot(token: Column) -> Column:
 
 
 def _canonical(token: Column) -> Column:
-    first = F.substring(token, 1, 1)
+    """Told by its first character: words' ones sort behind digits, the marks before all others."""
     return (
-        F.when(first > "9", F.lower(token))
-        .when(first == NAME_MARK, F.lit("<name>"))
-        .when(first == UNIT_MARK, F.lit("<unit>"))
+        F.when(token >= ":", F.lower(token))
+        .when(token < UNIT_MARK, F.lit("<name>"))
+        .when(token < "0", F.lit("<unit>"))
         .otherwise(F.lit("<number>"))
     )
 
@@ -98,8 +101,10 @@ def windows(table: DataFrame, key: str, names: str = MARK_NAMES) -> DataFrame:
     base = table.select(F.col(key).cast("long").alias(key), tokens(F.col("text"), names).alias("t"))
     base = base.select(key, F.xxhash64("t").alias("row"), F.size("t").alias("size"), "t", F.transform("t", lambda x: F.xxhash64(_canonical(x))).alias("c"))
     cut = _blocks(base, ["t", "c"], WINDOW - 1, WINDOW)
-    hashes = F.transform(F.sequence(F.lit(0), F.size("c") - WINDOW), lambda i: F.xxhash64(*[F.get("c", i + k) for k in range(WINDOW)]))
-    return cut.select(key, "row", "size", "t", "first", F.posexplode_outer(hashes).alias("local", "h"))
+    # places are exploded and hashed behind that, both in generated code: a block's arrays are copied for no window but hits
+    placed = cut.select(key, "row", "size", "t", "first", "c", F.explode_outer(F.sequence(F.lit(0), F.size("c") - WINDOW)).alias("local"))
+    h = F.xxhash64(*[F.get("c", F.col("local") + k) for k in range(WINDOW)])
+    return placed.select(key, "row", "size", "t", "first", "local", h.alias("h"))
 
 
 def window_tokens() -> Column:
@@ -162,9 +167,10 @@ def _hits(docs: DataFrame, known: DataFrame, names: str) -> DataFrame:
     """The documents' windows that are in the written index `known`, written."""
     if known.count() <= BROADCAST_WINDOWS:
         known = F.broadcast(known)
-    hits = windows(docs, "doc_id", names).join(known, "h").withColumn("doc_tokens", window_tokens())
-    # equal hashes propose, equal canonical windows decide
-    hits = hits.where(F.transform("doc_tokens", _canonical) == F.transform("item_tokens", _canonical))
+    # equal hashes propose, equal canonical windows decide; token by token, as a lambda in the
+    # join's condition would keep the join out of generated code and copy every window's block
+    same = [_canonical(F.get("t", F.col("local") + k)) == _canonical(F.get("item_tokens", F.lit(k))) for k in range(WINDOW)]
+    hits = windows(docs, "doc_id", names).join(known, "h").where(reduce(Column.__and__, same)).withColumn("doc_tokens", window_tokens())
     hits = hits.withColumn("at", F.col("first") + F.col("local")).withColumn("doc_slots", slots("doc_tokens"))
     return materialize(hits.withColumnRenamed("row", "doc_row").drop("t", "first", "local", "size"), "hits")
 

@@ -647,3 +647,25 @@ def test_pages_against_brute_force(spark):
     html = {r.page_id: r.html for r in pages.collect()}
     found = {r.page_id: r.text for r in wrappers.main_texts(pages).collect()}
     assert found == {i: slow_main_text(p or "") for i, p in html.items()}
+
+
+def test_windows_meet_items_in_generated_code(spark, monkeypatch):
+    """No lambda is in the join's condition, so no window's block is copied but for hits."""
+    from marquee.llm import decontaminate as de
+
+    items = spark.createDataFrame([(1, "the old train left Paris at 9 km from here")], "item_id long, text string")
+    docs = spark.createDataFrame([(5, "so the old train left Rome at 12 km from here")], "doc_id long, text string")
+    known = de.materialize(de.index(items), "items")
+    monkeypatch.setattr(de, "materialize", lambda frame, name: frame)
+    hits = de._hits(docs, known, de.MARK_NAMES)
+    joins = [line for line in hits._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+    assert joins and not any("lambda" in line for line in joins)
+    assert hits.count() > 0
+
+
+def test_canonical_tokens_by_their_first_character(spark):
+    from marquee.llm import decontaminate as de
+
+    values = {"Word": "word", "éa": "éa", "\x01Paris": "<name>", "\x02km": "<unit>", "0": "<number>", "9:30": "<number>", "12.5": "<number>", "zz": "zz"}
+    rows = spark.createDataFrame([(v,) for v in values], "t string").select("t", de._canonical(F.col("t")).alias("c")).collect()
+    assert {r.t: r.c for r in rows} == values
