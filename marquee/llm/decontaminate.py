@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.llm.shared import materialize, packed, unpacked
+from marquee.llm.shared import materialize, merged, packed, unpacked
 
 WINDOW = 5
 CONTAINMENT = 0.8
@@ -124,11 +124,12 @@ def index(benchmark: DataFrame, names: str = MARK_NAMES) -> DataFrame:
         "item_id", "h", (F.col("first") + F.col("local")).alias("q"), F.col("row").alias("item_row"), slots(window_tokens()).alias("slots"),
         window_tokens().alias("item_tokens"), (F.col("size") - 1).alias("last"),
     )
-    places = found.where(WINDOW - F.size("slots") >= PLAIN_WORDS).dropDuplicates(["item_id", "item_row", "q"])
+    # written, as four readers would each cut the benchmark into windows, all in one plan
+    places = materialize(found.where(WINDOW - F.size("slots") >= PLAIN_WORDS).dropDuplicates(["item_id", "item_row", "q"]), "places")
     once = places.groupBy("item_id", "h").agg(F.min("slots").alias("item_slots"))
     counts = once.groupBy("item_id").agg(F.count("*").alias("n_windows"))
     rows = places.groupBy("item_id", "item_row").agg(F.count("*").alias("row_windows"))
-    return places.drop("slots").join(once, ["item_id", "h"]).join(counts, "item_id").join(rows, ["item_id", "item_row"])
+    return places.drop("slots").join(merged(once), ["item_id", "h"]).join(merged(counts), "item_id").join(merged(rows), ["item_id", "item_row"])
 
 
 def _bound_values() -> Column:
@@ -184,17 +185,18 @@ def _held(hits: DataFrame, only_occurrences: bool = False) -> DataFrame:
         .groupBy("doc_id", "item_id", "n_windows", "h", "p.a", "p.b")
         .agg(F.lit(1).alias("one"))
     )
+    bound = materialize(bound, "bound")
     item = ["doc_id", "item_id", "n_windows"]
     widest = bound.groupBy(*item, "a").agg(F.count_distinct("b").alias("b")).groupBy(*item).agg(F.max("b").alias("widest"))
     per_item = bound.groupBy(*item).agg(
         F.count_distinct("h").alias("n_matched"),
         F.max(F.coalesce(F.col("a") != F.col("b"), F.lit(False))).alias("reparameterised"),
-    ).join(widest, item)
-    shown = _occurrences(hits).select("doc_id", "item_id", F.lit(True).alias("shown"))
+    ).join(merged(widest), item)
+    shown = materialize(_occurrences(hits).select("doc_id", "item_id", F.lit(True).alias("shown")), "shown")
     if only_occurrences:
         per_item = per_item.withColumn("widest", F.lit(None).cast("long"))
     spread = (F.col("n_matched") >= CONTAINMENT * F.col("n_windows")) & (F.col("widest") <= MAX_BINDINGS)
-    return per_item.join(shown, ["doc_id", "item_id"], "left").where(F.coalesce(spread, F.lit(False)) | F.coalesce("shown", F.lit(False))).select(
+    return per_item.join(merged(shown), ["doc_id", "item_id"], "left").where(F.coalesce(spread, F.lit(False)) | F.coalesce("shown", F.lit(False))).select(
         "doc_id", "item_id", "n_windows", "n_matched",
         (F.col("n_matched") / F.col("n_windows")).alias("containment"), "reparameterised",
     )
@@ -254,17 +256,17 @@ def _held_by_every_name(docs: DataFrame, benchmark: DataFrame, inside: DataFrame
     Only documents that may hold an item are read again."""
     least = inside.select("item_id", F.col("n_windows").alias("at_least")).distinct()
     enough = F.greatest("n_windows", F.coalesce("at_least", "n_windows"))
-    known = index(benchmark, MARK_EVERY).join(least, "item_id", "left").withColumn("n_windows", enough).drop("at_least")
+    known = index(benchmark, MARK_EVERY).join(merged(least), "item_id", "left").withColumn("n_windows", enough).drop("at_least")
     known = materialize(known, "items-every-name")
     return _held(_hits(_may_hold(docs, known, inside_hits), known, MARK_EVERY), only_occurrences=True)
 
 
-def _short_items(benchmark: DataFrame) -> DataFrame:
-    """(item_id, words): texts of items without a window, as lower-case tokens."""
-    held = index(benchmark).select("item_id").distinct()
+def _short_items(benchmark: DataFrame, known: DataFrame) -> DataFrame:
+    """(item_id, words): texts of items without a window in the written index `known`, as lower-case tokens."""
+    held = known.select("item_id").distinct()
     words = F.transform(tokens(F.col("text"), NO_NAMES), lambda x: F.lower(F.translate(x, UNIT_MARK, "")))
     whole = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words.alias("words"))
-    return whole.where(F.size("words") > 0).join(held, "item_id", "left_anti").distinct()
+    return whole.where(F.size("words") > 0).join(merged(held), "item_id", "left_anti").distinct()
 
 
 def _held_whole(docs: DataFrame, short: DataFrame, lengths: list[int], longest: int) -> DataFrame:
@@ -284,7 +286,7 @@ def _held_whole(docs: DataFrame, short: DataFrame, lengths: list[int], longest:
     by_length = F.coalesce(*[
         F.when(F.least(F.size("words"), F.lit(WINDOW)) == n, F.xxhash64(F.lit(n), *[F.get("words", F.lit(k)) for k in range(n)])) for n in lengths
     ])
-    known = short.join(counts, "item_id").withColumn("h", by_length)
+    known = short.join(merged(counts), "item_id").withColumn("h", by_length)
     known = materialize(known, "short-index")
     if known.count() <= BROADCAST_WINDOWS:
         known = F.broadcast(known)
@@ -314,11 +316,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = _hits(docs, known, MARK_NAMES)
     inside = _held(hits)
     ways = [inside, _held_by_every_name(docs, benchmark, known, hits)]
-    short = materialize(_short_items(benchmark), "short-items")
+    short = materialize(_short_items(benchmark, known), "short-items")
     sizes = short.groupBy(F.least(F.size("words"), F.lit(WINDOW)).alias("n")).agg(F.max(F.size("words")).alias("longest")).collect()
     if sizes:  # WINDOW rows at most
         ways.append(_held_whole(docs, short, sorted(r.n for r in sizes), max(r.longest for r in sizes)))
-    every = [w.withColumn("way", F.lit(k)) for k, w in enumerate(ways)]
+    # each written for itself: in one plan their exchanges would be planned and held by the driver at once
+    every = [materialize(w.withColumn("way", F.lit(k)), "held") for k, w in enumerate(ways)]
     row = F.min_by(F.struct(*inside.columns), "way")
     return reduce(DataFrame.unionByName, every).groupBy("doc_id", "item_id").agg(row.alias("row")).select("row.*")
 

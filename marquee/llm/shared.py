@@ -56,6 +56,13 @@ def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select(*[F.col("text" if c == "text" else f"rest.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """`df` for a join that stays a sort-merge join. A broadcast takes some MB of the driver's
+    heap however few its rows are, until the driver collects its garbage; steps that join again
+    and again fill it on small tables, where every join would be a broadcast."""
+    return df.hint("merge")
+
+
 def rows_in(df: DataFrame) -> int:
     """Row count of a written table (answered from the file footers)."""
     return df.count()
@@ -89,8 +96,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         picks.append(pick)
         of_u, of_v = pick.select("u", F.col("r").alias("ru")), pick.select(F.col("u").alias("v"), F.col("r").alias("rv"))
         contracted = (
-            current.join(of_u, "u")
-            .join(of_v, "v")
+            current.join(merged(of_u), "u")
+            .join(merged(of_v), "v")
             .where("ru <> rv")
             .select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v"))
             .distinct()
@@ -102,7 +109,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while picks:
         later = labels.withColumnRenamed("u", "r")
         labels = materialize(
-            picks.pop().join(later, "r", "left").select("u", F.coalesce("component", "r").alias("component")), "labels"
+            picks.pop().join(merged(later), "r", "left").select("u", F.coalesce("component", "r").alias("component")), "labels"
         )
     return labels
 

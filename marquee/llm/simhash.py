@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.shared import connected_components, materialize, packed, slices, unpacked, utf8
+from marquee.llm.shared import connected_components, materialize, merged, packed, slices, unpacked, utf8
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -111,7 +111,7 @@ def _buckets(distinct: DataFrame) -> DataFrame:
     table = materialize(pivot_table(distinct), "pivots")
     keyed = materialize(table.select(_bucket_keys().alias("key"), "fp"), "keyed")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    return materialize(keyed.join(sizes, "key").join(table, "fp"), "members")
+    return materialize(keyed.join(merged(sizes), "key").join(merged(table), "fp"), "members")
 
 
 def _candidates(small: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def _candidates(small: DataFrame) -> DataFrame:
     bits = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp")))
     return (
         small.alias("a")
-        .join(small.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")))
+        .join(merged(small.alias("b")), (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")))
         .select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"), far.alias("discarded"), F.when(~far, bits).alias("bits"))
     )
 
@@ -165,14 +165,14 @@ def _members(prints: DataFrame, bucket_cap: int) -> DataFrame:
     the same for two fingerprints exactly if they are connected."""
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     labels = connected_components(links(distinct, bucket_cap)).withColumnRenamed("u", "fp")
-    labelled = materialize(distinct.join(labels, "fp", "left"), "labelled")
+    labelled = materialize(distinct.join(merged(labels), "fp", "left"), "labelled")
     least = materialize(
         labelled.where("component is not null").groupBy("component").agg(F.min("first_id").alias("least_id")), "least"
     )
     alone = F.col("component").isNull()
     component = F.struct(alone.alias("alone"), F.coalesce("component", "fp").alias("label")).alias("component")
     return materialize(
-        labelled.join(least, "component", "left").select("fp", component, F.coalesce("least_id", "first_id").alias("component_id")),
+        labelled.join(merged(least), "component", "left").select("fp", component, F.coalesce("least_id", "first_id").alias("component_id")),
         "components",
     )
 
@@ -186,7 +186,7 @@ def near_duplicates(docs: DataFrame, bucket_cap: int = BUCKET_CAP) -> DataFrame:
     out once per row; other columns are not read. An empty table gives no rows.
     """
     prints = materialize(fingerprints(docs), "prints")
-    return prints.join(_members(prints, bucket_cap), "fp").select(
+    return prints.join(merged(_members(prints, bucket_cap)), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -205,7 +205,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("__id"), F.col("__hash").alias("__hash"))
     copies = prints.select("fp", order.alias("row")).groupBy("fp", "row").agg(F.count("*").alias("copies"))
     winners = materialize(
-        copies.join(_members(prints, BUCKET_CAP), "fp")
+        copies.join(merged(_members(prints, BUCKET_CAP)), "fp")
         .groupBy("component")
         .agg(F.min(F.struct("row", "copies")).alias("first"))
         .select(F.col("first.row.__id").alias("won"), F.col("first.row.__hash").alias("won_hash"), F.col("first.copies").alias("copies")),
