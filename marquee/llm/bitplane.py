@@ -344,8 +344,8 @@ def _lengths(batches: Iterator[pa.RecordBatch], tokenizer_path: str) -> Iterator
     encoder = worker_encoder(tokenizer_path)
     for batch in batches:
         at = batch.schema.get_field_index("text")
-        texts = batch.column(at).to_pylist()
-        counts = [n + 1 for k in range(0, len(texts), 512) for n in encoder.count(texts[k : k + 512])]
+        texts = batch.column(at)  # few of them are Python objects at a time
+        counts = [n + 1 for k in range(0, len(texts), 512) for n in encoder.count(texts.slice(k, 512).to_pylist())]
         rest = [i for i in range(batch.num_columns) if i != at]
         yield pa.record_batch(
             [*(batch.column(i) for i in rest), pa.array(counts, pa.int64())], names=[*(batch.schema.names[i] for i in rest), "n_tokens"]
