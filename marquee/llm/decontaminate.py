@@ -55,14 +55,20 @@ MARK_UNITS = rf"([0-9] ?)({UNITS})\b"
 TOKEN = rf"{NAME_MARK}{NAME}|{UNIT_MARK}\p{{L}}+|\p{{L}}+|[0-9]+(?:[.,:/][0-9]+)*"
 
 
+def _flat(pattern: str) -> str:
+    """The pattern with its repeated groups, which end all they stand in, possessive: the same matches. Java takes
+    a piece of stack for each turn of a greedy one, so some thousand names or numbers in a row end the executor."""
+    return pattern.replace("+)*", "+)*+")
+
+
 def tokens(text: Column, names: str = MARK_NAMES) -> Column:
     """Words and numbers of a text, names and units behind a mark."""
     given = F.coalesce(text, F.lit(""))
     # marks are hardly ever in a text, and translate() looks up each letter
     torn = F.contains(given, F.lit(NAME_MARK)) | F.contains(given, F.lit(UNIT_MARK))
     plain = F.when(torn, F.translate(given, NAME_MARK + UNIT_MARK, "")).otherwise(given)
-    marked = F.regexp_replace(plain, names, f"$1{NAME_MARK}$2")
-    return F.regexp_extract_all(F.regexp_replace(marked, MARK_UNITS, f"$1{UNIT_MARK}$2"), F.lit(TOKEN), F.lit(0))
+    marked = F.regexp_replace(plain, _flat(names), f"$1{NAME_MARK}$2")
+    return F.regexp_extract_all(F.regexp_replace(marked, MARK_UNITS, f"$1{UNIT_MARK}$2"), F.lit(_flat(TOKEN)), F.lit(0))
 
 
 def _is_slot(token: Column) -> Column:
@@ -298,6 +304,13 @@ def _held_whole(docs: DataFrame, short: DataFrame, lengths: list[int], longest:
     )
 
 
+def _classes(benchmark: DataFrame) -> DataFrame:
+    """(item_id, texts, first): an item's different texts and the least item with the same ones."""
+    text = F.sort_array(F.collect_set(F.coalesce("text", F.lit("")))).alias("texts")
+    items = benchmark.groupBy(F.col("item_id").cast("long").alias("item_id")).agg(text)
+    return materialize(items.withColumn("first", F.min("item_id").over(Window.partitionBy("texts"))), "classes")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows, n_matched, containment, reparameterised), a row for
     each document and benchmark item it holds.
@@ -309,9 +322,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     held where all their tokens stand in a row. Rows with the same doc_id count as one
     document, rows with the same item_id as one item; a null id is in no row. n_matched
     counts windows of the whole document, and `reparameterised` tells that a slot value
-    differs anywhere in it. Without documents or items there are no rows.
+    differs anywhere in it. Without documents or items there are no rows. Items with the
+    same texts are judged once, so hits grow with different items only.
     """
-    docs, benchmark = docs.where("doc_id is not null"), benchmark.where("item_id is not null")
+    docs, classes = docs.where("doc_id is not null"), _classes(benchmark.where("item_id is not null"))
+    benchmark = classes.where("item_id = first").select("item_id", F.explode("texts").alias("text"))
     known = materialize(index(benchmark), "items")
     hits = _hits(docs, known, MARK_NAMES)
     inside = _held(hits)
@@ -323,7 +338,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # each written for itself: in one plan their exchanges would be planned and held by the driver at once
     every = [materialize(w.withColumn("way", F.lit(k)), "held") for k, w in enumerate(ways)]
     row = F.min_by(F.struct(*inside.columns), "way")
-    return reduce(DataFrame.unionByName, every).groupBy("doc_id", "item_id").agg(row.alias("row")).select("row.*")
+    found = reduce(DataFrame.unionByName, every).groupBy("doc_id", "item_id").agg(row.alias("row")).select("row.*")
+    named = found.withColumnRenamed("item_id", "first").join(merged(classes.select("first", "item_id")), "first")
+    return named.select(*inside.columns)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

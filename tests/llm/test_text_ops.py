@@ -379,6 +379,33 @@ def test_a_shuffled_index_gives_the_same(spark, docs_of, monkeypatch):
     assert [r.doc_id for r in decontaminate.contamination(frame, bench).collect()] == [1]
 
 
+def test_names_and_numbers_of_any_length(spark, docs_of):
+    """Thousands of names or numbers in a row, of unlike lengths: a greedy group's stack ended the executor."""
+    draw = random.Random(1)
+    names = " ".join("A" + "a" * draw.randint(1, 9) for _ in range(20000))
+    numbers = ",".join(str(draw.randint(0, 10 ** draw.randint(1, 6))) for _ in range(20000))
+    bench = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
+    rows = [(1, f"so {names}. {QUESTION}"), (2, f"so {numbers} is. {QUESTION}"), (3, names), (4, numbers)]
+    assert {r.doc_id for r in decontaminate.contamination(docs_of(rows), bench).collect()} == {1, 2}
+    for text, n in ((f"so {names}", 2), (f"so {numbers}", 2), (f"Aa 1,2 {names}", 3)):
+        assert spark.createDataFrame([(text,)], "text string").select(F.size(decontaminate.tokens(F.col("text"))).alias("n")).head().n == n
+
+
+def test_items_with_the_same_texts_are_judged_once(spark, docs_of, monkeypatch):
+    """Each has its row, but hits are those of different items."""
+    copies, short = range(5, 25), [(30, "What is"), (31, "What is")]
+    items = [(i, t) for i in copies for t in (QUESTION, "plain words only in this second question of the set")] + short + [(40, QUESTION)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    taken = []
+    plain = decontaminate._hits
+    monkeypatch.setattr(decontaminate, "_hits", lambda *a: taken.append(plain(*a)) or taken[-1])
+    text = QUESTION + ". And plain words only in this second question of the set"
+    found = decontaminate.contamination(docs_of([(1, text), (2, "What is it?")]), bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [*((1, i) for i in copies), (1, 40), (2, 30), (2, 31)]
+    assert len({tuple(r)[2:] for r in found if r.item_id in copies}) == 1
+    assert all({r.item_id for r in hits.select("item_id").collect()} == {5, 40} for hits in taken)
+
+
 def slow_licenses(text):
     """Counts of windows by notice: every notice in every window, the best at each start."""
     split = lambda t: re.findall(r"[^\W_]+(?:[.\-][^\W_]+)*", (t or "").lower())
