@@ -53,9 +53,6 @@ def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 token_sort_ratio_udf = F.pandas_udf(token_sort_ratio, T.DoubleType())
-lcs_ratio_udf = F.pandas_udf(
-    lambda a, b: pd.Series([None if x is None or y is None else lcs_ratio(x, y) for x, y in zip(a, b)], dtype="float64"), T.DoubleType()
-)
 
 
 def edit_ratio(a: Column, b: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Joins of strings by similarity, without blocks and without comparing all with all.
+"""Joins of strings by similarity, without blocks by name.
 
 Two strings are `like` above a threshold t if either 1 - Levenshtein / longer length
 ("edit") or twice the longest common subsequence over both lengths ("indel") reaches
@@ -10,22 +10,42 @@ What meets by a segment is compared by its letters (a bitmap of which letter sta
 how often, and one of its pairs of neighbours; the edits bound the bits that differ),
 then by its Levenshtein distance before it leaves the join, and only the rest as
 strings. Exact.
+
+"indel" allows so many edits that segments are two letters long and a quarter of all
+pairs meets, each at the price of a joined row. Its pairs are told apart by the same
+bitmaps without a join: names are dealt to groups of a bounded size, each two groups
+are a cell, and in a cell bitmaps are compared as arrays, the few pairs left by their
+longest common subsequences, many pairs at a time. Exact too.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from math import ceil, floor
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.functions.names import edit_ratio, lcs_ratio_udf
+from marquee.functions.names import edit_ratio, lcs_ratio
+from marquee.operators.tables import written
 
 #: Below this a string may lose all of its letters.
 LEAST = 0.7
 #: Longs of a bitmap of letters, and of one of pairs of letters.
 WORDS = 4
 PAIR_WORDS = 2
+#: Names of a group, on average; groups that fewer names make nevertheless, of MIN_GROUP names; tasks at most.
+GROUP = 32768
+MIN_GROUPS = 14
+MIN_GROUP = 256
+MOST_TASKS = 10_000
+#: Names whose bitmaps are compared at once, of either side; entries of the table of their letters.
+LEFT, RIGHT = 256, 1024
+TABLE = 1 << 21
 
 
 def _edits(shorter: str, longer: str, kind: str, threshold: float) -> str:
@@ -147,12 +167,119 @@ def _names(table: DataFrame) -> DataFrame:
     return spread.withColumn("places", letters(F.col("name"))).select("name", bitmap(F.col("places")).alias("bits"), bitmap(letter_pairs(F.col("name")), PAIR_WORDS).alias("pairs"))
 
 
+def _common(masks: np.ndarray, of: np.ndarray, letters_: np.ndarray, length: int) -> np.ndarray:
+    """Lengths of longest common subsequences as in lcs_ratio, of many pairs at once: `masks` has
+    for each string of `length` letters the places of each letter, `of` is a pair's string, `letters_` the other's letters."""
+    full = np.uint64((1 << length) - 1)
+    row, flat, begin = np.full(len(of), full), masks.ravel(), of * masks.shape[1]
+    for letter in letters_:
+        hit = flat.take(begin + letter)
+        hit &= row
+        less = row - hit
+        row += hit
+        row |= less
+    return length - np.bitwise_count(row & full).astype(np.int64)
+
+
+class _Side:
+    """The names of one side of a cell by length: their numbers, bitmaps and letters."""
+
+    def __init__(self, table: pa.Table, known_letters: Callable[[list[str]], np.ndarray]):
+        self.names = table["name"].to_pylist()
+        words = lambda c, n: np.stack([table[f"{c}{w}"].to_numpy().view(np.uint64) for w in range(n)])
+        self.bits, self.pairs = words("b", WORDS), words("p", PAIR_WORDS)
+        self.folded = np.bitwise_or.reduce(self.bits, axis=0)
+        lengths = np.array([len(x) for x in self.names], dtype=np.int64)
+        self.by_length = {int(n): np.flatnonzero(lengths == n) for n in np.unique(lengths) if n}
+        self.letters = {n: known_letters([self.names[i] for i in at]).reshape(len(at), n).T.copy() for n, at in self.by_length.items()}
+
+
+def _like_in_cell(cell: pa.Table, threshold: float) -> pa.Table:
+    """(asked, known, ratio) of the pairs of a cell: a name of one side, one of the other; if the
+    cell is of one group with itself, each two of its names."""
+    left = cell.filter(cell["left"])
+    one_group = bool(cell["same"][0].as_py())
+    points = lambda names: np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    alphabet = np.unique(points(cell["name"].to_pylist()))
+    places = lambda names: np.searchsorted(alphabet, points(names))
+    a = _Side(left, places)
+    b = a if one_group else _Side(cell.filter(pc.invert(cell["left"])), places)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    # the shorter string's letters are looked up, so each side is the shorter one once; names of one length meet once
+    for short, long, swapped in ((a, b, False),) if one_group else ((a, b, False), (b, a, True)):
+        for m, rows in short.by_length.items():
+            step = max(1, min(LEFT, TABLE // len(alphabet)))
+            for at in range(0, len(rows), step):
+                one = rows[at : at + step]
+                masks = None
+                for n, others in long.by_length.items():
+                    edits = floor((m + n) * (1 - threshold) + 1e-9)
+                    edits -= (m + n - edits) % 2  # letters of both less those common to both, twice
+                    if n < m or n - m > edits or (n == m and swapped):
+                        continue
+                    for begin in range(0, len(others), RIGHT):
+                        two = others[begin : begin + RIGHT]
+                        near = np.bitwise_count(short.folded[one][:, None] ^ long.folded[two][None, :]) <= edits
+                        i, j = np.divmod(np.flatnonzero(near), len(two))
+                        for x, y, most in ((short.bits, long.bits, edits), (short.pairs, long.pairs, 3 * edits)):
+                            u, v, differ = one[i], two[j], np.zeros(len(i), dtype=np.uint16)
+                            for of_x, of_y in zip(x, y):
+                                differ += np.bitwise_count(of_x.take(u) ^ of_y.take(v))
+                            left_over = np.flatnonzero(differ <= most)
+                            i, j = i[left_over], j[left_over]
+                        if one_group and n == m:
+                            i, j = i[one[i] < two[j]], j[one[i] < two[j]]
+                        if not len(i):
+                            continue
+                        if m < 64:
+                            if masks is None:
+                                masks = np.zeros((len(one), len(alphabet)), dtype=np.uint64)
+                                of = short.letters[m][:, at : at + step]
+                                for k in range(m):
+                                    masks[np.arange(len(one)), of[k]] |= np.uint64(1 << k)
+                            ratio = 2 * _common(masks, i, long.letters[n][:, begin + j], m) / (m + n)
+                        else:
+                            ratio = np.array([lcs_ratio(short.names[x], long.names[y]) for x, y in zip(one[i], two[j])])
+                        like = (ratio >= threshold) & (ratio < 1)
+                        x, y = one[i[like]], two[j[like]]
+                        found.append((y, x, ratio[like]) if swapped else (x, y, ratio[like]))
+    x, y, ratio = (np.concatenate(c) if found else np.array([], dtype=np.int64) for c in (zip(*found) if found else ((), (), ())))
+    names = lambda side, at: pa.array([side.names[k] for k in at], pa.string())
+    return pa.table({"asked": names(a, x), "known": names(b, y), "ratio": pa.array(ratio, pa.float64())})
+
+
+def _like_in_cells(asked: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """(asked, known, ratio) of the different strings that are like by "indel", each pair once; of one
+    table with itself in one of its two orders. A name goes to as many cells as the other side has groups."""
+    _edits("1", "1", "indel", threshold)
+    flat = ["name", *[F.col(f"bits.w{w}").alias(f"b{w}") for w in range(WORDS)], *[F.col(f"pairs.w{w}").alias(f"p{w}") for w in range(PAIR_WORDS)]]
+    sides = [written(_names(t).select(*flat), "names") for t in ([asked] if asked is known else [asked, known])]
+    groups = [max(1, ceil(n / GROUP), min(MIN_GROUPS, ceil(n / MIN_GROUP))) for n in (side.count() for side in sides)]
+    in_group = [side.withColumn("g", F.pmod(F.xxhash64(F.lit("group"), "name"), F.lit(of))) for side, of in zip(sides, groups)]
+    other = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(of - 1).cast("long"))).alias("o")
+    if asked is known:
+        both = in_group[0].select("*", other(groups[0]))
+        first = F.col("g") <= F.col("o")
+        rows = both.select(*both.columns[:-2], F.least("g", "o").alias("i"), F.greatest("g", "o").alias("j"), first.alias("left"), (F.col("g") == F.col("o")).alias("same"))
+        cells = groups[0] * (groups[0] + 1) // 2
+    else:
+        a, b = in_group[0].select("*", other(groups[1])), in_group[1].select("*", other(groups[0]))
+        rows = a.withColumnsRenamed({"g": "i", "o": "j"}).withColumn("left", F.lit(True)).unionByName(b.withColumnsRenamed({"g": "j", "o": "i"}).withColumn("left", F.lit(False)))
+        rows, cells = rows.withColumn("same", F.lit(False)), groups[0] * groups[1]
+    # a given number of tasks, as a cell's few bytes are much work
+    dealt = rows.repartition(min(cells, MOST_TASKS), "i", "j")
+    return dealt.groupBy("i", "j").applyInArrow(lambda cell: _like_in_cell(cell, threshold), "asked string, known string, ratio double")
+
+
 def like_pairs(asked: DataFrame, known: DataFrame, threshold: float, kind: str = "edit") -> DataFrame:
     """(asked, known, ratio) of all strings of the column `name` of both that are like each other,
     each pair once. Nulls are like nothing; equal strings, empty ones too, have the ratio 1."""
     a, b = (t.select("name").where("name is not null").distinct() for t in (asked, known))
-    ratio = edit_ratio(F.col("asked"), F.col("known")) if kind == "edit" else lcs_ratio_udf("asked", "known")
-    other = _met(asked, known, threshold, kind).distinct().withColumn("ratio", ratio).where(F.col("ratio") >= threshold)
+    if kind == "edit":
+        ratio = edit_ratio(F.col("asked"), F.col("known"))
+        other = _met(asked, known, threshold, kind).distinct().withColumn("ratio", ratio).where(F.col("ratio") >= threshold)
+    else:
+        other = _like_in_cells(asked, known, threshold)
     other = _both_orders(other) if asked is known else other
     same = a.join(b, "name").select(F.col("name").alias("asked"), F.col("name").alias("known"), F.lit(1.0).alias("ratio"))
     return same.unionByName(other)

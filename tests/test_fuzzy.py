@@ -73,6 +73,24 @@ def test_few_pairs_leave_the_join_of_many_names(spark):
     assert "SortMergeJoin [k" in found._jdf.queryExecution().toString()
 
 
+def test_indel_cells_against_all_pairs(spark, monkeypatch):
+    """Several groups on both sides, strings about the length of a machine word, letters beyond 16 bits;
+    pairs are compared as arrays, no joined row for each meeting of two names."""
+    monkeypatch.setattr(fuzzy, "MIN_GROUP", 32)
+    random.seed(5)
+    base = ["".join(random.choice("abcé😀 x") for _ in range(n)) for n in (1, 2, 5, 9, 14, 20, 31, 62, 63, 64, 65, 90) for _ in range(6)]
+    near = [changed(w, random.randint(0, 12), "abx😀") for w in base for _ in range(3)] + ["", *base[:20]]
+    left, right = (spark.createDataFrame([(w,) for w in t] + [(None,)], "name string") for t in ([*base, ""], near))
+    for a, b, x, y in ((left, right, [*base, ""], near), (right, left, near, [*base, ""]), (right, right, near, near)):
+        pairs = fuzzy.like_pairs(a, b, 0.8, "indel")
+        rows = pairs.collect()
+        found = {(r.asked, r.known): r.ratio for r in rows}
+        assert len(rows) == len(found)
+        assert found == {(p, q): r for p in set(x) for q in set(y) if (r := names.lcs_ratio(p, q)) >= 0.8}
+        plan = pairs._jdf.queryExecution().toString()
+        assert "FlatMapGroupsInArrow" in plan and "levenshtein" not in plan
+
+
 def test_resolved_openings_against_brute_force(spark):
     rows = [(r.id, r.name) for r in openings(Tables(spark, DATA)).collect()]
     found = {r.id: r.canonical for r in entry.queries()["resolve_openings"](spark, DATA).collect()}
